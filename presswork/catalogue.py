@@ -1,0 +1,6 @@
+"""Every registered query and its oracle SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}

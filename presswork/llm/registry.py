@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op4_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fm_index import remove_repeated_windows
+
+    return remove_repeated_windows(table(spark, sf_dir, "documents"), window=50, with_text=False).drop("kept")
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_sort import remove_repeats
 
@@ -16,6 +22,7 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_fm_index_dedup": op4_fm_index_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
 }
 

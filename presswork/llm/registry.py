@@ -21,9 +21,16 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), window=100, with_text=False).drop("kept")
 
 
+def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fm_index_dedup": op4_fm_index_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_byte_level_bpe": op6_byte_level_bpe,
 }
 
 ORACLE: dict[str, str] = {}

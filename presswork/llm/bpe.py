@@ -249,6 +249,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     integers. Null and empty texts have none (an empty binary). Each match of the
     pattern is encoded by itself; there are no special tokens. Other columns stay,
     and one named `ids` is replaced."""
+    common.ship(docs.sparkSession)
     rest = [c for c in docs.columns if c != "ids"]
     schema = docs.select(*rest).withColumn("ids", F.lit(b"")).schema
 
@@ -263,6 +264,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """tokens with a column `decoded`: the bytes of the tokens in `ids`."""
+    common.ship(tokens.sparkSession)
     rest = [c for c in tokens.columns if c != "decoded"]
     schema = tokens.select(*rest).withColumn("decoded", F.lit(b"")).schema
 

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A word of a text, as the contracts define it (everything but ASCII white space).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null doc_id inside the operators, so that keys are never null.
@@ -67,6 +69,7 @@ class Scratch:
 def keyed_texts(docs: DataFrame) -> DataFrame:
     """(doc, tid, text): doc_id without nulls, a 64-bit name of the text, and the text
     itself (null as empty). Rows are told apart by (doc, tid)."""
+    ship(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),

@@ -27,10 +27,24 @@ def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_copies
+
+    return near_copies(table(spark, sf_dir, "documents")).drop("doc", "tid")
+
+
+def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pu_toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fm_index_dedup": op4_fm_index_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_byte_level_bpe": op6_byte_level_bpe,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op10_pu_toxicity": op10_pu_toxicity,
 }
 
 ORACLE: dict[str, str] = {}

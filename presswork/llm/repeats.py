@@ -29,6 +29,7 @@ from . import common
 U64 = np.uint64
 POSITION_BITS = 28
 CHUNK_BYTES = 1 << 20
+BASE = 0x9E3779B97F4A7C15
 
 ANCHOR = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("tid", "<i8"), ("at", "<u4")])
 FRAGMENT = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("tid", "<i8"), ("first", "<u4"), ("windows", "<u4"), ("anchor", "<u4"), ("size", "<u4")])
@@ -64,28 +65,30 @@ class Bytes:
         return h, ends, at[:-1], at[1:]
 
 
+def word_hashes(data: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, byte after) of each run of `inside` bytes; `ends` closes texts."""
+    cut = np.zeros(len(data) + 1, bool)  # a text ends where the next begins
+    cut[ends[ends < len(data)]] = True
+    begins, stops = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | cut[1:-1]
+    stops[:-1] &= ~inside[1:] | cut[1:-1]
+    first, after = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    power = np.full(len(data) + 1, BASE, U64)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum((data.astype(U64) + U64(0x51ED27)) * power[:-1])])
+    # B**(n - first) and then B**-n (B is odd, so it has an inverse) leave the word's own polynomial
+    word = (sums[after] - sums[first]) * power[len(data) - first] * U64(pow(pow(BASE, -1, 2**64), len(data), 2**64))
+    return mix(word + (after - first).astype(U64)), first, after
+
+
 class Words:
     """Every run of bytes other than ASCII white space is a token."""
 
     gram = 8
 
     def tokens(self, data: np.ndarray, ends: np.ndarray):
-        space = (data == 32) | ((data >= 9) & (data <= 13))
-        cut = np.zeros(len(data) + 1, bool)  # a text ends where the next begins
-        cut[ends[ends < len(data)]] = True
-        inside = ~space
-        begins = inside.copy()
-        begins[1:] &= space[:-1] | cut[1:-1]
-        stops = inside.copy()
-        stops[:-1] &= space[1:] | cut[1:-1]
-        first, after = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-        power = np.full(len(data) + 1, 0x9E3779B97F4A7C15, U64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        sums = np.concatenate([np.zeros(1, U64), np.cumsum((data.astype(U64) + U64(0x51ED27)) * power[:-1])])
-        # B**(n - first) and then B**-n (B is odd, so it has an inverse) leave the word's own polynomial
-        word = (sums[after] - sums[first]) * power[len(data) - first] * inverse_power(len(data))
-        word = mix(word + (after - first).astype(U64))
+        word, first, after = word_hashes(data, ends, (data != 32) & ((data < 9) | (data > 13)))
         h = word[:0]
         if len(word) >= self.gram:
             n = len(word) - self.gram + 1
@@ -96,10 +99,6 @@ class Words:
         return h, np.searchsorted(first, ends, "left"), first, after
 
 
-def inverse_power(n: int) -> np.uint64:
-    return U64(pow(pow(0x9E3779B97F4A7C15, -1, 2**64), n, 2**64))
-
-
 def window_minimum(keys: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every `width` consecutive keys, by doubling."""
     span = 1

@@ -19,9 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
-from .repeats import U64, Bytes, REMOVED, as_bytes, covered, flagged_runs, repeated_windows, with_removals
+from .repeats import BASE, U64, Bytes, REMOVED, as_bytes, covered, flagged_runs, repeated_windows, with_removals
 
-BASE = 0x9E3779B97F4A7C15
 _values = np.random.default_rng(20240611).integers(0, 2**64, 256, dtype=U64)
 
 

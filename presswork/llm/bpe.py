@@ -24,7 +24,7 @@ from .repeats import as_bytes
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 #: Bounds of the encoder's memory; they change no result.
-CACHED_WORDS, LONGEST_CACHED, LEARN_CHARS = 1 << 19, 64, 1 << 22
+CACHED_WORDS, CACHED_PAIRS, LONGEST_CACHED, LEARN_CHARS = 1 << 17, 1 << 18, 64, 1 << 20
 
 
 def utf8(piece: str) -> bytes:
@@ -96,7 +96,7 @@ class Vocabulary:
             return True
         known = self.pairs.get((before, after))
         if known is None:
-            if len(self.pairs) > 1 << 20:
+            if len(self.pairs) > CACHED_PAIRS:
                 self.pairs.clear()
             known = self.pairs[before, after] = self._stay_apart(self.spine(before, True), self.spine(after, False))
         return known

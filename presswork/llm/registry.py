@@ -6,9 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate
 from .common import table
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contained_items
+
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("doc", "tid")
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op4_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fm_index import remove_repeated_windows
 
@@ -33,6 +46,12 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents")).drop("doc", "tid")
 
 
+def op8_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_rules import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pu_toxicity import classify
 
@@ -40,11 +59,16 @@ def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_secret_scans": op3_secret_scans,
     "op4_fm_index_dedup": op4_fm_index_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_byte_level_bpe": op6_byte_level_bpe,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_line_quality_rules": op8_line_quality_rules,
     "op10_pu_toxicity": op10_pu_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_benchmark_decontamination": decontaminate.SQL,
+}

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import chat, decontaminate
 from .common import table
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.with_probe(spark, table(spark, sf_dir, "conversations"))
+    return chat.digests(chat.format_trees(chat.chains(rows)))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contained_items
 
@@ -52,6 +57,12 @@ def op8_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op9_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resharding import by_rows
+
+    return by_rows(table(spark, sf_dir, "documents"), shards=16)
+
+
 def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pu_toxicity import classify
 
@@ -59,6 +70,7 @@ def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_secret_scans": op3_secret_scans,
     "op4_fm_index_dedup": op4_fm_index_dedup,
@@ -66,9 +78,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_level_bpe": op6_byte_level_bpe,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_line_quality_rules": op8_line_quality_rules,
+    "op9_min_cost_resharding": op9_min_cost_resharding,
     "op10_pu_toxicity": op10_pu_toxicity,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_chat_formatting": chat.SQL,
     "op2_benchmark_decontamination": decontaminate.SQL,
 }

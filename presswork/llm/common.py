@@ -66,16 +66,22 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _keys() -> list:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(text, F.sha2(text, 256)), text]
+
+
 def keyed_texts(docs: DataFrame) -> DataFrame:
     """(doc, tid, text): doc_id without nulls, a 64-bit name of the text, and the text
     itself (null as empty). Rows are told apart by (doc, tid)."""
     ship(docs.sparkSession)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-        F.xxhash64(text, F.sha2(text, 256)).alias("tid"),
-        text.alias("text"),
-    )
+    return docs.select(*[c.alias(n) for c, n in zip(_keys(), ("doc", "tid", "text"))])
+
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    """docs with the keys of keyed_texts() as __doc and __tid."""
+    doc, tid, _ = _keys()
+    return docs.withColumns({"__doc": doc, "__tid": tid})
 
 
 def doc_id_of(column: str = "doc"):

@@ -149,12 +149,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     return train([r["words"] for r in rows if r["p"]], [r["words"] for r in rows if r["u"]], prior)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """docs with columns score (0 to 1; 0 without a model) and predicted (1 from 0.5 on);
-    columns of these names are replaced. A null text scores as an empty one."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with columns score (0 to 1; 0 without a model) and predicted (1 from 0.5 on),
+    or with other names; columns of these names are replaced. A null text scores as an
+    empty one."""
     common.ship(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(*rest).withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
+    rest = [c for c in docs.columns if c not in names]
+    schema = docs.select(*rest).withColumn(names[0], F.lit(0.0)).withColumn(names[1], F.lit(0)).schema
     known, weights, bias = model
 
     def run(batches):
@@ -167,7 +168,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
                 margin[piece] += np.bincount(owner[has], weights[at[has]], piece.stop - piece.start)
             value = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
             value[np.isneginf(margin)] = 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value), pa.array((value >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value), pa.array((value >= 0.5).astype(np.int32))], [*batch.schema.names, *names])
 
     return docs.select(*rest).mapInArrow(run, schema)
 

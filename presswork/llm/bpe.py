@@ -191,7 +191,12 @@ class Encoder(dict):
         self.tokens = [vocabulary.token.get(i, b"") for i in range(max(vocabulary.token) + 1)]
 
     def __missing__(self, piece: str) -> bytes:
-        return self._packed(PrefixEncoding(self.vocabulary, utf8(piece)))
+        ids = self._packed(PrefixEncoding(self.vocabulary, utf8(piece)))
+        if len(piece) <= LONGEST_CACHED:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[piece] = ids
+        return ids
 
     @staticmethod
     def _packed(table: PrefixEncoding) -> bytes:

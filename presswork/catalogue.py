@@ -1,6 +1,392 @@
-"""Every registered query and its oracle SQL."""
+"""Every registered query of the content pipeline, and its oracle SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import oracle
+from .functions import scores as S
+from .functions import text as T
+from .functions.dates import freshness_days
+from .operators import anomaly, dedup, embed, evaluate, explain, feed, ingest, kg, knn, listing, ranking, users
+from .sources import adapters as A
+
+AS_OF = datetime(2024, 1, 31)
+QUERY = "the ertion thanedble of attion"
+ROUND = 4
+
+#: A small vocabulary that occurs in the driver's texts; aliases don't overlap.
+GAZETTEER = [
+    {"name": "thtion", "type": "disease", "external_source": "DEMO", "external_id": "D:1", "aliases": ["thtion"]},
+    {"name": "attion", "type": "drug", "external_source": "DEMO", "external_id": "D:2", "aliases": ["attion"]},
+    {"name": "ertion", "type": "gene", "external_source": "DEMO", "external_id": "D:3", "aliases": ["ertion"]},
+    {"name": "thanea", "type": "company", "external_source": "DEMO", "external_id": "D:4", "aliases": ["thanea"]},
+    {"name": "eriner", "type": "disease", "external_source": "DEMO", "external_id": "D:5", "aliases": ["eriner"]},
+    {"name": "thanedble", "type": "drug", "external_source": "DEMO", "external_id": "D:6", "aliases": ["thanedble"]},
+    {"name": "queoi", "type": "company", "external_source": None, "external_id": None, "aliases": ["queoi"]},
+    {"name": "eaureau", "type": "gene", "external_source": None, "external_id": None, "aliases": ["eaureau"]},
+]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE = oracle.SQL
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _embedded(spark, sf_dir):
+    arts = A.articles(spark, sf_dir)
+    return embed.hash_embedding(arts.select("id", T.embedding_text(F.col("title"), F.col("summary")).alias("text")))
+
+
+def _entities(spark, sf_dir, columns=("article_id", "pos", "entity_id", "name", "entity_type", "mention_text")):
+    arts = A.articles(spark, sf_dir).select("id", T.entity_text(F.col("title"), F.col("summary")).alias("text"))
+    return kg.article_entities(kg.mentions(arts, GAZETTEER), kg.gazetteer_table(spark, GAZETTEER)).select(*columns)
+
+
+def _vectors(spark, sf_dir):
+    inter = A.interactions(spark, sf_dir)
+    liked = _embedded(spark, sf_dir).filter("id < 100")  # interactions name articles 0 to 99 only
+    return users.vectors(inter, liked)
+
+
+@query
+def hash_embed_sparse(spark, sf_dir):
+    return _embedded(spark, sf_dir).select("id", F.col("dim").cast("bigint").alias("dim"), F.round("w", 6).alias("w"))
+
+
+@query
+def semantic_search_topk(spark, sf_dir):
+    return knn.search(QUERY, A.articles(spark, sf_dir), _embedded(spark, sf_dir), 10)
+
+
+@query
+def related_articles_topk(spark, sf_dir):
+    return knn.related(1, A.articles(spark, sf_dir), _embedded(spark, sf_dir), 10)
+
+
+@query
+def articles_list_recent(spark, sf_dir):
+    return listing.articles(A.articles(spark, sf_dir), limit=20).select("id", "title", "source", F.col("published_at").cast("string").alias("published_at"))
+
+
+@query
+def articles_by_source(spark, sf_dir):
+    return listing.articles(A.articles(spark, sf_dir), source="src3", limit=20).select("id", "title", "source")
+
+
+@query
+def articles_page_offset(spark, sf_dir):
+    rows = listing.page(A.articles(spark, sf_dir), [F.desc_nulls_last("published_at"), F.col("id")], 20, 40)
+    return rows.select("id", "title", F.col("next_cursor").cast("bigint").alias("next_cursor"))
+
+
+@query
+def article_lookup(spark, sf_dir):
+    return listing.lookup(A.articles(spark, sf_dir), id=42).select("id", "title", "url", "source")
+
+
+@query
+def article_by_content_hash(spark, sf_dir):
+    arts = A.articles(spark, sf_dir)
+    asked = arts.filter("id = 7").select("content_hash")
+    return arts.join(F.broadcast(asked), "content_hash", "left_semi").select("id", "content_hash")
+
+
+@query
+def title_normalize_hash(spark, sf_dir):
+    return A.articles(spark, sf_dir).select("id", T.normalize_title(F.col("title")).alias("normalized"), "content_hash")
+
+
+@query
+def dedup_title_hash(spark, sf_dir):
+    return dedup.by_key(A.articles(spark, sf_dir), "content_hash").select("id")
+
+
+@query
+def dedup_three_tier(spark, sf_dir):
+    return dedup.three_tier(A.articles(spark, sf_dir)).select("id")
+
+
+@query
+def ingest_counts_by_source(spark, sf_dir):
+    arts = A.articles(spark, sf_dir)
+    return ingest.counts(ingest.created(arts.withColumn("doi", F.lit(None).cast("string"))))
+
+
+@query
+def ingestion_run_record(spark, sf_dir):
+    per_source = ingest.counts(ingest.created(A.articles(spark, sf_dir).withColumn("doi", F.lit(None).cast("string"))))
+    row = ingest.run_record(spark, per_source, {"broken": "no such feed"}, AS_OF, AS_OF)
+    return row.select("id", F.col("added_total").cast("bigint").alias("added_total"), F.col("error_count").cast("bigint").alias("error_count"), F.size("detail.added").cast("bigint").alias("n_sources"))
+
+
+@query
+def interactions_latest_n(spark, sf_dir):
+    return listing.latest_per_user(A.interactions(spark, sf_dir), 5).select("user_id", "id", "article_id", "interaction_type", F.col("rn").cast("bigint").alias("rn"))
+
+
+@query
+def interactions_by_user(spark, sf_dir):
+    rows = listing.lookup(A.interactions(spark, sf_dir), user_id=3, interaction_type="like")
+    return listing.latest(rows, "created_at", 20).select("id", "article_id", "interaction_type")
+
+
+@query
+def hidden_articles(spark, sf_dir):
+    return listing.hidden(A.interactions(spark, sf_dir))
+
+
+@query
+def item_popularity(spark, sf_dir):
+    pop = users.popularity(A.interactions(spark, sf_dir))
+    return A.articles(spark, sf_dir).select(F.col("id").alias("article_id")).join(pop, "article_id", "left").select("article_id", F.coalesce("popularity", F.lit(0)).cast("bigint").alias("popularity"))
+
+
+@query
+def user_stats(spark, sf_dir):
+    s = users.stats(A.interactions(spark, sf_dir))
+    return s.select("user_id", "interaction_count", *[F.round(c, ROUND).alias(c) for c in ("avg_read_time", "bookmark_rate", "like_rate")])
+
+
+@query
+def source_affinity(spark, sf_dir):
+    return users.source_affinity(A.interactions(spark, sf_dir), A.articles(spark, sf_dir)).select("user_id", "source", F.round("share", ROUND).alias("share"))
+
+
+@query
+def topic_affinity(spark, sf_dir):
+    found = users.topic_affinity(A.interactions(spark, sf_dir), _entities(spark, sf_dir, ("article_id", "entity_id", "name")), A.articles(spark, sf_dir))
+    names = kg.gazetteer_table(spark, GAZETTEER).select("entity_id", "name")
+    return found.join(F.broadcast(names), "entity_id").select("user_id", "name", F.round("share", ROUND).alias("share"))
+
+
+@query
+def interaction_weights(spark, sf_dir):
+    return users.weights(A.interactions(spark, sf_dir)).select("user_id", "article_id", F.round("weight", ROUND).alias("weight"))
+
+
+@query
+def user_embedding(spark, sf_dir):
+    return _vectors(spark, sf_dir).select("user_id", F.col("dim").cast("bigint").alias("dim"), F.round("w", ROUND).alias("w"), "interaction_count")
+
+
+@query
+def feed_cold_start(spark, sf_dir):
+    inter = A.interactions(spark, sf_dir)
+    return feed.cold(A.articles(spark, sf_dir), inter, _embedded(spark, sf_dir).select("id").distinct(), inter.select("user_id"), AS_OF, limit=10)
+
+
+@query
+def feed_warm(spark, sf_dir):
+    inter, emb = A.interactions(spark, sf_dir), _embedded(spark, sf_dir)
+    some = _vectors(spark, sf_dir).filter("user_id < 20")
+    rows = feed.warm(some, inter, emb, limit=10)
+    out = feed.with_reasons(rows, A.articles(spark, sf_dir), inter.filter("user_id < 20"), emb)
+    return out.select("user_id", "id", F.round("sim", ROUND).alias("similarity"), "rn", "reason")
+
+
+@query
+def knn_labels_recall_ndcg(spark, sf_dir):
+    vecs = A.table(spark, sf_dir, "embeddings")
+    sparse = embed.dense(knn.to_sparse(vecs, "vec_id", "embedding"), "vec_id").withColumnRenamed("vec_id", "id")
+    near = knn.batch(sparse.orderBy("id").limit(100), sparse, 10)
+    labels = vecs.select("vec_id", "label")
+    ranked = near.select(F.col("anchor").alias("query"), "id", F.col("rn").alias("rank"))
+    a, b = labels.select(F.col("vec_id").alias("query"), "label"), labels.select(F.col("vec_id").alias("id"), "label")
+    truth = ranked.select("query").distinct().join(a, "query").join(b, "label").filter("query <> id").select("query", "id")
+    return evaluate.retrieval(ranked, truth)
+
+
+@query
+def latency_percentiles(spark, sf_dir):
+    return evaluate.percentiles(A.table(spark, sf_dir, "events"), "value", ["event_type"])
+
+
+@query
+def load_summary(spark, sf_dir):
+    samples = A.table(spark, sf_dir, "events").select((F.col("event_type") != "error").alias("ok"), (F.col("value") / 100).alias("total_seconds"), (F.col("value") / 1000).alias("ttft_seconds"), F.floor("value").alias("token_count"))
+    return evaluate.load_summary(samples, 100.0)
+
+
+@query
+def burst_detect(spark, sf_dir):
+    found = anomaly.bursts(A.articles(spark, sf_dir), _embedded(spark, sf_dir), hours=720, threshold=0.5)
+    return found.select("article_id", "kind", "score", F.array_join("related_sources", ",").alias("related_sources"), F.array_join(F.col("related_article_ids").cast("array<string>"), ",").alias("related_ids"), "mean_similarity")
+
+
+@query
+def burst_prompt(spark, sf_dir):
+    arts = A.articles(spark, sf_dir)
+    return anomaly.prompts(anomaly.bursts(arts, _embedded(spark, sf_dir), hours=720, threshold=0.5), arts)
+
+
+@query
+def kg_mentions(spark, sf_dir):
+    return _entities(spark, sf_dir, ("article_id", "name", "mention_text"))
+
+
+def _relations(spark, sf_dir):
+    return kg.relations(_entities(spark, sf_dir))
+
+
+def _named(spark, edges, *sides):
+    names = kg.gazetteer_table(spark, GAZETTEER).select("entity_id", "name")
+    for side in sides:
+        edges = edges.join(F.broadcast(names.select(F.col("entity_id").alias(side), F.col("name").alias(f"{side}_name"))), side)
+    return edges
+
+
+@query
+def kg_relations(spark, sf_dir):
+    rows = _named(spark, _relations(spark, sf_dir), "subject_entity_id", "object_entity_id").filter("predicate <> 'co_mentioned_with'")
+    return rows.select(F.col("subject_entity_id_name").alias("subject"), "predicate", F.col("object_entity_id_name").alias("object"), "evidence_article_id")
+
+
+@query
+def kg_relation_strength(spark, sf_dir):
+    rows = _named(spark, kg.strength(_relations(spark, sf_dir)), "subject_entity_id", "object_entity_id").filter("predicate <> 'co_mentioned_with'")
+    return rows.select(F.col("subject_entity_id_name").alias("subject"), "predicate", F.col("object_entity_id_name").alias("object"), "strength")
+
+
+@query
+def kg_entity_search(spark, sf_dir):
+    return kg.find(kg.gazetteer_table(spark, GAZETTEER), "drug", "TION").select("name", "entity_type", "external_id")
+
+
+@query
+def kg_entity_neighbourhood(spark, sf_dir):
+    rows = _named(spark, kg.neighbourhood(_relations(spark, sf_dir)), "entity_id", "neighbour_id")
+    return rows.select(F.col("entity_id_name").alias("entity"), F.col("neighbour_id_name").alias("neighbour"), "n")
+
+
+@query
+def kg_article_entities(spark, sf_dir):
+    return _entities(spark, sf_dir).filter("article_id < 50").select("article_id", "name", "entity_type").orderBy("article_id", "name")
+
+
+@query
+def nct_ids(spark, sf_dir):
+    said = F.concat(F.lit("Trial NCT"), F.lpad(F.col("id").cast("string"), 8, "0"), F.lit(" after NCT00000001, NCT"), F.lpad(F.col("id").cast("string"), 8, "0"), F.lit(" xNCT12345678 NCT123456789 "), F.col("title"))
+    ids = A.articles(spark, sf_dir).select("id", T.nct_ids(said).alias("ids"))
+    return ids.select("id", F.array_join("ids", ",").alias("nct_ids"))
+
+
+@query
+def trial_entities(spark, sf_dir):
+    arts = A.articles(spark, sf_dir).select("id", F.concat(F.lit("NCT"), F.lpad(F.col("id").cast("string"), 8, "0"), F.lit(" NCT00000001")).alias("text"))
+    trials = spark.range(50).select(F.concat(F.lit("NCT"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("nct_id"), F.when(F.col("id") % 2 == 1, F.concat(F.lit("Trial "), F.col("id").cast("string"))).alias("title"))
+    return kg.trial_mentions(arts, trials).select("article_id", F.col("pos").cast("bigint").alias("pos"), "name", "external_id")
+
+
+@query
+def freshness_quality(spark, sf_dir):
+    return A.articles(spark, sf_dir).select("id", freshness_days(F.col("published_at"), AS_OF).alias("freshness"), S.source_quality(F.col("source")).alias("quality"))
+
+
+def _pairs(spark, sf_dir):
+    """Ten articles for each of the first twenty users."""
+    grid = spark.range(200).select((F.col("id") % 20).alias("user_id"), F.expr("id div 20").alias("n"))
+    return grid.select("user_id", (F.col("user_id") * 3 + F.col("n") * 7).alias("id")).join(A.articles(spark, sf_dir).select("id"), "id").select("user_id", "id")
+
+
+@query
+def ranker_features(spark, sf_dir):
+    rows = ranking.features(_pairs(spark, sf_dir), A.articles(spark, sf_dir), A.interactions(spark, sf_dir), _embedded(spark, sf_dir), _entities(spark, sf_dir, ("article_id", "entity_id", "name")), AS_OF)
+    return rows.select("user_id", "id", *[F.round(c, ROUND).alias(c) for c in ranking.FEATURES])
+
+
+def _signals(spark, sf_dir):
+    return explain.signals(_pairs(spark, sf_dir), A.articles(spark, sf_dir), A.interactions(spark, sf_dir), _embedded(spark, sf_dir), _entities(spark, sf_dir, ("article_id", "entity_id", "name")), AS_OF)
+
+
+@query
+def explain_signals(spark, sf_dir):
+    return _signals(spark, sf_dir).select("user_id", "id", "label", F.round("weight", 3).alias("weight"))
+
+
+@query
+def explain_summaries(spark, sf_dir):
+    rows = explain.explanations(_pairs(spark, sf_dir), _signals(spark, sf_dir))
+    return rows.select("user_id", "id", "summary", F.size("signals").cast("bigint").alias("n_signals"))
+
+
+@query
+def html_clean_regex(spark, sf_dir):
+    return A.table(spark, sf_dir, "pages").select("page_id", T.strip_tags(F.col("html")).alias("text"))
+
+
+@query
+def html_clean_parser(spark, sf_dir):
+    from .shipping import ship
+
+    ship(spark)
+    return A.table(spark, sf_dir, "pages").select("page_id", T.clean_feed_text("html").alias("feed_text"), T.clean_abstract("html").alias("abstract_text"))
+
+
+@query
+def training_pairs(spark, sf_dir):
+    return ranking.two_tower_pairs(A.interactions(spark, sf_dir), _embedded(spark, sf_dir).select("id").distinct())
+
+
+@query
+def reranker_training_set(spark, sf_dir):
+    rows = ranking.reranker_pairs(A.interactions(spark, sf_dir), A.articles(spark, sf_dir), _embedded(spark, sf_dir).select("id").distinct())
+    return ranking.split(rows, ["user_id", "id"]).withColumn("label", F.col("label").cast("bigint"))
+
+
+@query
+def training_label_counts(spark, sf_dir):
+    rows = ranking.reranker_pairs(A.interactions(spark, sf_dir), A.articles(spark, sf_dir), _embedded(spark, sf_dir).select("id").distinct())
+    return ranking.label_counts(rows).select(F.col("label").cast("bigint").alias("label"), "n")
+
+
+@query
+def feed_enhanced(spark, sf_dir):
+    arts, inter, emb = A.articles(spark, sf_dir), A.interactions(spark, sf_dir).filter("user_id < 40"), _embedded(spark, sf_dir)
+    ents = _entities(spark, sf_dir, ("article_id", "entity_id", "name"))
+    labelled = ranking.split(ranking.reranker_pairs(inter, arts, emb), ["user_id", "id"])
+    train = ranking.features(labelled, arts, inter, emb, ents, AS_OF)
+    model = ranking.train_gbt(train, rounds=5, depth=3)
+    retrieved = feed.warm(users.vectors(inter, emb).filter("user_id < 10"), inter, emb, limit=100).select("user_id", "id", "sim")
+    rows = ranking.features(retrieved.select("user_id", "id"), arts, inter, emb, ents, AS_OF)
+    return ranking.enhanced(retrieved, rows, model, limit=10)
+
+
+@query
+def user_get_or_create(spark, sf_dir):
+    known = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lower("c_name"), F.lit("@x.org")).alias("email"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("a"), F.col("c_custkey"))).alias("apple_user_id"), F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("g"), F.col("c_custkey"))).alias("google_user_id"))
+    n = F.col("id")
+    asked = spark.range(300).select(n.alias("request"), F.when(n % 2 == 0, F.concat(F.lit("customer#"), F.lpad(n.cast("string"), 9, "0"), F.lit("@x.org"))).alias("email"), F.concat(F.lit("a"), n).alias("apple_user_id"), F.concat(F.lit("g"), n).alias("google_user_id"))
+    return users.get_or_create(known, asked).select("request", F.col("id").alias("user_id"))
+
+
+@query
+def cascade_surviving(spark, sf_dir):
+    parents = A.articles(spark, sf_dir).filter("id % 3 <> 0")
+    return ingest.surviving(A.interactions(spark, sf_dir), parents, "article_id").groupBy("article_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def stream_ingest_counts(spark, sf_dir):
+    """Documents as a stream, taken in one go and counted by day and source."""
+    import uuid
+
+    from .streaming.ingest import counts_by_source
+
+    flow = spark.readStream.schema(A.table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*" if not sf_dir.startswith("viewfs") else f"{sf_dir}/documents.parquet")
+    published = F.expr("timestampadd(HOUR, cast((doc_id * 37) % 720 as int), timestamp_ntz'2024-01-01 00:00:00')")
+    counted = counts_by_source(flow.select("source", published.alias("published_at")))
+    name = f"counts_{uuid.uuid4().hex}"
+    running = counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.table(name).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "source", "n")
+
+
+__all__ = ["QUERIES", "ORACLE", "Window"]

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def normalize_title(title: Column) -> Column:
@@ -73,12 +74,12 @@ def abstract_markup_to_text(text: str | None) -> str | None:
     return _collapsed(html.unescape(re.sub(r"<[^>]+>", "", text))) if text else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_feed_text(values: pd.Series) -> pd.Series:
     return values.map(feed_markup_to_text, na_action="ignore").astype(object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_abstract(values: pd.Series) -> pd.Series:
     return values.map(abstract_markup_to_text, na_action="ignore").astype(object)
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -68,18 +69,26 @@ def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     links = nodes.join(known, ["tree", "parent"], "left_semi").select("tree", "node", "parent")
     start = nodes.select("tree", "node", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"))
     start = start.join(links, ["tree", "node"], "left").select("tree", "node", F.col("parent").alias("up"), "total", F.lit(1).alias("length"))
-    reach = [scratch.save(start)]  # reach[k].up: the 2**k-th ancestor; total and length of the 2**k nodes from here up
-    while not reach[-1].filter("up is not null").isEmpty():
-        far = reach[-1]
-        over = far.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("length").alias("further"))
-        step = far.join(over, ["tree", "up"], "left")
-        reach.append(scratch.save(step.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("further", F.lit(0))).alias("length"))))
-    leaves = reach[-1].join(links.select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    first = scratch.save(start)
+    # up: the 2**k-th ancestor; total and length are of the 2**k nodes from here up. Rows that
+    # have come to the root are done and aren't joined again.
+    done, active, reach = [first.filter("up is null")], first.filter("up is not null"), []
+    while not active.isEmpty():
+        if len(reach) > 40:  # paths of over 2**40 nodes: the replies go round in a circle
+            raise ValueError("a reply tree has a cycle")
+        reach.append(active)
+        state = reduce(DataFrame.unionByName, [*done, active])
+        over = state.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("length").alias("further"))
+        step = active.join(over, ["tree", "up"])
+        step = scratch.save(step.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("length") + F.col("further")).alias("length")))
+        done.append(step.filter("up is null"))
+        active = step.filter("up is not null")
+    leaves = reduce(DataFrame.unionByName, done).join(links.select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("length"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= paths)
     found = chosen.select("tree", F.col("node").alias("leaf"), "rank", "node", (F.col("length") - 1).alias("place"))
-    for k in range(len(reach) - 2, -1, -1):
-        back = reach[k].filter("up is not null").select("tree", "node", "up")
+    for k in range(len(reach) - 1, -1, -1):
+        back = reach[k].select("tree", "node", "up")
         found = scratch.save(found.union(found.join(back, ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("place") - 2**k).alias("place"))))
     return found
 

@@ -1,0 +1,34 @@
+"""The pipeline on a small corpus with planted cases."""
+
+import random
+
+import corpus_pipeline
+from presswork.llm.registry import ORACLE, QUERIES
+
+
+def test_planted_cases(spark, tmp_path):
+    rng = random.Random(1)
+    words = [f"word{i}" for i in range(400)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    item = say(30)
+    docs, labels = [(i, say(80)) for i in range(200)], []
+    for i in range(200, 260):
+        docs.append((i, say(50) + " nasty awful"))
+    docs += [(300, docs[0][1]), (301, docs[1][1] + " end"), (302, say(40) + " " + item + " " + say(40)), (303, say(40) + " token=abcdefgh12"), (304, None), (305, "")]
+    labels = [(i, int(200 <= i < 260)) for i in range(260)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, t) for i, t in labels], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(200)) | {303, 304, 305}
+    assert got[304].n_tokens == 0
+    docs2 = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    masked = corpus_pipeline.secrets(spark, docs2, str(tmp_path)).filter("doc_id = 303").first()
+    assert masked.text.endswith(" [SECRET]") and masked.n_chars == len(masked.text)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs2.limit(0), str(tmp_path)).columns == docs2.columns
+
+
+def test_each_operator_is_registered_once():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate
+from . import chat, oracle
 from .common import table
 
 
@@ -82,7 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pu_toxicity": op10_pu_toxicity,
 }
 
-ORACLE: dict[str, str] = {
-    "op1_chat_formatting": chat.SQL,
-    "op2_benchmark_decontamination": decontaminate.SQL,
-}
+ORACLE: dict[str, str] = dict(oracle.SQL)

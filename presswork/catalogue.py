@@ -308,7 +308,7 @@ def _signals(spark, sf_dir):
 
 @query
 def explain_signals(spark, sf_dir):
-    return _signals(spark, sf_dir).select("user_id", "id", "label", F.round("weight", 3).alias("weight"))
+    return _signals(spark, sf_dir).select("user_id", "id", "label", "detail", F.round("weight", 3).alias("weight"))
 
 
 @query

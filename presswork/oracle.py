@@ -47,16 +47,16 @@ nl_all as (select user_id, p.id, l.liked_id, s, kind, row_number() over (partiti
 near as (select * from nl_all where r = 1)"""
 PAIRS = "pairs as (select distinct user_id, user_id * 3 + n * 7 id from (select range % 20 user_id, range // 20 n from range(200)) where user_id * 3 + n * 7 in (select doc_id from documents))"
 SIGNALS = f"""hist as (select user_id, name, count(*) c from pos join ent using (article_id) where rn <= 20 group by 1, 2),
-shr as (select user_id, id, c, row_number() over (partition by user_id, id order by c desc, name) r from pairs join ent on article_id = id join hist using (user_id, name)),
+shr as (select user_id, id, name, c, row_number() over (partition by user_id, id order by c desc, name) r from pairs join ent on article_id = id join hist using (user_id, name)),
 pop as (select article_id id, count(*) n from inter group by 1),
 known as (select user_id, pairs.id, source, published_at from pairs join art on art.id = pairs.id),
-sig as (select user_id, id, 'similar_to_interaction' as label, round(least(s, 1), 3) weight from near where s > 0.3
-union all select user_id, id, 'source_affinity', round(share, 3) from known join src_aff using (user_id, source)
-union all select user_id, id, 'topic_affinity', round(least(sum(share), 1), 3) from pairs join ent on article_id = id join top_aff using (user_id, name) group by 1, 2
-union all select user_id, id, 'freshness', round(greatest(0, 1 - d / 3), 3) from (select *, {FRESH} d from known) where d < 3
-union all select user_id, id, 'popularity', round(least(n / 20.0::double, 1), 3) from pairs join pop using (id)
-union all select user_id, id, 'source_quality', q from (select *, {QUAL} q from known) where q >= 0.7
-union all select user_id, id, 'shared_entities', round(least(sum(c) / 5.0::double, 1), 3) from shr where r <= 3 group by 1, 2)"""
+sig as (select user_id, near.id, 0 pos, 'similar_to_interaction' as label, printf('%.3f', s) || ' cosine similarity to "' || substr(title, 1, 80) || '" (' || kind || ')' detail, round(least(s, 1), 3) weight from near join art on art.id = liked_id where s > 0.3
+union all select user_id, id, 1, 'source_affinity', printf('%.1f', share * 100) || '% of your positive interactions are with ' || source, round(share, 3) from known join src_aff using (user_id, source)
+union all select user_id, id, 2, 'topic_affinity', 'overlaps with topics (' || printf('%.1f', sum(share) * 100) || '% affinity) from your interaction history', round(least(sum(share), 1), 3) from pairs join ent on article_id = id join top_aff using (user_id, name) group by 1, 2
+union all select user_id, id, 3, 'freshness', 'published ' || printf('%.1f', d) || ' days ago', round(greatest(0, 1 - d / 3), 3) from (select *, {FRESH} d from known) where d < 3
+union all select user_id, id, 4, 'popularity', n || ' other reader interaction(s) with this article', round(least(n / 20.0::double, 1), 3) from pairs join pop using (id)
+union all select user_id, id, 5, 'source_quality', source || ' is a high-quality source (score ' || printf('%.1f', q) || ')', q from (select *, {QUAL} q from known) where q >= 0.7
+union all select user_id, id, 6, 'shared_entities', 'mentions ' || string_agg(name, ', ' order by r) || ', which also appear in articles you''ve engaged with', round(least(sum(c) / 5.0::double, 1), 3) from shr where r <= 3 group by 1, 2)"""
 BURST = f"""anc as (select id, source, published_at from art where id in (select id from emb) order by fetched_at desc, id limit 100),
 prs as (select a.id anchor, b.id, round(sum(x.w * y.w), 9) sim from anc a join emb x on x.id = a.id join emb y on y.dim = x.dim join art b on b.id = y.id where a.id <> b.id group by 1, 2),
 top as (select * from (select *, row_number() over (partition by anchor order by sim desc, id) rn from prs) where rn <= 20),
@@ -149,7 +149,9 @@ select p.user_id, p.id, round(coalesce(sm.s, 0), 4) user_item_cosine, round(coal
  (p.id in (select id from emb))::int::double has_embedding, round(coalesce(ta.s, 0), 4) user_topic_aff, round(coalesce(sa.share, 0), 4) user_source_aff
 from pairs p join art a on a.id = p.id left join sm on sm.user_id = p.user_id and sm.id = p.id left join stats st on st.user_id = p.user_id left join pop on pop.id = p.id
 left join ta on ta.user_id = p.user_id and ta.id = p.id left join src_aff sa on sa.user_id = p.user_id and sa.source = a.source""",
-    "explain_signals": f"with {ART}, {EMB}, {INTER}, {ENT}, {SRC}, {TOP}, {PAIRS}, {NEAR}, {SIGNALS} select user_id, id, label, round(weight, 3) weight from sig",
+    "explain_signals": f"with {ART}, {EMB}, {INTER}, {ENT}, {SRC}, {TOP}, {PAIRS}, {NEAR}, {SIGNALS} select user_id, id, label, detail, round(weight, 3) weight from sig",
+    "explain_summaries": f"""with {ART}, {EMB}, {INTER}, {ENT}, {SRC}, {TOP}, {PAIRS}, {NEAR}, {SIGNALS}
+select p.user_id, p.id, coalesce(arg_min(detail, (-weight, pos)), 'Recommended based on recent biotech coverage') summary, count(label)::bigint n_signals from pairs p left join sig s on s.user_id = p.user_id and s.id = p.id group by 1, 2""",
     "html_clean_regex": r"select page_id, nullif(trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')), '') as text from pages",
     "nct_ids": f"with {ART} select id, case when id = 1 then 'NCT00000001' else 'NCT' || lpad(id::varchar, 8, '0') || ',NCT00000001' end nct_ids from art",
     "training_pairs": f"with {ART}, {EMB}, {INTER}, ok as (select user_id from pos where rn <= 200 group by 1 having count(*) >= 5) select distinct user_id, article_id id from pos where rn <= 100 and user_id in (select user_id from ok) and article_id in (select id from emb)",

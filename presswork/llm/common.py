@@ -26,9 +26,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def parts_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """Number of hash parts for work whose size follows the input: it grows with
-    the input's size and is never below four for each shuffle partition."""
+    the input's size and is never below four for each shuffle partition. (Plans over
+    joins can claim any size; a million parts are taken as the most that is meant.)"""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(4 * shuffle_partitions(df.sparkSession), size // bytes_each)
+    return max(4 * shuffle_partitions(df.sparkSession), min(size // bytes_each, 1 << 20))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -62,17 +62,28 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 class Texts:
-    """Sparse 0/1 rows for the trainer."""
+    """Sparse 0/1 rows for the trainer, from packed words; they are read in pieces."""
 
     def __init__(self, rows: list[bytes]):
-        self.words = np.frombuffer(b"".join(rows), U64)
-        self.n = len(rows)
-        self.owner = np.repeat(np.arange(self.n), [len(r) // 8 for r in rows])
+        self.rows, self.n = rows, len(rows)
+
+    def pieces(self, size: int = 512):
+        for i in range(0, self.n, size):
+            part = self.rows[i : i + size]
+            yield np.frombuffer(b"".join(part), U64), np.repeat(np.arange(i, i + len(part)), [len(r) // 8 for r in part])
+
+    def counts(self, known: np.ndarray) -> np.ndarray:
+        """How many texts have each of the words in the sorted `known`."""
+        total = np.zeros(len(known), np.int64)
+        for words, _ in self.pieces():
+            at, has = places(words, known)
+            total += np.bincount(at[has], minlength=len(known))
+        return total
 
     def number(self, known: np.ndarray) -> None:
-        """Replaces hashes by their places in `known`; others are left out."""
-        place, has = places(self.words, known)
-        self.words, self.owner = place[has], self.owner[has]
+        """Keeps the words in `known`, by their places there."""
+        found = [(at[has], owner[has]) for words, owner in self.pieces() for at, has in [places(words, known)]]
+        self.words, self.owner = (np.concatenate(x) for x in zip(*found))
 
     def margin(self, w: np.ndarray, b: float) -> np.ndarray:
         return np.bincount(self.owner, w[self.words], self.n) + b
@@ -96,11 +107,10 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float, steps: i
     if not positive or not unlabelled:
         return NO_MODEL
     p, u = Texts(positive), Texts(unlabelled)
-    words, in_p = np.unique(p.words, return_counts=True)
+    words, in_p = np.unique(np.concatenate([w for w, _ in p.pieces()]), return_counts=True)
     if not len(words):
         return NO_MODEL
-    at, has = places(u.words, words)
-    in_u = np.bincount(at[has], minlength=len(words))
+    in_u = u.counts(words)
     expected = (in_u + 1) * (p.n / u.n)
     known = words[(in_p >= LEAST_TEXTS) & (in_p - expected >= LEAST_ERRORS * np.sqrt(expected))]
     if not len(known):

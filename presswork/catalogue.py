@@ -45,6 +45,11 @@ def _embedded(spark, sf_dir):
     return embed.hash_embedding(arts.select("id", T.embedding_text(F.col("title"), F.col("summary")).alias("text")))
 
 
+def _kept(df):
+    """Embeddings that a query uses several times; a deployment has them stored."""
+    return df.persist()
+
+
 def _entities(spark, sf_dir, columns=("article_id", "pos", "entity_id", "name", "entity_type", "mention_text")):
     arts = A.articles(spark, sf_dir).select("id", T.entity_text(F.col("title"), F.col("summary")).alias("text"))
     return kg.article_entities(kg.mentions(arts, GAZETTEER), kg.gazetteer_table(spark, GAZETTEER)).select(*columns)
@@ -185,7 +190,7 @@ def feed_cold_start(spark, sf_dir):
 
 @query
 def feed_warm(spark, sf_dir):
-    inter, emb = A.interactions(spark, sf_dir), _embedded(spark, sf_dir)
+    inter, emb = A.interactions(spark, sf_dir), _kept(_embedded(spark, sf_dir))
     some = _vectors(spark, sf_dir).filter("user_id < 20")
     rows = feed.warm(some, inter, emb, limit=10)
     out = feed.with_reasons(rows, A.articles(spark, sf_dir), inter.filter("user_id < 20"), emb)
@@ -217,14 +222,14 @@ def load_summary(spark, sf_dir):
 
 @query
 def burst_detect(spark, sf_dir):
-    found = anomaly.bursts(A.articles(spark, sf_dir), _embedded(spark, sf_dir), hours=720, threshold=0.5)
+    found = anomaly.bursts(A.articles(spark, sf_dir), _kept(_embedded(spark, sf_dir)), hours=720, threshold=0.5)
     return found.select("article_id", "kind", "score", F.array_join("related_sources", ",").alias("related_sources"), F.array_join(F.col("related_article_ids").cast("array<string>"), ",").alias("related_ids"), "mean_similarity")
 
 
 @query
 def burst_prompt(spark, sf_dir):
     arts = A.articles(spark, sf_dir)
-    return anomaly.prompts(anomaly.bursts(arts, _embedded(spark, sf_dir), hours=720, threshold=0.5), arts)
+    return anomaly.prompts(anomaly.bursts(arts, _kept(_embedded(spark, sf_dir)), hours=720, threshold=0.5), arts)
 
 
 @query
@@ -298,12 +303,12 @@ def _pairs(spark, sf_dir):
 
 @query
 def ranker_features(spark, sf_dir):
-    rows = ranking.features(_pairs(spark, sf_dir), A.articles(spark, sf_dir), A.interactions(spark, sf_dir), _embedded(spark, sf_dir), _entities(spark, sf_dir, ("article_id", "entity_id", "name")), AS_OF)
+    rows = ranking.features(_pairs(spark, sf_dir), A.articles(spark, sf_dir), A.interactions(spark, sf_dir), _kept(_embedded(spark, sf_dir)), _entities(spark, sf_dir, ("article_id", "entity_id", "name")), AS_OF)
     return rows.select("user_id", "id", *[F.round(c, ROUND).alias(c) for c in ranking.FEATURES])
 
 
 def _signals(spark, sf_dir):
-    return explain.signals(_pairs(spark, sf_dir), A.articles(spark, sf_dir), A.interactions(spark, sf_dir), _embedded(spark, sf_dir), _entities(spark, sf_dir, ("article_id", "entity_id", "name")), AS_OF)
+    return explain.signals(_pairs(spark, sf_dir), A.articles(spark, sf_dir), A.interactions(spark, sf_dir), _kept(_embedded(spark, sf_dir)), _entities(spark, sf_dir, ("article_id", "entity_id", "name")), AS_OF)
 
 
 @query
@@ -349,7 +354,7 @@ def training_label_counts(spark, sf_dir):
 
 @query
 def feed_enhanced(spark, sf_dir):
-    arts, inter, emb = A.articles(spark, sf_dir), A.interactions(spark, sf_dir).filter("user_id < 40"), _embedded(spark, sf_dir)
+    arts, inter, emb = A.articles(spark, sf_dir), A.interactions(spark, sf_dir).filter("user_id < 40"), _kept(_embedded(spark, sf_dir))
     ents = _entities(spark, sf_dir, ("article_id", "entity_id", "name"))
     labelled = ranking.split(ranking.reranker_pairs(inter, arts, emb), ["user_id", "id"])
     train = ranking.features(labelled, arts, inter, emb, ents, AS_OF)

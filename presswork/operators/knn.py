@@ -43,19 +43,19 @@ def _nearest(query: DataFrame, articles: DataFrame, embedded: DataFrame, k: int)
     return top.select("id", "title", "source", F.round("s", 4).alias("similarity"), rank.cast("bigint").alias("rank"))
 
 
-def batch(anchors: DataFrame, corpus: DataFrame, k: int, key: str = "id") -> DataFrame:
-    """(anchor, id, sim, rn): each anchor's k nearest rows of the corpus, not itself; by
-    similarity to nine digits, then id. Both sides are (id, dims, ws) rows."""
+def batch(anchors: DataFrame, corpus: DataFrame, k: int, key: str = "id", but_self: bool = True) -> DataFrame:
+    """(anchor, id, sim, rn): each anchor's k nearest rows of the corpus (but_self: not the
+    one with its own id); by similarity to nine digits, then id. Both sides are (id, dims, ws) rows."""
     ship(corpus.sparkSession)
     taken = anchors.select(key, "dims", "ws").toLocalIterator()
     blocks, rows = [], []
     for row in taken:  # a block at a time; anchor sets are chosen (latest N), not the corpus
         rows.append(row)
         if len(rows) == ANCHOR_BLOCK:
-            blocks.append(_block(rows, corpus, k, key))
+            blocks.append(_block(rows, corpus, k, key, but_self))
             rows = []
     if rows or not blocks:
-        blocks.append(_block(rows, corpus, k, key))
+        blocks.append(_block(rows, corpus, k, key, but_self))
     found = blocks[0]
     for other in blocks[1:]:
         found = found.unionByName(other)
@@ -63,7 +63,7 @@ def batch(anchors: DataFrame, corpus: DataFrame, k: int, key: str = "id") -> Dat
     return found.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
 
 
-def _block(rows: list, corpus: DataFrame, k: int, key: str) -> DataFrame:
+def _block(rows: list, corpus: DataFrame, k: int, key: str, but_self: bool) -> DataFrame:
     ids = np.array([r[key] for r in rows], np.int64)
     matrix = np.zeros((len(rows), EMBEDDING_DIM))
     for i, r in enumerate(rows):
@@ -78,7 +78,8 @@ def _block(rows: list, corpus: DataFrame, k: int, key: str) -> DataFrame:
                 for i, (d, w) in enumerate(zip(part["dims"], part["ws"])):
                     vectors[i, d] = w
                 sims = np.round(matrix @ vectors.T, 9)
-                sims[ids[:, None] == mine[None, :]] = -np.inf
+                if but_self:
+                    sims[ids[:, None] == mine[None, :]] = -np.inf
                 out = []
                 for a in range(len(ids)):
                     best = np.lexsort((mine, -sims[a]))[:k]

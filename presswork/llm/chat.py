@@ -66,7 +66,7 @@ def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     unknown, for a root), score (null: 0), all but score long. Place 0 is the root."""
     scratch = Scratch(nodes.sparkSession)
     known = nodes.select("tree", F.col("node").alias("parent"))
-    links = nodes.join(known, ["tree", "parent"], "left_semi").select("tree", "node", "parent")
+    links = scratch.save(nodes.join(known, ["tree", "parent"], "left_semi").select("tree", "node", "parent"))
     start = nodes.select("tree", "node", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"))
     start = start.join(links, ["tree", "node"], "left").select("tree", "node", F.col("parent").alias("up"), "total", F.lit(1).alias("length"))
     first = scratch.save(start)
@@ -83,10 +83,12 @@ def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
         step = scratch.save(step.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("length") + F.col("further")).alias("length")))
         done.append(step.filter("up is null"))
         active = step.filter("up is not null")
-    leaves = reduce(DataFrame.unionByName, done).join(links.select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    # written before the anti-join, which the optimizer would else push into each part of the union
+    whole = scratch.save(reduce(DataFrame.unionByName, done))
+    leaves = whole.join(links.select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("length"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= paths)
-    found = chosen.select("tree", F.col("node").alias("leaf"), "rank", "node", (F.col("length") - 1).alias("place"))
+    found = scratch.save(chosen.select("tree", F.col("node").alias("leaf"), "rank", "node", (F.col("length") - 1).alias("place")))
     for k in range(len(reach) - 1, -1, -1):
         back = reach[k].select("tree", "node", "up")
         found = scratch.save(found.union(found.join(back, ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("place") - 2**k).alias("place"))))

@@ -191,9 +191,8 @@ def feed_cold_start(spark, sf_dir):
 @query
 def feed_warm(spark, sf_dir):
     inter, emb = A.interactions(spark, sf_dir), _kept(_embedded(spark, sf_dir))
-    some = _vectors(spark, sf_dir).filter("user_id < 20")
-    rows = feed.warm(some, inter, emb, limit=10)
-    out = feed.with_reasons(rows, A.articles(spark, sf_dir), inter.filter("user_id < 20"), emb)
+    rows = feed.warm(users.vectors(inter, emb), inter, emb, limit=10)
+    out = feed.with_reasons(rows, A.articles(spark, sf_dir), inter, emb)
     return out.select("user_id", "id", F.round("sim", ROUND).alias("similarity"), "rn", "reason")
 
 

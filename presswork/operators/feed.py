@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schemas import EMBEDDING_DIM
+from ..shipping import ship
 from . import knn
 from .embed import dense
 from .listing import hidden, latest_per_user
 
 COLD_REASON, NO_HISTORY_REASON, NO_MATCH_REASON = "Recent biotech news", "Recommended for you", "Recommended based on your reading interests"
+#: Candidates of one user that one task compares at a time, about.
+PAIR_BLOCK = 1024
 
 
 def cold(articles: DataFrame, interactions: DataFrame, embedded: DataFrame, users: DataFrame, as_of: datetime, limit: int = 20, offset: int = 0, days: int = 30) -> DataFrame:
@@ -56,17 +62,40 @@ def warm(user_vectors: DataFrame, interactions: DataFrame, embedded: DataFrame,
 def nearest_liked(pairs: DataFrame, interactions: DataFrame, embedded: DataFrame, limit: int = 100) -> DataFrame:
     """(user_id, id, liked_id, best, kind): of each user's latest positive articles the
     one most similar to the candidate (best > 0; of equals the smaller id), and the kind
-    of the latest interaction with it. pairs: (user_id, id)."""
+    of the latest interaction with it. pairs: (user_id, id).
+
+    A user's candidates, PAIR_BLOCK or so at a time, meet the user's at most `limit` liked
+    articles in one matrix product.
+    """
+    ship(pairs.sparkSession)
     recent = latest_per_user(interactions, limit)
     last = recent.groupBy("user_id", F.col("article_id").alias("liked_id")).agg(F.max_by("interaction_type", F.struct("created_at", "id")).alias("kind"))
-    mine = pairs.select("user_id", "id").distinct().join(last, "user_id")
-    distinct = mine.select("id", "liked_id").distinct()
-    a = embedded.select("id", "dim", "w")
-    b = embedded.select(F.col("id").alias("liked_id"), "dim", F.col("w").alias("lw"))
-    sims = distinct.join(a, "id").join(b, ["liked_id", "dim"]).groupBy("id", "liked_id").agg(F.round(F.sum(F.col("w") * F.col("lw")), 9).alias("s")).filter("s > 0")
-    best = F.max(F.struct("s", (-F.col("liked_id")).alias("neg"), "kind")).alias("m")
-    found = mine.join(sims, ["id", "liked_id"]).groupBy("user_id", "id").agg(best)
-    return found.select("user_id", "id", (-F.col("m.neg")).alias("liked_id"), F.col("m.s").alias("best"), F.col("m.kind").alias("kind"))
+    asked = pairs.select("user_id", "id").distinct()
+    parts = asked.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("parts"))
+    slot = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("slot")
+    mine = asked.join(parts, "user_id").select("user_id", slot, "id").join(dense(embedded), "id")
+    liked = last.join(parts, "user_id").select("user_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slot"), "liked_id", "kind")
+    liked = liked.join(dense(embedded).toDF("liked_id", "liked_dims", "liked_ws"), "liked_id").select(F.col("user_id").alias("fan"), F.col("slot").alias("part"), "liked_id", "kind", "liked_dims", "liked_ws")
+
+    def run(candidates, known):
+        if not len(candidates) or not len(known):
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("user_id", "int64"), ("id", "int64"), ("liked_id", "int64"), ("best", "float64"), ("kind", "object"))})
+        known = known.sort_values("liked_id")  # of equal similarities the first, so the smaller id
+        sims = np.round(_matrix(candidates["dims"], candidates["ws"]) @ _matrix(known["liked_dims"], known["liked_ws"]).T, 9)
+        best = sims.argmax(axis=1)
+        top = sims[np.arange(len(best)), best]
+        taken = known.iloc[best]
+        rows = pd.DataFrame({"user_id": candidates["user_id"].to_numpy(), "id": candidates["id"].to_numpy(), "liked_id": taken["liked_id"].to_numpy(), "best": top, "kind": taken["kind"].to_numpy()})
+        return rows[top > 0]
+
+    return mine.groupBy("user_id", "slot").cogroup(liked.groupBy("fan", "part")).applyInPandas(run, "user_id bigint, id bigint, liked_id bigint, best double, kind string")
+
+
+def _matrix(dims: pd.Series, ws: pd.Series) -> np.ndarray:
+    out = np.zeros((len(dims), EMBEDDING_DIM))
+    for i, (d, w) in enumerate(zip(dims, ws)):
+        out[i, d] = w
+    return out
 
 
 def with_reasons(feed: DataFrame, articles: DataFrame, interactions: DataFrame, embedded: DataFrame) -> DataFrame:

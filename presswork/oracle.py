@@ -104,7 +104,7 @@ c as (select distinct id, published_at from art where id in (select id from emb)
 r as (select u.user_id, c.id, row_number() over (partition by u.user_id order by published_at desc, c.id) rn from (select distinct user_id from inter) u, c where not exists (select 1 from gone g where g.user_id = u.user_id and g.article_id = c.id))
 select user_id, id, rn::bigint rn, 0::double similarity, 'Recent biotech news' reason from r where rn <= 10""",
     "feed_warm": f"""with {ART}, {EMB}, {INTER}, {UV}, {COLD},
-sc as (select user_id, emb.id, round(sum(uv.w * emb.w), 9) sim from uv join emb using (dim) where user_id < 20 group by 1, 2),
+sc as (select user_id, emb.id, round(sum(uv.w * emb.w), 9) sim from uv join emb using (dim) group by 1, 2),
 fd as (select * from (select *, row_number() over (partition by user_id order by sim desc, id) rn from sc where not exists (select 1 from gone g where g.user_id = sc.user_id and g.article_id = sc.id)) where rn <= 10),
 pairs as (select user_id, id from fd), {NEAR}
 select f.user_id, f.id, round(sim, 4) similarity, f.rn::bigint rn,

@@ -42,18 +42,14 @@ def cold(articles: DataFrame, interactions: DataFrame, embedded: DataFrame, user
 def warm(user_vectors: DataFrame, interactions: DataFrame, embedded: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     """(user_id, id, sim, rn): each user's nearest articles that aren't hidden.
 
-    Up to knn.ANCHOR_BLOCK users (counted) are one matrix that the articles stream past, and
-    each takes so many of the nearest that the hidden ones among them can't leave a gap.
-    More users meet the articles on shared dimensions; articles without one are left out.
+    The users are matrices of knn.ANCHOR_BLOCK rows that the articles stream past, and each
+    takes so many of the nearest that the hidden ones among them can't leave a gap.
     """
     gone = hidden(interactions).withColumnRenamed("article_id", "id")
     mine = user_vectors.select("user_id", "dim", "w")
-    if mine.select("user_id").distinct().limit(knn.ANCHOR_BLOCK + 1).count() <= knn.ANCHOR_BLOCK:
-        most = gone.groupBy("user_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-        near = knn.batch(dense(mine.withColumnRenamed("user_id", "id")), dense(embedded), limit + offset + most, but_self=False)
-        scores = near.select(F.col("anchor").alias("user_id"), "id", "sim")
-    else:
-        scores = mine.withColumnRenamed("w", "uw").join(embedded, "dim").groupBy("user_id", "id").agg(F.round(F.sum(F.col("uw") * F.col("w")), 9).alias("sim"))
+    most = gone.groupBy("user_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    near = knn.batch(dense(mine.withColumnRenamed("user_id", "id")), dense(embedded), limit + offset + most, but_self=False)
+    scores = near.select(F.col("anchor").alias("user_id"), "id", "sim")
     kept = scores.join(gone, ["user_id", "id"], "left_anti")
     rn = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("sim"), "id"))
     return kept.withColumn("rn", rn).filter((F.col("rn") > offset) & (F.col("rn") <= offset + limit)).select("user_id", "id", "sim", (F.col("rn") - offset).cast("bigint").alias("rn"))

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from presswork import catalogue
-from presswork.operators import listing, users
+from presswork.operators import embed, feed, knn, listing, users
 from presswork.sources import adapters as A
 
 KINDS = ["view", "purchase", "click", "error", "search"]
@@ -51,3 +51,15 @@ def test_every_user_gets_the_brute_force_feed(spark, tables):
     for r in catalogue.feed_warm(spark, tables).orderBy("rn").collect():
         got.setdefault(r.user_id, []).append(r.id)
     assert got == want
+
+
+def test_more_users_than_a_block_rank_articles_without_shared_words_too(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "alpha"), (2, "beta"), (3, "alpha gamma")], "id bigint, text string")
+    emb = embed.hash_embedding(texts)
+    rows = [(u, u, 1, "like", None, datetime(2024, 1, 1)) for u in range(5)]
+    inter = spark.createDataFrame(rows, "id bigint, user_id bigint, article_id bigint, interaction_type string, read_time_seconds int, created_at timestamp_ntz")
+    monkeypatch.setattr(knn, "ANCHOR_BLOCK", 2)
+    got = {}
+    for r in feed.warm(users.vectors(inter, emb), inter, emb, limit=3).orderBy("rn").collect():
+        got.setdefault(r.user_id, []).append(r.id)
+    assert got == {u: [1, 3, 2] for u in range(5)}

@@ -272,7 +272,7 @@ def kg_entity_neighbourhood(spark, sf_dir):
 
 @query
 def kg_article_entities(spark, sf_dir):
-    return _entities(spark, sf_dir).filter("article_id < 50").select("article_id", "name", "entity_type").orderBy("article_id", "name")
+    return _entities(spark, sf_dir).select("article_id", "name", "entity_type").orderBy("article_id", "name")
 
 
 @query

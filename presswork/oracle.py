@@ -137,7 +137,7 @@ from bur b join art a on a.id = b.article_id join ln on anchor = b.article_id"""
 co as (select x.name a, y.name b, x.article_id from ent x join ent y using (article_id) where x.name < y.name and not exists (select 1 from pred where (a = x.entity_type and b = y.entity_type) or (a = y.entity_type and b = x.entity_type))),
 al as (select subject e, object o from ed union all select object, subject from ed union all select a, b from co union all select b, a from co)
 select e entity, o neighbour, count(*)::bigint n from al group by 1, 2""",
-    "kg_article_entities": f"with {ART}, {ENT} select article_id, name, entity_type from ent where article_id < 50",
+    "kg_article_entities": f"with {ART}, {ENT} select article_id, name, entity_type from ent",
     "trial_entities": "select doc_id article_id, p::bigint pos, 'Trial ' || t as name, 'NCT' || lpad(t::varchar, 8, '0') external_id from (select doc_id, 0 p, doc_id t from documents union all select doc_id, 1, 1 from documents where doc_id <> 1) where t < 50 and t % 2 = 1",
     "freshness_quality": f"with {ART} select id, {FRESH} freshness, {QUAL} quality from art",
     "ranker_features": f"""with {ART}, {EMB}, {INTER}, {ENT}, {UV}, {STATS}, {SRC}, {TOP}, {PAIRS},

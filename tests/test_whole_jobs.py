@@ -63,3 +63,9 @@ def test_more_users_than_a_block_rank_articles_without_shared_words_too(spark, m
     for r in feed.warm(users.vectors(inter, emb), inter, emb, limit=3).orderBy("rn").collect():
         got.setdefault(r.user_id, []).append(r.id)
     assert got == {u: [1, 3, 2] for u in range(5)}
+
+
+def test_entities_of_every_article(spark, tables):
+    got = {(r.article_id, r.name) for r in catalogue.kg_article_entities(spark, tables).collect()}
+    texts = {r.doc_id: r.text.split() for r in A.table(spark, tables, "documents").collect()}
+    assert got == {(i, name) for i, words in texts.items() for name in ("attion", "queoi") if name in words} and (5000, "attion") in got

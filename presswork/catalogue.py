@@ -200,12 +200,13 @@ def feed_warm(spark, sf_dir):
 def knn_labels_recall_ndcg(spark, sf_dir):
     vecs = A.table(spark, sf_dir, "embeddings")
     sparse = embed.dense(knn.to_sparse(vecs, "vec_id", "embedding"), "vec_id").withColumnRenamed("vec_id", "id")
-    near = knn.batch(sparse.orderBy("id").limit(100), sparse, 10)
+    near = knn.batch(sparse, sparse, 10)
     labels = vecs.select("vec_id", "label")
     ranked = near.select(F.col("anchor").alias("query"), "id", F.col("rn").alias("rank"))
     a, b = labels.select(F.col("vec_id").alias("query"), "label"), labels.select(F.col("vec_id").alias("id"), "label")
-    truth = ranked.select("query").distinct().join(a, "query").join(b, "label").filter("query <> id").select("query", "id")
-    return evaluate.retrieval(ranked, truth)
+    truth = ranked.join(a, "query").join(b, ["id", "label"]).select("query", "id")
+    others = labels.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_rel")).filter("n_rel > 0")  # counted, as all pairs of a label would be quadratic
+    return evaluate.retrieval(ranked, truth, sizes=a.join(others, "label").select("query", "n_rel"))
 
 
 @query

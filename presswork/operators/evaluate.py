@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def retrieval(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (5, 10), ndcg_at: int = 10) -> DataFrame:
+def retrieval(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (5, 10), ndcg_at: int = 10, sizes: DataFrame | None = None) -> DataFrame:
     """One row: n_queries, hit_rate_at_k (a relevant item in the first k) and ndcg_at_k.
     ranked: (query, id, rank from 1); relevant: (query, id). Queries without relevant
-    items count with 0."""
+    items count with 0. sizes: (query, n_rel over 0), if `relevant` has only the ranked ones."""
     truth = relevant.select("query", "id").distinct()
-    sizes = truth.groupBy("query").agg(F.count(F.lit(1)).alias("n_rel"))
+    if sizes is None:
+        sizes = truth.groupBy("query").agg(F.count(F.lit(1)).alias("n_rel"))
     hits = ranked.filter(F.col("rank") <= max(*ks, ndcg_at)).join(truth.withColumn("rel", F.lit(1)), ["query", "id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
     dcg = F.sum(F.when(F.col("rank") <= ndcg_at, F.col("rel") / F.log2(F.col("rank") + 1)))
     each = hits.groupBy("query").agg(dcg.alias("dcg"), *[F.max(F.when(F.col("rank") <= k, F.col("rel")).otherwise(0)).alias(f"hit{k}") for k in ks]).join(sizes, "query", "left")

@@ -112,7 +112,7 @@ select f.user_id, f.id, round(sim, 4) similarity, f.rn::bigint rn,
 from fd f left join near n on n.user_id = f.user_id and n.id = f.id left join art t on t.id = n.liked_id""",
     "knn_labels_recall_ndcg": """with v as (select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings),
 n as (select vec_id, label, e, sqrt(list_dot_product(e, e)) l from v),
-q as (select * from n order by vec_id limit 100),
+q as (select * from n),
 s as (select q.vec_id query, q.label ql, n.vec_id id, n.label, row_number() over (partition by q.vec_id order by round(list_dot_product(q.e, n.e) / (q.l * n.l), 9) desc, n.vec_id) rk from q, n where q.vec_id <> n.vec_id),
 sz as (select q.vec_id query, count(n.vec_id) n_rel from q left join n on n.label = q.label and n.vec_id <> q.vec_id group by 1),
 e as (select query, max(case when rk <= 5 then (ql = label)::int else 0 end) h5, max((ql = label)::int) h10, sum((ql = label)::int / log2(rk + 1)) dcg from s where rk <= 10 group by 1)

@@ -1,9 +1,11 @@
 """Registered queries on small tables whose ids lie beyond any fixed range."""
 
 import json
+import math
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 
 from presswork import catalogue
@@ -69,3 +71,19 @@ def test_entities_of_every_article(spark, tables):
     got = {(r.article_id, r.name) for r in catalogue.kg_article_entities(spark, tables).collect()}
     texts = {r.doc_id: r.text.split() for r in A.table(spark, tables, "documents").collect()}
     assert got == {(i, name) for i, words in texts.items() for name in ("attion", "queoi") if name in words} and (5000, "attion") in got
+
+
+def test_every_vector_is_evaluated(spark, tables):
+    rows = A.table(spark, tables, "embeddings").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hits, ndcg = [], []
+    for i, sims in enumerate(np.round(x @ x.T, 9)):
+        near = sorted((j for j in range(len(rows)) if j != i), key=lambda j: (-sims[j], j))[:10]
+        good = [rows[j].label == rows[i].label for j in near]
+        hits.append(any(good))
+        n = min(10, sum(r.label == rows[i].label for r in rows) - 1)
+        ndcg.append(sum(g / math.log2(k + 2) for k, g in enumerate(good)) / sum(1 / math.log2(k + 2) for k in range(n)))
+    got = catalogue.knn_labels_recall_ndcg(spark, tables).first()
+    assert got.n_queries == len(rows) == 130
+    assert got.hit_rate_at_10 == pytest.approx(np.mean(hits), abs=1e-4) and got.ndcg_at_10 == pytest.approx(np.mean(ndcg), abs=1e-4)

@@ -295,30 +295,35 @@ def freshness_quality(spark, sf_dir):
     return A.articles(spark, sf_dir).select("id", freshness_days(F.col("published_at"), AS_OF).alias("freshness"), S.source_quality(F.col("source")).alias("quality"))
 
 
-def _pairs(spark, sf_dir):
-    """Ten articles for each of the first twenty users."""
-    grid = spark.range(200).select((F.col("id") % 20).alias("user_id"), F.expr("id div 20").alias("n"))
-    return grid.select("user_id", (F.col("user_id") * 3 + F.col("n") * 7).alias("id")).join(A.articles(spark, sf_dir).select("id"), "id").select("user_id", "id")
+def _pairs(spark, sf_dir, inter, emb):
+    """Every user's retrieved candidates, as for the enhanced feed, and every distinct
+    (user, article) that has met."""
+    retrieved = feed.warm(users.vectors(inter, emb), inter, emb, limit=100).select("user_id", "id")
+    met = inter.select("user_id", F.col("article_id").alias("id")).join(A.articles(spark, sf_dir).select("id"), "id", "left_semi")
+    return _kept(retrieved.unionByName(met).distinct())
+
+
+def _pair_inputs(spark, sf_dir):
+    inter, emb = A.interactions(spark, sf_dir), _kept(_embedded(spark, sf_dir))
+    return _pairs(spark, sf_dir, inter, emb), A.articles(spark, sf_dir), inter, emb, _kept(_entities(spark, sf_dir, ("article_id", "entity_id", "name"))), AS_OF
 
 
 @query
 def ranker_features(spark, sf_dir):
-    rows = ranking.features(_pairs(spark, sf_dir), A.articles(spark, sf_dir), A.interactions(spark, sf_dir), _kept(_embedded(spark, sf_dir)), _entities(spark, sf_dir, ("article_id", "entity_id", "name")), AS_OF)
+    rows = ranking.features(*_pair_inputs(spark, sf_dir))
     return rows.select("user_id", "id", *[F.round(c, ROUND).alias(c) for c in ranking.FEATURES])
 
 
-def _signals(spark, sf_dir):
-    return explain.signals(_pairs(spark, sf_dir), A.articles(spark, sf_dir), A.interactions(spark, sf_dir), _kept(_embedded(spark, sf_dir)), _entities(spark, sf_dir, ("article_id", "entity_id", "name")), AS_OF)
-
-
 @query
 def explain_signals(spark, sf_dir):
-    return _signals(spark, sf_dir).select("user_id", "id", "label", "detail", F.round("weight", 3).alias("weight"))
+    found = explain.signals(*_pair_inputs(spark, sf_dir))
+    return found.select("user_id", "id", "label", "detail", F.round("weight", 3).alias("weight"))
 
 
 @query
 def explain_summaries(spark, sf_dir):
-    rows = explain.explanations(_pairs(spark, sf_dir), _signals(spark, sf_dir))
+    inputs = _pair_inputs(spark, sf_dir)
+    rows = explain.explanations(inputs[0], explain.signals(*inputs))
     return rows.select("user_id", "id", "summary", F.size("signals").cast("bigint").alias("n_signals"))
 
 

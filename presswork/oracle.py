@@ -45,7 +45,10 @@ nl_need as (select distinct p.id, l.liked_id from pairs p join nl_last l using (
 nl_sim as (select n.id, n.liked_id, round(sum(a.w * b.w), 9) s from nl_need n join emb a on a.id = n.id join emb b on b.id = n.liked_id and b.dim = a.dim group by 1, 2 having round(sum(a.w * b.w), 9) > 0),
 nl_all as (select user_id, p.id, l.liked_id, s, kind, row_number() over (partition by user_id, p.id order by s desc, l.liked_id) r from pairs p join nl_last l using (user_id) join nl_sim x on x.id = p.id and x.liked_id = l.liked_id),
 near as (select * from nl_all where r = 1)"""
-PAIRS = "pairs as (select distinct user_id, user_id * 3 + n * 7 id from (select range % 20 user_id, range // 20 n from range(200)) where user_id * 3 + n * 7 in (select doc_id from documents))"
+PAIRS = """gone as (select distinct user_id, article_id from inter where kind = 'hide'),
+sc as (select user_id, emb.id, round(sum(uv.w * emb.w), 9) sim from uv join emb using (dim) group by 1, 2),
+pairs as (select user_id, id from (select *, row_number() over (partition by user_id order by sim desc, id) rn from sc where not exists (select 1 from gone g where g.user_id = sc.user_id and g.article_id = sc.id)) where rn <= 100
+  union select user_id, article_id from inter where article_id in (select id from art))"""
 SIGNALS = f"""hist as (select user_id, name, count(*) c from pos join ent using (article_id) where rn <= 20 group by 1, 2),
 shr as (select user_id, id, name, c, row_number() over (partition by user_id, id order by c desc, name) r from pairs join ent on article_id = id join hist using (user_id, name)),
 pop as (select article_id id, count(*) n from inter group by 1),
@@ -149,8 +152,8 @@ select p.user_id, p.id, round(coalesce(sm.s, 0), 4) user_item_cosine, round(coal
  (p.id in (select id from emb))::int::double has_embedding, round(coalesce(ta.s, 0), 4) user_topic_aff, round(coalesce(sa.share, 0), 4) user_source_aff
 from pairs p join art a on a.id = p.id left join sm on sm.user_id = p.user_id and sm.id = p.id left join stats st on st.user_id = p.user_id left join pop on pop.id = p.id
 left join ta on ta.user_id = p.user_id and ta.id = p.id left join src_aff sa on sa.user_id = p.user_id and sa.source = a.source""",
-    "explain_signals": f"with {ART}, {EMB}, {INTER}, {ENT}, {SRC}, {TOP}, {PAIRS}, {NEAR}, {SIGNALS} select user_id, id, label, detail, round(weight, 3) weight from sig",
-    "explain_summaries": f"""with {ART}, {EMB}, {INTER}, {ENT}, {SRC}, {TOP}, {PAIRS}, {NEAR}, {SIGNALS}
+    "explain_signals": f"with {ART}, {EMB}, {INTER}, {ENT}, {UV}, {SRC}, {TOP}, {PAIRS}, {NEAR}, {SIGNALS} select user_id, id, label, detail, round(weight, 3) weight from sig",
+    "explain_summaries": f"""with {ART}, {EMB}, {INTER}, {ENT}, {UV}, {SRC}, {TOP}, {PAIRS}, {NEAR}, {SIGNALS}
 select p.user_id, p.id, coalesce(arg_min(detail, (-weight, pos)), 'Recommended based on recent biotech coverage') summary, count(label)::bigint n_signals from pairs p left join sig s on s.user_id = p.user_id and s.id = p.id group by 1, 2""",
     "html_clean_regex": r"select page_id, nullif(trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')), '') as text from pages",
     "nct_ids": f"with {ART} select id, case when id = 1 then 'NCT00000001' else 'NCT' || lpad(id::varchar, 8, '0') || ',NCT00000001' end nct_ids from art",

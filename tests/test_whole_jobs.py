@@ -87,3 +87,14 @@ def test_every_vector_is_evaluated(spark, tables):
     got = catalogue.knn_labels_recall_ndcg(spark, tables).first()
     assert got.n_queries == len(rows) == 130
     assert got.hit_rate_at_10 == pytest.approx(np.mean(hits), abs=1e-4) and got.ndcg_at_10 == pytest.approx(np.mean(ndcg), abs=1e-4)
+
+
+def test_pairs_are_every_users_candidates_and_interactions(spark, tables):
+    inter = A.interactions(spark, tables)
+    feeds = brute_feed(inter, catalogue._embedded(spark, tables), 100)
+    want = {(u, i) for u, ids in feeds.items() for i in ids} | {(r.user_id, r.article_id) for r in inter.collect()}
+    assert {u for u, _ in want} == set(USERS) and {i for _, i in want} == set(DOCS)
+    for rows in (catalogue.ranker_features(spark, tables), catalogue.explain_summaries(spark, tables)):
+        got = [(r.user_id, r.id) for r in rows.collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert {r.user_id for r in catalogue.explain_signals(spark, tables).collect()} == set(USERS)

@@ -359,12 +359,12 @@ def training_label_counts(spark, sf_dir):
 
 @query
 def feed_enhanced(spark, sf_dir):
-    arts, inter, emb = A.articles(spark, sf_dir), A.interactions(spark, sf_dir).filter("user_id < 40"), _kept(_embedded(spark, sf_dir))
-    ents = _entities(spark, sf_dir, ("article_id", "entity_id", "name"))
+    arts, inter, emb = A.articles(spark, sf_dir), A.interactions(spark, sf_dir), _kept(_embedded(spark, sf_dir))
+    ents = _kept(_entities(spark, sf_dir, ("article_id", "entity_id", "name")))
     labelled = ranking.split(ranking.reranker_pairs(inter, arts, emb), ["user_id", "id"])
-    train = ranking.features(labelled, arts, inter, emb, ents, AS_OF)
-    model = ranking.train_gbt(train, rounds=5, depth=3)
-    retrieved = feed.warm(users.vectors(inter, emb).filter("user_id < 10"), inter, emb, limit=100).select("user_id", "id", "sim")
+    train = _kept(ranking.features(labelled, arts, inter, emb, ents, AS_OF))
+    model = ranking.train_gbt(train, **ranking.PRODUCTION)
+    retrieved = _kept(feed.warm(users.vectors(inter, emb), inter, emb, limit=100).select("user_id", "id", "sim"))
     rows = ranking.features(retrieved.select("user_id", "id"), arts, inter, emb, ents, AS_OF)
     return ranking.enhanced(retrieved, rows, model, limit=10)
 

@@ -17,6 +17,8 @@ from .explain import topic_scores
 from .listing import hidden, latest_per_user
 
 FEATURES = ["user_item_cosine", "user_item_dot", "user_interaction_count", "user_avg_read_time", "user_bookmark_rate", "user_like_rate", "freshness", "popularity", "source_quality", "has_doi", "has_embedding", "user_topic_aff", "user_source_aff"]
+#: Of train_gbt(): at most 500 rounds at a rate of 0.05; depth 6 has room for 63 leaves.
+PRODUCTION = {"rounds": 500, "depth": 6, "rate": 0.05}
 
 
 def features(pairs: DataFrame, articles: DataFrame, interactions: DataFrame, embedded: DataFrame, entities: DataFrame, as_of: datetime) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from presswork import catalogue
-from presswork.operators import embed, feed, knn, listing, users
+from presswork.operators import embed, feed, knn, listing, ranking, users
 from presswork.sources import adapters as A
 
 KINDS = ["view", "purchase", "click", "error", "search"]
@@ -98,3 +98,20 @@ def test_pairs_are_every_users_candidates_and_interactions(spark, tables):
         got = [(r.user_id, r.id) for r in rows.collect()]
         assert len(got) == len(want) and set(got) == want
     assert {r.user_id for r in catalogue.explain_signals(spark, tables).collect()} == set(USERS)
+
+
+def test_enhanced_feed_trains_on_and_serves_everyone(spark, tables, monkeypatch):
+    seen = {}
+
+    def train(rows, **settings):
+        seen.update(settings, users={r.user_id for r in rows.collect()}, popularity={r.id: r.popularity for r in rows.collect()})
+
+    monkeypatch.setattr(ranking, "train_gbt", train)  # without a model the order is the similarity's
+    inter = A.interactions(spark, tables)
+    got = {}
+    for r in catalogue.feed_enhanced(spark, tables).orderBy("rn").collect():
+        got.setdefault(r.user_id, []).append(r.id)
+    assert got == brute_feed(inter, catalogue._embedded(spark, tables), 10) and set(got) == set(USERS)
+    assert seen["users"] == set(USERS) and (seen["rounds"], seen["depth"], seen["rate"]) == (500, 6, 0.05)
+    counts = {r.article_id: r.popularity for r in users.popularity(inter).collect()}
+    assert seen["popularity"] == {i: counts.get(i, 0) for i in seen["popularity"]}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-ART = """art as (select doc_id id, substr(split_part(text, chr(10), 1), 1, 120) title, 'https://docs.local/' || doc_id url, source, text summary,
+ART = """art as (select doc_id id, substr(split_part(text, chr(10), 1), 1, 120) title, split_part(text, chr(10), 1) head, 'https://docs.local/' || doc_id url, source, text summary,
   case when doc_id % 5 = 0 then '10.1/' || (doc_id % 97) end doi,
   timestamp '2024-01-01' + to_hours(((doc_id * 37) % 720)::int) published_at, timestamp '2024-01-31' + to_minutes((doc_id % 1000)::int) fetched_at from documents)"""
 NORM = r"trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g'))"
+KEY = NORM.replace("title", "head")  # the title is cut, its hash is not
 
 
 def _embedding(text: str, rows: str, out: str) -> str:
@@ -83,16 +84,16 @@ SQL: dict[str, str] = {
     "articles_by_source": f"with {ART} select id, title, source from art where source = 'src3' order by published_at desc nulls last, id limit 20",
     "articles_page_offset": f"with {ART}, p as (select id, title from art order by published_at desc nulls last, id limit 20 offset 40) select id, title, case when (select count(*) from p) = 20 then 60 end::bigint next_cursor from p",
     "article_lookup": f"with {ART} select id, title, url, source from art where id = 42",
-    "article_by_content_hash": f"with {ART}, h as (select id, sha256({NORM}) content_hash from art) select id, content_hash from h where content_hash = (select content_hash from h where id = 7)",
-    "title_normalize_hash": f"with {ART} select id, {NORM} normalized, sha256({NORM}) content_hash from art",
-    "dedup_title_hash": f"with {ART} select min(id) id from art group by {NORM}",
-    "dedup_three_tier": f"""with recursive {ART}, o as (select row_number() over (order by id) rn, id, doi, sha256({NORM}) h from art),
+    "article_by_content_hash": f"with {ART}, h as (select id, sha256({KEY}) content_hash from art) select id, content_hash from h where content_hash = (select content_hash from h where id = 7)",
+    "title_normalize_hash": f"with {ART} select id, {NORM} normalized, sha256({KEY}) content_hash from art",
+    "dedup_title_hash": f"with {ART} select min(id) id from art group by {KEY}",
+    "dedup_three_tier": f"""with recursive {ART}, o as (select row_number() over (order by id) rn, id, doi, sha256({KEY}) h from art),
 g as (select 0::bigint rn, []::varchar[] dois, []::varchar[] hs, -1::bigint kept
   union all select o.rn, case when k and doi is not null then list_append(dois, doi) else dois end, case when k then list_append(hs, h) else hs end, case when k then id else -1 end
   from g join o on o.rn = g.rn + 1, lateral (select not (coalesce(list_contains(dois, doi), false) or list_contains(hs, h)) k))
 select kept id from g where kept >= 0""",
-    "ingest_counts_by_source": f"with {ART}, f as (select min(id) id from art group by {NORM}) select source, count(*) filter (f.id is not null)::bigint added, count(*) filter (f.id is null)::bigint duplicates from art left join f using (id) group by 1",
-    "ingestion_run_record": f"with {ART}, f as (select min(id) id from art group by {NORM}) select 1::bigint id, (select count(*) from f)::bigint added_total, 1::bigint error_count, (select count(distinct source) from art)::bigint n_sources",
+    "ingest_counts_by_source": f"with {ART}, f as (select min(id) id from art group by {KEY}) select source, count(*) filter (f.id is not null)::bigint added, count(*) filter (f.id is null)::bigint duplicates from art left join f using (id) group by 1",
+    "ingestion_run_record": f"with {ART}, f as (select min(id) id from art group by {KEY}) select 1::bigint id, (select count(*) from f)::bigint added_total, 1::bigint error_count, (select count(distinct source) from art)::bigint n_sources",
     "interactions_latest_n": f"with {INTER} select user_id, id, article_id, kind interaction_type, rn::bigint rn from pos where rn <= 5",
     "interactions_by_user": f"with {INTER} select id, article_id, kind interaction_type from inter where user_id = 3 and kind = 'like' order by created_at desc, id limit 20",
     "hidden_articles": f"with {INTER} select distinct user_id, article_id from inter where kind = 'hide'",

@@ -14,16 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    title = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 120)
+    head = F.split_part("text", F.lit("\n"), F.lit(1))
     published = "timestampadd(HOUR, cast((doc_id * 37) % 720 as int), timestamp_ntz'2024-01-01 00:00:00')"
     return docs.select(
         F.col("doc_id").alias("id"),
-        title.alias("title"),
+        F.substring(head, 1, 120).alias("title"),
         F.concat(F.lit("https://docs.local/"), F.col("doc_id")).alias("url"),
         "source",
         F.col("text").alias("summary"),
         F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("10.1/"), F.col("doc_id") % 97)).alias("doi"),
-        T.content_hash(title).alias("content_hash"),
+        T.content_hash(head).alias("content_hash"),
         F.expr(published).alias("published_at"),
         F.expr("timestampadd(MINUTE, cast(doc_id % 1000 as int), timestamp_ntz'2024-01-31 00:00:00')").alias("fetched_at"),
     )

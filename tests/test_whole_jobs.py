@@ -115,3 +115,12 @@ def test_enhanced_feed_trains_on_and_serves_everyone(spark, tables, monkeypatch)
     assert seen["users"] == set(USERS) and (seen["rounds"], seen["depth"], seen["rate"]) == (500, 6, 0.05)
     counts = {r.article_id: r.popularity for r in users.popularity(inter).collect()}
     assert seen["popularity"] == {i: counts.get(i, 0) for i in seen["popularity"]}
+
+
+def test_first_lines_that_differ_late_are_no_copies(spark, tmp_path):
+    line = "the same words " * 20
+    docs = [(i, line + end + "\nmore", "en", "s", 1) for i, end in enumerate(["one", "two", "ONE!"])]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.id for r in catalogue.dedup_title_hash(spark, str(tmp_path)).collect()) == [0, 1]
+    assert sorted(r.id for r in catalogue.dedup_three_tier(spark, str(tmp_path)).collect()) == [0, 1]
+    assert [(r.added, r.duplicates) for r in catalogue.ingest_counts_by_source(spark, str(tmp_path)).collect()] == [(2, 1)]

@@ -73,8 +73,9 @@ def brute_links(docs, n=5, similarity=0.8):
     return {d: (links[i], min(first[root(i)])) for i, (d, _) in enumerate(docs)}
 
 
-@pytest.mark.parametrize("block", [1024, 4])
-def test_near_copies_equal_brute_force(spark, block):
+@pytest.mark.parametrize("block, wide", [(2048, 16), (4, 16), (4, 0)])
+def test_near_copies_equal_brute_force(spark, block, wide, monkeypatch):
+    monkeypatch.setattr(ngram_join, "WIDE", wide)  # 0: every bucket of two blocks or more is wide
     rng = random.Random(4)
     say = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]
     base, docs = say(150), []
@@ -83,6 +84,10 @@ def test_near_copies_equal_brute_force(spark, block):
         for _ in range(rng.randrange(4)):
             words[rng.randrange(150)] = "changed"
         docs.append(" ".join(words))
+    step = say(150)
+    for i in range(14):  # a chain: each is like the next ones, the ends are unlike
+        step = step[6:] + say(6)
+        docs.append(" ".join(step))
     docs += [" ".join(say(100)) for _ in range(10)] + [docs[0], docs[0], "too few", "too few", "", " \n", "one", None]
     rng.shuffle(docs)
     docs = [(i * 2, t) for i, t in enumerate(docs)]
@@ -97,6 +102,24 @@ def test_near_copies_of_nothing(spark):
     rows = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, "p q r s t u")], "doc_id bigint, text string")
     got = sorted((str(r.doc_id), r.class_id, r.n_links) for r in ngram_join.near_copies(rows).collect())
     assert got == [("3", None, 2), ("3", None, 2), ("4", 4, 0), ("None", None, 2)]
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = spark.createDataFrame([(5, long), (5, long), (6, long + " x"), (6, long + " x")], "doc_id bigint, text string")
+    assert {(r.doc_id, r.class_id, r.n_links) for r in ngram_join.near_copies(rows).collect()} == {(5, 5, 3), (6, 5, 3)}
+
+
+def test_components_of_chains_and_hubs(spark):
+    from presswork.llm.common import Scratch
+    from presswork.llm.components import components
+
+    rng = random.Random(6)
+    chain = [(i + 1, i) for i in range(100, 160)]
+    rng.shuffle(chain)
+    hubs = [(200 + i, 300 + i % 3) for i in range(50)] + [(301, 300), (7, 7)]
+    df = spark.createDataFrame(chain + hubs, "a bigint, b bigint").repartition(5)
+    got = {r.node: r.label for r in components(df, Scratch(spark)).collect()}
+    want = {i: 100 for i in range(100, 161)} | {200 + i: 200 if i % 3 < 2 else 202 for i in range(50)} | {300: 200, 301: 200, 302: 202}
+    assert got == want
+    assert components(df.limit(0), Scratch(spark)).count() == 0
 
 
 def test_bands_reach_the_recall():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
@@ -13,6 +13,7 @@ from .functions import scores as S
 from .functions import text as T
 from .functions.dates import freshness_days
 from .operators import anomaly, dedup, embed, evaluate, explain, feed, ingest, kg, knn, listing, ranking, users
+from .operators.storage import stored
 from .sources import adapters as A
 
 AS_OF = datetime(2024, 1, 31)
@@ -40,14 +41,11 @@ def query(f):
     return f
 
 
-def _embedded(spark, sf_dir):
+def _embedded(spark, sf_dir, only=None):
+    """Vectors of all articles, or of those in `only` (id)."""
     arts = A.articles(spark, sf_dir)
-    return embed.hash_embedding(arts.select("id", T.embedding_text(F.col("title"), F.col("summary")).alias("text")))
-
-
-def _kept(df):
-    """Embeddings that a query uses several times; a deployment has them stored."""
-    return df.persist()
+    arts = arts if only is None else arts.join(only, "id", "left_semi")
+    return embed.hash_vectors(arts.select("id", T.embedding_text(F.col("title"), F.col("summary")).alias("text")))
 
 
 def _entities(spark, sf_dir, columns=("article_id", "pos", "entity_id", "name", "entity_type", "mention_text")):
@@ -57,13 +55,13 @@ def _entities(spark, sf_dir, columns=("article_id", "pos", "entity_id", "name",
 
 def _vectors(spark, sf_dir):
     inter = A.interactions(spark, sf_dir)
-    liked = _embedded(spark, sf_dir).filter("id < 100")  # interactions name articles 0 to 99 only
+    liked = _embedded(spark, sf_dir, users.positive_articles(inter).select(F.col("article_id").alias("id")).distinct())
     return users.vectors(inter, liked)
 
 
 @query
 def hash_embed_sparse(spark, sf_dir):
-    return _embedded(spark, sf_dir).select("id", F.col("dim").cast("bigint").alias("dim"), F.round("w", 6).alias("w"))
+    return embed.sparse(_embedded(spark, sf_dir)).select("id", F.col("dim").cast("bigint").alias("dim"), F.round("w", 6).alias("w"))
 
 
 @query
@@ -179,7 +177,7 @@ def interaction_weights(spark, sf_dir):
 
 @query
 def user_embedding(spark, sf_dir):
-    return _vectors(spark, sf_dir).select("user_id", F.col("dim").cast("bigint").alias("dim"), F.round("w", ROUND).alias("w"), "interaction_count")
+    return _vectors(spark, sf_dir).select("user_id", F.col("dim").cast("bigint").alias("dim"), (F.round("w", ROUND) + 0.0).alias("w"), "interaction_count")
 
 
 @query
@@ -190,7 +188,7 @@ def feed_cold_start(spark, sf_dir):
 
 @query
 def feed_warm(spark, sf_dir):
-    inter, emb = A.interactions(spark, sf_dir), _kept(_embedded(spark, sf_dir))
+    inter, emb = A.interactions(spark, sf_dir), stored(_embedded(spark, sf_dir))
     rows = feed.warm(users.vectors(inter, emb), inter, emb, limit=10)
     out = feed.with_reasons(rows, A.articles(spark, sf_dir), inter, emb)
     return out.select("user_id", "id", F.round("sim", ROUND).alias("similarity"), "rn", "reason")
@@ -222,14 +220,14 @@ def load_summary(spark, sf_dir):
 
 @query
 def burst_detect(spark, sf_dir):
-    found = anomaly.bursts(A.articles(spark, sf_dir), _kept(_embedded(spark, sf_dir)), hours=720, threshold=0.5)
+    found = anomaly.bursts(A.articles(spark, sf_dir), stored(_embedded(spark, sf_dir)), hours=720, threshold=0.5)
     return found.select("article_id", "kind", "score", F.array_join("related_sources", ",").alias("related_sources"), F.array_join(F.col("related_article_ids").cast("array<string>"), ",").alias("related_ids"), "mean_similarity")
 
 
 @query
 def burst_prompt(spark, sf_dir):
     arts = A.articles(spark, sf_dir)
-    return anomaly.prompts(anomaly.bursts(arts, _kept(_embedded(spark, sf_dir)), hours=720, threshold=0.5), arts)
+    return anomaly.prompts(anomaly.bursts(arts, stored(_embedded(spark, sf_dir)), hours=720, threshold=0.5), arts)
 
 
 @query
@@ -250,13 +248,13 @@ def _named(spark, edges, *sides):
 
 @query
 def kg_relations(spark, sf_dir):
-    rows = _named(spark, _relations(spark, sf_dir), "subject_entity_id", "object_entity_id").filter("predicate <> 'co_mentioned_with'")
+    rows = _named(spark, _relations(spark, sf_dir), "subject_entity_id", "object_entity_id")
     return rows.select(F.col("subject_entity_id_name").alias("subject"), "predicate", F.col("object_entity_id_name").alias("object"), "evidence_article_id")
 
 
 @query
 def kg_relation_strength(spark, sf_dir):
-    rows = _named(spark, kg.strength(_relations(spark, sf_dir)), "subject_entity_id", "object_entity_id").filter("predicate <> 'co_mentioned_with'")
+    rows = _named(spark, kg.strength(_relations(spark, sf_dir)), "subject_entity_id", "object_entity_id")
     return rows.select(F.col("subject_entity_id_name").alias("subject"), "predicate", F.col("object_entity_id_name").alias("object"), "strength")
 
 
@@ -300,12 +298,12 @@ def _pairs(spark, sf_dir, inter, emb):
     (user, article) that has met."""
     retrieved = feed.warm(users.vectors(inter, emb), inter, emb, limit=100).select("user_id", "id")
     met = inter.select("user_id", F.col("article_id").alias("id")).join(A.articles(spark, sf_dir).select("id"), "id", "left_semi")
-    return _kept(retrieved.unionByName(met).distinct())
+    return stored(retrieved.unionByName(met).distinct())
 
 
 def _pair_inputs(spark, sf_dir):
-    inter, emb = A.interactions(spark, sf_dir), _kept(_embedded(spark, sf_dir))
-    return _pairs(spark, sf_dir, inter, emb), A.articles(spark, sf_dir), inter, emb, _kept(_entities(spark, sf_dir, ("article_id", "entity_id", "name"))), AS_OF
+    inter, emb = A.interactions(spark, sf_dir), stored(_embedded(spark, sf_dir))
+    return _pairs(spark, sf_dir, inter, emb), A.articles(spark, sf_dir), inter, emb, stored(_entities(spark, sf_dir, ("article_id", "entity_id", "name"))), AS_OF
 
 
 @query
@@ -359,12 +357,12 @@ def training_label_counts(spark, sf_dir):
 
 @query
 def feed_enhanced(spark, sf_dir):
-    arts, inter, emb = A.articles(spark, sf_dir), A.interactions(spark, sf_dir), _kept(_embedded(spark, sf_dir))
-    ents = _kept(_entities(spark, sf_dir, ("article_id", "entity_id", "name")))
+    arts, inter, emb = A.articles(spark, sf_dir), A.interactions(spark, sf_dir), stored(_embedded(spark, sf_dir))
+    ents = stored(_entities(spark, sf_dir, ("article_id", "entity_id", "name")))
     labelled = ranking.split(ranking.reranker_pairs(inter, arts, emb), ["user_id", "id"])
-    train = _kept(ranking.features(labelled, arts, inter, emb, ents, AS_OF))
+    train = stored(ranking.features(labelled, arts, inter, emb, ents, AS_OF))
     model = ranking.train_gbt(train, **ranking.PRODUCTION)
-    retrieved = _kept(feed.warm(users.vectors(inter, emb), inter, emb, limit=100).select("user_id", "id", "sim"))
+    retrieved = stored(feed.warm(users.vectors(inter, emb), inter, emb, limit=100).select("user_id", "id", "sim"))
     rows = ranking.features(retrieved.select("user_id", "id"), arts, inter, emb, ents, AS_OF)
     return ranking.enhanced(retrieved, rows, model, limit=10)
 
@@ -390,7 +388,7 @@ def stream_ingest_counts(spark, sf_dir):
 
     from .streaming.ingest import counts_by_source
 
-    flow = spark.readStream.schema(A.table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*" if not sf_dir.startswith("viewfs") else f"{sf_dir}/documents.parquet")
+    flow = A.table_stream(spark, sf_dir, "documents")
     published = F.expr("timestampadd(HOUR, cast((doc_id * 37) % 720 as int), timestamp_ntz'2024-01-01 00:00:00')")
     counted = counts_by_source(flow.select("source", published.alias("published_at")))
     name = f"counts_{uuid.uuid4().hex}"
@@ -398,5 +396,3 @@ def stream_ingest_counts(spark, sf_dir):
     running.awaitTermination()
     return spark.table(name).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "source", "n")
 
-
-__all__ = ["QUERIES", "ORACLE", "Window"]

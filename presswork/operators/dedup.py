@@ -8,19 +8,12 @@ that of the sequential loop. Rounds are written to the checkpoint folder.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-KEYS = ("url", "doi", "content_hash")
-
+from .storage import stored
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-"))
-    return df.checkpoint()
+KEYS = ("url", "doi", "content_hash")
 
 
 def by_key(df: DataFrame, key: str, order: str = "id") -> DataFrame:
@@ -38,7 +31,7 @@ def three_tier(df: DataFrame, keys: tuple[str, ...] = KEYS, order: str = "id", h
     left = df.select(order, *keys)
     for key in keys if history is not None else ():
         left = left.join(history.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti")
-    left = _checkpoint(left.select(order, *keys))
+    left = stored(left.select(order, *keys))
     kept = []
     while not left.isEmpty():
         firsts = left
@@ -48,12 +41,12 @@ def three_tier(df: DataFrame, keys: tuple[str, ...] = KEYS, order: str = "id", h
         good = F.lit(True)
         for key in keys:
             good &= F.coalesce(F.col(f"_{key}") == F.col(order), F.lit(True))
-        chosen = _checkpoint(firsts.filter(good).select(order, *keys))
+        chosen = stored(firsts.filter(good).select(order, *keys))
         kept.append(chosen)
         rest = left.join(chosen.select(order), order, "left_anti")
         for key in keys:
             rest = rest.join(chosen.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti")
-        left = _checkpoint(rest.select(order, *keys))
+        left = stored(rest.select(order, *keys))
     if not kept:
         return df.limit(0)
     names = kept[0].select(order)

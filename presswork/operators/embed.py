@@ -4,32 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import EMBEDDING_DIM
 
 
-def hash_embedding(df: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
-    """(id, dim, w): the non-zero entries of each text's unit vector.
+def hash_vectors(df: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
+    """(id, dims, ws): each text's unit vector by its non-zero entries, one row a text;
+    texts without tokens have none.
 
     A token ([a-z0-9]+ in lower case) adds +1 or -1 to one of 768 dimensions, as its
-    SHA-256 says. Rows are dealt by id before tokens are made, so that sums and norms
-    need no further exchange.
+    SHA-256 says. All tokens of a text are in its row, so nothing is exchanged: their codes
+    (dimension, sign) are sorted and runs of equal codes counted.
     """
-    tokens = F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)))
-    hashed = df.select(key, text).repartition(key).select(key, tokens.alias("token"))
-    hashed = hashed.select(key, F.sha2("token", 256).alias("h"))
-    dim = (F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") % EMBEDDING_DIM).cast("int")
-    sign = F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    sums = hashed.groupBy(key, dim.alias("dim")).agg(F.sum(sign).alias("v")).filter("v <> 0")
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
-    return sums.select(key, "dim", (F.col("v") / norm).alias("w"))
-
-
-def dense(sparse: DataFrame, key: str = "id") -> DataFrame:
-    """(id, dims, ws) lists: one row a vector."""
-    return sparse.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("dim", "w"))).alias("_e")).select(key, F.col("_e.dim").alias("dims"), F.col("_e.w").alias("ws"))
+    tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))
+    # the first ten hex digits: eight of the dimension, two of the sign
+    codes = f"""array_sort(transform(transform(_tokens, t -> cast(conv(substring(sha2(t, 256), 1, 10), 16, 10) as bigint)),
+        n -> cast(shiftright(n, 8) % {EMBEDDING_DIM} * 2 + (n & 1) as int)))"""
+    ends = """filter(transform(_codes, (c, i) -> named_struct('code', c, 'i', i)),
+        x -> x.i = size(_codes) - 1 or _codes[x.i + 1] <> x.code)"""
+    runs = "transform(_ends, (x, j) -> named_struct('code', x.code, 'n', x.i - if(j = 0, -1, _ends[j - 1].i)))"
+    # the run of the negative sign follows that of the positive one
+    sums = """filter(transform(_runs, (x, j) -> named_struct('dim', x.code div 2, 'v', case
+            when x.code % 2 = 0 then x.n - if(j + 1 < size(_runs) and _runs[j + 1].code = x.code + 1, _runs[j + 1].n, 0)
+            when j > 0 and _runs[j - 1].code = x.code - 1 then 0
+            else -x.n end)), x -> x.v <> 0)"""
+    made = df.select(key, tokens.alias("_tokens"))
+    for name, formula in (("_codes", codes), ("_ends", ends), ("_runs", runs), ("_sums", sums)):
+        made = made.withColumn(name, F.expr(formula))
+    made = made.withColumn("_norm", F.expr("sqrt(aggregate(_sums, 0D, (s, x) -> s + x.v * x.v))"))
+    vector = F.expr("array(named_struct('dims', transform(_sums, x -> cast(x.dim as int)), 'ws', transform(_sums, x -> x.v / _norm)))")
+    # a filter on the arrays would be pushed down and work them out twice; one on the exploded column isn't
+    rows = made.select(key, F.explode_outer(F.when(F.size("_sums") > 0, vector)).alias("_v"))
+    return rows.filter("_v is not null").select(key, "_v.dims", "_v.ws")
+
+
+def hash_embedding(df: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
+    """(id, dim, w): hash_vectors() by entries."""
+    return sparse(hash_vectors(df, text, key), key)
+
+
+def sparse(vectors: DataFrame, key: str | list[str] = "id") -> DataFrame:
+    """(id, dim, w) rows of vectors in either form; key: the columns to keep."""
+    if "dims" not in vectors.columns:
+        return vectors
+    keys = [key] if isinstance(key, str) else key
+    return vectors.select(*keys, F.explode(F.arrays_zip("dims", "ws")).alias("_e")).select(*keys, F.col("_e.dims").alias("dim"), F.col("_e.ws").alias("w"))
+
+
+def dense(vectors: DataFrame, key: str = "id") -> DataFrame:
+    """(id, dims, ws) rows, one a vector, of vectors in either form."""
+    if "dims" in vectors.columns:
+        return vectors.select(key, "dims", "ws")
+    return vectors.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("dim", "w"))).alias("_e")).select(key, F.col("_e.dim").alias("dims"), F.col("_e.w").alias("ws"))
+
+
+def full(dims: Column, ws: Column) -> Column:
+    """All 768 numbers of a vector."""
+    found = F.map_from_arrays(dims, ws)
+    return F.transform(F.sequence(F.lit(0), F.lit(EMBEDDING_DIM - 1)), lambda d: F.coalesce(F.try_element_at(found, d), F.lit(0.0)))
 
 
 EMBEDDERS: dict[str, Callable[[DataFrame, str, str], DataFrame]] = {"hash": hash_embedding}

@@ -14,6 +14,7 @@ from ..shipping import ship
 from . import knn
 from .embed import dense
 from .listing import hidden, latest_per_user
+from .storage import small, stored
 
 COLD_REASON, NO_HISTORY_REASON, NO_MATCH_REASON = "Recent biotech news", "Recommended for you", "Recommended based on your reading interests"
 #: Candidates of one user that one task compares at a time, about.
@@ -23,34 +24,37 @@ PAIR_BLOCK = 1024
 def cold(articles: DataFrame, interactions: DataFrame, embedded: DataFrame, users: DataFrame, as_of: datetime, limit: int = 20, offset: int = 0, days: int = 30) -> DataFrame:
     """Each user's newest embedded articles of the last `days` days that aren't hidden.
 
-    Only limit + offset + (hidden by the user) candidates can matter, so each user takes
-    that many of the common newest list instead of all articles.
+    Of the common list of newest articles, a user needs the first limit + offset and as
+    many more as the user has hidden; that many ranks meet the list.
     """
     since = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {days} days")
     recent = articles.join(embedded.select("id").distinct(), "id", "left_semi").filter(F.col("published_at") >= since).select("id", "published_at")
     gone = hidden(interactions)
-    most = gone.groupBy("user_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    # bounded: a page and the longest list of hidden articles
-    newest = recent.orderBy(F.desc_nulls_last("published_at"), "id").limit(limit + offset + most)
-    page = newest.agg(F.array_sort(F.collect_list(F.struct("id", "published_at"))).alias("page")).withColumn("one", F.lit(1))
-    seen = users.select("user_id").distinct().withColumn("one", F.lit(1)).join(F.broadcast(page), "one").select("user_id", F.explode("page").alias("p")).select("user_id", "p.*")
-    seen = seen.join(gone, (seen.user_id == gone.user_id) & (seen.id == gone.article_id), "left_anti")
-    rn = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc_nulls_last("published_at"), "id"))
-    return seen.withColumn("rn", rn).filter((F.col("rn") > offset) & (F.col("rn") <= offset + limit)).select("user_id", "id", (F.col("rn") - offset).cast("bigint").alias("rn"), F.lit(0.0).alias("similarity"), F.lit(COLD_REASON).alias("reason"))
+    hides = gone.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    wanted = stored(users.select("user_id").distinct().join(hides, "user_id", "left").select("user_id", (F.coalesce("n", F.lit(0)) + limit + offset).cast("int").alias("n")))
+    most = wanted.agg(F.max("n")).first()[0] or 0
+    newest = recent.orderBy(F.desc_nulls_last("published_at"), "id").limit(most)
+    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("published_at"), "id"))  # over as many rows as one user needs at most
+    page = stored(newest.select(place.alias("place"), "id"))
+    seen = wanted.select("user_id", F.explode(F.sequence(F.lit(1), "n")).alias("place")).join(small(page), "place")
+    seen = seen.join(gone.withColumnRenamed("article_id", "id"), ["user_id", "id"], "left_anti")
+    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("place"))
+    kept = seen.withColumn("rn", rn).filter((F.col("rn") > offset) & (F.col("rn") <= offset + limit))
+    return kept.select("user_id", "id", (F.col("rn") - offset).cast("bigint").alias("rn"), F.lit(0.0).alias("similarity"), F.lit(COLD_REASON).alias("reason"))
 
 
 def warm(user_vectors: DataFrame, interactions: DataFrame, embedded: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     """(user_id, id, sim, rn): each user's nearest articles that aren't hidden.
 
-    The users are matrices of knn.ANCHOR_BLOCK rows that the articles stream past, and each
-    takes so many of the nearest that the hidden ones among them can't leave a gap.
+    Each user takes the nearest limit + offset and as many more as the user has hidden,
+    so that hidden ones can't leave a gap.
     """
     gone = hidden(interactions).withColumnRenamed("article_id", "id")
-    mine = user_vectors.select("user_id", "dim", "w")
-    most = gone.groupBy("user_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    near = knn.batch(dense(mine.withColumnRenamed("user_id", "id")), dense(embedded), limit + offset + most, but_self=False)
-    scores = near.select(F.col("anchor").alias("user_id"), "id", "sim")
-    kept = scores.join(gone, ["user_id", "id"], "left_anti")
+    hides = gone.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    mine = dense(user_vectors.select("user_id", "dim", "w"), "user_id").join(hides, "user_id", "left")
+    mine = mine.select(F.col("user_id").alias("id"), "dims", "ws", (F.coalesce("n", F.lit(0)) + limit + offset).alias("k"))
+    near = knn.batch(mine, dense(embedded), limit + offset, but_self=False)
+    kept = near.select(F.col("anchor").alias("user_id"), "id", "sim").join(gone, ["user_id", "id"], "left_anti")
     rn = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("sim"), "id"))
     return kept.withColumn("rn", rn).filter((F.col("rn") > offset) & (F.col("rn") <= offset + limit)).select("user_id", "id", "sim", (F.col("rn") - offset).cast("bigint").alias("rn"))
 

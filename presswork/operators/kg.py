@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import small
+
 #: Fixed values: (unordered types) -> the predicate from the first to the second, and back.
 PREDICATES = [
     ("company", "drug", "develops", "developed_by"),
@@ -37,26 +39,40 @@ def _word(alias: str) -> str:
     return f"(?iU)\\b{escaped}\\b"
 
 
+def alias_table(spark, gazetteer: list[dict]) -> DataFrame:
+    """(word, ord, entity, alias, pattern): word is the alias's first word in lower case,
+    ord its place among the aliases, longest first."""
+    rows = []
+    for ord_, (alias, entity) in enumerate(aliases(gazetteer)):
+        word = re.search(r"\w+", alias)
+        if word is None:
+            raise ValueError(f"an alias needs a letter or digit: {alias!r}")
+        rows.append((word[0].upper().lower(), ord_, entity, _word(alias)))
+    return spark.createDataFrame(rows, "word string, ord int, entity int, pattern string")
+
+
 def mentions(articles: DataFrame, gazetteer: list[dict], text: str = "text", key: str = "id") -> DataFrame:
     """(article_id, pos, entity, mention_text): entity is the place in the gazetteer.
 
     Aliases claim their first occurrence, longest alias first: one that overlaps a claimed
     span, or names an entity that has claimed already, is passed over, and later
     occurrences aren't tried. pos is the order of claims. gazetteer: dicts of name, type,
-    external_source, external_id, aliases; it is read into the plan, so it must stay
-    of dictionary size (tens of thousands of aliases at most).
+    external_source, external_id, aliases.
+
+    The words of a text are joined with the first words of the aliases, and only aliases
+    found so are looked for, so the work for a text doesn't grow with the gazetteer.
     """
-    firsts = []
-    for alias, entity in aliases(gazetteer):
-        pattern = F.lit(_word(alias))
-        found = F.regexp_substr(F.col(text), pattern)
-        firsts.append(F.struct(F.lit(entity).alias("e"), found.alias("m"), F.regexp_instr(F.col(text), pattern).alias("p")))
-    all_firsts = F.filter(F.array(*firsts), lambda x: x["p"] > 0)
+    table = small(alias_table(articles.sparkSession, gazetteer))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.upper(F.col(text))), F.lit(r"(?U)\w+"), F.lit(0)))
+    # explode_outer: for explode the optimizer would work out the words twice
+    asked = articles.select(F.col(key).alias("article_id"), F.explode_outer(words).alias("word")).join(table, "word")
+    asked = asked.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("ord", "entity", "pattern"))).alias("asked"))
+    rows = articles.select(F.col(key).alias("article_id"), F.col(text).alias("text")).join(asked, "article_id")
+    firsts = F.transform("asked", lambda a: F.struct(a["entity"].alias("e"), F.regexp_substr("text", a["pattern"]).alias("m"), F.regexp_instr("text", a["pattern"]).alias("p")))
     kind = "array<struct<e:int,m:string,p:int>>"
     overlaps = lambda acc, x: F.exists(acc, lambda y: (y["e"] == x["e"]) | ((x["p"] < y["p"] + F.char_length(y["m"])) & (y["p"] < x["p"] + F.char_length(x["m"]))))
-    claimed = F.aggregate(F.col("_firsts"), F.array().cast(kind), lambda acc, x: F.when(overlaps(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
-    rows = articles.select(F.col(key).alias("article_id"), text).withColumn("_firsts", all_firsts.cast(kind)).select("article_id", claimed.alias("c"))
-    out = rows.select("article_id", F.posexplode_outer("c").alias("pos", "x")).filter("x is not null")
+    claimed = F.aggregate(F.filter("firsts", lambda x: x["p"] > 0), F.array().cast(kind), lambda acc, x: F.when(overlaps(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    out = rows.select("article_id", firsts.cast(kind).alias("firsts")).select("article_id", F.posexplode_outer(claimed).alias("pos", "x")).filter("x is not null")
     return out.select("article_id", "pos", F.col("x.e").alias("entity"), F.col("x.m").alias("mention_text"))
 
 
@@ -79,7 +95,7 @@ def trial_mentions(articles: DataFrame, trials: DataFrame, text: str = "text", k
 def article_entities(found: DataFrame, entities: DataFrame, trials: DataFrame | None = None) -> DataFrame:
     """(article_id, pos, entity_id, name, entity_type, mention_text): dictionary entities
     in the order of claims, then trials."""
-    out = found.join(F.broadcast(entities), "entity").select("article_id", "pos", "entity_id", "name", "entity_type", "mention_text")
+    out = found.join(small(entities), "entity").select("article_id", "pos", "entity_id", "name", "entity_type", "mention_text")
     if trials is not None:
         more = trials.select("article_id", (F.col("pos") + 1_000_000).alias("pos"), entity_id(F.col("external_id"), F.col("name"), F.lit("trial")).alias("entity_id"), "name", F.lit("trial").alias("entity_type"), F.col("external_id").alias("mention_text"))
         out = out.unionByName(more)

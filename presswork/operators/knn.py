@@ -1,94 +1,118 @@
 """Exact cosine nearest neighbours.
 
-One query or a few: the query's entries (at most 768 a vector) are broadcast to the
-sparse corpus. Many anchors: the corpus streams through blocked matrix products, and
-only each block's best rows a anchor leave it.
+One query: its 768 numbers are broadcast and each vector's similarity is worked out in
+its row. Many anchors: blocks of anchors meet blocks of the corpus in one matrix
+product each, and only the best rows of a block leave it.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import EMBEDDING_DIM
 from ..shipping import ship
-from .embed import EMBEDDERS, dense
+from .embed import EMBEDDERS, dense, full, sparse
+from .storage import stored
 
-#: Anchors in one broadcast matrix: 4096 x 768 doubles are 25 MB. More are taken in turn.
-ANCHOR_BLOCK = 4096
+#: Anchors and corpus rows that meet in one task; 4096 x 768 doubles are 25 MB. The
+#: corpus rows are compared CORPUS_STEP at a time.
+ANCHOR_BLOCK, CORPUS_BLOCK, CORPUS_STEP = 4096, 32768, 2048
 
 
 def search(query: str, articles: DataFrame, embedded: DataFrame, k: int = 10, backend: str = "hash") -> DataFrame:
     """The k articles most similar to a text: id, title, source, similarity, rank.
-    Articles that share nothing with it have similarity 0. `embedded` is (id, dim, w)."""
+    Articles that share nothing with it have similarity 0. `embedded` is (id, dim, w) or
+    (id, dims, ws)."""
     spark = articles.sparkSession
     asked = EMBEDDERS[backend](spark.range(1).select(F.col("id"), F.lit(query).alias("text")), "text", "id")
-    return _nearest(asked.select("dim", F.col("w").alias("qw")), articles, embedded, k)
+    return _nearest(asked, articles, embedded, k)
 
 
 def related(anchor: int, articles: DataFrame, embedded: DataFrame, k: int = 10) -> DataFrame:
     """The k articles most similar to one of them, without itself."""
-    mine = embedded.filter(F.col("id") == anchor).select("dim", F.col("w").alias("qw"))
-    return _nearest(mine, articles.filter(F.col("id") != anchor), embedded, k)
+    mine = embedded.filter(F.col("id") == anchor)
+    return _nearest(mine, articles.filter(F.col("id") != anchor), embedded.filter(F.col("id") != anchor), k)
 
 
 def _nearest(query: DataFrame, articles: DataFrame, embedded: DataFrame, k: int) -> DataFrame:
-    # a query has at most 768 rows: small enough to broadcast whatever the corpus is
-    scores = embedded.join(F.broadcast(query), "dim").groupBy("id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("s"))
-    best = articles.select("id", "title", "source").join(scores, "id", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
-    top = best.orderBy(F.desc("s"), "id").limit(k)
+    pairs = F.sort_array(F.collect_list(F.struct("dim", "w")))
+    asked = sparse(query).agg(pairs.alias("p")).select(full(F.col("p.dim"), F.col("p.w")).alias("q"), F.lit(1).alias("one"))  # one row of 768 numbers
+    products = F.zip_with("dims", "ws", lambda d, w: w * F.get("q", d))
+    scores = dense(embedded).withColumn("one", F.lit(1)).join(F.broadcast(asked), "one").select("id", F.round(F.aggregate(products, F.lit(0.0), lambda s, x: s + x), 9).alias("s"))
+    facts = articles.select("id", "title", "source")
+    spark = articles.sparkSession
+    best = scores.filter("s > 0").orderBy(F.desc("s"), "id").limit(k).collect()  # bounded: k rows
+    if best and len(best) == k and facts.join(F.broadcast(spark.createDataFrame(best, scores.schema)), "id", "left_semi").count() == k:
+        top = facts.join(F.broadcast(spark.createDataFrame(best, scores.schema)), "id")
+    else:  # articles of similarity 0 are needed too, or vectors have no article
+        top = facts.join(scores, "id", "left").withColumn("s", F.coalesce("s", F.lit(0.0))).orderBy(F.desc("s"), "id").limit(k)
     rank = F.row_number().over(Window.orderBy(F.desc("s"), "id"))  # over k rows
     return top.select("id", "title", "source", F.round("s", 4).alias("similarity"), rank.cast("bigint").alias("rank"))
 
 
 def batch(anchors: DataFrame, corpus: DataFrame, k: int, key: str = "id", but_self: bool = True) -> DataFrame:
     """(anchor, id, sim, rn): each anchor's k nearest rows of the corpus (but_self: not the
-    one with its own id); by similarity to nine digits, then id. Both sides are (id, dims, ws) rows."""
-    ship(corpus.sparkSession)
-    taken = anchors.select(key, "dims", "ws").toLocalIterator()
-    blocks, rows = [], []
-    for row in taken:  # a block at a time; anchor sets are chosen (latest N), not the corpus
-        rows.append(row)
-        if len(rows) == ANCHOR_BLOCK:
-            blocks.append(_block(rows, corpus, k, key, but_self))
-            rows = []
-    if rows or not blocks:
-        blocks.append(_block(rows, corpus, k, key, but_self))
-    found = blocks[0]
-    for other in blocks[1:]:
-        found = found.unionByName(other)
+    one with its own id); by similarity to nine digits, then id. Both sides are (id, dims,
+    ws) rows; a column `k` of the anchors says how many each wants, instead of k.
+
+    Both sides are dealt in blocks by hash, and each pair of blocks is one task's work.
+    """
+    spark = corpus.sparkSession
+    ship(spark)
+    wanted = F.col("k") if "k" in anchors.columns else F.lit(k)
+    mine = stored(anchors.select(F.col(key).cast("bigint").alias("id"), "dims", "ws", wanted.cast("int").alias("k")))
+    theirs = corpus.select(F.col(key).cast("bigint").alias("id"), "dims", "ws")
+    rows = -(-max(1, mine.count()) // ANCHOR_BLOCK)
+    columns = max(-(-theirs.count() // CORPUS_BLOCK), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // rows))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = mine.select("*", block(rows).alias("a")).select("*", every(columns).alias("c"))
+    right = theirs.select("*", block(columns).alias("c")).select("*", every(rows).alias("a"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, matrix, most = left.column("id").to_numpy(), _matrix(left), left.column("k").to_numpy()
+        found = [_best(ids, matrix, most, right.slice(at, CORPUS_STEP), but_self) for at in range(0, len(right), CORPUS_STEP)] if len(left) else []
+        parts = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        a, i, sim = _first(*parts, most)
+        return pa.table({"anchor": pa.array(ids[a] if len(a) else a, pa.int64()), "id": pa.array(i, pa.int64()), "sim": pa.array(sim, pa.float64())})
+
+    found = left.groupBy("a", "c").cogroup(right.groupBy("a", "c")).applyInArrow(run, "anchor bigint, id bigint, sim double")
     order = Window.partitionBy("anchor").orderBy(F.desc("sim"), "id")
-    return found.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
-
-
-def _block(rows: list, corpus: DataFrame, k: int, key: str, but_self: bool) -> DataFrame:
-    ids = np.array([r[key] for r in rows], np.int64)
-    matrix = np.zeros((len(rows), EMBEDDING_DIM))
-    for i, r in enumerate(rows):
-        matrix[i, r["dims"]] = r["ws"]
-
-    def run(frames):
-        for frame in frames:
-            for start in range(0, len(frame), 2048):
-                part = frame.iloc[start : start + 2048]
-                mine = part[key].to_numpy()
-                vectors = np.zeros((len(part), EMBEDDING_DIM))
-                for i, (d, w) in enumerate(zip(part["dims"], part["ws"])):
-                    vectors[i, d] = w
-                sims = np.round(matrix @ vectors.T, 9)
-                if but_self:
-                    sims[ids[:, None] == mine[None, :]] = -np.inf
-                out = []
-                for a in range(len(ids)):
-                    best = np.lexsort((mine, -sims[a]))[:k]
-                    best = best[sims[a][best] > -np.inf]
-                    out.append(pd.DataFrame({"anchor": ids[a], "id": mine[best], "sim": sims[a][best]}))
-                if out:
-                    yield pd.concat(out)
-
-    return corpus.select(key, "dims", "ws").mapInPandas(run, "anchor bigint, id bigint, sim double")
+    ranked = found.withColumn("rn", F.row_number().over(order))
+    if "k" not in anchors.columns:
+        return ranked.filter(F.col("rn") <= k)
+    return ranked.join(mine.select(F.col("id").alias("anchor"), "k"), "anchor").filter("rn <= k").drop("k")
+
+
+def _matrix(vectors: pa.Table) -> np.ndarray:
+    out = np.zeros((len(vectors), EMBEDDING_DIM))
+    dims, ws = (vectors.column(c).combine_chunks() for c in ("dims", "ws"))
+    counts = dims.value_lengths().to_numpy(zero_copy_only=False)
+    out[np.repeat(np.arange(len(out)), counts), dims.flatten().to_numpy()] = ws.flatten().to_numpy()
+    return out
+
+
+def _best(ids: np.ndarray, matrix: np.ndarray, most: np.ndarray, part: pa.Table, but_self: bool):
+    """(place of the anchor, id, similarity) of at least each anchor's best `most` rows of part."""
+    mine = part.column("id").to_numpy()
+    sims = np.round(matrix @ _matrix(part).T, 9)
+    if but_self:
+        sims[ids[:, None] == mine[None, :]] = -np.inf
+    k = min(int(most.max()), len(mine))
+    least = np.partition(sims, len(mine) - k, axis=1)[:, len(mine) - k] if k else np.full(len(ids), np.inf)
+    a, j = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))  # equals of the last one too
+    return _first(a, mine[j], sims[a, j], most)
+
+
+def _first(a: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: np.ndarray):
+    order = np.lexsort((ids, -sims, a))
+    a, ids, sims = a[order], ids[order], sims[order]
+    starts = np.searchsorted(a, np.arange(len(most)))
+    keep = np.arange(len(a)) - starts[a] < most[a] if len(a) else np.zeros(0, bool)
+    return a[keep], ids[keep], sims[keep]
 
 
 def approximate(corpus: DataFrame, query: DataFrame, threshold: float, seed: int = 7) -> DataFrame:
@@ -110,5 +134,3 @@ def to_sparse(vectors: DataFrame, key: str, column: str) -> DataFrame:
     entries = vectors.select(key, norm.alias("n"), F.posexplode(column).alias("dim", "x"))
     return entries.filter("n > 0").select(key, "dim", (F.col("x").cast("double") / F.col("n")).alias("w"))
 
-
-__all__ = ["search", "related", "batch", "approximate", "to_sparse", "dense"]

@@ -13,8 +13,10 @@ from ..functions.dates import freshness_days
 from ..functions.scores import source_quality
 from ..shipping import ship
 from . import users as U
+from .embed import dense, full
 from .explain import topic_scores
-from .listing import hidden, latest_per_user
+from .listing import latest_per_user
+from .storage import small, stored
 
 FEATURES = ["user_item_cosine", "user_item_dot", "user_interaction_count", "user_avg_read_time", "user_bookmark_rate", "user_like_rate", "freshness", "popularity", "source_quality", "has_doi", "has_embedding", "user_topic_aff", "user_source_aff"]
 #: Of train_gbt(): at most 500 rounds at a rate of 0.05; depth 6 has room for 63 leaves.
@@ -25,9 +27,12 @@ def features(pairs: DataFrame, articles: DataFrame, interactions: DataFrame, emb
     """pairs (user_id, id, ...) with the thirteen features. Cosine and dot are of the
     user's and the article's vectors, 0 where one is missing."""
     keys = pairs.select("user_id", "id").distinct()
-    vectors = U.vectors(interactions, embedded).join(keys.select("user_id").distinct(), "user_id", "left_semi")
-    items = keys.join(embedded, "id")
-    sims = items.join(vectors.select("user_id", "dim", F.col("w").alias("uw")), ["user_id", "dim"]).groupBy("user_id", "id").agg(F.sum(F.col("w") * F.col("uw")).alias("s"))
+    people = keys.select("user_id").distinct()
+    vectors = dense(U.vectors(interactions.join(people, "user_id", "left_semi"), embedded).select("user_id", "dim", "w"), "user_id")
+    known = vectors.select("user_id", full(F.col("dims"), F.col("ws")).alias("uw"))
+    items = keys.join(dense(embedded), "id").join(known, "user_id")
+    products = F.zip_with("dims", "ws", lambda d, w: w * F.get("uw", d))
+    sims = items.select("user_id", "id", F.aggregate(products, F.lit(0.0), lambda s, x: s + x).alias("s"))
     facts = articles.select("id", "source", "doi", "published_at")
     out = pairs.join(facts, "id").join(sims, ["user_id", "id"], "left").join(U.stats(interactions), "user_id", "left")
     out = out.join(U.popularity(interactions).withColumnRenamed("article_id", "id"), "id", "left")
@@ -68,9 +73,10 @@ def reranker_pairs(interactions: DataFrame, articles: DataFrame, embedded: DataF
     enough = latest_per_user(interactions, limit).groupBy("user_id").count().filter(F.col("count") >= least).select("user_id")
     positive = latest_per_user(interactions, limit).select("user_id", F.col("article_id").alias("id")).distinct().join(enough, "user_id", "left_semi").join(has, "id", "left_semi")
     most = limit + pool  # a user's positives can hide at most `limit` of the newest
-    newest = articles.join(has, "id", "left_semi").orderBy(F.desc_nulls_last("published_at"), "id").limit(most).select("id", "published_at")
-    page = newest.agg(F.collect_list(F.struct("id", "published_at")).alias("page")).withColumn("one", F.lit(1))
-    offered = positive.select("user_id").distinct().withColumn("one", F.lit(1)).join(F.broadcast(page), "one").select("user_id", F.explode("page").alias("p")).select("user_id", "p.*")
+    newest = stored(articles.join(has, "id", "left_semi").orderBy(F.desc_nulls_last("published_at"), "id").limit(most).select("id", "published_at"))
+    slots = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("place")
+    placed = newest.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("published_at"), "id")) - 1)  # `most` rows
+    offered = positive.select("user_id").distinct().select("user_id", slots).join(small(placed), "place").drop("place")
     free = offered.join(positive, ["user_id", "id"], "left_anti")
     by_time = Window.partitionBy("user_id").orderBy(F.desc_nulls_last("published_at"), "id")
     drawn = Window.partitionBy("user_id").orderBy(F.xxhash64(F.lit(seed), "user_id", "id"), "id")
@@ -181,5 +187,3 @@ class TwoTower:
 
         return vectors.select(key, "dims", "ws").mapInPandas(run, f"{key} bigint, embedding array<double>")
 
-
-__all__ = ["FEATURES", "features", "hidden"]

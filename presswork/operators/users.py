@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .embed import sparse
 from .listing import latest_per_user
 
 
@@ -32,7 +33,7 @@ def vectors(interactions: DataFrame, embedded: DataFrame, least: int = 1, limit:
     embedded articles; users with fewer interactions, or no weight, have none."""
     counts = latest_per_user(interactions, count_limit).groupBy("user_id").agg(F.count(F.lit(1)).alias("interaction_count")).filter(F.col("interaction_count") >= least)
     used = weights(interactions, limit).filter("weight > 0").withColumnRenamed("article_id", "id")
-    sums = used.join(embedded, "id").groupBy("user_id", "dim").agg(F.sum(F.col("weight") * F.col("w")).alias("v"))
+    sums = sparse(used.join(embedded, "id"), ["user_id", "weight"]).groupBy("user_id", "dim").agg(F.sum(F.col("weight") * F.col("w")).alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("user_id")))
     unit = sums.withColumn("norm", norm).filter("norm > 0").select("user_id", "dim", (F.col("v") / F.col("norm")).alias("w"))
     return unit.join(counts, "user_id")

@@ -21,13 +21,14 @@ INTER = """inter as (select event_id id, user_id, json_extract_string(props, '$.
   case event_type when 'view' then 'read' when 'purchase' then 'bookmark' when 'click' then 'like' when 'error' then 'hide' else 'search' end kind,
   case when event_type = 'view' then floor(value)::int end rt, ts created_at from events),
 pos as (select *, row_number() over (partition by user_id order by created_at desc, id desc) rn from inter where kind in ('read', 'bookmark', 'like'))"""
-GAZ = """gaz as (select * from (values ('thtion', 'disease', 'D:1'), ('attion', 'drug', 'D:2'), ('ertion', 'gene', 'D:3'), ('thanea', 'company', 'D:4'), ('eriner', 'disease', 'D:5'), ('thanedble', 'drug', 'D:6'), ('queoi', 'company', null), ('eaureau', 'gene', null)) t(name, entity_type, external_id))"""
-ENT = GAZ + r""", ent as (select id article_id, name, entity_type, regexp_extract(t, '(?i)(?:^|[^\p{L}\p{N}_])(' || name || ')(?:$|[^\p{L}\p{N}_])', 1) mention_text
+GAZ = """gaz as (select * from (values ('thtion', 'disease', 'D:1', 2), ('attion', 'drug', 'D:2', 3), ('ertion', 'gene', 'D:3', 4), ('thanea', 'company', 'D:4', 5), ('eriner', 'disease', 'D:5', 6), ('thanedble', 'drug', 'D:6', 0), ('queoi', 'company', null, 7), ('eaureau', 'gene', null, 1)) t(name, entity_type, external_id, ord))"""
+ENT = GAZ + r""", ent as (select id article_id, name, entity_type, ord, regexp_extract(t, '(?i)(?:^|[^\p{L}\p{N}_])(' || name || ')(?:$|[^\p{L}\p{N}_])', 1) mention_text
   from (select id, title || ' ' || coalesce(summary, '') t from art), gaz
   where regexp_matches(t, '(?i)(?:^|[^\p{L}\p{N}_])' || name || '(?:$|[^\p{L}\p{N}_])'))"""
 REL = """pred as (select * from (values ('company', 'drug', 'develops', 'developed_by'), ('company', 'disease', 'researches', 'researched_by'), ('drug', 'disease', 'targets', 'targeted_by'), ('drug', 'gene', 'targets', 'targeted_by'), ('company', 'gene', 'researches', 'researched_by')) t(a, b, there, back)),
 rel as (select x.name subject, there predicate, y.name object, x.article_id evidence_article_id from ent x join ent y using (article_id) join pred on x.entity_type = a and y.entity_type = b
-  union all select y.name, back, x.name, x.article_id from ent x join ent y using (article_id) join pred on x.entity_type = a and y.entity_type = b)"""
+  union all select y.name, back, x.name, x.article_id from ent x join ent y using (article_id) join pred on x.entity_type = a and y.entity_type = b
+  union all select x.name, 'co_mentioned_with', y.name, x.article_id from ent x join ent y using (article_id) where x.ord < y.ord and not exists (select 1 from pred where (a = x.entity_type and b = y.entity_type) or (a = y.entity_type and b = x.entity_type)))"""
 W = """wts as (select user_id, article_id, sum(case when kind <> 'read' then 1::double when rt > 0 then least(rt / 300.0::double, 1) else 0 end) weight from pos where rn <= 500 group by 1, 2)"""
 UV = W + """, uv_s as (select user_id, dim, sum(weight * w) v from wts join emb on emb.id = article_id where weight > 0 group by 1, 2),
 uv as (select user_id, dim, v / sqrt(sum(v * v) over (partition by user_id)) w from uv_s),
@@ -102,7 +103,7 @@ select kept id from g where kept >= 0""",
     "source_affinity": f"with {ART}, {INTER}, {SRC} select user_id, source, round(share, 4) share from src_aff",
     "topic_affinity": f"with {ART}, {INTER}, {ENT}, {LIKED}, {TOP} select user_id, name, round(share, 4) share from top_aff",
     "interaction_weights": f"with {INTER}, {W} select user_id, article_id, round(weight, 4) weight from wts",
-    "user_embedding": f"with {ART}, {EMB}, {INTER}, {UV} select user_id, dim, round(w, 4) w, interaction_count from uv join cnt using (user_id)",
+    "user_embedding": f"with {ART}, {EMB}, {INTER}, {UV} select user_id, dim, round(w, 4) + 0.0 w, interaction_count from uv join cnt using (user_id)",
     "feed_cold_start": f"""with {ART}, {EMB}, {INTER}, {COLD},
 c as (select distinct id, published_at from art where id in (select id from emb) and published_at >= timestamp '2024-01-31' - interval 30 days),
 r as (select u.user_id, c.id, row_number() over (partition by u.user_id order by published_at desc, c.id) rn from (select distinct user_id from inter) u, c where not exists (select 1 from gone g where g.user_id = u.user_id and g.article_id = c.id))
@@ -138,8 +139,7 @@ from bur b join art a on a.id = b.article_id join ln on anchor = b.article_id"""
     "kg_relation_strength": f"with {ART}, {ENT}, {REL} select subject, predicate, object, count(*)::bigint strength from (select distinct * from rel) group by 1, 2, 3",
     "kg_entity_search": f"with {GAZ} select name, entity_type, external_id from gaz where entity_type = 'drug' and name ilike '%TION%'",
     "kg_entity_neighbourhood": f"""with {ART}, {ENT}, {REL}, ed as (select distinct subject, predicate, object, evidence_article_id from rel),
-co as (select x.name a, y.name b, x.article_id from ent x join ent y using (article_id) where x.name < y.name and not exists (select 1 from pred where (a = x.entity_type and b = y.entity_type) or (a = y.entity_type and b = x.entity_type))),
-al as (select subject e, object o from ed union all select object, subject from ed union all select a, b from co union all select b, a from co)
+al as (select subject e, object o from ed union all select object, subject from ed)
 select e entity, o neighbour, count(*)::bigint n from al group by 1, 2""",
     "kg_article_entities": f"with {ART}, {ENT} select article_id, name, entity_type from ent",
     "trial_entities": "select doc_id article_id, p::bigint pos, 'Trial ' || t as name, 'NCT' || lpad(t::varchar, 8, '0') external_id from (select doc_id, 0 p, doc_id t from documents union all select doc_id, 1, 1 from documents where doc_id <> 1) where t < 50 and t % 2 = 1",

@@ -12,6 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table's files as a stream. A table of one file is read through its folder, as
+    file streams take folders only."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     head = F.split_part("text", F.lit("\n"), F.lit(1))

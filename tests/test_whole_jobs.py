@@ -38,7 +38,7 @@ def brute_feed(inter, emb, limit):
     """{user: ids} by plain loops over the vectors."""
     gone = {(r.user_id, r.article_id) for r in listing.hidden(inter).collect()}
     items, mine = {}, {}
-    for r in emb.collect():
+    for r in embed.sparse(emb).collect():
         items.setdefault(r.id, {})[r.dim] = r.w
     for r in users.vectors(inter, emb).collect():
         mine.setdefault(r.user_id, {})[r.dim] = r.w

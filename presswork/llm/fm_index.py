@@ -1,11 +1,14 @@
 """Substring dedup: a compressed FM-index for each shard, searched backward.
 
 A shard is a hash part of repeats.repeated_windows: the word strings around anchors
-that occur in two places or more. Its distinct strings are indexed (Burrows-Wheeler
-transform in a wavelet matrix of packed bits), and every string is streamed through the
-index from its last word to its first. The matching statistics of a position (longest
-match that starts there, cut off at the window length) come with the suffix interval of
-the match, and the interval's smallest doc tells whether an earlier document has it.
+that occur in two places or more. Its distinct strings are indexed: the Burrows-Wheeler
+transform in a wavelet matrix of packed bits, common prefixes of neighbouring suffixes in
+one byte each, and the smallest document of each distinct window, found by a bit vector
+of the windows' first suffixes. Neither the text nor the suffix array stays. Every
+document's strings are streamed through the index from their last words to their first.
+The matching statistics of a position (longest match that starts there, cut off at the
+window length) come with the suffix interval of the match; an interval of the
+full length tells whether an earlier document has the window.
 """
 
 from __future__ import annotations
@@ -29,30 +32,39 @@ def words_of(text: bytes) -> list[bytes]:
     return [w for w in text.translate(_to_space).split(b" ") if w]
 
 
+class Bits:
+    """A packed bit vector with the count of ones before each 64-bit word."""
+
+    def __init__(self, bit: np.ndarray):
+        padded = np.zeros((len(bit) // 64 + 1) * 64, np.uint8)
+        padded[: len(bit)] = bit
+        self.words = np.packbits(padded, bitorder="little").view("<u8")
+        self.before = np.zeros(len(self.words), np.uint32)
+        np.cumsum(np.bitwise_count(self.words[:-1]), dtype=np.uint32, out=self.before[1:])
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """Ones before place i."""
+        word = i >> 6
+        return self.before[word] + np.bitwise_count(self.words[word] & ((U64(1) << (i & 63).astype(U64)) - U64(1))).astype(np.int64)
+
+
 class WaveletMatrix:
-    """rank(c, i): occurrences of c in the first i symbols. One packed bit vector for
-    each bit of the symbols, with the count of ones before each 64-bit word."""
+    """rank(c, i): occurrences of c in the first i symbols. One bit vector for each bit
+    of the symbols."""
 
     def __init__(self, symbols: np.ndarray, n_symbols: int):
         self.bits = max(1, int(n_symbols - 1).bit_length())
         self.levels = []
         for level in range(self.bits - 1, -1, -1):
             bit = (symbols >> level) & 1
-            padded = np.zeros((len(bit) // 64 + 1) * 64, np.uint8)
-            padded[: len(bit)] = bit
-            words = np.packbits(padded, bitorder="little").view("<u8")
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
-            zeros = int(len(bit) - bit.sum())
-            self.levels.append((words, before, zeros))
+            self.levels.append((Bits(bit), int(len(bit) - bit.sum())))
             symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
-
         every = np.arange(n_symbols)
         self.floor = self._descend(every, np.zeros(n_symbols, np.int64))  # where each symbol's copies begin below the last level
 
     def _descend(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        for level, (words, before, zeros) in enumerate(self.levels):
-            word = i >> 6
-            ones = before[word] + np.bitwise_count(words[word] & ((U64(1) << (i & 63).astype(U64)) - U64(1)))
+        for level, (vector, zeros) in enumerate(self.levels):
+            ones = vector.rank(i)
             i = np.where((c >> (self.bits - 1 - level)) & 1, zeros + ones, i - ones)
         return i
 
@@ -61,16 +73,16 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index over strings of symbols 1..n_symbols-1; 0 ends each string.
+    """Index over strings of symbols 1..n_symbols-1; 0 ends each string. `doc`: the
+    document of each symbol.
 
-    Suffixes are sorted by their first `depth` symbols or more, which is enough for
-    patterns up to that length.
+    Suffixes are sorted by their first `depth` symbols (at most 255) or more, which is
+    enough for patterns up to that length.
     """
 
-    def __init__(self, strings: np.ndarray, n_symbols: int, depth: int):
+    def __init__(self, strings: np.ndarray, n_symbols: int, depth: int, doc: np.ndarray | None = None):
         n = len(strings)
         self.n, self.depth = n, depth
-        self.text = strings
         rank, span = strings.astype(np.int64), 1
         order = np.argsort(rank, kind="stable")
         while span < depth:
@@ -83,33 +95,38 @@ class FMIndex:
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(new) - 1
             span *= 2
-        self.suffixes = order
         self.first = np.searchsorted(np.sort(strings), np.arange(n_symbols + 1))  # suffixes that begin with a smaller symbol
         self.bwt = WaveletMatrix(strings[order - 1], n_symbols)
-        self.shared = self._neighbours(order, depth)
+        self.shared = self._neighbours(strings, order, depth)
+        self.heads = Bits(self.shared < depth)  # the first suffix of each distinct window
+        starts = np.flatnonzero(self.shared < depth)
+        self.smallest = np.minimum.reduceat(doc[order], starts) if doc is not None and n else None
 
-    def _neighbours(self, order: np.ndarray, depth: int) -> np.ndarray:
+    @staticmethod
+    def _neighbours(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
         """Length, up to depth, of the common prefix of each suffix and the one before it."""
-        shared = np.zeros(self.n, np.int64)
-        active = np.arange(1, self.n)
+        n = len(text)
+        shared = np.zeros(n, np.uint8)
+        active = np.arange(1, n)
         for d in range(depth):
             a, b = order[active] + d, order[active - 1] + d
-            inside = (a < self.n) & (b < self.n)
-            same = inside & (self.text[np.minimum(a, self.n - 1)] == self.text[np.minimum(b, self.n - 1)])
+            inside = (a < n) & (b < n)
+            same = inside & (text[np.minimum(a, n - 1)] == text[np.minimum(b, n - 1)])
             active = active[same]
             shared[active] = d + 1
             if not len(active):
                 break
         return shared
 
-    def blocks(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each place in the suffix order, the interval of suffixes with the same
-        first `depth` symbols."""
-        new = self.shared < depth
-        new[:1] = True
-        starts = np.flatnonzero(new)
-        which = np.cumsum(new) - 1
-        return starts[which], np.concatenate([starts[1:], [self.n]])[which]
+    def around(self, i: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The interval of suffixes with the same first `depth` symbols as suffix i."""
+        starts = np.flatnonzero(self.shared < depth) if depth else np.zeros(1, np.int64)
+        k = np.searchsorted(starts, i, "right") - 1
+        return starts[k], np.append(starts, self.n)[k + 1]
+
+    def first_doc(self, i: np.ndarray) -> np.ndarray:
+        """The smallest document with the window (of `depth` symbols) of suffix i."""
+        return self.smallest[self.heads.rank(i + 1) - 1]
 
     def extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search: from the interval of P to that of cP."""
@@ -124,7 +141,6 @@ class FMIndex:
         its last symbol before the next is put in front; one that can't be extended
         drops symbols until it can.
         """
-        shrink = {}
         length = np.zeros(len(strings), np.int64)
         low, high = length.copy(), length.copy()
         order = np.argsort(-sizes, kind="stable")
@@ -134,11 +150,9 @@ class FMIndex:
         def cut(who, to):
             for depth in np.unique(to):
                 k = who[to == depth]
-                if depth not in shrink:
-                    shrink[depth] = self.blocks(int(depth))
-                begin, end = shrink[depth]
-                hi[k] = np.where(hi[k] > lo[k], end[np.minimum(lo[k], self.n - 1)], hi[k])
-                lo[k] = begin[np.minimum(lo[k], self.n - 1)]
+                begin, end = self.around(np.minimum(lo[k], self.n - 1), int(depth))
+                hi[k] = np.where(hi[k] > lo[k], end, hi[k])
+                lo[k] = begin
                 m[k] = depth
 
         for step in range(1, int(sizes.max(initial=0)) + 1):
@@ -165,32 +179,29 @@ class FMIndex:
 
 
 def windows_seen_before(rows: np.ndarray, strings: list[bytes], window: int) -> np.ndarray:
-    """REMOVED windows of word fragments (FRAGMENT rows): those whose words also start in a smaller doc."""
+    """REMOVED windows of word fragments (FRAGMENT rows): those whose words also start in a
+    smaller doc. Each distinct string is indexed once, with its smallest doc, and what the
+    index says of its windows is held against every document that has it."""
     if not len(rows):
         return np.zeros(0, REMOVED)
+    place: dict[bytes, int] = {}
+    which = np.array([place.setdefault(s, len(place)) for s in strings])
+    least = np.full(len(place), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, rows["doc"])
     number: dict[bytes, int] = {}
     ids, sizes = [], []
-    for string in strings:
+    for string in place:
         words = words_of(string)
         ids += [number.setdefault(w, len(number) + 1) for w in words]
         ids.append(0)
         sizes.append(len(words))
     symbols, sizes = np.array(ids, np.int64), np.array(sizes, np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
-    index = FMIndex(symbols, len(number) + 1, window)
-    doc = np.repeat(rows["doc"], sizes + 1)[index.suffixes]
-    begin, _ = index.blocks(window)
-    heads = np.flatnonzero(begin == np.arange(index.n))
-    smallest = np.minimum.reduceat(doc, heads)
-    block = np.zeros(index.n, np.int64)
-    block[heads] = np.arange(len(heads))
+    index = FMIndex(symbols, len(number) + 1, window, np.repeat(least, sizes + 1))
     length, low, _ = index.matching_statistics(symbols, starts, sizes, window)
-    flags = []
-    for row, start in zip(rows, starts.tolist()):
-        at = slice(start, start + int(row["windows"]))
-        matched = length[at] >= window
-        flags.append(matched & (smallest[block[begin[np.where(matched, low[at], 0)]]] < row["doc"]))
-    return flagged_runs(rows, flags)
+    never = np.iinfo(np.int64).max
+    seen = np.where(length >= window, index.first_doc(np.minimum(low, index.n - 1)), never)
+    return flagged_runs(rows, [seen[starts[k] : starts[k] + int(row["windows"])] < row["doc"] for k, row in zip(which, rows)])
 
 
 def remove_repeated_windows(docs: DataFrame, window: int = 50, with_text: bool = True) -> DataFrame:
@@ -204,7 +215,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 50, with_text: bool =
     smallest.
     """
     texts = common.keyed_texts(docs)
-    found = repeated_windows(texts, Words(), window, lambda rows, strings: windows_seen_before(rows, strings, window), common.parts_for(docs))
+    found = repeated_windows(texts, Words(), window, lambda rows, strings: windows_seen_before(rows, strings, window), common.parts_for(docs), merged=False)
 
     def finish(batches):
         for batch in batches:

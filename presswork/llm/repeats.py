@@ -5,14 +5,15 @@ have equal anchors at equal offsets, so all copies of a window meet in the hash
 of their anchor. Neighbouring windows with the same anchor form one run, and only
 runs whose anchor occurs in at least two different places travel with their tokens:
 
-1. ``anchors``   texts -> packed (hash, doc, tid, position) by part;
-2. ``repeated``  part -> positions of anchors seen in two places or more; of exact
-   copies of a text (same tid) only the first document goes on;
-3. ``fragments`` texts with such positions -> packed token strings by part. Copies of
+1. ``copies``    equal texts are one text: only the first document goes on;
+2. ``anchors``   texts -> packed (hash, doc, tid, position) by part. Anchors with two
+   places in one batch are known to be repeated and send one row for all of them;
+3. ``repeated``  part -> positions of anchors seen in two places or more;
+4. ``fragments`` texts with such positions -> packed token strings by part. Copies of
    a fragment inside one batch that the first of them already covers are settled on
    the spot, so a passage that many documents share sends one fragment a batch;
-4. a solver for each part (suffix sort or FM-index) -> windows to remove;
-5. a join of these with the texts. Steps 3 and 5 use the same exchange of the texts.
+5. a solver for each part (suffix sort or FM-index) -> windows to remove;
+6. a join of these with the texts. All joins use the same exchange of the texts.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from . import common
 
 U64 = np.uint64
-POSITION_BITS = 28
+#: Bits of a token's place in a text; the other bits of an anchor's hash decide which is smallest.
+POSITION_BITS = 31
 CHUNK_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 
@@ -125,6 +127,8 @@ class Batch:
         self.hash = np.zeros(0, U64)
         if len(h) < width:
             return
+        if len(h) >= 1 << POSITION_BITS:
+            raise ValueError("a text has too many tokens")  # more than a Spark string can hold
         low = U64((1 << POSITION_BITS) - 1)
         at = (window_minimum((h & ~low) | np.arange(len(h), dtype=U64), width) & low).astype(np.int64)
         n = len(at)
@@ -193,13 +197,32 @@ def by_document(rows: np.ndarray, fields: list[str]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(rows["doc"][at]), pa.array(rows["tid"][at]), binary_rows(packed, counts)], schema=_reply)
 
 
-def repeated_windows(texts: DataFrame, tokens, window: int, solve: Callable, parts: int) -> DataFrame:
+def by_place(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ANCHOR rows by hash and place (text and position), each place once; whether a row
+    is the first of its hash; how many places its hash has."""
+    rows = rows[np.lexsort((rows["doc"], rows["at"], rows["tid"], rows["hash"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = rows["hash"][1:] != rows["hash"][:-1]
+    place = new.copy()
+    place[1:] |= (rows["tid"][1:] != rows["tid"][:-1]) | (rows["at"][1:] != rows["at"][:-1])
+    rows, number = rows[place], np.cumsum(new)[place] - 1
+    return rows, new[place], np.bincount(number)[number]
+
+
+def split_strings(rows: np.ndarray, data: bytes) -> list[bytes]:
+    ends = np.cumsum(rows["size"], dtype=np.int64).tolist()
+    return [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+
+def repeated_windows(texts: DataFrame, tokens, window: int, solve: Callable, parts: int, merged: bool = True) -> DataFrame:
     """(doc, tid, packed REMOVED windows: first, windows), several rows a document.
 
     `texts` is common.keyed_texts(). solve(fragments, strings) gets the FRAGMENT rows and
-    strings of whole hash parts and returns REMOVED rows. Only the first document (by
-    doc) of exact copies of a text is looked at; see copies() for the others.
+    strings of whole hash parts and returns REMOVED rows; with `merged`, only one row for
+    each distinct string, the others being settled. Only the first document (by doc) of
+    exact copies of a text is looked at; see copies() for the others.
     """
+    firsts = texts.join(copies(texts).select("doc", "tid").hint("shuffle_hash"), ["doc", "tid"], "left_anti")
 
     def anchors(batches):
         for batch in batches:
@@ -213,18 +236,21 @@ def repeated_windows(texts: DataFrame, tokens, window: int, solve: Callable, par
                 rows["doc"], rows["tid"] = doc[piece][runs.text], tid[piece][runs.text]
                 found.append(rows)
             if found and len(rows := np.concatenate(found)):
-                yield by_part((rows["hash"] % U64(parts)).astype(np.int32), rows)
+                rows, first, places = by_place(rows)
+                several = places >= 2
+                asked = rows[first | ~several]
+                yield by_part((asked["hash"] % U64(parts)).astype(np.int32), asked)
+                if len(known := rows[several]):
+                    yield by_part((known["tid"] % parts).astype(np.int32), known, [b""] * len(known))
 
     def repeated(group: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(x, ANCHOR) for x in group.column("meta").to_pylist()])
-        rows = rows[np.lexsort((rows["doc"], rows["at"], rows["tid"], rows["hash"]))]
-        new_hash = np.ones(len(rows), bool)
-        new_hash[1:] = rows["hash"][1:] != rows["hash"][:-1]
-        place = new_hash.copy()  # the first document of each (text, position)
-        place[1:] |= (rows["tid"][1:] != rows["tid"][:-1]) | (rows["at"][1:] != rows["at"][:-1])
-        rows, group_no = rows[place], np.cumsum(new_hash)[place] - 1
-        rows = rows[np.bincount(group_no)[group_no] >= 2] if len(rows) else rows
-        return by_document(rows, ["at"])
+        meta, data = group.column("meta").to_pylist(), group.column("data").to_pylist()
+        known = [np.frombuffer(m, ANCHOR) for m, d in zip(meta, data) if d is not None]
+        asked = [np.frombuffer(m, ANCHOR) for m, d in zip(meta, data) if d is None]
+        if asked:
+            rows, _, places = by_place(np.concatenate(asked))
+            known.append(rows[places >= 2])
+        return by_document(np.concatenate(known), ["at"])
 
     def fragments(batches):
         for batch in batches:
@@ -265,13 +291,14 @@ def repeated_windows(texts: DataFrame, tokens, window: int, solve: Callable, par
         out = [np.frombuffer(m, REMOVED) for m, d in zip(meta, data) if d is None]
         frag = [(np.frombuffer(m, FRAGMENT), d) for m, d in zip(meta, data) if d is not None]
         if frag:
-            out.append(solve_distinct(np.concatenate([m for m, _ in frag]), b"".join(d for _, d in frag), solve))
+            rows, data = np.concatenate([m for m, _ in frag]), b"".join(d for _, d in frag)
+            out.append(solve_distinct(rows, data, solve) if merged else solve(rows, split_strings(rows, data)))
         rows = np.concatenate(out)
         return by_document(rows, ["first", "windows"])
 
-    flags = texts.mapInArrow(anchors, PART_SCHEMA).groupBy("part").applyInArrow(repeated, REPLY_SCHEMA)
+    flags = firsts.mapInArrow(anchors, PART_SCHEMA).groupBy("part").applyInArrow(repeated, REPLY_SCHEMA)
     flags = flags.groupBy("doc", "tid").agg(F.collect_list("packed").alias("packed"))
-    flagged = texts.join(flags.hint("shuffle_hash"), ["doc", "tid"], "left").filter(F.size("packed") > 0)
+    flagged = texts.join(flags.hint("shuffle_hash"), ["doc", "tid"])
     return flagged.mapInArrow(fragments, PART_SCHEMA).groupBy("part").applyInArrow(solved, REPLY_SCHEMA)
 
 
@@ -318,11 +345,13 @@ def flagged_runs(rows: np.ndarray, flags: list[np.ndarray]) -> np.ndarray:
 
 
 def copies(texts: DataFrame) -> DataFrame:
-    """(doc, tid, first_doc) of the documents that repeat the whole text of an earlier
-    one. Only names travel, and counts of copies are summed before the shuffle."""
-    names = texts.select("doc", "tid").distinct()
-    firsts = names.groupBy("tid").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return names.join(firsts, "tid").filter("doc > first_doc")
+    """(doc, tid) of the documents that repeat the whole text of an earlier one. Texts are
+    told apart by their length and 128 bits of SHA-256. Only these travel, and equal ones
+    are counted before the shuffle."""
+    name = [F.octet_length("text").alias("length"), F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("sha")]
+    names = texts.select("doc", "tid", *name).distinct()
+    firsts = names.groupBy("length", "sha").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return names.join(firsts, ["length", "sha"]).filter("doc > first_doc").select("doc", "tid")
 
 
 def with_removals(texts: DataFrame, windows: DataFrame) -> DataFrame:

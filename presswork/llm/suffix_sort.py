@@ -101,14 +101,23 @@ class SuffixSorter:
         return self.verified(order, shared, sorted_group, rest)
 
     def verified(self, order, shared, sorted_group, rest):
-        """Compares the bytes of neighbours; groups with a hash collision are sorted anew."""
+        """Compares neighbours byte for byte: the prefix they share, and that the next byte
+        puts them in this order. If all are, the order is right; groups in which a hash
+        collision misled the sort are sorted anew."""
         n = shared[rest]
+        left, right = order[rest - 1], order[rest]
         ends = np.cumsum(n)
         step = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n)
-        same = self.data[np.repeat(self.start[order[rest - 1]], n) + step] == self.data[np.repeat(self.start[order[rest]], n) + step]
-        if same.all():
+        same = self.data[np.repeat(self.start[left], n) + step] == self.data[np.repeat(self.start[right], n) + step]
+        wrong = np.zeros(len(rest), bool)
+        wrong[np.repeat(np.arange(len(rest)), n)[~same]] = True
+        last = len(self.data) - 1
+        x = np.where(n == self.length[left], -1, self.data[np.minimum(self.start[left] + n, last)].astype(np.int16))
+        y = np.where(n == self.length[right], -1, self.data[np.minimum(self.start[right] + n, last)].astype(np.int16))
+        wrong |= (x > y) | ((x == y) & (x >= 0))
+        if not wrong.any():
             return order, shared
-        bad = np.unique(sorted_group[rest[np.unique(np.repeat(np.arange(len(rest)), n)[~same])]])
+        bad = np.unique(sorted_group[rest[wrong]])
         text = self.data.tobytes()
         string = lambda i: text[self.start[i] : self.start[i] + self.length[i]]
         for g in bad:

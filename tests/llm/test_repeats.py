@@ -69,6 +69,27 @@ def test_word_removal_equals_brute_force(spark):
     assert got == by_words(docs, 50)
 
 
+def test_a_reversed_pair_with_the_right_prefix_is_found():
+    data = np.frombuffer(b"abcXabcA", np.uint8)
+    sorter = SuffixSorter(data, np.array([0, 4]), np.array([4, 4]))
+    order, shared = sorter.verified(np.array([0, 1]), np.array([0, 3]), np.array([0, 0]), np.array([1]))
+    assert order.tolist() == [1, 0] and shared[1] == 3
+
+
+def test_texts_of_several_chunks(spark, monkeypatch):
+    from presswork.llm import repeats
+
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(190_000))  # over a megabyte
+    docs = [(1, long), (2, long[:600_000] + " other " + long[600_000:]), (3, long[1_000_000:1_001_000])]
+    assert len(long) > repeats.CHUNK_BYTES
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df).collect()}
+    assert got == by_bytes(docs, 100)
+    words = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in remove_repeated_windows(df).collect()}
+    assert words == by_words(docs, 50)
+
+
 def test_empty_table_and_repeated_rows(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert remove_repeats(df).count() == 0 and remove_repeated_windows(df).count() == 0

@@ -33,13 +33,15 @@ def parts_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir of the cluster, or a
-    temporary one where none is set (tests on one machine)."""
+    """The folder that all executors see: spark.checkpoint.dir of the cluster. Where it is
+    unset, as in tests, a temporary folder serves on one machine, and only there."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -58,12 +60,14 @@ def small(df: DataFrame) -> DataFrame:
 
 class Scratch:
     """Tables written to the shared folder; reading one again cuts the lineage, and
-    a lost executor costs no more than the tasks it was running."""
+    a lost executor costs no more than the tasks it was running. Results are read from
+    them, so they stay until clear_scratch()."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
         self.count = 0
+        vars(spark.sparkContext).setdefault("_presswork_scratch", []).append(self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -74,9 +78,19 @@ class Scratch:
         return saved
 
     def drop(self, saved: DataFrame) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(saved._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, saved._scratch_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the tables that this session's operators have written on the way. To be
+    called when no result that reads them is needed any more."""
+    for path in vars(spark.sparkContext).pop("_presswork_scratch", []):
+        _delete(spark, path)
 
 
 def _keys() -> list:
@@ -91,10 +105,21 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(*[c.alias(n) for c, n in zip(_keys(), ("doc", "tid", "text"))])
 
 
-def with_keys(docs: DataFrame) -> DataFrame:
-    """docs with the keys of keyed_texts() as __doc and __tid."""
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores put before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def with_keys(docs: DataFrame, names: tuple[str, str] = ("__doc", "__tid")) -> DataFrame:
+    """docs with the keys of keyed_texts() under these names."""
     doc, tid, _ = _keys()
-    return docs.withColumns({"__doc": doc, "__tid": tid})
+    return docs.withColumns(dict(zip(names, (doc, tid))))
 
 
 def doc_id_of(column: str = "doc"):

@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 #: ASCII white space, symbols, and lines that are no content of their own.
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-BOILERPLATE = r"(?i)all rights reserved|\bcookies?\b|privacy policy|terms of (?:use|service)|(?:licensed|released) under|subscribe to|sign up|log ?in\b|enable javascript|lorem ipsum|click here|read more"
+#: Phrases of boilerplate lines, in lower case, found where a word begins.
+BOILERPLATE = {
+    "en": ["all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie", "licensed under", "released under", "subscribe to", "sign up", "log in", "enable javascript", "lorem ipsum", "click here", "read more"],
+    "fr": ["tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "sous licence", "s'abonner", "se connecter", "activer javascript", "cliquez ici", "lire la suite"],
+    "de": ["alle rechte vorbehalten", "datenschutz", "nutzungsbedingungen", "impressum", "lizenziert unter", "jetzt abonnieren", "hier anmelden", "javascript aktivieren", "hier klicken", "weiterlesen"],
+    "es": ["todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "bajo la licencia", "suscríbete", "iniciar sesión", "activar javascript", "haga clic aquí", "leer más"],
+}
+#: Signs between the entries of menus and trails of links.
+NAVIGATION = "|>»›·•"
 
 #: A line is navigation from so many separators on, if they are this share of its words.
 SEPARATORS, SEPARATOR_SHARE = 3, 0.25
@@ -32,8 +40,10 @@ def _escaped(text: str) -> str:
 def metrics(docs: DataFrame) -> DataFrame:
     """Every row of docs with n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words (long), base_failed, n_lines, n_bad_lines, chars_lost (long), kept and
-    cleaned (the text without the lines that fail). Columns of these names are replaced.
-    A null text has no words or lines; a text without words fails.
+    cleaned (the text without the lines that fail). Columns of these names are replaced,
+    others stay. A null text has no words or lines; a text without words fails. Each row
+    is judged by itself, so repeated rows fare alike; texts of any length are judged whole;
+    no rows give none.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "n_bad_lines", "chars_lost", "kept", "cleaned"]
     rest = [c for c in docs.columns if c not in made]
@@ -52,14 +62,16 @@ def metrics(docs: DataFrame) -> DataFrame:
     df = df.withColumn("g", F.expr("if(size(near) = 0, cast(array() as array<struct<s:string,i:int>>), array_sort(transform(near, i -> named_struct('s', concat_ws(' ', w[i], w[i + 1], w[i + 2]), 'i', i))))")).drop("near")
     df = df.withColumn("p", F.expr("sort_array(transform(filter(g, (x, k) -> (k > 0 and g[k - 1].s = x.s) or (k < size(g) - 1 and g[k + 1].s = x.s)), x -> x.i))")).drop("g")
     repeat = "aggregate(p, named_struct('last', -3, 'n', 0), (acc, i) -> named_struct('last', i, 'n', acc.n + least(3, i - acc.last)), acc -> acc.n)"
-    signs = f"(char_length(l) - char_length(translate(l, '{SYMBOLS}!', '')))"
-    bars = "(char_length(l) - char_length(translate(l, '|>', '')))"
-    gaps = "(1 + char_length(l) - char_length(translate(l, ' ', '')))"  # about the number of words
-    bad = f"""(l rlike '{BOILERPLATE.replace(chr(92), chr(92) * 2)}'
+    signs = f"(char_length(x.l) - char_length(translate(x.l, '{SYMBOLS}!', '')))"
+    bars = f"(char_length(x.l) - char_length(translate(x.l, '{NAVIGATION}', '')))"
+    gaps = "(1 + char_length(x.l) - char_length(translate(x.l, ' ', '')))"  # about the number of words
+    phrases = " or ".join(f"contains(x.low, '{_escaped(' ' + p)}')" for listed in BOILERPLATE.values() for p in listed)
+    bad = f"""({phrases}
         or ({bars} >= {SEPARATORS} and {bars} >= {SEPARATOR_SHARE} * {gaps})
         or ({signs} >= {SIGNS_PER_WORD} * {gaps})
-        or ({gaps} >= {LONG_WITHOUT_END} and not l rlike '[.!?,;:…。！？]'))"""
-    df = df.withColumn("marks", F.expr(f"transform(lines, l -> named_struct('l', l, 'n', {_chars('l')}, 'bad', {bad}))"))
+        or ({gaps} >= {LONG_WITHOUT_END} and not x.l rlike '[.!?,;:…。！？]'))"""
+    df = df.withColumn("lowered", F.expr("transform(lines, l -> named_struct('l', l, 'low', concat(' ', lower(l))))"))
+    df = df.withColumn("marks", F.expr(f"transform(lowered, x -> named_struct('l', x.l, 'n', {_chars('x.l')}, 'bad', {bad}))")).drop("lowered")
     long = lambda e: f"cast({e} as bigint)"
     df = df.select(
         "rest",
@@ -79,5 +91,6 @@ def metrics(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """doc_id and the figures and verdicts of metrics(), without the text."""
     found = metrics(docs.select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_bad_lines", "chars_lost")

@@ -31,11 +31,12 @@ select d.doc_id, coalesce((select min(o.doc_id) from n o where o.m = n.m), d.doc
 from documents d left join n on n.doc_id = d.doc_id
 """
 
-_bars = "(length(l) - length(replace(replace(l, '|', ''), '>', '')))"
+_bars = "(length(l) - length(regexp_replace(l, '[|>»›·•]', '', 'g')))"
 _signs = "(length(l) - length(regexp_replace(l, '[#*$%&|<>!]', '', 'g')))"
 _gaps = "(1 + length(l) - length(replace(l, ' ', '')))"
-_bad = f"""(regexp_matches(l, '{line_rules.BOILERPLATE}') or ({_bars} >= {line_rules.SEPARATORS} and {_bars} >= {line_rules.SEPARATOR_SHARE} * {_gaps})
-  or {_signs} >= {line_rules.SIGNS_PER_WORD} * {_gaps} or ({_gaps} >= {line_rules.LONG_WITHOUT_END} and not regexp_matches(l, '[.!?,;:…。！？]')))"""
+_phrases = ", ".join("'" + p.replace("'", "''") + "'" for listed in line_rules.BOILERPLATE.values() for p in listed)
+_bad = f"""(len(list_filter([{_phrases}], lambda p: contains(' ' || lower(l), ' ' || p))) > 0 or ({_bars} >= 3 and {_bars} >= 0.25 * {_gaps})
+  or {_signs} >= 1.5 * {_gaps} or ({_gaps} >= 60 and not regexp_matches(l, '[.!?,;:…。！？]')))"""
 
 LINE_RULES = rf"""
 with d as (select row_number() over () rid, doc_id, coalesce(text, '') t, {WORDS} ws from documents),
@@ -48,7 +49,7 @@ m as (select doc_id, len(ws)::bigint n_words, length(regexp_replace(t, '[\x20\x0
   coalesce(dup, 0)::bigint n_dup_lines, coalesce(rep.n, 0)::bigint n_repeat_words, coalesce(n_lines, 0)::bigint n_lines, coalesce(n_bad, 0)::bigint n_bad_lines, coalesce(lost, 0)::bigint chars_lost
   from d left join rep using (rid) left join li using (rid))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
-  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and chars_lost <= {line_rules.MOST_LOST} * word_chars kept, n_lines, n_bad_lines, chars_lost from m
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and chars_lost <= 0.5 * word_chars kept, n_lines, n_bad_lines, chars_lost from m
 """
 
 SQL: dict[str, str] = {

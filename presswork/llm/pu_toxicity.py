@@ -1,8 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over the set of a text's words (64-bit hashes). Confirmed toxic texts are the
-positives; the unlabelled texts are training-fold texts whose labels are not looked at. With
-the class prior p, the risk is p R+(positive) + max(0, R-(unlabelled) - p R-(positive)):
+A linear classifier over the set of a text's words (64-bit hashes). Confirmed toxic texts
+are the positives; the unlabelled texts are drawn from all documents of the training fold,
+labelled or not, and labels are not looked at. With the class prior p, the risk is p R+(positive) + max(0, R-(unlabelled) - p R-(positive)):
 the negative part is corrected for the positives hidden among the unlabelled texts, and
 where the correction goes below zero the step goes back on it instead.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import common
 from .repeats import U64, as_bytes, chunks, word_hashes
 
-#: The training sample: at most so many positives and unlabelled texts, the first by hash of doc_id.
+#: The training sample by default: at most so many positives and unlabelled texts, the first by hash of doc_id.
 MOST_POSITIVE, MOST_UNLABELLED = 4096, 12288
 #: Words carry weight if at least so many positives have them, and more of the positives
 #: than of the unlabelled texts by so many standard errors: with some hundred thousand
@@ -142,27 +142,36 @@ def in_training_fold(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Trains on the texts of docs that labels names in the training fold."""
+def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> tuple[np.ndarray, np.ndarray, float]:
+    """A model from the training fold: the texts that labels call toxic, and documents of any kind.
+
+    prior: the share of toxic documents; by default that among the fold's labels. Of
+    several rows of one doc_id the text with the smallest name is taken; of several
+    labels the largest; null ids and labels teach nothing. Without positives there is no
+    model. The driver holds at most most_positive + most_unlabelled texts' words.
+    """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(in_training_fold(F.col("doc_id")))
     counts = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr("cast(toxic = 1 as int)")).alias("positive")).first()
     if not counts["n"] or not counts["positive"]:
         return NO_MODEL
-    prior = counts["positive"] / counts["n"]
-    by_hash = lambda df, salt, most: df.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(most)
-    chosen = by_hash(known.filter("toxic = 1"), 1, MOST_POSITIVE).select("doc_id", F.lit(1).alias("set")).unionByName(by_hash(known, 2, MOST_UNLABELLED).select("doc_id", F.lit(0).alias("set")))
-    # bounded: at most MOST_POSITIVE + MOST_UNLABELLED ids and texts
+    prior = counts["positive"] / counts["n"] if prior is None else prior
+    by_hash = lambda df, salt, most: df.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(most)
+    anyone = docs.filter(in_training_fold(F.col("doc_id")))
+    chosen = by_hash(known.filter("toxic = 1"), 1, most_positive).withColumn("set", F.lit(1)).unionByName(by_hash(anyone, 2, most_unlabelled).withColumn("set", F.lit(0)))
+    # bounded: at most most_positive + most_unlabelled ids and texts
     ids = chosen.groupBy("doc_id").agg(F.max(F.expr("set = 1")).alias("p"), F.max(F.expr("set = 0")).alias("u"))
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
-    rows = features(sample).join(F.broadcast(ids), "doc_id").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["words"]))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
+    one = texts.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = features(one).join(F.broadcast(ids), "doc_id").toArrow().to_pylist()
+    rows.sort(key=lambda r: r["doc_id"])
     return train([r["words"] for r in rows if r["p"]], [r["words"] for r in rows if r["u"]], prior)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """docs with columns score (0 to 1; 0 without a model) and predicted (1 from 0.5 on),
-    or with other names; columns of these names are replaced. A null text scores as an
-    empty one."""
+    or with other names; columns of these names are replaced, others stay. A null text
+    scores as an empty one. Each row is scored by itself and whole, so repeated rows have
+    one score; no rows give none."""
     common.ship(docs.sparkSession)
     rest = [c for c in docs.columns if c not in names]
     schema = docs.select(*rest).withColumn(names[0], F.lit(0.0)).withColumn(names[1], F.lit(0)).schema
@@ -184,6 +193,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], names: t
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs."""
+    """doc_id, held_out, score, predicted of every row of docs. A null doc_id is held out."""
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select("doc_id", (~in_training_fold(F.col("doc_id"))).alias("held_out"), "score", "predicted")

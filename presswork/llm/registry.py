@@ -11,59 +11,69 @@ from .common import table
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe -7 as chains of replies, formatted and read back."""
     rows = chat.with_probe(spark, table(spark, sf_dir, "conversations"))
     return chat.digests(chat.format_trees(chat.chains(rows)))
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it contains."""
     from .decontaminate import contained_items
 
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("doc", "tid")
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and entropy spans of every document."""
     from .secret_scan import report
 
     return report(table(spark, sf_dir, "documents"))
 
 
 def op4_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by 50-word windows of smaller documents, removed."""
     from .fm_index import remove_repeated_windows
 
     return remove_repeated_windows(table(spark, sf_dir, "documents"), window=50, with_text=False).drop("kept")
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by 100-byte strings that start earlier, removed."""
     from .suffix_sort import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"), window=100, with_text=False).drop("kept")
 
 
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the bytes they decode to."""
     from .bpe import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document: five-word sets, similarity 0.8."""
     from .ngram_join import near_copies
 
     return near_copies(table(spark, sf_dir, "documents")).drop("doc", "tid")
 
 
 def op8_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdict of the quality rules for every document."""
     from .line_rules import report
 
     return report(table(spark, sf_dir, "documents"))
 
 
 def op9_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of equal row counts, read from the rewritten files."""
     from .resharding import by_rows
 
     return by_rows(table(spark, sf_dir, "documents"), shards=16)
 
 
 def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from the training fold."""
     from .pu_toxicity import classify
 
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -33,6 +33,20 @@ def _sql(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def running(df: DataFrame, name: str, values: str, start: str, merge: str) -> DataFrame:
+    """df with `name`: for each item of the array `values` (a column, dropped) what `merge` (of s
+    and y) makes of `start` and the items before it. Blocks of the square root of the
+    length keep this from copying or adding up the whole array for each item."""
+    fold = lambda part, first: f"aggregate({part}, {first}, (s, y) -> {merge})"
+    df = df.withColumn("_step", F.expr(f"greatest(1, cast(ceil(sqrt(size({values}))) as int))"))
+    blocks = f"""aggregate(sequence(0, (size({values}) - 1) div _step), named_struct('at', {start}, 'out', array({start})),
+        (acc, b) -> named_struct('at', {fold(f"slice({values}, b * _step + 1, _step)", "acc.at")},
+                                 'out', array_append(acc.out, {fold(f"slice({values}, b * _step + 1, _step)", "acc.at")})), acc -> acc.out)"""
+    df = df.withColumn("_blocks", F.expr(f"if(size({values}) = 0, array({start}), {blocks})"))
+    item = fold(f"slice({values}, (i div _step) * _step + 1, i % _step)", "_blocks[i div _step]")
+    return df.withColumn(name, F.expr(f"transform({values}, (x, i) -> {item})")).drop(values, "_step", "_blocks")
+
+
 def matches(df: DataFrame, name: str, pattern: str) -> DataFrame:
     """df with columns `{name}_found` (the matches) and `{name}_start` (their first code
     points), for leftmost matches that don't overlap."""
@@ -40,14 +54,9 @@ def matches(df: DataFrame, name: str, pattern: str) -> DataFrame:
     df = df.withColumn(f"{name}_found", F.expr(f"regexp_extract_all(text, {re}, 0)"))
     # only texts with a match are split
     df = df.withColumn(f"{name}_gaps", F.expr(f"if(size({name}_found) = 0, cast(array() as array<string>), split(text, {re}, -1))"))
-    starts = F.expr(
-        f"""if(size({name}_found) = 0, cast(array() as array<int>),
-        aggregate(sequence(0, size({name}_found) - 1), named_struct('at', 0, 'out', cast(array() as array<int>)),
-          (acc, i) -> named_struct('at', acc.at + char_length({name}_gaps[i]) + char_length({name}_found[i]),
-                                   'out', array_append(acc.out, acc.at + char_length({name}_gaps[i]))),
-          acc -> acc.out))"""
-    )
-    return df.withColumn(f"{name}_start", starts).drop(f"{name}_gaps")
+    df = df.withColumn("_sizes", F.expr(f"transform({name}_found, (m, i) -> char_length({name}_gaps[i]) + char_length(m))"))
+    df = running(df, f"{name}_start", "_sizes", "0", "s + y")
+    return df.withColumn(f"{name}_start", F.expr(f"transform({name}_start, (x, i) -> x + char_length({name}_gaps[i]))")).drop(f"{name}_gaps")
 
 
 def spans_of(name: str, kind: str, keep: str) -> Column:
@@ -116,7 +125,9 @@ def joined(spans: str) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """docs with `base` and `spans`: arrays of (kind, start, stop) in code points, stop
     exclusive; base holds the kinds assign, access and hex, spans the kind entropy too.
-    Columns of these names are replaced. A null text has none."""
+    Columns of these names are replaced, others stay. A null or empty text has none;
+    each row is scanned by itself and whole, so repeated rows fare alike and long texts
+    are read to their end; no rows give none."""
     rest = [c for c in docs.columns if c not in ("base", "spans", "text")]
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col("text").alias("given"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX)):
@@ -127,17 +138,18 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def mask(scanned: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """Replaces what the spans cover (overlapping ones together) by `mark` in the text."""
-    merged = """aggregate(array_sort(transform(spans, x -> named_struct('start', x.start, 'stop', x.stop))),
-        cast(array() as array<struct<start:int,stop:int>>),
-        (acc, x) -> if(size(acc) > 0 and x.start < acc[size(acc) - 1].stop,
-            concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', acc[size(acc) - 1].start, 'stop', greatest(acc[size(acc) - 1].stop, x.stop)))),
-            concat(acc, array(x))))"""
-    df = scanned.withColumn("_merged", F.expr(f"if(size(spans) > 0, {merged}, null)"))
-    pieces = f"""concat(array_join(transform(sequence(0, size(_merged) - 1),
-        i -> concat(substring(text, if(i = 0, 0, _merged[i - 1].stop) + 1, _merged[i].start - if(i = 0, 0, _merged[i - 1].stop)), {_sql(mark)})), ''),
-        substring(text, _merged[size(_merged) - 1].stop + 1))"""
-    return df.withColumn("text", F.expr(f"if(_merged is null, text, {pieces})")).drop("_merged")
+    """Replaces what the spans cover (overlapping ones together) by `mark` in the text.
+    Texts without spans, and null ones, stay as they are."""
+    rest = [c for c in scanned.columns if c != "text"]
+    df = scanned.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest"), "text", "spans")
+    df = df.withColumn("_spans", F.expr("array_sort(transform(spans, x -> named_struct('start', x.start, 'stop', x.stop)))"))
+    # what is masked before each span reaches so far
+    df = running(df.withColumn("_stops", F.expr("transform(_spans, x -> x.stop)")), "_reach", "_stops", "0", "greatest(s, y)")
+    pieces = f"""concat(array_join(transform(_spans, (x, i) -> if(i > 0 and x.start < _reach[i], '',
+            concat(substring(text, _reach[i] + 1, x.start - _reach[i]), {_sql(mark)}))), ''),
+        substring(text, array_max(transform(_spans, x -> x.stop)) + 1))"""
+    masked = F.expr(f"if(size(_spans) = 0, text, {pieces})").alias("text")
+    return df.select(*[masked if c == "text" else F.col(f"_rest.`{c}`") for c in scanned.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -175,16 +176,37 @@ def test_conversations_with_nulls_ties_and_many_turns(spark):
     assert got[-7].loss_chars == 26
 
 
-def test_cheapest_moves():
-    blocks = [(0, 1, 6, 6), (0, 5, 6, 600), (1, 1, 1, 1), (2, 3, 2, 20), (7, 2, 3, 9)]  # 18 rows, shard 7 goes away
-    moves = resharding.transfers(blocks, 3)
-    out, into = collections.Counter(), collections.Counter()
-    for s, c, a, b, to in moves:
-        out[s, c] += b - a
-        into[to] += b - a
-    assert out == {(0, 1): 6, (7, 2): 3}  # the small ones of shard 0, never the large
-    assert {s: sum(n for o, _, n, _ in blocks if o == s) - sum(n for (o, _), n in out.items() if o == s) + into[s] for s in range(3)} == {0: 6, 1: 6, 2: 6}
-    assert resharding.transfers([], 4) == []
+def fewest_bytes(sizes, shards):
+    """Least bytes that leave their shards, over all ways of giving the larger capacities."""
+    base, extra = divmod(sum(map(len, sizes)), shards)
+    best = None
+    for larger in itertools.combinations(range(shards), extra):
+        moved = sum(sum(sorted(x)[: max(0, len(x) - base - (s in larger))]) for s, x in enumerate(sizes))
+        best = moved if best is None else min(best, moved)
+    return best
+
+
+def test_moves_are_the_fewest_bytes():
+    rng = random.Random(12)
+    for _ in range(200):
+        shards = rng.randrange(1, 6)
+        sizes = [sorted(rng.randrange(1, 60) for _ in range(rng.randrange(12))) for _ in range(shards)]
+        counts = {s: len(x) for s, x in enumerate(sizes) if x}
+        base, extra = divmod(sum(counts.values()), shards)
+        marginal = {(s, must + 1): sizes[s][must] for s, n in counts.items() for must, may in [resharding.forced(n, base, extra)] if may}
+        moves = resharding.transfers(counts, shards, marginal)
+        after, moved = collections.Counter(counts), 0
+        for s, goes in moves.items():
+            at = 0
+            for upto, to in goes:
+                after[s] -= upto - at
+                after[to] += upto - at
+                at = upto
+            moved += sum(sizes[s][:at])
+        assert {after[s] for s in range(shards)} <= {base, base + 1} and moved == fewest_bytes(sizes, shards)
+    assert resharding.transfers({}, 4, {}) == {}
+    given_up = resharding.transfers({0: 2, 9: 4}, 2, {})
+    assert given_up == {9: [(3, 1), (4, 0)]}
 
 
 def test_resharded_rows(spark, tmp_path):
@@ -198,7 +220,16 @@ def test_resharded_rows(spark, tmp_path):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sizes[s]))
     assert all(r.text_crc32 == zlib.crc32((dict((d[0], d[1]) for d in docs)[r.doc_id] or "").encode()) for r in rows)
     assert resharding.by_rows(df.limit(0), 8).count() == 0
-    unique = df.filter("doc_id < 600")
-    old = F.col("doc_id").cast("int") % 2
-    affected = resharding.rewrite(unique, old, str(tmp_path / "out"), 4)
-    assert affected == [0, 1, 2, 3] and spark.read.parquet(str(tmp_path / "out")).count() == 500
+    old = F.pmod(F.xxhash64("source"), F.lit(8))
+    placed = resharding.assign(df, old, 8, rows_per_bucket=7).collect()
+    before = collections.defaultdict(list)
+    for r in placed:
+        before[r.old_shard].append(r.size)
+    assert sum(r.size for r in placed if r.shard != r.old_shard) == fewest_bytes([before[s] for s in range(8)], 8)
+    clash = df.withColumns({"shard": F.lit("mine"), "__doc": F.lit(1), "_row": F.lit(2)})
+    path = str(tmp_path / "out")
+    affected = resharding.rewrite(clash, F.lit(0), path, 4)
+    back = spark.read.parquet(path)
+    assert affected == [0, 1, 2, 3] and back.columns == ["doc_id", "text", "source", "__doc", "_row", "slot", "shard"]
+    count = lambda rows: collections.Counter((r.doc_id, r.text, r.source) for r in rows)
+    assert count(back.collect()) == count(df.collect())  # null and repeated ids too

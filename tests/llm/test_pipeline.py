@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from presswork.llm.common import clear_scratch
 from presswork.llm.registry import ORACLE, QUERIES
 
 
@@ -26,8 +29,21 @@ def test_planted_cases(spark, tmp_path):
     docs2 = spark.read.parquet(str(tmp_path / "documents.parquet"))
     masked = corpus_pipeline.secrets(spark, docs2, str(tmp_path)).filter("doc_id = 303").first()
     assert masked.text.endswith(" [SECRET]") and masked.n_chars == len(masked.text)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs2.limit(0), str(tmp_path)).columns == docs2.columns
+    names = ["doc", "tid", "row", "__doc", "__tid", "score", "toxic", "base", "spans", "ids", "words"]
+    twice = docs2.unionByName(docs2.filter("doc_id in (0, 304)")).withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs2.limit(0), str(tmp_path)).collect() == []
+        out = stage(spark, twice, str(tmp_path))
+        assert out.columns == twice.columns
+        rows = out.collect()
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+        copies = sum(r.doc_id in (0, 304) for r in rows)
+        assert copies == (2 if name == "ngram_jaccard_join" else 4)
+    assert corpus_pipeline.tokens(spark, docs2.limit(0), str(tmp_path)).collect() == []
+    bare = spark.createDataFrame([(None, None), (1, "x y z")], "doc_id bigint, text string")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, bare, str(tmp_path)).count() == 2
+    clear_scratch(spark)
 
 
 def test_each_operator_is_registered_once():

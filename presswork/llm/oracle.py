@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, line_rules
+from . import chat, decontaminate, line_rules, secret_scan
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -52,10 +52,63 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and chars_lost <= 0.5 * word_chars kept, n_lines, n_bad_lines, chars_lost from m
 """
 
+#: 100-byte strings of each text as hex; the earlier start of two equal ones stays.
+BYTES = r"""
+with t as (select row_number() over () rid, doc_id, hex(encode(coalesce(text, ''))) x from documents),
+d as (select *, length(x) // 2 n from t),
+c as (select rid, doc_id, n, q, substr(x, 1000 * q + 1, 1198) y from (select *, unnest(range(0, (n - 100) // 500 + 1)) q from d where n >= 100)),
+w as (select rid, doc_id, 500 * q + r p, md5(substr(y, 2 * r + 1, 200)) h from (select *, unnest(range(0, least(500, n - 99 - 500 * q))) r from c)),
+f as (select h, min((doc_id, p)) o from w group by 1),
+bad as (select rid, p from w join f using (h) where (doc_id, p) > o),
+runs as (select rid, p, p - row_number() over (partition by rid order by p) g from bad),
+joined as (select rid, min(p) a, max(p) + 100 b from runs group by rid, g),
+marked as (select *, sum((a > coalesce(before, -1))::int) over (partition by rid order by a) k from (select *, max(b) over (partition by rid order by a rows between unbounded preceding and 1 preceding) before from joined)),
+spans as (select rid, k, min(a) a, max(b) b from marked group by 1, 2),
+gaps as (select rid, k, coalesce(lag(b) over (partition by rid order by k), 0) s, a e from spans union all select rid, max(k) + 1, max(b), null from spans group by 1),
+kept as (select rid, string_agg(case when e is null then substr(x, 2 * s + 1) else substr(x, 2 * s + 1, 2 * (e - s)) end, '' order by k) y from gaps join d using (rid) group by 1),
+gone as (select rid, count(*) n_spans, sum(b - a) n_removed from spans group by 1)
+select doc_id, n::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans, sha256(unhex(coalesce(y, x))) kept_sha256
+from d left join kept using (rid) left join gone using (rid)
+"""
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _places(kind: str, number: int, pattern: str, keep: str) -> str:
+    """SQL of (rid, s, k, e, kind, m): matches of a pattern by their places."""
+    return f"""select rid, s, {number} k, s + length(m) e, '{kind}' kind, m from (
+  select rid, m, sum(length(gap) + length(m)) over (partition by rid order by i) - length(m) s from (
+    select rid, unnest(found) m, unnest(gaps[:len(found)]) gap, unnest(range(len(found))) i from (
+      select rid, regexp_extract_all(t, {_quoted(pattern)}) found, string_split_regex(t, {_quoted(pattern)}) gaps from d))) where {keep}"""
+
+
+_assign = secret_scan.ASSIGN
+SECRETS = rf"""
+with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
+base as ({_places("assign", 0, _assign, f"length(regexp_extract(m, {_quoted(_assign)}, 2)) >= 8")}
+  union all {_places("access", 1, secret_scan.ACCESS, "length(m) >= 16")}
+  union all {_places("hex", 2, secret_scan.HEX, "true")}),
+cand as ({_places("entropy", 3, secret_scan.CANDIDATE, f"not regexp_matches(m, {_quoted(secret_scan.ALLOWED)})")}),
+least as (select rid, s, m, case when not regexp_matches(m, '[0-9]') then case when 3 * length(regexp_replace(m, '[^AEIOUaeiou]', '', 'g')) >= length(regexp_replace(m, '[^A-Za-z]', '', 'g')) then {secret_scan.BITS["words"]} else {secret_scan.BITS["letters"]} end
+  when regexp_full_match(m, '[0-9a-f]+|[0-9A-F]+') then {secret_scan.BITS["hex"]} when regexp_full_match(m, '[A-Za-z0-9]+') then {secret_scan.BITS["alnum"]} else {secret_scan.BITS["base64"]} end::double bits from cand),
+win as (select rid, s, bits, p, unnest(string_split(substr(m, p + 1, 20), '')) c from (select rid, s, m, bits, unnest(range(length(m) - 19)) p from least)),
+ent as (select rid, s, bits, p, log2(20) - sum(n * log2(n)) / 20 h from (select rid, s, bits, p, c, count(*)::double n from win group by all) group by all),
+high as (select rid, s + min(p) s, 3 k, s + max(p) + 20 e, 'entropy' kind from ent where h >= bits - 1e-9 group by rid, ent.s),
+every as (select rid, s, k, e, kind from base union all select * from high),
+said as (select rid, string_agg(kind || ':' || s || ':' || e, ',' order by s, k, e) spans, coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, k, e) filter (k < 3), '') b,
+  count(*) filter (k = 0) n_assign, count(*) filter (k = 1) n_access, count(*) filter (k = 2) n_hex from every group by 1)
+select doc_id, coalesce(n_assign, 0)::bigint n_assign, coalesce(n_access, 0)::bigint n_access, coalesce(n_hex, 0)::bigint n_hex, sha256(coalesce(b, '')) base_sha256, coalesce(spans, '') spans
+from d left join said using (rid)
+"""
+
 SQL: dict[str, str] = {
     "op1_chat_formatting": chat.SQL,
     "op2_benchmark_decontamination": decontaminate.SQL,
+    "op3_secret_scans": SECRETS,
     "op4_fm_index_dedup": WINDOWS,
+    "op5_suffix_array_dedup": BYTES,
     "op7_ngram_jaccard_join": NEAR_COPIES,
     "op8_line_quality_rules": LINE_RULES,
 }

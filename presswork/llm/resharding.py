@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small, with_keys
 
-#: Rows of one shard that are ranked in one task, and rows of a file that is rewritten.
-ROWS_PER_BUCKET, ROWS_PER_FILE = 20_000, 20_000
+#: Rows of one shard that are ranked in one task.
+ROWS_PER_BUCKET = 20_000
 
 
 class Flow:
@@ -192,9 +192,9 @@ def assign(docs: DataFrame, old_shard: Column, shards: int = 16, rows_per_bucket
 
 
 def rewrite(docs: DataFrame, old_shard: Column, path: str, shards: int = 16, placed: DataFrame | None = None) -> list[int]:
-    """Writes the shards that gain or lose rows to path/shard=N, in Parquet files of
-    ROWS_PER_FILE rows by slot (a column of its own), leaving other folders there alone.
-    Returns their numbers. placed: assign()'s rows, if made before. Every row of docs is
+    """Writes the shards that gain or lose rows to path/shard=N (Parquet, with the slot as
+    a column; a task writes one file for each shard, by slot), leaving other folders there
+    alone. Texts are exchanged once. Returns their numbers. placed: assign()'s rows, if made before. Every row of docs is
     written once, whatever its doc_id; columns of docs named shard or slot are
     replaced."""
     placed = Scratch(docs.sparkSession).save(assign(docs, old_shard, shards)) if placed is None else placed
@@ -205,9 +205,7 @@ def rewrite(docs: DataFrame, old_shard: Column, path: str, shards: int = 16, pla
     number = F.row_number().over(Window.partitionBy("__doc", "__tid").orderBy(F.xxhash64("_row")))
     goes = placed.filter(F.col("shard").isin(affected)).select(F.col("doc").alias("__doc"), F.col("tid").alias("__tid"), F.col("number").alias("_number"), "shard", "slot")
     rows = given.withColumn("_number", number).join(goes, ["__doc", "__tid", "_number"]).select("_row.*", "shard", "slot")
-    file = F.floor(F.col("slot") / ROWS_PER_FILE)
-    rows = rows.repartition("shard", file).sortWithinPartitions("shard", "slot")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("shard").parquet(path)
+    rows.sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("shard").parquet(path)
     return affected
 
 

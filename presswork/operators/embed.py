@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,24 @@ def full(dims: Column, ws: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(EMBEDDING_DIM - 1)), lambda d: F.coalesce(F.try_element_at(found, d), F.lit(0.0)))
 
 
+def model_embedder(encode: Callable[[list[str]], list[list[float]]], batch: int = 32) -> Callable[[DataFrame, str, str], DataFrame]:
+    """An embedder for register() from a model's encode(texts) -> vectors, which is shipped
+    to the tasks and called with `batch` texts at a time. Vectors get length 1."""
+
+    @F.pandas_udf("array<double>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        given = texts.fillna("").tolist()
+        rows = [v for at in range(0, len(given), batch) for v in encode(given[at : at + batch])]
+        full = [np.asarray(v, float) for v in rows]
+        return pd.Series([(v / n).tolist() if (n := float(np.linalg.norm(v))) else v.tolist() for v in full])
+
+    def embedder(df: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
+        entries = df.select(key, vectors(text).alias("v")).select(key, F.posexplode("v").alias("dim", "w"))
+        return entries.filter("w <> 0").select(key, "dim", "w")
+
+    return embedder
+
+
 EMBEDDERS: dict[str, Callable[[DataFrame, str, str], DataFrame]] = {"hash": hash_embedding}
 
 
@@ -74,10 +94,11 @@ def register(name: str, embedder: Callable[[DataFrame, str, str], DataFrame]) ->
     EMBEDDERS[name] = embedder
 
 
-def embed_missing(articles: DataFrame, embedded: DataFrame, backend: str = "hash", limit: int | None = None) -> DataFrame:
-    """Vectors of the articles that have none yet, for an append to the embeddings."""
+def embed_missing(articles: DataFrame, done: DataFrame, backend: str = "hash", limit: int | None = None) -> DataFrame:
+    """Vectors (id, dim, w) of the articles that are not in `done` (id) yet, for an append.
+    Texts without tokens have none, so `done` should be marks rather than vectors."""
     from ..functions.text import embedding_text
 
-    todo = articles.join(embedded.select("id").distinct(), "id", "left_anti")
+    todo = articles.join(done.select("id").distinct(), "id", "left_anti")
     todo = todo if limit is None else todo.orderBy("id").limit(limit)
     return EMBEDDERS[backend](todo.select("id", embedding_text(F.col("title"), F.col("summary")).alias("text")), "text", "id")

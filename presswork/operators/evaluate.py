@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import knn
+from .embed import EMBEDDERS, dense
+
 
 def retrieval(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (5, 10), ndcg_at: int = 10, sizes: DataFrame | None = None) -> DataFrame:
     """One row: n_queries, hit_rate_at_k (a relevant item in the first k) and ndcg_at_k.
@@ -21,6 +24,16 @@ def retrieval(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (5,
     return each.agg(F.count(F.lit(1)).alias("n_queries"), *[F.round(F.avg(f"hit{k}"), 4).alias(f"hit_rate_at_{k}") for k in ks], F.round(F.avg(ndcg), 4).alias(f"ndcg_at_{ndcg_at}"))
 
 
+def search_quality(articles: DataFrame, queries: DataFrame, backend: str = "hash", ks: tuple[int, ...] = (5, 10), ndcg_at: int = 10) -> DataFrame:
+    """retrieval() of semantic searches: articles (id, title, summary), queries (query, text,
+    relevant: array of ids). Title and summary are embedded together, set apart by a space."""
+    text = F.concat_ws(" ", "title", F.coalesce("summary", F.lit("")))
+    corpus = dense(EMBEDDERS[backend](articles.select("id", text.alias("text")), "text", "id"))
+    asked = dense(EMBEDDERS[backend](queries.select(F.col("query").alias("id"), "text"), "text", "id"))
+    ranked = knn.batch(asked, corpus, max(*ks, ndcg_at), but_self=False).select(F.col("anchor").alias("query"), "id", F.col("rn").alias("rank"))
+    return retrieval(ranked, queries.select("query", F.explode("relevant").alias("id")), ks, ndcg_at)
+
+
 def percentiles(df: DataFrame, column: str, by: list[str] = (), points: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
     """Exact percentiles with linear interpolation: p50, p95, p99."""
     return df.groupBy(*by).agg(*[F.round(F.percentile(column, p / 100), 4).alias(f"p{p}") for p in points])

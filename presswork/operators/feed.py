@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..schemas import EMBEDDING_DIM
 from ..shipping import ship
 from . import knn
-from .embed import dense
+from .embed import dense, sparse
 from .listing import hidden, latest_per_user
 from .storage import small, stored
 
@@ -59,6 +59,13 @@ def warm(user_vectors: DataFrame, interactions: DataFrame, embedded: DataFrame,
     return kept.withColumn("rn", rn).filter((F.col("rn") > offset) & (F.col("rn") <= offset + limit)).select("user_id", "id", "sim", (F.col("rn") - offset).cast("bigint").alias("rn"))
 
 
+def by_tower(user_vectors: DataFrame, interactions: DataFrame, embedded: DataFrame, tower, limit: int = 100) -> DataFrame:
+    """(user_id, id, sim) as warm(), by the vectors of a two-tower model."""
+    numbered = lambda df, key: df.select(key, F.sequence(F.lit(0), F.size("embedding") - 1).alias("dims"), F.col("embedding").alias("ws"))
+    people = numbered(tower.embed(dense(user_vectors.select("user_id", "dim", "w"), "user_id"), "user", "user_id"), "user_id")
+    return warm(sparse(people, "user_id"), interactions, numbered(tower.embed(dense(embedded)), "id"), limit).select("user_id", "id", "sim")
+
+
 def nearest_liked(pairs: DataFrame, interactions: DataFrame, embedded: DataFrame, limit: int = 100) -> DataFrame:
     """(user_id, id, liked_id, best, kind): of each user's latest positive articles the
     one most similar to the candidate (best > 0; of equals the smaller id), and the kind

@@ -145,10 +145,15 @@ def neighbourhood(edges: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def relations_of(edges: DataFrame, entity: int, limit: int = 50) -> DataFrame:
-    return edges.filter((F.col("subject_entity_id") == entity) | (F.col("object_entity_id") == entity)).orderBy("evidence_article_id", "predicate", "object_entity_id").limit(limit)
+    """An entity's relations, the newest first where edges have created_at."""
+    mine = edges.filter((F.col("subject_entity_id") == entity) | (F.col("object_entity_id") == entity))
+    newest = [F.desc_nulls_last("created_at")] if "created_at" in edges.columns else []
+    return mine.orderBy(*newest, "evidence_article_id", "predicate", "subject_entity_id", "object_entity_id").limit(limit)
 
 
 def unprocessed(articles: DataFrame, done: DataFrame, limit: int | None = None) -> DataFrame:
+    """Articles without a mark in `done` (article_id): what a stage has looked at, whether
+    it found something or not."""
     todo = articles.join(done.select(F.col("article_id").alias("id")).distinct(), "id", "left_anti")
     return todo if limit is None else todo.orderBy("id").limit(limit)
 

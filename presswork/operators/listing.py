@@ -26,9 +26,9 @@ def articles(df: DataFrame, source: str | None = None, limit: int = 20, offset:
     return df.orderBy(F.desc_nulls_last("published_at"), "id").offset(offset).limit(bounded(limit))
 
 
-def latest(df: DataFrame, column: str, limit: int = 50) -> DataFrame:
+def latest(df: DataFrame, column: str, limit: int = 50, ties: tuple[str, ...] = ("id",)) -> DataFrame:
     """The newest rows by a time column (runs, events, relations, interactions)."""
-    return df.orderBy(F.desc_nulls_last(column), "id").limit(bounded(limit))
+    return df.orderBy(F.desc_nulls_last(column), *ties).limit(bounded(limit))
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:

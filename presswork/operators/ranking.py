@@ -138,52 +138,108 @@ def enhanced(retrieved: DataFrame, rows: DataFrame, model, limit: int = 20, blen
     return scored.withColumn("rn", rn).filter(F.col("rn") <= limit).select("user_id", "id", F.round("score", 6).alias("score"), F.col("rn").cast("bigint").alias("rn"))
 
 
+class Tower:
+    """Linear, batch norm, ReLU and dropout for each hidden layer, a last linear one, and
+    rows of length 1, with gradients, in numpy."""
+
+    def __init__(self, sizes: list[int], dropout: float, rng: np.random.Generator):
+        self.dropout, self.rng = dropout, rng
+        bound = lambda n: n**-0.5
+        self.w = [rng.uniform(-bound(a), bound(a), (a, b)) for a, b in zip(sizes, sizes[1:])]
+        self.b = [np.zeros(n) for n in sizes[1:]]
+        self.scale, self.shift = ([np.full(n, x) for n in sizes[1:-1]] for x in (1.0, 0.0))
+        self.mean, self.var = ([np.full(n, x) for n in sizes[1:-1]] for x in (0.0, 1.0))
+
+    def parameters(self) -> list[np.ndarray]:
+        return [*self.w, *self.b, *self.scale, *self.shift]
+
+    def forward(self, x: np.ndarray, train: bool = False) -> np.ndarray:
+        self.kept = []
+        for i in range(len(self.scale)):
+            z = x @ self.w[i] + self.b[i]
+            if train:
+                mean, var = z.mean(axis=0), z.var(axis=0)
+                n = len(z)
+                self.mean[i] = 0.9 * self.mean[i] + 0.1 * mean
+                self.var[i] = 0.9 * self.var[i] + 0.1 * var * n / max(1, n - 1)
+            else:
+                mean, var = self.mean[i], self.var[i]
+            spread = np.sqrt(var + 1e-5)
+            unit = (z - mean) / spread
+            y = self.scale[i] * unit + self.shift[i]
+            on = y > 0
+            if train and self.dropout:
+                on = on * (self.rng.random(y.shape) >= self.dropout) / (1 - self.dropout)
+            self.kept.append((x, unit, spread, on))
+            x = y * on
+        z = x @ self.w[-1] + self.b[-1]
+        length = np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        self.last = x, z / length, length
+        return z / length
+
+    def backward(self, g: np.ndarray) -> list[np.ndarray]:
+        """Gradients of parameters(), after forward(train=True); g: of its result."""
+        x, out, length = self.last
+        g = (g - out * (g * out).sum(axis=1, keepdims=True)) / length
+        w, b, scale, shift = [x.T @ g], [g.sum(axis=0)], [], []
+        g = g @ self.w[-1].T
+        for i in range(len(self.scale) - 1, -1, -1):
+            x, unit, spread, on = self.kept[i]
+            g = g * on
+            scale.insert(0, (g * unit).sum(axis=0))
+            shift.insert(0, g.sum(axis=0))
+            g = g * self.scale[i]
+            g = (g - g.mean(axis=0) - unit * (g * unit).mean(axis=0)) / spread
+            w.insert(0, x.T @ g)
+            b.insert(0, g.sum(axis=0))
+            g = g @ self.w[i].T
+        return [*w, *b, *scale, *shift]
+
+
 class TwoTower:
-    """Two small projections trained with a symmetric in-batch contrastive loss
-    (temperature 0.07) in numpy; rows of the item and user side are unit vectors."""
+    """A user and an item tower, trained with a symmetric in-batch contrastive loss by AdamW. Rows of
+    users and items that are trained on are bounded by the caller; embedding is a Spark job."""
 
-    def __init__(self, dim: int = 768, out: int = 32, seed: int = 42):
+    def __init__(self, dim: int = 768, hidden: tuple[int, ...] = (512, 256), out: int = 128, dropout: float = 0.1, seed: int = 42):
         rng = np.random.default_rng(seed)
-        self.user, self.item = (rng.normal(0, dim**-0.5, (dim, out)) for _ in range(2))
+        self.user, self.item = (Tower([dim, *hidden, out], dropout, rng) for _ in range(2))
 
-    @staticmethod
-    def _unit(x):
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.maximum(n, 1e-9), n
-
-    def fit(self, users: np.ndarray, items: np.ndarray, epochs: int = 15, batch: int = 256, rate: float = 0.05, temperature: float = 0.07, seed: int = 42) -> list[float]:
+    def fit(self, users: np.ndarray, items: np.ndarray, epochs: int = 15, batch: int = 256, rate: float = 1e-3, decay: float = 1e-4, temperature: float = 0.07, seed: int = 42) -> list[float]:
         """Losses by epoch. Row i of users and items is a positive pair; the other rows
-        of its batch are the negatives. The training set is bounded by the caller."""
-        rng, losses = np.random.default_rng(seed), []
+        of its batch are the negatives."""
+        rng, losses, step = np.random.default_rng(seed), [], 0
+        params = self.user.parameters() + self.item.parameters()
+        m, v = ([np.zeros_like(p) for p in params] for _ in range(2))
+        softmax = lambda x: (e := np.exp(x - x.max(axis=1, keepdims=True))) / e.sum(axis=1, keepdims=True)
         for _ in range(epochs):
             order, total = rng.permutation(len(users)), 0.0
             for at in range(0, len(order), batch):
                 k = order[at : at + batch]
-                (u, un), (v, vn) = self._unit(users[k] @ self.user), self._unit(items[k] @ self.item)
-                z = u @ v.T / temperature
-                softmax = lambda x: (e := np.exp(x - x.max(axis=1, keepdims=True))) / e.sum(axis=1, keepdims=True)
-                p, q = softmax(z), softmax(z.T)
-                eye = np.eye(len(k))
-                total += -(np.log(np.diag(p) + 1e-12) + np.log(np.diag(q) + 1e-12)).sum() / 2
-                g = ((p - eye) + (q - eye).T) / (2 * len(k) * temperature)
-                gu, gv = g @ v, g.T @ u
-                through = lambda g, x, n: (g - x * (g * x).sum(axis=1, keepdims=True)) / np.maximum(n, 1e-9)
-                self.user -= rate * users[k].T @ through(gu, u, un)
-                self.item -= rate * items[k].T @ through(gv, v, vn)
+                if len(k) < 2:  # no negatives, and no spread for the batch norm
+                    continue
+                a, b = self.user.forward(users[k], True), self.item.forward(items[k], True)
+                p, q = softmax(a @ b.T / temperature), softmax(b @ a.T / temperature)
+                total -= (np.log(np.diag(p) + 1e-12) + np.log(np.diag(q) + 1e-12)).sum() / 2
+                g = (p + q.T - 2 * np.eye(len(k))) / (2 * len(k) * temperature)
+                step += 1
+                for i, (x, d) in enumerate(zip(params, self.user.backward(g @ b) + self.item.backward(g.T @ a))):
+                    m[i] += 0.1 * (d - m[i])
+                    v[i] += 0.001 * (d * d - v[i])
+                    x -= rate * (m[i] / (1 - 0.9**step) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8) + decay * x)
             losses.append(total / max(1, len(order)))
         return losses
 
     def embed(self, vectors: DataFrame, side: str = "item", key: str = "id") -> DataFrame:
         """(key, embedding) of (key, dims, ws) rows."""
         ship(vectors.sparkSession)
-        weights = self.item if side == "item" else self.user
+        tower = self.item if side == "item" else self.user
+        tower.kept, tower.last, width = [], (), len(tower.w[0])
 
         def run(frames):
             for frame in frames:
-                x = np.zeros((len(frame), len(weights)))
+                x = np.zeros((len(frame), width))
                 for i, (d, w) in enumerate(zip(frame["dims"], frame["ws"])):
                     x[i, d] = w
-                yield pd.DataFrame({key: frame[key].to_numpy(), "embedding": list(self._unit(x @ weights)[0])})
+                yield pd.DataFrame({key: frame[key].to_numpy(), "embedding": list(tower.forward(x))})
 
         return vectors.select(key, "dims", "ws").mapInPandas(run, f"{key} bigint, embedding array<double>")
-

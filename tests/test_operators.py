@@ -4,6 +4,7 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,14 +206,42 @@ def test_training_sets_and_models(spark):
     none = spark.createDataFrame([], "article_id bigint, entity_id bigint, name string")
     data = ranking.features(ranking.split(pairs, ["user_id", "id"]), arts, inter, emb, none, NOW)
     assert [c for c in data.columns if c in ranking.FEATURES] == ranking.FEATURES and data.count() == sum(counts.values())
-    tower = ranking.TwoTower(768, 8)
-    import numpy as np
-
+    tower = ranking.TwoTower(768, (32,), 8)
     x = np.eye(768)[np.random.default_rng(0).integers(0, 768, 64)]
-    losses = tower.fit(x, x, epochs=5, batch=32, rate=5.0)
+    losses = tower.fit(x, x, epochs=5, batch=32, rate=0.01)
     assert losses[-1] < losses[0]
     vectors = tower.embed(embed.dense(emb)).first().embedding
     assert sum(v * v for v in vectors) == pytest.approx(1)
+    near = feed.by_tower(users.vectors(inter, emb), inter, emb, tower, 5).collect()
+    assert {r.user_id for r in near} == set(range(6)) and len(near) == 30
+
+
+def test_tower_gradients_equal_differences():
+    rng = np.random.default_rng(1)
+    tower = ranking.Tower([5, 4, 3], 0.0, rng)
+    x, g = rng.normal(size=(6, 5)), rng.normal(size=(6, 3))
+    tower.forward(x, True)
+    for p, d in zip(tower.parameters(), tower.backward(g)):
+        at = tuple(rng.integers(0, n) for n in p.shape)
+        sums = []
+        for e in (1e-6, -1e-6):
+            p[at] += e
+            sums.append((tower.forward(x, True) * g).sum())
+            p[at] -= e
+        assert d[at] == pytest.approx((sums[0] - sums[1]) / 2e-6, abs=1e-5)
+
+
+def test_search_quality_and_cursor_of_ties(spark):
+    arts = spark.createDataFrame([(1, "alpha beta", None, "s"), (2, "gamma", "delta", "s"), (3, "alpha", "", "s")], "id bigint, title string, summary string, source string")
+    asked = spark.createDataFrame([(0, "alpha beta", [1]), (1, "delta", [2, 3])], "query bigint, text string, relevant array<bigint>")
+    r = evaluate.search_quality(arts, asked).first()
+    assert (r.n_queries, r.hit_rate_at_5) == (2, 1.0)
+
+
+def test_model_embedder_in_batches(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, "c")], "id bigint, text string")
+    got = {(r.id, r.dim): r.w for r in embed.model_embedder(lambda texts: [[3.0 * len(t), 4.0 * len(t)] for t in texts], batch=2)(df).collect()}
+    assert got == {(1, 0): 0.6, (1, 1): 0.8, (3, 0): 0.6, (3, 1): 0.8}
 
 
 def test_users_and_cascades(spark):

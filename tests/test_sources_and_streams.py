@@ -1,7 +1,9 @@
 import json
 from datetime import datetime
 
-from presswork.operators import ingest
+import pytest
+
+from presswork.operators import evaluate, ingest, kg
 from presswork.sources import feeds
 from presswork.streaming.ingest import burst_pairs, ingest_stream, refresh_users
 
@@ -26,7 +28,10 @@ def test_feeds_and_error_isolation(spark, tmp_path):
 def test_pubmed_keeps_mixed_content_in_order(spark, tmp_path):
     (tmp_path / "a.xml").write_text(RECORDS)
     (tmp_path / "b.xml").write_text("<broken")
-    (row,) = feeds.pubmed(spark, str(tmp_path)).collect()
+    with pytest.raises(Exception, match="b.xml"):
+        feeds.pubmed(spark, str(tmp_path)).collect()
+    assert [r.file.rsplit("/", 1)[1] for r in feeds.broken_files(spark, str(tmp_path)).collect()] == ["b.xml"]
+    (row,) = feeds.pubmed(spark, str(tmp_path), strict=False).collect()
     assert (row.title, row.summary, row.authors, row.doi) == ("A B C", "AIM: x y z", "Jo Doe; R Roe", "10.1/x")
     assert row.external_id == "pmid:7" and row.published_at == datetime(2024, 2, 1)
 
@@ -40,6 +45,31 @@ def test_preprints(spark, tmp_path):
     assert [r.doi for r in feeds.preprints(spark, str(tmp_path), categories=["genomics"]).collect()] == ["10.1101/1"]
 
 
+def test_the_first_preprints_by_place_and_the_default_subjects(spark, tmp_path):
+    page = {"collection": [{"doi": f"10.1101/{9 - i}", "title": "T", "category": c} for i, c in enumerate(feeds.CATEGORIES + ["botany"])]}
+    (tmp_path / "p.json").write_text(json.dumps(page))
+    assert [r.doi for r in feeds.preprints(spark, str(tmp_path), limit=2).collect()] == ["10.1101/9", "10.1101/8"]
+    assert feeds.preprints(spark, str(tmp_path), categories=feeds.CATEGORIES).count() == 14
+
+
+def test_trials_dictionary_and_labelled_searches(spark, tmp_path):
+    for name, data in (
+        ("t/1.json", {"protocolSection": {"identificationModule": {"nctId": "NCT00000001", "briefTitle": "A trial"}}}),
+        ("t/2.json", {"protocolSection": {"identificationModule": {"nctId": "NCT00000002"}}}),
+        ("g.json", {"entities": [{"name": "b", "type": "drug", "aliases": ["b", "bb"]}, {"name": "a", "type": "gene", "external_id": "X", "aliases": ["a"]}]}),
+        ("l.json", {"corpus": [{"id": 1, "title": "alpha", "summary": "x", "source": "s"}], "queries": [{"query": "alpha", "relevant_ids": [1]}]}),
+    ):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(json.dumps(data, indent=1))
+    assert [tuple(r) for r in feeds.trials(spark, str(tmp_path / "t")).collect()] == [("NCT00000001", "A trial")]
+    words = feeds.gazetteer(spark, str(tmp_path / "g.json"))
+    assert [(w["name"], w["external_id"], w["aliases"]) for w in words] == [("b", None, ["b", "bb"]), ("a", "X", ["a"])]
+    df = spark.createDataFrame([(1, "bb and a")], "id bigint, text string")
+    assert [(r.entity, r.mention_text) for r in kg.mentions(df, words).orderBy("pos").collect()] == [(0, "bb"), (1, "a")]
+    articles, queries = feeds.labelled_set(spark, str(tmp_path / "l.json"))
+    assert evaluate.search_quality(articles, queries).first().ndcg_at_10 == 1.0
+
+
 def rows(spark, *numbers):
     return spark.createDataFrame([(i, f"u{i % 3}", None, f"h{i}", f"s{i % 2}") for i in numbers], "id bigint, url string, doi string, content_hash string, source string")
 

@@ -253,7 +253,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     """docs with a column `ids`: the text's token ids as little-endian unsigned 32-bit
     integers. Null and empty texts have none (an empty binary). Each match of the
     pattern is encoded by itself; there are no special tokens. Other columns stay,
-    and one named `ids` is replaced."""
+    and one named `ids` is replaced. Rows are encoded one by one and whole, so repeated
+    rows have the same ids and no rows give none."""
     common.ship(docs.sparkSession)
     rest = [c for c in docs.columns if c != "ids"]
     schema = docs.select(*rest).withColumn("ids", F.lit(b"")).schema
@@ -268,7 +269,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
-    """tokens with a column `decoded`: the bytes of the tokens in `ids`."""
+    """tokens with a column `decoded`: the bytes of the tokens in `ids` (null or empty:
+    none). Other columns stay, and one named `decoded` is replaced."""
     common.ship(tokens.sparkSession)
     rest = [c for c in tokens.columns if c != "decoded"]
     schema = tokens.select(*rest).withColumn("decoded", F.lit(b"")).schema

@@ -63,18 +63,21 @@ def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     """(tree, leaf, rank, node, place) of the `paths` best root-to-leaf paths of each tree:
     those of the highest sum of scores; of equal ones the longer, then the one whose
     leaf has the smaller id. nodes: tree, node (unique in its tree), parent (null, or
-    unknown, for a root), score (null: 0), all but score long. Place 0 is the root."""
+    unknown, for a root), score (null: 0), all but score long. Place 0 is the root. Rows with
+    a null tree or node are left out. Replies that go round in a circle are an error."""
     scratch = Scratch(nodes.sparkSession)
+    nodes = nodes.filter("tree is not null and node is not null")
     known = nodes.select("tree", F.col("node").alias("parent"))
     links = scratch.save(nodes.join(known, ["tree", "parent"], "left_semi").select("tree", "node", "parent"))
     start = nodes.select("tree", "node", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"))
-    start = start.join(links, ["tree", "node"], "left").select("tree", "node", F.col("parent").alias("up"), "total", F.lit(1).alias("length"))
+    start = start.join(links, ["tree", "node"], "left").select("tree", "node", F.col("parent").alias("up"), "total", F.lit(1).cast("long").alias("length"))
     first = scratch.save(start)
     # up: the 2**k-th ancestor; total and length are of the 2**k nodes from here up. Rows that
     # have come to the root are done and aren't joined again.
     done, active, reach = [first.filter("up is null")], first.filter("up is not null"), []
+    longest = first.count().bit_length()
     while not active.isEmpty():
-        if len(reach) > 40:  # paths of over 2**40 nodes: the replies go round in a circle
+        if len(reach) > longest:  # a path of more nodes than there are: the replies go round in a circle
             raise ValueError("a reply tree has a cycle")
         reach.append(active)
         state = reduce(DataFrame.unionByName, [*done, active])
@@ -95,10 +98,16 @@ def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     return found
 
 
-def format_trees(nodes: DataFrame, paths: int = 1) -> DataFrame:
+def format_trees(nodes: DataFrame, paths: int = 1, unique: bool = False) -> DataFrame:
     """(tree, rank, leaf, conversation, mask) of the chosen paths. nodes as in best_paths,
-    with role and text (null: empty)."""
+    with role and text (null: empty). Of several rows of one node the smallest is taken
+    (by parent, score, role, text); unique=True says that there are none. One
+    conversation, however long, is gathered in one row, as it is one text; other columns
+    play no part, and no nodes give no rows."""
     common.ship(nodes.sparkSession)
+    if not unique:
+        row = F.min(F.struct("parent", F.col("score").cast("double").alias("score"), "role", "text")).alias("row")
+        nodes = nodes.filter("tree is not null and node is not null").groupBy("tree", "node").agg(row).select("tree", "node", "row.*")
     turns = best_paths(nodes, paths).join(nodes.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), ["tree", "node"])
     gathered = turns.groupBy("tree", "rank", "leaf").agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
 
@@ -114,8 +123,9 @@ def format_trees(nodes: DataFrame, paths: int = 1) -> DataFrame:
 
 def chains(conversations: DataFrame) -> DataFrame:
     """Linear conversations (conv_id, turn, role, text) as reply trees: each row answers
-    the one before it, by turn; equal turns are taken by role, then text. A null
-    conv_id is a conversation of its own."""
+    the one before it, by turn (null turns first); equal turns are taken by role, then
+    text, and repeated rows are turns of their own. A null conv_id is a conversation of
+    its own; null roles and texts are empty."""
     order = Window.partitionBy("tree").orderBy("turn", "role", "text")
     rows = conversations.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("tree"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("node", F.row_number().over(order).cast("long"))

@@ -212,7 +212,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = 50, with_text: bool =
     kept (the words left, joined by one space), n_words, n_removed, kept_sha256, one row
     for each input row; without with_text, kept is null. A null text has no words. Rows
     with the same doc_id don't remove each other's words. A null doc_id counts as the
-    smallest.
+    smallest. Texts are searched whole, in chunks of whole texts. No rows give none, and
+    other columns play no part.
     """
     texts = common.keyed_texts(docs)
     found = repeated_windows(texts, Words(), window, lambda rows, strings: windows_seen_before(rows, strings, window), common.parts_for(docs), merged=False)

@@ -13,7 +13,7 @@ from .common import table
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the probe -7 as chains of replies, formatted and read back."""
     rows = chat.with_probe(spark, table(spark, sf_dir, "conversations"))
-    return chat.digests(chat.format_trees(chat.chains(rows)))
+    return chat.digests(chat.format_trees(chat.chains(rows), unique=True))
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

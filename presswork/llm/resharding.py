@@ -194,18 +194,23 @@ def assign(docs: DataFrame, old_shard: Column, shards: int = 16, rows_per_bucket
 def rewrite(docs: DataFrame, old_shard: Column, path: str, shards: int = 16, placed: DataFrame | None = None) -> list[int]:
     """Writes the shards that gain or lose rows to path/shard=N (Parquet, with the slot as
     a column; a task writes one file for each shard, by slot), leaving other folders there
-    alone. Texts are exchanged once. Returns their numbers. placed: assign()'s rows, if made before. Every row of docs is
-    written once, whatever its doc_id; columns of docs named shard or slot are
-    replaced."""
+    alone. Returns their numbers. placed: assign()'s rows, if made before. Texts are
+    exchanged once, or twice if some rows are equal. Every row of docs is written once,
+    whatever its doc_id; columns of docs named shard or slot are replaced."""
     placed = Scratch(docs.sparkSession).save(assign(docs, old_shard, shards)) if placed is None else placed
     changed = placed.filter("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
     affected = sorted(r[0] for r in changed.collect() if 0 <= r[0] < shards)  # bounded: the number of shards
     rest = [c for c in docs.columns if c not in ("shard", "slot")]
-    given = with_keys(docs.select(*rest)).select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), "__doc", "__tid")
-    number = F.row_number().over(Window.partitionBy("__doc", "__tid").orderBy(F.xxhash64("_row")))
+    given = with_keys(docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), "doc_id", "text")).select("_row", "__doc", "__tid")
     goes = placed.filter(F.col("shard").isin(affected)).select(F.col("doc").alias("__doc"), F.col("tid").alias("__tid"), F.col("number").alias("_number"), "shard", "slot")
-    rows = given.withColumn("_number", number).join(goes, ["__doc", "__tid", "_number"]).select("_row.*", "shard", "slot")
-    rows.sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("shard").parquet(path)
+    if placed.filter("number > 1").isEmpty():
+        rows = given.join(goes.drop("_number"), ["__doc", "__tid"])
+    else:  # rows that are alike are numbered here too, at the price of one more exchange
+        number = F.row_number().over(Window.partitionBy("__doc", "__tid").orderBy(F.xxhash64("_row")))
+        rows = given.withColumn("_number", number).join(goes, ["__doc", "__tid", "_number"])
+    rows = rows.select("_row.*", "shard", "slot")
+    writer = rows.sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.option("compression", "zstd").partitionBy("shard").parquet(path)
     return affected
 
 

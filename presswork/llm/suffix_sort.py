@@ -177,9 +177,11 @@ def remove_repeats(docs: DataFrame, window: int = 100, with_text: bool = True) -
     judged on the input.
 
     Returns doc_id, kept (binary: the rest of the text's bytes), n_bytes, n_removed,
-    n_spans, kept_sha256, one row for each input row; without with_text, kept is null. A null text counts as empty. Rows with the same
-    doc_id and different texts are different documents of which neither is earlier;
-    equal rows are one document and fare alike. A null doc_id comes before all others.
+    n_spans, kept_sha256, one row for each input row; without with_text, kept is null. A
+    null text counts as empty. Rows with the same doc_id and different texts are
+    different documents of which neither is earlier; equal rows are one document and fare
+    alike. A null doc_id comes before all others. Texts are searched whole, in chunks of
+    whole texts. No rows give none, and other columns play no part.
     """
     texts = common.keyed_texts(docs)
     found = repeated_windows(texts, Bytes(), window, lambda rows, strings: earlier_windows(rows, strings, window), common.parts_for(docs))

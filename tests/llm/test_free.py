@@ -6,6 +6,7 @@ import re
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +167,86 @@ def test_paths_of_a_reply_tree(spark):
     assert got == [(1, 1, 3, ["t1", "t3"]), (1, 2, 5, ["t1", "t2", "t4", "t5"]), (2, 1, 10, ["t10"]), (3, 1, 20, ["t20"])]
 
 
+def test_paths_equal_brute_force(spark):
+    rng = random.Random(21)
+    rows = []
+    for tree in range(12):
+        for node in range(rng.randrange(1, 30)):
+            rows.append((tree, node, rng.randrange(node) if node and rng.random() < 0.95 else None, rng.choice([None, 0.0, 1.0, 2.5, -1.0])))
+    up = {(t, n): p for t, n, p, _ in rows}
+    score = {(t, n): s or 0.0 for t, n, _, s in rows}
+    want = set()
+    for tree in range(12):
+        found = []
+        for (t, n) in up:
+            if t == tree and n not in [p for (u, _), p in up.items() if u == tree]:
+                path = [n]
+                while up[tree, path[-1]] is not None:
+                    path.append(up[tree, path[-1]])
+                found.append((-sum(score[tree, x] for x in path), -len(path), n, tuple(path[::-1])))
+        want |= {(tree, rank, leaf, path) for rank, (_, _, leaf, path) in enumerate(sorted(found)[:3], 1)}
+    df = spark.createDataFrame([(*r, "user", f"t{r[1]}") for r in rows], "tree bigint, node bigint, parent bigint, score double, role string, text string")
+    clash = df.unionByName(df.limit(9)).unionByName(spark.createDataFrame([(None, 1, None, 0.0, "a", "b"), (3, None, None, 9.0, "a", "b")], df.schema)).withColumns({"up": F.lit(7), "place": F.lit(8), "rank": F.lit(9)})
+    got = {(r.tree, r.rank, r.leaf, tuple(int(t[1:]) for _, t in chat.read(r.conversation))) for r in chat.format_trees(clash, paths=3).collect()}
+    assert got == want
+    assert chat.format_trees(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        chat.best_paths(spark.createDataFrame([(1, 1, 2, 0.0), (1, 2, 1, 0.0)], "tree bigint, node bigint, parent bigint, score double"))
+
+
+def test_query_of_tokens_equals_tiktoken(spark, tmp_path):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    from presswork.llm.registry import QUERIES
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(5)
+    texts = [None, "", "x", "Ein längerer Satz, 2024!"] + ["".join(rng.choice("the andsÉß1 \n日") for _ in range(rng.randrange(400))) for _ in range(30)] + ["word and more " * 90_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op6_byte_level_bpe"](spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        ids = want.encode_ordinary(text or "")
+        assert got[i] == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+
+
+def test_training_equals_plain_dense_steps():
+    rng = random.Random(9)
+    vocabulary = np.sort(np.random.default_rng(3).integers(1, 2**63, 40, dtype=np.uint64))
+    say = lambda odds: vocabulary[[k for k in range(40) if rng.random() < (odds if k < 5 else 0.2)]].tobytes()
+    positive, unlabelled, prior = [say(0.6) for _ in range(60)], [say(0.6 if rng.random() < 0.2 else 0.05) for _ in range(200)], 0.2
+    words, weights, bias = pu_toxicity.train(positive, unlabelled, prior)
+    dense = lambda rows: np.array([np.isin(words, np.frombuffer(r, np.uint64)) for r in rows], float)
+    p, u = dense(positive), dense(unlabelled)
+    w, b, m, v = np.zeros(len(words)), 0.0, 0.0, 0.0
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for t in range(1, 301):
+        fp, fu = p @ w + b, u @ w + b
+        low = np.log1p(np.exp(fu)).mean() - prior * np.log1p(np.exp(fp)).mean()
+        gu, gp = sig(fu) / len(u), -prior * sig(fp) / len(p)
+        gu, gp = (gu, gp - prior * sig(-fp) / len(p)) if low >= 0 else (-gu, -gp)
+        g = np.append(p.T @ gp + u.T @ gu, gp.sum() + gu.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-5)
+        w, b = (w - step[:-1]) * (1 - 0.1 * 1e-3), b - step[-1]
+    assert np.allclose(weights, w, atol=1e-6) and abs(bias - b) < 1e-6 and set(words) >= set(vocabulary[:5])
+
+
+def test_the_unlabelled_are_documents_of_any_kind(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(pu_toxicity, "train", lambda p, u, prior: seen.update(p=len(p), u=len(u), prior=prior) or pu_toxicity.NO_MODEL)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(100)] + [(0, "another row of 0")] * 5, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(8)], "doc_id bigint, toxic int")
+    fold = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    pu_toxicity.fit(docs, labels, prior=0.3)
+    assert seen == {"p": len([i for i in fold if i < 4]), "u": len(fold), "prior": 0.3}
+    pu_toxicity.fit(docs, labels, most_positive=1, most_unlabelled=10)
+    assert (seen["p"], seen["u"]) == (1, 10)
+
+
 def test_conversations_with_nulls_ties_and_many_turns(spark):
     rows = [(1, i, "user" if i % 2 else "assistant", f"said {i}") for i in range(70)] + [(2, 0, None, None), (2, 0, None, None), (None, 5, "assistant", "x"), (3, None, "assistant", "y")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
@@ -233,3 +314,7 @@ def test_resharded_rows(spark, tmp_path):
     assert affected == [0, 1, 2, 3] and back.columns == ["doc_id", "text", "source", "__doc", "_row", "slot", "shard"]
     count = lambda rows: collections.Counter((r.doc_id, r.text, r.source) for r in rows)
     assert count(back.collect()) == count(df.collect())  # null and repeated ids too
+    assert {(r["__doc"], r["_row"]) for r in back.collect()} == {(1, 2)}
+    unique = df.filter("doc_id < 600")
+    resharding.rewrite(unique, F.lit(0), path + "2", 4)
+    assert count(spark.read.parquet(path + "2").collect()) == count(unique.collect())

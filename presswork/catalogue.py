@@ -369,9 +369,12 @@ def feed_enhanced(spark, sf_dir):
 
 @query
 def user_get_or_create(spark, sf_dir):
-    known = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lower("c_name"), F.lit("@x.org")).alias("email"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("a"), F.col("c_custkey"))).alias("apple_user_id"), F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("g"), F.col("c_custkey"))).alias("google_user_id"))
-    n = F.col("id")
-    asked = spark.range(300).select(n.alias("request"), F.when(n % 2 == 0, F.concat(F.lit("customer#"), F.lpad(n.cast("string"), 9, "0"), F.lit("@x.org"))).alias("email"), F.concat(F.lit("a"), n).alias("apple_user_id"), F.concat(F.lit("g"), n).alias("google_user_id"))
+    n, key = F.col("id"), F.col("c_custkey")
+    account = lambda every, letter: F.when(key % every == 0, F.concat(F.lit(letter), key))
+    email = F.concat(F.lower("c_name"), F.lit("@x.org")).alias("email")
+    known = A.table(spark, sf_dir, "customer").select(key.alias("id"), email, account(3, "a").alias("apple_user_id"), account(5, "g").alias("google_user_id"))
+    email = F.when(n % 2 == 0, F.concat(F.lit("customer#"), F.lpad(n.cast("string"), 9, "0"), F.lit("@x.org"))).alias("email")
+    asked = spark.range(300).select(n.alias("request"), email, F.concat(F.lit("a"), n).alias("apple_user_id"), F.concat(F.lit("g"), n).alias("google_user_id"))
     return users.get_or_create(known, asked).select("request", F.col("id").alias("user_id"))
 
 

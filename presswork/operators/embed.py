@@ -80,22 +80,22 @@ def model_embedder(encode: Callable[[list[str]], list[list[float]]], batch: int
         return pd.Series([(v / n).tolist() if (n := float(np.linalg.norm(v))) else v.tolist() for v in full])
 
     def embedder(df: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
-        entries = df.select(key, vectors(text).alias("v")).select(key, F.posexplode("v").alias("dim", "w"))
-        return entries.filter("w <> 0").select(key, "dim", "w")
+        made = df.select(key, vectors(text).alias("ws")).filter(F.exists("ws", lambda w: w != 0))
+        return made.select(key, F.sequence(F.lit(0), F.size("ws") - 1).alias("dims"), "ws")
 
     return embedder
 
 
-EMBEDDERS: dict[str, Callable[[DataFrame, str, str], DataFrame]] = {"hash": hash_embedding}
+EMBEDDERS: dict[str, Callable[[DataFrame, str, str], DataFrame]] = {"hash": hash_vectors}
 
 
 def register(name: str, embedder: Callable[[DataFrame, str, str], DataFrame]) -> None:
-    """Adds an embedder: (df, text column, key column) -> (key, dim, w)."""
+    """Adds an embedder: (df, text column, key column) -> (key, dims, ws), one row a vector."""
     EMBEDDERS[name] = embedder
 
 
 def embed_missing(articles: DataFrame, done: DataFrame, backend: str = "hash", limit: int | None = None) -> DataFrame:
-    """Vectors (id, dim, w) of the articles that are not in `done` (id) yet, for an append.
+    """Vectors (id, dims, ws) of the articles that are not in `done` (id) yet, for an append.
     Texts without tokens have none, so `done` should be marks rather than vectors."""
     from ..functions.text import embedding_text
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import freshness_days
@@ -23,41 +23,63 @@ def topic_scores(pairs: DataFrame, mentions: DataFrame, affinity: DataFrame) ->
     return named.join(affinity, ["user_id", "entity_id"]).groupBy("user_id", "id").agg(F.sum("share").alias("topic_aff"))
 
 
+def _signal(rows: DataFrame, pos: int, label: str, detail: list, weight: Column) -> DataFrame:
+    """rows (user_id, id, ...) as signals; detail is said in one piece."""
+    said = F.concat(*[F.lit(part) if isinstance(part, str) else part for part in detail])
+    return rows.select("user_id", "id", F.lit(pos).alias("pos"), F.lit(label).alias("label"), said.alias("detail"), weight.alias("weight"))
+
+
+def _number(value: Column, digits: int) -> Column:
+    """A rounded number as it is written in full: 0.4, 33.3, 100.0."""
+    return F.round(value, digits).cast("string")
+
+
 def signals(pairs: DataFrame, articles: DataFrame, interactions: DataFrame, embedded: DataFrame, entities: DataFrame, as_of: datetime) -> DataFrame:
     """(user_id, id, pos, label, detail, weight) of the pairs (user_id, id). entities:
     (article_id, entity_id, name)."""
     pairs = pairs.select("user_id", "id").distinct()
-    facts = articles.select("id", "source", "published_at", "title")
-    known = pairs.join(facts, "id")
+    known = pairs.join(articles.select("id", "source", "published_at", "title"), "id")
+    people = pairs.select("user_id").distinct()
+    mine = interactions.join(people, "user_id", "left_semi")
+    at_most_one = lambda c: F.round(F.least(c, F.lit(1.0)), 3)
 
-    near = nearest_liked(pairs, interactions, embedded).join(articles.select(F.col("id").alias("liked_id"), F.substring("title", 1, 80).alias("liked")), "liked_id").filter("best > 0.3")
-    similar = near.select("user_id", "id", F.lit(0).alias("pos"), F.lit("similar_to_interaction").alias("label"), F.concat(F.format_number("best", 3), F.lit(' cosine similarity to "'), F.col("liked"), F.lit('" ('), F.col("kind"), F.lit(")")).alias("detail"), F.round(F.least("best", F.lit(1.0)), 3).alias("weight"))
+    titles = articles.select(F.col("id").alias("liked_id"), F.substring("title", 1, 80).alias("liked"))
+    near = nearest_liked(pairs, mine, embedded).join(titles, "liked_id").filter("best > 0.3")
+    said = [_number(F.col("best"), 3), ' cosine similarity to "', F.col("liked"), '" (', F.col("kind"), ")"]
+    found = [_signal(near, 0, "similar_to_interaction", said, at_most_one(F.col("best")))]
 
-    percent = lambda c: F.format_number(F.col(c) * 100, 1)
-    source_aff = known.join(U.source_affinity(interactions, articles), ["user_id", "source"])
-    by_source = source_aff.select("user_id", "id", F.lit(1).alias("pos"), F.lit("source_affinity").alias("label"), F.concat(percent("share"), F.lit("% of your positive interactions are with "), F.col("source")).alias("detail"), F.round("share", 3).alias("weight"))
+    by_source = known.join(U.source_affinity(mine, articles), ["user_id", "source"])
+    said = [_number(F.col("share") * 100, 1), "% of your positive interactions are with ", F.col("source")]
+    found.append(_signal(by_source, 1, "source_affinity", said, F.round("share", 3)))
 
-    topic = topic_scores(pairs, entities, U.topic_affinity(interactions, entities, articles))
-    by_topic = topic.select("user_id", "id", F.lit(2).alias("pos"), F.lit("topic_affinity").alias("label"), F.concat(F.lit("overlaps with topics ("), percent("topic_aff"), F.lit("% affinity) from your interaction history")).alias("detail"), F.round(F.least("topic_aff", F.lit(1.0)), 3).alias("weight"))
+    topics = topic_scores(pairs, entities, U.topic_affinity(mine, entities, articles))
+    said = ["overlaps with topics (", _number(F.col("topic_aff") * 100, 1), "% affinity) from your interaction history"]
+    found.append(_signal(topics, 2, "topic_affinity", said, at_most_one(F.col("topic_aff"))))
 
-    days = freshness_days(F.col("published_at"), as_of)
-    fresh = known.withColumn("d", days).filter("d < 3").select("user_id", "id", F.lit(3).alias("pos"), F.lit("freshness").alias("label"), F.concat(F.lit("published "), F.format_number("d", 1), F.lit(" days ago")).alias("detail"), F.round(F.greatest(F.lit(0.0), 1 - F.col("d") / 3), 3).alias("weight"))
+    fresh = known.withColumn("d", freshness_days(F.col("published_at"), as_of)).filter("d < 3")
+    said = ["published ", _number(F.col("d"), 1), " days ago"]
+    found.append(_signal(fresh, 3, "freshness", said, F.round(F.greatest(F.lit(0.0), 1 - F.col("d") / 3), 3)))
 
     popular = pairs.join(U.popularity(interactions).withColumnRenamed("article_id", "id"), "id")
-    popularity = popular.select("user_id", "id", F.lit(4).alias("pos"), F.lit("popularity").alias("label"), F.concat(F.col("popularity").cast("string"), F.lit(" other reader interaction(s) with this article")).alias("detail"), F.round(F.least(F.col("popularity") / 20, F.lit(1.0)), 3).alias("weight"))
+    said = [F.col("popularity").cast("string"), " other reader interaction(s) with this article"]
+    found.append(_signal(popular, 4, "popularity", said, at_most_one(F.col("popularity") / 20)))
 
-    quality = known.withColumn("q", source_quality(F.col("source"))).filter("q >= 0.7").select("user_id", "id", F.lit(5).alias("pos"), F.lit("source_quality").alias("label"), F.concat(F.col("source"), F.lit(" is a high-quality source (score "), F.format_number("q", 1), F.lit(")")).alias("detail"), F.col("q").alias("weight"))
+    good = known.withColumn("q", source_quality(F.col("source"))).filter("q >= 0.7")
+    said = [F.col("source"), " is a high-quality source (score ", F.col("q").cast("string"), ")"]
+    found.append(_signal(good, 5, "source_quality", said, F.col("q")))
 
-    recent = latest_per_user(interactions, 20).select("user_id", F.col("article_id").alias("seen"))
-    history = recent.join(entities.select(F.col("article_id").alias("seen"), "entity_id", "name"), "seen").groupBy("user_id", "entity_id", "name").agg(F.count(F.lit(1)).alias("c"))
-    mine = pairs.join(entities.select(F.col("article_id").alias("id"), "entity_id").distinct(), "id").join(history, ["user_id", "entity_id"])
+    recent = latest_per_user(mine, 20).select("user_id", F.col("article_id").alias("seen"))
+    named = entities.select(F.col("article_id").alias("seen"), "entity_id", "name")
+    history = recent.join(named, "seen").groupBy("user_id", "entity_id", "name").agg(F.count(F.lit(1)).alias("c"))
+    both = pairs.join(entities.select(F.col("article_id").alias("id"), "entity_id").distinct(), "id").join(history, ["user_id", "entity_id"])
     order = Window.partitionBy("user_id", "id").orderBy(F.desc("c"), "name")
-    top = mine.withColumn("rn", F.row_number().over(order)).filter("rn <= 3").groupBy("user_id", "id").agg(F.array_sort(F.collect_list(F.struct("rn", "name", "c"))).alias("t"))
-    names = F.array_join(F.transform("t", lambda x: x["name"]), ", ")
+    top = both.withColumn("rn", F.row_number().over(order)).filter("rn <= 3").groupBy("user_id", "id")
+    top = top.agg(F.array_sort(F.collect_list(F.struct("rn", "name", "c"))).alias("t"))
+    said = ["mentions ", F.array_join(F.transform("t", lambda x: x["name"]), ", "), ", which also appear in articles you've engaged with"]
     total = F.aggregate("t", F.lit(0).cast("bigint"), lambda s, x: s + x["c"])
-    shared = top.select("user_id", "id", F.lit(6).alias("pos"), F.lit("shared_entities").alias("label"), F.concat(F.lit("mentions "), names, F.lit(", which also appear in articles you've engaged with")).alias("detail"), F.round(F.least(total / 5, F.lit(1.0)), 3).alias("weight"))
+    found.append(_signal(top, 6, "shared_entities", said, at_most_one(total / 5)))
 
-    return reduce(DataFrame.unionByName, [similar, by_source, by_topic, fresh, popularity, quality, shared])
+    return reduce(DataFrame.unionByName, found)
 
 
 def explanations(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -66,5 +88,6 @@ def explanations(pairs: DataFrame, found: DataFrame) -> DataFrame:
     by_weight = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("neg"), "pos", "label", "detail", "weight")))
     gathered = found.groupBy("user_id", "id").agg(by_weight.alias("s"))
     out = pairs.select("user_id", "id").distinct().join(gathered, ["user_id", "id"], "left")
-    listed = F.transform(F.coalesce("s", F.array().cast("array<struct<neg:double,pos:int,label:string,detail:string,weight:double>>")), lambda x: F.struct(x["label"].alias("label"), x["detail"].alias("detail"), x["weight"].alias("weight")))
+    none = F.array().cast("array<struct<neg:double,pos:int,label:string,detail:string,weight:double>>")
+    listed = F.transform(F.coalesce("s", none), lambda x: F.struct(*[x[c].alias(c) for c in ("label", "detail", "weight")]))
     return out.select("user_id", "id", F.coalesce(F.try_element_at("s", F.lit(1))["detail"], F.lit(NO_SIGNALS)).alias("summary"), listed.alias("signals"))

@@ -79,7 +79,7 @@ def reranker_pairs(interactions: DataFrame, articles: DataFrame, embedded: DataF
     offered = positive.select("user_id").distinct().select("user_id", slots).join(small(placed), "place").drop("place")
     free = offered.join(positive, ["user_id", "id"], "left_anti")
     by_time = Window.partitionBy("user_id").orderBy(F.desc_nulls_last("published_at"), "id")
-    drawn = Window.partitionBy("user_id").orderBy(F.xxhash64(F.lit(seed), "user_id", "id"), "id")
+    drawn = Window.partitionBy("user_id").orderBy(F.sha2(F.concat_ws(":", F.lit(seed), "user_id", "id"), 256), "id")
     counts = positive.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     negative = free.withColumn("t", F.row_number().over(by_time)).filter(F.col("t") <= pool).withColumn("d", F.row_number().over(drawn)).join(counts, "user_id").filter("d <= n")
     return positive.withColumn("label", F.lit(1)).unionByName(negative.select("user_id", "id", F.lit(0).alias("label")))
@@ -87,7 +87,8 @@ def reranker_pairs(interactions: DataFrame, articles: DataFrame, embedded: DataF
 
 def split(df: DataFrame, keys: list[str], test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """df with `test`: a repeatable random fifth, by hash of the keys."""
-    return df.withColumn("test", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1000)) < int(1000 * test_share))
+    name = F.sha2(F.concat_ws(":", F.lit("test"), F.lit(seed), *keys), 256)
+    return df.withColumn("test", F.conv(F.substring(name, 1, 8), 16, 10).cast("bigint") % 1000 < int(1000 * test_share))
 
 
 def label_counts(df: DataFrame) -> DataFrame:

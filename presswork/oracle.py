@@ -55,12 +55,12 @@ SIGNALS = f"""hist as (select user_id, name, count(*) c from pos join ent using
 shr as (select user_id, id, name, c, row_number() over (partition by user_id, id order by c desc, name) r from pairs join ent on article_id = id join hist using (user_id, name)),
 pop as (select article_id id, count(*) n from inter group by 1),
 known as (select user_id, pairs.id, source, published_at from pairs join art on art.id = pairs.id),
-sig as (select user_id, near.id, 0 pos, 'similar_to_interaction' as label, printf('%.3f', s) || ' cosine similarity to "' || substr(title, 1, 80) || '" (' || kind || ')' detail, round(least(s, 1), 3) weight from near join art on art.id = liked_id where s > 0.3
-union all select user_id, id, 1, 'source_affinity', printf('%.1f', share * 100) || '% of your positive interactions are with ' || source, round(share, 3) from known join src_aff using (user_id, source)
-union all select user_id, id, 2, 'topic_affinity', 'overlaps with topics (' || printf('%.1f', sum(share) * 100) || '% affinity) from your interaction history', round(least(sum(share), 1), 3) from pairs join ent on article_id = id join top_aff using (user_id, name) group by 1, 2
-union all select user_id, id, 3, 'freshness', 'published ' || printf('%.1f', d) || ' days ago', round(greatest(0, 1 - d / 3), 3) from (select *, {FRESH} d from known) where d < 3
+sig as (select user_id, near.id, 0 pos, 'similar_to_interaction' as label, round(s, 3)::varchar || ' cosine similarity to "' || substr(title, 1, 80) || '" (' || kind || ')' detail, round(least(s, 1), 3) weight from near join art on art.id = liked_id where s > 0.3
+union all select user_id, id, 1, 'source_affinity', round(share * 100, 1)::varchar || '% of your positive interactions are with ' || source, round(share, 3) from known join src_aff using (user_id, source)
+union all select user_id, id, 2, 'topic_affinity', 'overlaps with topics (' || round(sum(share) * 100, 1)::varchar || '% affinity) from your interaction history', round(least(sum(share), 1), 3) from pairs join ent on article_id = id join top_aff using (user_id, name) group by 1, 2
+union all select user_id, id, 3, 'freshness', 'published ' || round(d, 1)::varchar || ' days ago', round(greatest(0, 1 - d / 3), 3) from (select *, {FRESH} d from known) where d < 3
 union all select user_id, id, 4, 'popularity', n || ' other reader interaction(s) with this article', round(least(n / 20.0::double, 1), 3) from pairs join pop using (id)
-union all select user_id, id, 5, 'source_quality', source || ' is a high-quality source (score ' || printf('%.1f', q) || ')', q from (select *, {QUAL} q from known) where q >= 0.7
+union all select user_id, id, 5, 'source_quality', source || ' is a high-quality source (score ' || q::varchar || ')', q from (select *, {QUAL} q from known) where q >= 0.7
 union all select user_id, id, 6, 'shared_entities', 'mentions ' || string_agg(name, ', ' order by r) || ', which also appear in articles you''ve engaged with', round(least(sum(c) / 5.0::double, 1), 3) from shr where r <= 3 group by 1, 2)"""
 BURST = f"""anc as (select id, source, published_at from art where id in (select id from emb) order by fetched_at desc, id limit 100),
 prs as (select a.id anchor, b.id, round(sum(x.w * y.w), 9) sim from anc a join emb x on x.id = a.id join emb y on y.dim = x.dim join art b on b.id = y.id where a.id <> b.id group by 1, 2),
@@ -164,6 +164,14 @@ p as (select distinct user_id, article_id id from pos where rn <= 200 and user_i
 c as (select user_id, count(*) n from p group by 1),
 f as (select user_id, count(*) n from ok, (select distinct id from emb) e where not exists (select 1 from p where p.user_id = ok.user_id and p.id = e.id) group by 1)
 select 1::bigint as label, sum(n)::bigint n from c union all select 0, sum(least(c.n, least(f.n, 200)))::bigint from c join f using (user_id)""",
+    "reranker_training_set": f"""with {ART}, {EMB}, {INTER}, ok as (select user_id from pos where rn <= 200 group by 1 having count(*) >= 10),
+p as (select distinct user_id, article_id id from pos where rn <= 200 and user_id in (select user_id from ok) and article_id in (select id from emb)),
+c as (select user_id, count(*) n from p group by 1),
+nw as (select id, published_at from art where id in (select id from emb) order by published_at desc nulls last, id limit 400),
+fr as (select user_id, id, row_number() over (partition by user_id order by published_at desc nulls last, id) t from c, nw where not exists (select 1 from p where p.user_id = c.user_id and p.id = nw.id)),
+dr as (select user_id, id, row_number() over (partition by user_id order by sha256('42:' || user_id || ':' || id), id) d from fr where t <= 200),
+al as (select user_id, id, 1::bigint as label from p union all select user_id, id, 0 from dr join c using (user_id) where d <= n)
+select user_id, id, label, ('0x' || substr(sha256('test:42:' || user_id || ':' || id), 1, 8))::bigint % 1000 < 200 test from al""",
     "user_get_or_create": """with u as (select c_custkey id, lower(c_name) || '@x.org' email, case when c_custkey % 3 = 0 then 'a' || c_custkey end apple, case when c_custkey % 5 = 0 then 'g' || c_custkey end google from customer),
 r as (select range request, case when range % 2 = 0 then 'customer#' || lpad(range::varchar, 9, '0') || '@x.org' end email, 'a' || range apple, 'g' || range google from range(300))
 select request, coalesce((select min(id) from u where u.email = r.email), (select min(id) from u where u.apple = r.apple), (select min(id) from u where u.google = r.google)) user_id from r""",

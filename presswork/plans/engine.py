@@ -29,7 +29,7 @@ ARTICLE_ROWS = (
 )
 TABLES = {
     "articles": ARTICLE_ROWS,
-    "embeddings": "id bigint, dim int, w double",
+    "embeddings": "id bigint, dims array<int>, ws array<double>",
     "processed": "article_id bigint, stage string, processed_at timestamp_ntz",
     "interactions": schemas.INTERACTIONS,
     "users": schemas.USERS,

@@ -240,8 +240,8 @@ def test_search_quality_and_cursor_of_ties(spark):
 
 def test_model_embedder_in_batches(spark):
     df = spark.createDataFrame([(1, "ab"), (2, None), (3, "c")], "id bigint, text string")
-    got = {(r.id, r.dim): r.w for r in embed.model_embedder(lambda texts: [[3.0 * len(t), 4.0 * len(t)] for t in texts], batch=2)(df).collect()}
-    assert got == {(1, 0): 0.6, (1, 1): 0.8, (3, 0): 0.6, (3, 1): 0.8}
+    got = {r.id: (r.dims, r.ws) for r in embed.model_embedder(lambda texts: [[3.0 * len(t), 4.0 * len(t)] for t in texts], batch=2)(df).collect()}
+    assert got == {1: ([0, 1], [0.6, 0.8]), 3: ([0, 1], [0.6, 0.8])}
 
 
 def test_users_and_cascades(spark):

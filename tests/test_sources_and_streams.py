@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 
 from presswork.operators import evaluate, ingest, kg
-from presswork.sources import feeds
+from presswork.sources import feeds, synthetic
 from presswork.streaming.ingest import burst_pairs, ingest_stream, refresh_users
 
 FEED = """<?xml version="1.0"?><rss version="2.0"><channel><title>f</title>
@@ -70,6 +70,18 @@ def test_trials_dictionary_and_labelled_searches(spark, tmp_path):
     assert evaluate.search_quality(articles, queries).first().ndcg_at_10 == 1.0
 
 
+def test_made_up_articles_and_users(spark):
+    made = synthetic.articles(spark)
+    rows_ = made.orderBy("id").collect()
+    assert [r.id for r in rows_] == list(range(24)) and rows_[0].title == "A viral vector advances to preclinical study for sickle cell disease"
+    inter = synthetic.interactions(made, 25, datetime(2024, 1, 31)).collect()
+    assert {r.user_id for r in inter} == set(range(25)) and len({r.id for r in inter}) == len(inter)
+    mine = [r for r in inter if r.user_id == 7]
+    assert sum(r.interaction_type == "hide" for r in mine) == 2 and len(mine) == 4 + 4 + 2  # a topic has four articles
+    assert all((r.read_time_seconds is not None) == (r.interaction_type == "read") for r in inter)
+    assert sorted(map(tuple, inter)) == sorted(map(tuple, synthetic.interactions(made, 25, datetime(2024, 1, 31)).collect()))
+
+
 def rows(spark, *numbers):
     return spark.createDataFrame([(i, f"u{i % 3}", None, f"h{i}", f"s{i % 2}") for i in numbers], "id bigint, url string, doi string, content_hash string, source string")
 

@@ -1,8 +1,11 @@
 import collections
 import hashlib
 import math
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from presswork.llm import decontaminate, line_rules, secret_scan
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -80,6 +83,37 @@ def test_line_rules_equal_brute_force(spark):
     assert line_rules.report(df.limit(0)).count() == 0
 
 
+def kept_by_the_rules(t):
+    """The verdict, from the rules' text alone."""
+    words, lost, chars = re.findall(r"[^\x20\x09-\x0D]+", t), 0, len(re.sub(r"[\x20\x09-\x0D]", "", t))
+    for line in t.split("\n"):
+        if not re.search(r"[^\x20\x09-\x0D]", line):
+            continue
+        gaps = line.count(" ") + 1
+        bars, signs = sum(c in "|>»›·•" for c in line), sum(c in "#*$%&|<>!" for c in line)
+        phrase = any(" " + p in " " + line.lower() for listed in line_rules.BOILERPLATE.values() for p in listed)
+        if phrase or (bars >= 3 and bars >= gaps / 4) or signs >= 1.5 * gaps or (gaps >= 60 and not re.search("[.!?,;:…。！？]", line)):
+            lost += len(re.sub(r"[\x20\x09-\x0D]", "", line))
+    return not expected_rules(t)[5] and lost <= chars / 2
+
+
+def test_verdicts_equal_brute_force(spark):
+    rng = random.Random(14)
+    lines = ["Plain words, told in full.", "Home | Shop | About | Help", "Inicio · Tienda · Ayuda · Salir", "Tous droits réservés.", "Alle Rechte vorbehalten", "aviso legal y privacidad", "$$$ *** !!! %%%", "catalog in order", " ", "no end here " * 25, "Accueil › Page › Suite › Fin", "Weiterlesen", "One more. Two more? Three!"]
+    docs = [(i, "\n".join(f"{rng.choice(lines)} w{rng.randrange(999)}" if rng.random() < 0.7 else rng.choice(lines) for _ in range(rng.randrange(2, 40)))) for i in range(120)]
+    df = spark.createDataFrame(docs + docs[:3], "doc_id bigint, text string").withColumns({"rest": F.lit("r"), "marks": F.lit(1), "t": F.lit(2)})
+    rows = line_rules.metrics(df).collect()
+    assert len(rows) == 123 and {(r.rest, r.marks, r.t) for r in rows} == {("r", 1, 2)}
+    assert {r.doc_id: r.kept for r in rows} == {i: kept_by_the_rules(t) for i, t in docs} and {r.kept for r in rows} == {True, False}
+
+
+def test_short_items_and_clashing_columns(spark):
+    items = spark.createDataFrame([(1, "two words"), (2, "Three little words!"), (3, " - "), (None, "five words make one shingle"), (4, "two words"), (4, "and more words of the same item")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "say two  words"), (1, "say two  words"), (2, "three, LITTLE words; five words make one shingle too"), (3, "twowords two-word s"), (None, "two words")], "doc_id bigint, text string").withColumns({"h": F.lit(1), "s": F.lit("x"), "item_id": F.lit(9)})
+    got = collections.Counter((r.doc_id, r.item_id, r.item_shingles) for r in decontaminate.contained_items(docs, items).collect())
+    assert got == collections.Counter([(1, 1, 1), (2, 2, 1), (2, None, 1), (None, 1, 1)])
+
+
 def test_contained_items(spark):
     item = " ".join(f"word{i}" for i in range(30))
     near = item.replace("word29", "other").upper()

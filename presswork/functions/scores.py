@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 
 #: Source names and their quality.
 TOP_JOURNALS = ["Nature", "Science", "Cell", "NEJM", "Lancet", "Nature Medicine"]
-HIGH_IMPACT_JOURNALS = ["Nature Biotechnology", "Nature Methods", "Nature Genetics", "Cell Reports", "Molecular Cell", "Immunity", "Cancer Cell", "Science Translational Medicine", "Science Immunology"]
+HIGH_IMPACT_JOURNALS = [
+    "Nature Biotechnology",
+    "Nature Methods",
+    "Nature Genetics",
+    "Cell Reports",
+    "Molecular Cell",
+    "Immunity",
+    "Cancer Cell",
+    "Science Translational Medicine",
+    "Science Immunology",
+]
 MAJOR_NEWS = ["STAT News", "FiercePharma", "BioPharma Dive", "GEN", "Endpoints News"]
 
 

@@ -11,7 +11,16 @@ from .embed import dense
 KIND = "cross_source_burst"
 
 
-def bursts(articles: DataFrame, embedded: DataFrame, recent: int | None = 100, k: int = 20, threshold: float = 0.82, hours: int = 48, least_sources: int = 2, existing: DataFrame | None = None) -> DataFrame:
+def bursts(
+    articles: DataFrame,
+    embedded: DataFrame,
+    recent: int | None = 100,
+    k: int = 20,
+    threshold: float = 0.82,
+    hours: int = 48,
+    least_sources: int = 2,
+    existing: DataFrame | None = None,
+) -> DataFrame:
     """(article_id, kind, score, related_article_ids, related_sources, mean_similarity,
     window_hours, similarity_threshold) of the latest fetched articles (all: recent=None).
 
@@ -69,7 +78,13 @@ def prompts(events: DataFrame, articles: DataFrame) -> DataFrame:
         F.concat(F.lit("Article ("), F.col("source"), F.lit("): "), F.col("title")),
         F.concat(F.lit("Summary: "), F.coalesce(F.nullif("summary", F.lit("")), F.lit("(none)"))),
         F.concat(F.lit("Detector: "), F.col("kind"), F.lit(", score "), F.format_number("score", 4)),
-        F.concat(F.size("related_sources").cast("string"), F.lit(" independent sources within "), F.col("window_hours").cast("string"), F.lit(" hours, mean similarity "), F.format_number("mean_similarity", 4)),
+        F.concat(
+            F.size("related_sources").cast("string"),
+            F.lit(" independent sources within "),
+            F.col("window_hours").cast("string"),
+            F.lit(" hours, mean similarity "),
+            F.format_number("mean_similarity", 4),
+        ),
         F.concat(F.lit("Coverage:\n"), F.coalesce(F.nullif(lines, F.lit("")), F.lit("(none)"))),
     )
     return full.select("article_id", text.alias("prompt"))

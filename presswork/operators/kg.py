@@ -97,7 +97,9 @@ def article_entities(found: DataFrame, entities: DataFrame, trials: DataFrame |
     in the order of claims, then trials."""
     out = found.join(small(entities), "entity").select("article_id", "pos", "entity_id", "name", "entity_type", "mention_text")
     if trials is not None:
-        more = trials.select("article_id", (F.col("pos") + 1_000_000).alias("pos"), entity_id(F.col("external_id"), F.col("name"), F.lit("trial")).alias("entity_id"), "name", F.lit("trial").alias("entity_type"), F.col("external_id").alias("mention_text"))
+        kind = F.lit("trial")
+        ids = entity_id(F.col("external_id"), F.col("name"), kind).alias("entity_id")
+        more = trials.select("article_id", (F.col("pos") + 1_000_000).alias("pos"), ids, "name", kind.alias("entity_type"), F.col("external_id").alias("mention_text"))
         out = out.unionByName(more)
     first = Window.partitionBy("article_id", "entity_id").orderBy("pos")
     return out.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
@@ -136,7 +138,8 @@ def find(entities: DataFrame, entity_type: str | None = None, q: str | None = No
 
 def neighbourhood(edges: DataFrame, limit: int | None = None) -> DataFrame:
     """(entity_id, neighbour_id, n): for every entity the ones it has relations with."""
-    ends = F.explode(F.array(F.struct(F.col("subject_entity_id").alias("entity_id"), F.col("object_entity_id").alias("neighbour_id")), F.struct(F.col("object_entity_id").alias("entity_id"), F.col("subject_entity_id").alias("neighbour_id")))).alias("x")
+    way = lambda a, b: F.struct(F.col(f"{a}_entity_id").alias("entity_id"), F.col(f"{b}_entity_id").alias("neighbour_id"))
+    ends = F.explode(F.array(way("subject", "object"), way("object", "subject"))).alias("x")
     counts = edges.select(ends).select("x.*").groupBy("entity_id", "neighbour_id").agg(F.count(F.lit(1)).alias("n"))
     if limit is None:
         return counts

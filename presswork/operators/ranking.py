@@ -18,7 +18,22 @@ from .explain import topic_scores
 from .listing import latest_per_user
 from .storage import small, stored
 
-FEATURES = ["user_item_cosine", "user_item_dot", "user_interaction_count", "user_avg_read_time", "user_bookmark_rate", "user_like_rate", "freshness", "popularity", "source_quality", "has_doi", "has_embedding", "user_topic_aff", "user_source_aff"]
+#: The features' names and order.
+FEATURES = [
+    "user_item_cosine",
+    "user_item_dot",
+    "user_interaction_count",
+    "user_avg_read_time",
+    "user_bookmark_rate",
+    "user_like_rate",
+    "freshness",
+    "popularity",
+    "source_quality",
+    "has_doi",
+    "has_embedding",
+    "user_topic_aff",
+    "user_source_aff",
+]
 #: Of train_gbt(): at most 500 rounds at a rate of 0.05; depth 6 has room for 63 leaves.
 PRODUCTION = {"rounds": 500, "depth": 6, "rate": 0.05}
 

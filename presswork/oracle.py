@@ -71,6 +71,14 @@ COLD = """gone as (select distinct user_id, article_id from inter where kind = '
 SEARCH = _embedding("t", "(select 0 id, 'the ertion thanedble of attion' t)", "q")
 
 
+#: The sequential loop: a row is kept if no row kept before it shares its DOI or title hash (URLs all differ).
+THREE = f"""o as (select row_number() over (order by id) rn, id, doi, sha256({KEY}) h from art),
+g as (select 0::bigint rn, []::varchar[] dois, []::varchar[] hs, -1::bigint kept
+  union all select o.rn, case when k and doi is not null then list_append(dois, doi) else dois end, case when k then list_append(hs, h) else hs end, case when k then id else -1 end
+  from g join o on o.rn = g.rn + 1, lateral (select not (coalesce(list_contains(dois, doi), false) or list_contains(hs, h)) k)),
+kept_rows as (select kept id from g where kept >= 0)"""
+
+
 def _search(query: str, others: str) -> str:
     return f"""sc as (select e.id, round(sum(e.w * q.w), 9) s from emb e join ({query}) q using (dim) group by 1),
 al as (select art.id, title, source, coalesce(s, 0) s from art left join sc using (id) where {others})
@@ -88,13 +96,9 @@ SQL: dict[str, str] = {
     "article_by_content_hash": f"with {ART}, h as (select id, sha256({KEY}) content_hash from art) select id, content_hash from h where content_hash = (select content_hash from h where id = 7)",
     "title_normalize_hash": f"with {ART} select id, {NORM} normalized, sha256({KEY}) content_hash from art",
     "dedup_title_hash": f"with {ART} select min(id) id from art group by {KEY}",
-    "dedup_three_tier": f"""with recursive {ART}, o as (select row_number() over (order by id) rn, id, doi, sha256({KEY}) h from art),
-g as (select 0::bigint rn, []::varchar[] dois, []::varchar[] hs, -1::bigint kept
-  union all select o.rn, case when k and doi is not null then list_append(dois, doi) else dois end, case when k then list_append(hs, h) else hs end, case when k then id else -1 end
-  from g join o on o.rn = g.rn + 1, lateral (select not (coalesce(list_contains(dois, doi), false) or list_contains(hs, h)) k))
-select kept id from g where kept >= 0""",
-    "ingest_counts_by_source": f"with {ART}, f as (select min(id) id from art group by {KEY}) select source, count(*) filter (f.id is not null)::bigint added, count(*) filter (f.id is null)::bigint duplicates from art left join f using (id) group by 1",
-    "ingestion_run_record": f"with {ART}, f as (select min(id) id from art group by {KEY}) select 1::bigint id, (select count(*) from f)::bigint added_total, 1::bigint error_count, (select count(distinct source) from art)::bigint n_sources",
+    "dedup_three_tier": f"with recursive {ART}, {THREE} select id from kept_rows",
+    "ingest_counts_by_source": f"with recursive {ART}, {THREE} select source, count(*) filter (f.id is not null)::bigint added, count(*) filter (f.id is null)::bigint duplicates from art left join kept_rows f using (id) group by 1",
+    "ingestion_run_record": f"with recursive {ART}, {THREE} select 1::bigint id, (select count(*) from kept_rows)::bigint added_total, 1::bigint error_count, (select count(distinct source) from art)::bigint n_sources",
     "interactions_latest_n": f"with {INTER} select user_id, id, article_id, kind interaction_type, rn::bigint rn from pos where rn <= 5",
     "interactions_by_user": f"with {INTER} select id, article_id, kind interaction_type from inter where user_id = 3 and kind = 'like' order by created_at desc, id limit 20",
     "hidden_articles": f"with {INTER} select distinct user_id, article_id from inter where kind = 'hide'",
@@ -143,7 +147,8 @@ al as (select subject e, object o from ed union all select object, subject from
 select e entity, o neighbour, count(*)::bigint n from al group by 1, 2""",
     "kg_article_entities": f"with {ART}, {ENT} select article_id, name, entity_type from ent",
     "trial_entities": "select doc_id article_id, p::bigint pos, 'Trial ' || t as name, 'NCT' || lpad(t::varchar, 8, '0') external_id from (select doc_id, 0 p, doc_id t from documents union all select doc_id, 1, 1 from documents where doc_id <> 1) where t < 50 and t % 2 = 1",
-    "freshness_quality": f"with {ART} select id, {FRESH} freshness, {QUAL} quality from art",
+    "freshness_quality": f"""with {ART}, n as (select ['Nature', 'Science', 'Cell', 'NEJM', 'Lancet', 'Nature Medicine', 'Nature Biotechnology', 'Cell Reports', 'Science Immunology', 'STAT News', 'GEN', 'bioRxiv (genomics)', 'Medrxiv', 'PubMed', 'nature', 'a blog'] names)
+select id, {FRESH} freshness, [1, 1, 1, 1, 1, 1, 0.9, 0.9, 0.9, 0.7, 0.7, 0.6, 0.6, 0.5, 0.3, 0.3][id % 16 + 1]::double quality, names[id % 16 + 1] source from art, n""",
     "ranker_features": f"""with {ART}, {EMB}, {INTER}, {ENT}, {UV}, {STATS}, {SRC}, {TOP}, {PAIRS},
 sm as (select user_id, p.id, sum(uv.w * emb.w) s from pairs p join emb on emb.id = p.id join uv using (user_id, dim) group by 1, 2),
 pop as (select article_id id, count(*) n from inter group by 1),

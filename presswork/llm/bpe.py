@@ -182,19 +182,26 @@ class PrefixEncoding:
 
 class Encoder(dict):
     """Text to packed little-endian 32-bit ids. As a dict it holds the ids of the pieces
-    met lately, in bounded number."""
+    met lately; `older` holds those of the time before. When the dict is full it becomes
+    the older one, so that pieces in use stay, in bounded number."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.older = vocabulary, {}
         self.split = regex.compile(pattern).findall
         self.tokens = [vocabulary.token.get(i, b"") for i in range(max(vocabulary.token) + 1)]
 
+    def _make_room(self, more: int) -> None:
+        if len(self) + more > CACHED_WORDS:
+            self.older = dict(self)
+            self.clear()
+
     def __missing__(self, piece: str) -> bytes:
-        ids = self._packed(PrefixEncoding(self.vocabulary, utf8(piece)))
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self._packed(PrefixEncoding(self.vocabulary, utf8(piece)))
         if len(piece) <= LONGEST_CACHED:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
+            self._make_room(1)
             self[piece] = ids
         return ids
 
@@ -205,9 +212,11 @@ class Encoder(dict):
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes pieces in sorted order, each from where it parts from the one before."""
-        new = sorted(utf8(p) for p in pieces.difference(self) if len(p) <= LONGEST_CACHED)
-        if len(self) + len(new) > CACHED_WORDS:
-            self.clear()
+        missing = {p for p in pieces.difference(self) if len(p) <= LONGEST_CACHED}
+        self._make_room(len(missing))
+        known = missing.intersection(self.older)
+        self.update((p, self.older[p]) for p in known)
+        new = sorted(map(utf8, missing - known))
         table, before = PrefixEncoding(self.vocabulary), b""
         for piece in new:
             shared = 0

@@ -116,7 +116,8 @@ def format_trees(nodes: DataFrame, paths: int = 1, unique: bool = False) -> Data
             made = [render([(t["role"], t["text"]) for t in turns]) for turns in batch.column("turns").to_pylist()]
             text, mask = zip(*made) if made else ((), ())
             spans = pa.array([[{"start": a, "stop": b} for a, b in m] for m in mask], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([batch.column("tree"), batch.column("rank"), batch.column("leaf"), pa.array(text, pa.string()), spans], ["tree", "rank", "leaf", "conversation", "mask"])
+            columns = [batch.column("tree"), batch.column("rank"), batch.column("leaf"), pa.array(text, pa.string()), spans]
+            yield pa.RecordBatch.from_arrays(columns, ["tree", "rank", "leaf", "conversation", "mask"])
 
     return gathered.mapInArrow(run, "tree long, rank int, leaf long, conversation string, mask array<struct<start:int,stop:int>>")
 

@@ -233,7 +233,9 @@ def remove_repeated_windows(docs: DataFrame, window: int = 50, with_text: bool =
                 kept = b" ".join(words)
                 out.append((kept if with_text else None, n, n - len(words), hashlib.sha256(kept).hexdigest()))
             kept, n, removed, digest = zip(*out) if out else ([],) * 4
-            yield pa.RecordBatch.from_arrays([doc, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["doc", "kept", "n_words", "n_removed", "kept_sha256"])
+            text = pa.array(kept, pa.binary()).cast(pa.string())
+            columns = [doc, text, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "kept", "n_words", "n_removed", "kept_sha256"])
 
     out = with_removals(texts, found).mapInArrow(finish, "doc long, kept string, n_words long, n_removed long, kept_sha256 string")
     return out.select(common.doc_id_of().alias("doc_id"), "kept", "n_words", "n_removed", "kept_sha256")

@@ -11,10 +11,23 @@ SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Phrases of boilerplate lines, in lower case, found where a word begins.
 BOILERPLATE = {
-    "en": ["all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie", "licensed under", "released under", "subscribe to", "sign up", "log in", "enable javascript", "lorem ipsum", "click here", "read more"],
-    "fr": ["tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "sous licence", "s'abonner", "se connecter", "activer javascript", "cliquez ici", "lire la suite"],
-    "de": ["alle rechte vorbehalten", "datenschutz", "nutzungsbedingungen", "impressum", "lizenziert unter", "jetzt abonnieren", "hier anmelden", "javascript aktivieren", "hier klicken", "weiterlesen"],
-    "es": ["todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "bajo la licencia", "suscríbete", "iniciar sesión", "activar javascript", "haga clic aquí", "leer más"],
+    "en": [
+        "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie",
+        "licensed under", "released under", "subscribe to", "sign up", "log in",
+        "enable javascript", "lorem ipsum", "click here", "read more",
+    ],
+    "fr": [
+        "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "sous licence",
+        "s'abonner", "se connecter", "activer javascript", "cliquez ici", "lire la suite",
+    ],
+    "de": [
+        "alle rechte vorbehalten", "datenschutz", "nutzungsbedingungen", "impressum", "lizenziert unter",
+        "jetzt abonnieren", "hier anmelden", "javascript aktivieren", "hier klicken", "weiterlesen",
+    ],
+    "es": [
+        "todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "bajo la licencia",
+        "suscríbete", "iniciar sesión", "activar javascript", "haga clic aquí", "leer más",
+    ],
 }
 #: Signs between the entries of menus and trails of links.
 NAVIGATION = "|>»›·•"
@@ -55,11 +68,14 @@ def metrics(docs: DataFrame) -> DataFrame:
     df = df.withColumn("lines", F.expr(f"filter(split(t, '\\n', -1), l -> trim(both '{space}' from l) <> '')"))
     # three-word windows: hashes in the high bits, places in the low ones
     df = df.withColumn("bits", F.expr("cast(ceil(log2(size(w) + 2)) as int)"))
-    df = df.withColumn("h", F.expr("if(size(w) < 3, cast(array() as array<bigint>), sort_array(transform(sequence(0, size(w) - 3), i -> shiftleft(shiftright(xxhash64(w[i], w[i + 1], w[i + 2]), bits), bits) | cast(i as bigint))))"))
+    windows = "transform(sequence(0, size(w) - 3), i -> shiftleft(shiftright(xxhash64(w[i], w[i + 1], w[i + 2]), bits), bits) | cast(i as bigint))"
+    df = df.withColumn("h", F.expr(f"if(size(w) < 3, cast(array() as array<bigint>), sort_array({windows}))"))
     near = lambda k: f"shiftright(h[{k}], bits) = shiftright(x, bits)"
-    df = df.withColumn("near", F.expr(f"transform(filter(h, (x, k) -> (k > 0 and {near('k - 1')}) or (k < size(h) - 1 and {near('k + 1')})), x -> cast(x & (shiftleft(1L, bits) - 1) as int))")).drop("h", "bits")
+    again = f"filter(h, (x, k) -> (k > 0 and {near('k - 1')}) or (k < size(h) - 1 and {near('k + 1')}))"
+    df = df.withColumn("near", F.expr(f"transform({again}, x -> cast(x & (shiftleft(1L, bits) - 1) as int))")).drop("h", "bits")
     # windows with equal hashes are compared as words
-    df = df.withColumn("g", F.expr("if(size(near) = 0, cast(array() as array<struct<s:string,i:int>>), array_sort(transform(near, i -> named_struct('s', concat_ws(' ', w[i], w[i + 1], w[i + 2]), 'i', i))))")).drop("near")
+    said = "array_sort(transform(near, i -> named_struct('s', concat_ws(' ', w[i], w[i + 1], w[i + 2]), 'i', i)))"
+    df = df.withColumn("g", F.expr(f"if(size(near) = 0, cast(array() as array<struct<s:string,i:int>>), {said})")).drop("near")
     df = df.withColumn("p", F.expr("sort_array(transform(filter(g, (x, k) -> (k > 0 and g[k - 1].s = x.s) or (k < size(g) - 1 and g[k + 1].s = x.s)), x -> x.i))")).drop("g")
     repeat = "aggregate(p, named_struct('last', -3, 'n', 0), (acc, i) -> named_struct('last', i, 'n', acc.n + least(3, i - acc.last)), acc -> acc.n)"
     signs = f"(char_length(x.l) - char_length(translate(x.l, '{SYMBOLS}!', '')))"

@@ -103,7 +103,8 @@ def sketches(texts: DataFrame, n_words: int, bands: int, rows: int) -> DataFrame
                     digest[at] = hashlib.blake2b(h[starts[i] : stops[i]].tobytes(), digest_size=16).digest()
                     size[at] = stops[i] - starts[i]
                     band[at] = keys[i]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tid"), pa.array(digest, pa.binary()), pa.array(size), pa.array(band, pa.list_(pa.int64()))], ["doc", "tid", "grams", "n", "bands"])
+            columns = [batch.column("doc"), batch.column("tid"), pa.array(digest, pa.binary()), pa.array(size), pa.array(band, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "tid", "grams", "n", "bands"])
 
     return texts.mapInArrow(run, SKETCH_SCHEMA)
 
@@ -296,9 +297,9 @@ def near_copies(docs: DataFrame, n_words: int = N_WORDS, similarity: float = SIM
     bands, rows = bands_and_rows(similarity, recall, MOST_HASHES)
     texts = common.keyed_texts(docs)
     sketch = scratch.save(sketches(texts, n_words, bands, rows))
-    classes = scratch.save(
-        sketch.filter("n > 0").groupBy("grams").agg(F.min("doc").alias("rep"), F.min_by("tid", F.struct("doc", "tid")).alias("tid"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    )
+    first = [F.min("doc").alias("rep"), F.min_by("tid", F.struct("doc", "tid")).alias("tid"), F.count(F.lit(1)).alias("copies")]
+    same = [F.first(c).alias(c) for c in ("n", "bands")]  # of equal sets
+    classes = scratch.save(sketch.filter("n > 0").groupBy("grams").agg(*first, *same))
     found = texts.join(candidates(classes, scratch, block).hint("shuffle_hash"), ["doc", "tid"])
     sent = found.mapInArrow(senders(n_words, block, common.parts_for(docs)), CELL_SCHEMA)
     linked = scratch.save(sent.groupBy("part").applyInArrow(verifier(similarity), LINK_SCHEMA))

@@ -199,7 +199,9 @@ def remove_repeats(docs: DataFrame, window: int = 100, with_text: bool = True) -
                 out.append((kept, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
             kept, n, removed, spans, digest = zip(*out) if out else ([],) * 5
             kept = kept if with_text else [None] * len(out)
-            yield pa.RecordBatch.from_arrays([doc, pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], ["doc", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            numbers = [pa.array(x, pa.int64()) for x in (n, removed, spans)]
+            columns = [doc, pa.array(kept, pa.binary()), *numbers, pa.array(digest, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     out = with_removals(texts, found).mapInArrow(finish, "doc long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(common.doc_id_of().alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")

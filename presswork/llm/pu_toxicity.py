@@ -23,7 +23,7 @@ MOST_POSITIVE, MOST_UNLABELLED = 4096, 12288
 #: Words carry weight if at least so many positives have them, and more of the positives
 #: than of the unlabelled texts by so many standard errors: with some hundred thousand
 #: words and few positives, others would be learned by heart.
-LEAST_TEXTS, LEAST_ERRORS = 4, 6.0
+LEAST_TEXTS, LEAST_ERRORS = 4, 8.0
 
 _letters = np.zeros(256, bool)
 _letters[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True

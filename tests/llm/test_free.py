@@ -217,7 +217,7 @@ def test_training_equals_plain_dense_steps():
     rng = random.Random(9)
     vocabulary = np.sort(np.random.default_rng(3).integers(1, 2**63, 40, dtype=np.uint64))
     say = lambda odds: vocabulary[[k for k in range(40) if rng.random() < (odds if k < 5 else 0.2)]].tobytes()
-    positive, unlabelled, prior = [say(0.6) for _ in range(60)], [say(0.6 if rng.random() < 0.2 else 0.05) for _ in range(200)], 0.2
+    positive, unlabelled, prior = [say(0.9) for _ in range(120)], [say(0.9 if rng.random() < 0.2 else 0.05) for _ in range(400)], 0.2
     words, weights, bias = pu_toxicity.train(positive, unlabelled, prior)
     dense = lambda rows: np.array([np.isin(words, np.frombuffer(r, np.uint64)) for r in rows], float)
     p, u = dense(positive), dense(unlabelled)

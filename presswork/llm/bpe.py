@@ -23,8 +23,8 @@ from . import common
 from .repeats import as_bytes
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-#: Bounds of the encoder's memory; they change no result.
-CACHED_WORDS, CACHED_PAIRS, LONGEST_CACHED, LEARN_CHARS = 1 << 17, 1 << 18, 64, 1 << 20
+#: Bounds of the encoder's memory (of words, twice as many are held); they change no result.
+CACHED_WORDS, CACHED_PAIRS, LONGEST_CACHED, LEARN_CHARS = 1 << 16, 1 << 18, 64, 1 << 20
 
 
 def utf8(piece: str) -> bytes:

@@ -100,7 +100,8 @@ def kept_by_the_rules(t):
 def test_verdicts_equal_brute_force(spark):
     rng = random.Random(14)
     lines = ["Plain words, told in full.", "Home | Shop | About | Help", "Inicio · Tienda · Ayuda · Salir", "Tous droits réservés.", "Alle Rechte vorbehalten", "aviso legal y privacidad", "$$$ *** !!! %%%", "catalog in order", " ", "no end here " * 25, "Accueil › Page › Suite › Fin", "Weiterlesen", "One more. Two more? Three!"]
-    docs = [(i, "\n".join(f"{rng.choice(lines)} w{rng.randrange(999)}" if rng.random() < 0.7 else rng.choice(lines) for _ in range(rng.randrange(2, 40)))) for i in range(120)]
+    more = lambda n: "".join(f" w{rng.randrange(99999)}" for _ in range(n))
+    docs = [(i, "\n".join(rng.choice(lines) + more(rng.choice([0, 2, 6, 12])) for _ in range(rng.randrange(2, 40)))) for i in range(120)]
     df = spark.createDataFrame(docs + docs[:3], "doc_id bigint, text string").withColumns({"rest": F.lit("r"), "marks": F.lit(1), "t": F.lit(2)})
     rows = line_rules.metrics(df).collect()
     assert len(rows) == 123 and {(r.rest, r.marks, r.t) for r in rows} == {("r", 1, 2)}

@@ -103,6 +103,49 @@ select doc_id, coalesce(n_assign, 0)::bigint n_assign, coalesce(n_access, 0)::bi
 from d left join said using (rid)
 """
 
+DIVERGENCE = r"""
+with d as (select row_number() over () rid, coalesce(lang, '') lang, coalesce(source, '') source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') ws from documents),
+t as (select rid, lang, source, unnest(ws) w from d),
+kept as (select lang, w from t group by 1, 2 having count(distinct rid) >= 10),
+v as (select lang, count(*) v from kept group by 1),
+g as (select distinct lang, source from d),
+c as (select lang, source, w, count(*) n from t join kept using (lang, w) group by 1, 2, 3),
+a as (select g.lang, g.source, k.w, coalesce(c.n, 0) n from g join kept k using (lang) left join c using (lang, source, w)),
+total as (select lang, source, sum(n) s from a group by 1, 2),
+p as (select lang, source, w, n, 1 + (1000000000::hugeint * (n + 2)) // (s + 2 * v)::hugeint p from a join total using (lang, source) join v using (lang)),
+e as (select lang, w, sum(n) n from a group by 1, 2),
+q as (select lang, w, 1 + (1000000000::hugeint * (n + 2)::hugeint) // ((select sum(n) from e f where f.lang = e.lang) + 2 * v)::hugeint q from e join v using (lang)),
+pairs as (select x.lang, x.source, y.source item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) f from p x join p y using (lang, w) where x.source <> y.source group by 1, 2, 3),
+found as (
+  select x.lang, x.source, 'pair' part, y.source item, coalesce(f, 0)::bigint value from g x join g y on x.lang = y.lang and x.source <> y.source left join pairs z on z.lang = x.lang and z.source = x.source and z.item = y.source
+  union all
+  select lang, source, 'term', w, ((p - q) * (p - q) // (p + q))::bigint from p join q using (lang, w) where n > 0 and p > q)
+select * from (select *, row_number() over (partition by lang, source, part order by value desc, item)::int "rank" from found)
+where part = 'pair' or "rank" <= 10
+"""
+
+
+def clustering(k: int = 40, rounds: int = 5, seed: int = 2, size: int = 64, scale: int = 256) -> str:
+    """Rounds of centroid clustering, one CTE after the other, on rows of components."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+s{r} as (select rid, arg_min(c, (d, c)) c, min(d) d from (select rid, c, sum((v.x - m.x) * (v.x - m.x)) d from v join m{r} m using (i) group by 1, 2) group by 1)""")
+        if r < rounds:
+            steps.append(f"""
+m{r + 1} as (select m.c, i, coalesce(n.x, m.x) x from m{r} m left join (select c, i, ((s - ((s % n) + n) % n) // n)::bigint x from (select c, i, sum(x)::hugeint s, count(*)::hugeint n from v join s{r} using (rid) group by 1, 2)) n using (c, i))""")
+    return f"""
+with e as (select row_number() over () rid, vec_id, embedding from embeddings where len(embedding) = {size}
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+v as (select rid, generate_subscripts(embedding, 1) i, floor({scale} * unnest(embedding)::double)::bigint x from e),
+m0 as (select c, i, x from v join (select rid, row_number() over (order by sha256('{seed}:' || coalesce(vec_id::varchar, '')), embedding) - 1 c from e) using (rid) where c < {k}),{",".join(steps)},
+h as (select c, sha256(string_agg(x::varchar, ',' order by i)) h from m{rounds} group by 1)
+select vec_id, c::int "cluster", d::bigint distance, (sum(d) over (partition by c))::bigint cluster_inertia, (sum(d) over ())::bigint inertia, h centroid_sha256
+from e join s{rounds} using (rid) join h using (c)
+"""
+
+
 SQL: dict[str, str] = {
     "op1_chat_formatting": chat.SQL,
     "op2_benchmark_decontamination": decontaminate.SQL,
@@ -111,4 +154,6 @@ SQL: dict[str, str] = {
     "op5_suffix_array_dedup": BYTES,
     "op7_ngram_jaccard_join": NEAR_COPIES,
     "op8_line_quality_rules": LINE_RULES,
+    "op12_source_divergence": DIVERGENCE,
+    "op13_centroid_clustering": clustering(),
 }

@@ -79,6 +79,27 @@ def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document by longest matches and steps back, and their text."""
+    from .piece_bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ, and by which terms."""
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after five rounds of 40 centroids."""
+    from .centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -90,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_quality_rules": op8_line_quality_rules,
     "op9_min_cost_resharding": op9_min_cost_resharding,
     "op10_pu_toxicity": op10_pu_toxicity,
+    "op11_piece_encoding": op11_piece_encoding,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 ORACLE: dict[str, str] = dict(oracle.SQL)

@@ -13,7 +13,8 @@ from .functions import scores as S
 from .functions import text as T
 from .functions.dates import freshness_days
 from .operators import anomaly, dedup, embed, evaluate, explain, feed, ingest, kg, knn, listing, ranking, users
-from .operators.storage import stored
+from .operators.storage import new_folder, stored
+from .operators.vector_index import VectorIndex, recall
 from .sources import adapters as A
 
 AS_OF = datetime(2024, 1, 31)
@@ -194,10 +195,39 @@ def feed_warm(spark, sf_dir):
     return out.select("user_id", "id", F.round("sim", ROUND).alias("similarity"), "rn", "reason")
 
 
+def _unit(spark, sf_dir):
+    return knn.unit_vectors(A.table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def _index(spark, vectors):
+    size = vectors.agg(F.max(F.size("dims"))).first()[0] or 1
+    return VectorIndex.build(vectors, new_folder(spark), size=size)
+
+
+@query
+def vector_index_topk(spark, sf_dir):
+    """Approximate neighbours of every fiftieth vector, with the share of the true ones found."""
+    vectors = stored(_unit(spark, sf_dir))
+    index, asked = _index(spark, vectors), vectors.filter("id % 50 = 0")
+    probes, _ = index.probes_for(asked, 10)
+    found = stored(index.search(asked, 10, probes))
+    share = recall(found, index.exact(asked, 10)[0]).agg((F.sum("n_found") / F.sum("n_true")).alias("recall_at_10"))
+    rows = found.select("anchor", "id", F.col("rn").cast("bigint").alias("rn"), F.round("sim", ROUND).alias("similarity"))
+    return rows.join(F.broadcast(share))  # one row
+
+
+@query
+def knn_exact_cells(spark, sf_dir):
+    """The true neighbours of every fiftieth vector, by cells and the triangle inequality."""
+    vectors = stored(_unit(spark, sf_dir))
+    found, _ = _index(spark, vectors).exact(vectors.filter("id % 50 = 0"), 10)
+    return found.select("anchor", "id", F.col("rn").cast("bigint").alias("rn"), F.round("sim", ROUND).alias("similarity"))
+
+
 @query
 def knn_labels_recall_ndcg(spark, sf_dir):
     vecs = A.table(spark, sf_dir, "embeddings")
-    sparse = embed.dense(knn.to_sparse(vecs, "vec_id", "embedding"), "vec_id").withColumnRenamed("vec_id", "id")
+    sparse = stored(_unit(spark, sf_dir))
     near = knn.batch(sparse, sparse, 10)
     labels = vecs.select("vec_id", "label")
     ranked = near.select(F.col("anchor").alias("query"), "id", F.col("rn").alias("rank"))

@@ -62,10 +62,10 @@ def dense(vectors: DataFrame, key: str = "id") -> DataFrame:
     return vectors.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("dim", "w"))).alias("_e")).select(key, F.col("_e.dim").alias("dims"), F.col("_e.w").alias("ws"))
 
 
-def full(dims: Column, ws: Column) -> Column:
-    """All 768 numbers of a vector."""
+def full(dims: Column, ws: Column, size: int = EMBEDDING_DIM) -> Column:
+    """All numbers of a vector, by default 768."""
     found = F.map_from_arrays(dims, ws)
-    return F.transform(F.sequence(F.lit(0), F.lit(EMBEDDING_DIM - 1)), lambda d: F.coalesce(F.try_element_at(found, d), F.lit(0.0)))
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda d: F.coalesce(F.try_element_at(found, d), F.lit(0.0)))
 
 
 def model_embedder(encode: Callable[[list[str]], list[list[float]]], batch: int = 32) -> Callable[[DataFrame, str, str], DataFrame]:

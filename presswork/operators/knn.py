@@ -72,23 +72,34 @@ def batch(anchors: DataFrame, corpus: DataFrame, k: int, key: str = "id", but_se
     left = mine.select("*", block(rows).alias("a")).select("*", every(columns).alias("c"))
     right = theirs.select("*", block(columns).alias("c")).select("*", every(rows).alias("a"))
 
+    found = left.groupBy("a", "c").cogroup(right.groupBy("a", "c")).applyInArrow(meeting(but_self), FOUND)
+    order = Window.partitionBy("anchor").orderBy(F.desc("sim"), "id")
+    ranked = found.withColumn("rn", F.row_number().over(order))
+    if "k" not in anchors.columns:
+        return ranked.filter(F.col("rn") <= k)
+    return ranked.join(mine.select(F.col("id").alias("anchor"), "k"), "anchor").filter("rn <= k").drop("k")
+
+
+#: What a meeting of blocks finds.
+FOUND = "anchor bigint, id bigint, sim double"
+
+
+def meeting(but_self: bool, size: int = EMBEDDING_DIM):
+    """A function of a block of anchors (id, dims, ws, k) and one of the corpus (id, dims, ws)
+    that returns each anchor's best k rows of the block."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, matrix, most = left.column("id").to_numpy(), _matrix(left), left.column("k").to_numpy()
+        ids, matrix, most = left.column("id").to_numpy(), _matrix(left, size), left.column("k").to_numpy()
         found = [_best(ids, matrix, most, right.slice(at, CORPUS_STEP), but_self) for at in range(0, len(right), CORPUS_STEP)] if len(left) else []
         parts = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         a, i, sim = _first(*parts, most)
         return pa.table({"anchor": pa.array(ids[a] if len(a) else a, pa.int64()), "id": pa.array(i, pa.int64()), "sim": pa.array(sim, pa.float64())})
 
-    found = left.groupBy("a", "c").cogroup(right.groupBy("a", "c")).applyInArrow(run, "anchor bigint, id bigint, sim double")
-    order = Window.partitionBy("anchor").orderBy(F.desc("sim"), "id")
-    ranked = found.withColumn("rn", F.row_number().over(order))
-    if "k" not in anchors.columns:
-        return ranked.filter(F.col("rn") <= k)
-    return ranked.join(mine.select(F.col("id").alias("anchor"), "k"), "anchor").filter("rn <= k").drop("k")
+    return run
 
 
-def _matrix(vectors: pa.Table) -> np.ndarray:
-    out = np.zeros((len(vectors), EMBEDDING_DIM))
+def _matrix(vectors: pa.Table, size: int = EMBEDDING_DIM) -> np.ndarray:
+    out = np.zeros((len(vectors), size))
     dims, ws = (vectors.column(c).combine_chunks() for c in ("dims", "ws"))
     counts = dims.value_lengths().to_numpy(zero_copy_only=False)
     out[np.repeat(np.arange(len(out)), counts), dims.flatten().to_numpy()] = ws.flatten().to_numpy()
@@ -98,7 +109,7 @@ def _matrix(vectors: pa.Table) -> np.ndarray:
 def _best(ids: np.ndarray, matrix: np.ndarray, most: np.ndarray, part: pa.Table, but_self: bool):
     """(place of the anchor, id, similarity) of at least each anchor's best `most` rows of part."""
     mine = part.column("id").to_numpy()
-    sims = np.round(matrix @ _matrix(part).T, 9)
+    sims = np.round(matrix @ _matrix(part, matrix.shape[1]).T, 9)
     if but_self:
         sims[ids[:, None] == mine[None, :]] = -np.inf
     k = min(int(most.max()), len(mine))
@@ -115,17 +126,13 @@ def _first(a: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: np.ndarray):
     return a[keep], ids[keep], sims[keep]
 
 
-def approximate(corpus: DataFrame, query: DataFrame, threshold: float, seed: int = 7) -> DataFrame:
-    """Locality-sensitive neighbours on unit vectors (dims, ws), in place of an index:
-    cosine of at least `threshold` is a distance of at most sqrt(2 - 2 threshold)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    full = "transform(sequence(0, 767), d -> coalesce(try_element_at(map_from_arrays(dims, ws), d), 0D))"
-    vec = lambda df: df.select("id", array_to_vector(F.expr(full)).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=8, seed=seed).fit(vec(corpus))
-    pairs = model.approxSimilarityJoin(vec(query), vec(corpus), (2 - 2 * threshold) ** 0.5, "d")
-    return pairs.select(F.col("datasetA.id").alias("anchor"), F.col("datasetB.id").alias("id"), (1 - F.col("d") * F.col("d") / 2).alias("sim"))
+def unit_vectors(vectors: DataFrame, key: str, column: str) -> DataFrame:
+    """(id, dims, ws) of dense arrays, made in the row; null vectors, and those of no length
+    or with a component that is null or not finite, are left out."""
+    x = F.transform(column, lambda v: v.cast("double"))
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+    rows = vectors.select(F.col(key).cast("bigint").alias("id"), x.alias("x"), norm.alias("n")).filter("n > 0 and n < double('infinity')")
+    return rows.select("id", F.transform("x", lambda v, i: i).alias("dims"), F.transform("x", lambda v: v / F.col("n")).alias("ws"))
 
 
 def to_sparse(vectors: DataFrame, key: str, column: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,21 +12,37 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session. Where it is unset, as in tests, a temporary
     folder serves on one machine; on a cluster other executors couldn't see it."""
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="shared-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="shared-")
         context.setCheckpointDir(folder)
-    return context.getCheckpointDir().rstrip("/")
+    return (folder or context.getCheckpointDir()).rstrip("/")
+
+
+def new_folder(spark: SparkSession) -> str:
+    """The name of a folder in the shared one, for a table or an index. clear() deletes it."""
+    path = f"{shared_folder(spark)}/presswork-{uuid.uuid4().hex}"
+    vars(spark.sparkContext).setdefault("_presswork_folders", []).append(path)
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df, written to the shared folder once: its lineage ends there, and it can be read
-    several times."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    several times. The table stays until clear()."""
+    path = new_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this session's operators have stored on the way. To be called when no
+    result that reads it is needed any more."""
+    for path in vars(spark.sparkContext).pop("_presswork_folders", []):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Tables of at most so many rows are broadcast.

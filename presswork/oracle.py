@@ -119,6 +119,11 @@ pairs as (select user_id, id from fd), {NEAR}
 select f.user_id, f.id, round(sim, 4) similarity, f.rn::bigint rn,
  case when n.s > 0.3 then 'Similar to article you ' || case n.kind when 'bookmark' then 'bookmarked' when 'like' then 'liked' else 'read' end || ': ' || substr(t.title, 1, 60) || '...' else 'Recommended based on your reading interests' end reason
 from fd f left join near n on n.user_id = f.user_id and n.id = f.id left join art t on t.id = n.liked_id""",
+    "knn_exact_cells": """with v as (select vec_id, list_transform(embedding, lambda x: x::double) e from embeddings),
+n as (select vec_id, e, sqrt(list_dot_product(e, e)) l from v),
+s as (select q.vec_id anchor, n.vec_id id, round(list_dot_product(q.e, n.e) / (q.l * n.l), 9) sim from n q, n where q.vec_id % 50 = 0 and q.vec_id <> n.vec_id),
+r as (select *, row_number() over (partition by anchor order by sim desc, id) rn from s)
+select anchor, id, rn, round(sim, 4) similarity from r where rn <= 10""",
     "knn_labels_recall_ndcg": """with v as (select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings),
 n as (select vec_id, label, e, sqrt(list_dot_product(e, e)) l from v),
 q as (select * from n),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracle
@@ -16,6 +16,7 @@ from .operators import anomaly, dedup, embed, evaluate, explain, feed, ingest, k
 from .operators.storage import new_folder, stored
 from .operators.vector_index import VectorIndex, recall
 from .sources import adapters as A
+from .streaming.user_state import current_vectors, refresh_users
 
 AS_OF = datetime(2024, 1, 31)
 QUERY = "the ertion thanedble of attion"
@@ -437,18 +438,29 @@ def cascade_surviving(spark, sf_dir):
     return ingest.surviving(A.interactions(spark, sf_dir), parents, "article_id").groupBy("article_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def stream_user_vectors(spark, sf_dir):
+    """The vectors of user_embedding, kept by a stream of the interactions."""
+    inter = A.interactions_of(A.table_stream(spark, sf_dir, "events"))
+    liked = users.positive_articles(A.interactions(spark, sf_dir)).select(F.col("article_id").alias("id")).distinct()
+    store = new_folder(spark)
+    refresh_users(inter, stored(_embedded(spark, sf_dir, liked)), store, new_folder(spark)).awaitTermination()
+    rows = embed.sparse(current_vectors(spark, store), ["user_id", "interaction_count"])
+    return rows.select("user_id", F.col("dim").cast("bigint").alias("dim"), (F.round("w", ROUND) + 0.0).alias("w"), "interaction_count")
+
+
 @query
 def stream_ingest_counts(spark, sf_dir):
     """Documents as a stream, taken in one go and counted by day and source."""
-    import uuid
-
     from .streaming.ingest import counts_by_source
 
     flow = A.table_stream(spark, sf_dir, "documents")
     published = F.expr("timestampadd(HOUR, cast((doc_id * 37) % 720 as int), timestamp_ntz'2024-01-01 00:00:00')")
-    counted = counts_by_source(flow.select("source", published.alias("published_at")))
-    name = f"counts_{uuid.uuid4().hex}"
-    running = counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "source", "n")
-
+    counted = counts_by_source(flow.select("source", published.alias("published_at"))).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "source", "n")
+    store = new_folder(spark)
+    # each batch has the counts of all windows that it changed; this stream's one batch has all
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
+    counted.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", new_folder(spark)).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.option("basePath", store).parquet(store)
+    last = F.max("batch").over(Window.partitionBy("day", "source"))
+    return rows.withColumn("last", last).filter("batch = last").select("day", "source", "n")

@@ -8,7 +8,7 @@ that of the sequential loop. Rounds are written to the checkpoint folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import stored
@@ -17,9 +17,11 @@ KEYS = ("url", "doi", "content_hash")
 
 
 def by_key(df: DataFrame, key: str, order: str = "id") -> DataFrame:
-    """The first row of each value of one key; rows without the key all stay."""
-    first = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("_rn", first).filter((F.col("_rn") == 1) | F.col(key).isNull()).drop("_rn")
+    """The first row of each value of one key; rows without the key all stay. Minimums are
+    partly made before the shuffle and found again by key and `order`, which is unique, so
+    neither a frequent value nor rows without the key meet in one task."""
+    firsts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias(order))
+    return df.join(firsts, [key, order], "left_semi").select(*df.columns).unionByName(df.filter(F.col(key).isNull()))
 
 
 def three_tier(df: DataFrame, keys: tuple[str, ...] = KEYS, order: str = "id", history: DataFrame | None = None, ignore_empty_title: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .embed import sparse
@@ -23,20 +23,29 @@ def stats(interactions: DataFrame, limit: int = 1000) -> DataFrame:
 def weights(interactions: DataFrame, limit: int = 500, full_read: float = 300.0) -> DataFrame:
     """(user_id, article_id, weight) over each user's latest positive interactions: 1 for
     a bookmark or like, up to 1 for a read by its time."""
+    return latest_per_user(interactions, limit).groupBy("user_id", "article_id").agg(F.sum(weight(full_read)).alias("weight"))
+
+
+def weight(full_read: float = 300.0) -> Column:
+    """What one positive interaction weighs."""
     read = F.when(F.col("read_time_seconds") > 0, F.least(F.col("read_time_seconds") / full_read, F.lit(1.0))).otherwise(0.0)
-    each = F.when(F.col("interaction_type") == "read", read).otherwise(1.0)
-    return latest_per_user(interactions, limit).groupBy("user_id", "article_id").agg(F.sum(each).alias("weight"))
+    return F.when(F.col("interaction_type") == "read", read).otherwise(1.0)
 
 
 def vectors(interactions: DataFrame, embedded: DataFrame, least: int = 1, limit: int = 500, count_limit: int = 200) -> DataFrame:
     """(user_id, dim, w, interaction_count): the unit vector of the weighted mean of the
     embedded articles; users with fewer interactions, or no weight, have none."""
     counts = latest_per_user(interactions, count_limit).groupBy("user_id").agg(F.count(F.lit(1)).alias("interaction_count")).filter(F.col("interaction_count") >= least)
-    used = weights(interactions, limit).filter("weight > 0").withColumnRenamed("article_id", "id")
+    return combined(weights(interactions, limit), embedded).join(counts, "user_id")
+
+
+def combined(weights: DataFrame, embedded: DataFrame) -> DataFrame:
+    """(user_id, dim, w): the unit vector of each user's weighted articles (user_id,
+    article_id, weight; a weight of 0 has no part)."""
+    used = weights.filter("weight > 0").withColumnRenamed("article_id", "id")
     sums = sparse(used.join(embedded, "id"), ["user_id", "weight"]).groupBy("user_id", "dim").agg(F.sum(F.col("weight") * F.col("w")).alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("user_id")))
-    unit = sums.withColumn("norm", norm).filter("norm > 0").select("user_id", "dim", (F.col("v") / F.col("norm")).alias("w"))
-    return unit.join(counts, "user_id")
+    return sums.withColumn("norm", norm).filter("norm > 0").select("user_id", "dim", (F.col("v") / F.col("norm")).alias("w"))
 
 
 def popularity(interactions: DataFrame) -> DataFrame:

@@ -108,6 +108,7 @@ SQL: dict[str, str] = {
     "topic_affinity": f"with {ART}, {INTER}, {ENT}, {LIKED}, {TOP} select user_id, name, round(share, 4) share from top_aff",
     "interaction_weights": f"with {INTER}, {W} select user_id, article_id, round(weight, 4) weight from wts",
     "user_embedding": f"with {ART}, {EMB}, {INTER}, {UV} select user_id, dim, round(w, 4) + 0.0 w, interaction_count from uv join cnt using (user_id)",
+    "stream_user_vectors": f"with {ART}, {EMB}, {INTER}, {UV} select user_id, dim, round(w, 4) + 0.0 w, interaction_count from uv join cnt using (user_id)",
     "feed_cold_start": f"""with {ART}, {EMB}, {INTER}, {COLD},
 c as (select distinct id, published_at from art where id in (select id from emb) and published_at >= timestamp '2024-01-31' - interval 30 days),
 r as (select u.user_id, c.id, row_number() over (partition by u.user_id order by published_at desc, c.id) rn from (select distinct user_id from inter) u, c where not exists (select 1 from gone g where g.user_id = u.user_id and g.article_id = c.id))

@@ -40,8 +40,13 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions_of(table(spark, sf_dir, "events"))
+
+
+def interactions_of(events: DataFrame) -> DataFrame:
+    """The table `events`, or a stream of it, as interactions."""
     kind = F.expr("case event_type when 'view' then 'read' when 'purchase' then 'bookmark' when 'click' then 'like' when 'error' then 'hide' else 'search' end")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("id"),
         "user_id",
         F.get_json_object("props", "$.k").cast("bigint").alias("article_id"),

@@ -8,25 +8,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.dedup import three_tier
+from ..operators.key_store import KeyStore
 
 
 def ingest_stream(stream: DataFrame, store: str, checkpoint: str, after: dict[str, Callable[[DataFrame, int], None]] | None = None, on_error: Callable[[str, int, Exception], None] | None = None, every: str | None = None):
     """Starts a query that deduplicates each batch against all that is stored, appends
     the new rows under their batch number and runs the stages in `after` (embedding,
     extraction, records), each by itself. A batch that runs again after a failure
-    replaces its own files, so rows are stored once. every: e.g. "60 minutes"; None takes
-    all that is there and stops."""
+    replaces its own files, so rows are stored once. The keys of stored rows are in
+    store/_keys, and a batch reads those buckets only that it may hit. every: e.g. "60
+    minutes"; None takes all that is there and stops."""
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        kept = spark.read.schema(batch.schema).option("basePath", store).parquet(store) if _exists(spark, store) else None
-        if kept is not None:
-            kept = kept.filter(F.col("batch") != number) if "batch" in kept.columns else kept
-        new = three_tier(batch, history=kept)
+        keys = KeyStore(spark, f"{store}/_keys")
+        new = three_tier(batch, history=keys.history(batch, but=number))
         new.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        new = spark.read.schema(batch.schema).parquet(f"{store}/batch={number}")
+        keys.add(new, number)
         for name, stage in (after or {}).items():
             try:
-                stage(spark.read.schema(batch.schema).parquet(f"{store}/batch={number}"), number)
+                stage(new, number)
             except Exception as error:  # noqa: BLE001  one stage's failure is not another's
                 if on_error is None:
                     raise
@@ -36,11 +38,6 @@ def ingest_stream(stream: DataFrame, store: str, checkpoint: str, after: dict[st
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def _exists(spark, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def burst_pairs(left: DataFrame, right: DataFrame, hours: int = 48) -> DataFrame:
     """Stream-stream join of articles with the same title hash from different sources at
     most `hours` apart: bursts of (nearly) equal titles, with the time bound as watermark."""
@@ -55,17 +52,3 @@ def counts_by_source(stream: DataFrame, time: str = "published_at", window: str
     """(window, source, n): tumbling counts with a watermark."""
     timed = stream.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late)
     return timed.groupBy(F.window("_t", window).alias("w"), "source").agg(F.count(F.lit(1)).alias("n"))
-
-
-def refresh_users(stream: DataFrame, log: str, checkpoint: str, refresh: Callable[[DataFrame, DataFrame], None]):
-    """Appends interactions to the log; refresh(all interactions of the users who have a
-    new positive one, their ids) recomputes their vectors. A user's vector depends on the
-    latest 500 interactions, which running sums can't drop, so it is made anew."""
-
-    def one(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        changed = batch.filter(F.col("interaction_type").isin("read", "bookmark", "like")).select("user_id").distinct()
-        everything = batch.sparkSession.read.schema(batch.schema).parquet(log)
-        refresh(everything.join(changed, "user_id", "left_semi"), changed)
-
-    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

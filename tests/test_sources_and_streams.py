@@ -5,7 +5,7 @@ import pytest
 
 from presswork.operators import evaluate, ingest, kg
 from presswork.sources import feeds, synthetic
-from presswork.streaming.ingest import burst_pairs, ingest_stream, refresh_users
+from presswork.streaming.ingest import burst_pairs, ingest_stream
 
 FEED = """<?xml version="1.0"?><rss version="2.0"><channel><title>f</title>
 <item><title>First &amp;lt;b&amp;gt;bold&amp;lt;/b&amp;gt; story</title><link>https://a/1</link><description>&lt;p&gt;Some &amp;amp; text&lt;/p&gt;</description><pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate></item>
@@ -114,14 +114,6 @@ def test_stream_join_within_the_window(spark, tmp_path):
     assert {(r.a_id, r.b_id) for r in spark.table("burst_pairs").collect()} == {(1, 2), (2, 1), (4, 2), (2, 4)}
 
 
-def test_user_refresh_sees_only_users_with_new_positive_interactions(spark, tmp_path):
-    df = spark.createDataFrame([(1, 1, "read"), (2, 2, "hide")], "id bigint, user_id bigint, interaction_type string")
-    df.write.parquet(str(tmp_path / "in"))
-    got = []
-    refresh_users(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "ck"), lambda rows, ids: got.extend(r.user_id for r in rows.collect())).awaitTermination()
-    assert got == [1]
-
-
 def test_run_record(spark):
     counts = ingest.counts(ingest.created(rows(spark, 0, 1, 3)))
     row = ingest.run_record(spark, counts, {"x": "down"}, datetime(2024, 1, 1), datetime(2024, 1, 1)).first()

@@ -31,9 +31,11 @@ MODEL_FILE = "piece_bpe_32k.model"
 #: Stands for a space in pieces.
 SPACE = "▁"
 #: Bounds of the encoder's memory (of words, twice as many are held); they change no result.
-CACHED_WORDS, CACHED_PAIRS, LONGEST_CACHED = 1 << 18, 1 << 18, 64
+CACHED_WORDS, CACHED_PAIRS, LONGEST_CACHED = 1 << 19, 1 << 18, 64
 #: Characters of the texts whose ids go back to Spark together.
-SENT_CHARS = 1 << 22
+SENT_CHARS = 1 << 21
+#: Places of a long word that are looked at together.
+WINDOW = 4096
 #: Fixed values of the model file's format: kinds of pieces, and of models.
 NORMAL, UNKNOWN, CONTROL, BYTE, BPE = 1, 2, 3, 6, 2
 #: What an unknown piece reads as.
@@ -75,6 +77,27 @@ def fields(data: bytes):
         yield key >> 3, value
 
 
+def read_model(path: str) -> tuple[list[tuple[str, float, int]], bool]:
+    """(pieces with score and kind, whether texts get a space at the front) of a model file.
+    Models that change texts in other ways before they are split are refused."""
+    pieces, kind, prefix = [], BPE, True
+    with open(path, "rb") as file:
+        for number, value in fields(file.read()):
+            if number == 1:
+                piece = dict(fields(value))
+                pieces.append((piece[1].decode(), piece.get(2, 0.0), piece.get(3, NORMAL)))
+            elif number == 2:
+                kind = dict(fields(value)).get(3, 1)
+            elif number == 3:
+                rules = dict(fields(value))
+                prefix = bool(rules.get(3, 1))
+                if rules.get(2) or rules.get(4, 1) or not rules.get(5, 1):
+                    raise ValueError("the model normalises texts")
+    if kind != BPE:
+        raise ValueError("not a model of merges")
+    return pieces, prefix
+
+
 class Model:
     """The pieces of a model file, and which of them are valid neighbours."""
 
@@ -87,14 +110,16 @@ class Model:
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), None)
         self.bytes = {int(p[0][1:-1], 16): i for i, p in enumerate(pieces) if p[2] == BYTE}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.fits: dict[tuple[str, str], str | None] = {}
         self.halves: dict[str, tuple[str, str]] = {}
         self.spines: dict[tuple[str, bool], list[tuple[str, float]] | None] = {}
         # a piece that merging doesn't make of its own text never comes up
         found = sorted(p for p in self.ids if len(p) == 1 or self.merged(p) == [p])
         self.automaton = ahocorasick.Automaton()
         for piece in found:
-            self.automaton.add_word(piece, piece)
-        if found:
+            if len(piece) > 1:
+                self.automaton.add_word(piece[::-1], piece)
+        if len(self.automaton):
             self.automaton.make_automaton()
         known = set(found)
         #: The next shorter choice at a place; a character can always stand alone.
@@ -107,24 +132,7 @@ class Model:
 
     @classmethod
     def load(cls, path: str) -> Model:
-        """Reads a model file. Those that change texts before they are split, other than by
-        a space at the front, are refused."""
-        pieces, kind, prefix = [], BPE, True
-        with open(path, "rb") as file:
-            for number, value in fields(file.read()):
-                if number == 1:
-                    piece = dict(fields(value))
-                    pieces.append((piece[1].decode(), piece.get(2, 0.0), piece.get(3, NORMAL)))
-                elif number == 2:
-                    kind = dict(fields(value)).get(3, 1)
-                elif number == 3:
-                    rules = dict(fields(value))
-                    prefix = bool(rules.get(3, 1))
-                    if rules.get(2) or rules.get(4, 1) or not rules.get(5, 1):
-                        raise ValueError("the model normalises texts")
-        if kind != BPE:
-            raise ValueError("not a model of merges")
-        return cls(pieces, prefix)
+        return cls(*read_model(path))
 
     def merged(self, text: str) -> list[str]:
         """Merging by its definition."""
@@ -152,6 +160,16 @@ class Model:
             self.pairs[before, after] = known
         return known
 
+    def first_fit(self, before: str, piece: str) -> str | None:
+        """The piece, or the longest shorter choice, that is compatible with the one before."""
+        key = before, piece
+        while piece is not None and not self.compatible(before, piece):
+            piece = self.shorter.get(piece)
+        if len(self.fits) >= CACHED_PAIRS:
+            self.fits.clear()
+        self.fits[key] = piece
+        return piece
+
     def spine(self, piece: str, right: bool) -> list[tuple[str, float]] | None:
         """What stands at one edge of the piece while it is merged, smallest first, each with
         the score of the merge that uses it up. None if these scores don't fall: then time
@@ -198,7 +216,8 @@ class Model:
         longer piece."""
         joined = sorted(set("".join(longer)) - {SPACE})
         kinds = [[c for c in joined if c.isalpha()], [c for c in joined if not c.isalpha()]]
-        if any(a.isalpha() != b.isalpha() and SPACE not in (a, b) for p in longer for a, b in zip(p, p[1:])):
+        self.letters_part = not any(a.isalpha() != b.isalpha() and SPACE not in (a, b) for p in longer for a, b in zip(p, p[1:]))
+        if not self.letters_part:
             kinds = [joined]
         classes = ["".join(map(re.escape, kind)) for kind in kinds if kind]
         alone = f"[^{SPACE}{''.join(classes)}]"
@@ -206,36 +225,42 @@ class Model:
             return re.compile(f"[{SPACE}{''.join(classes)}]+|{alone}", re.DOTALL).findall
         return re.compile("|".join([*(f"{SPACE}*[{c}]+" for c in classes), f"{SPACE}+", alone]), re.DOTALL).findall
 
-    def longest(self, word: str, at: int) -> str | None:
-        """The longest piece at a place; None for a character without a piece."""
-        for end, piece in self.automaton.iter_long(word[at : at + self.most]) if self.most else ():
-            return piece if end + 1 == len(piece) else None
-        return None
+    def longest(self, word: str, start: int) -> dict[int, str]:
+        """The longest piece of two characters or more at the places of a window, by the
+        distance from the window's end. One pass of the automaton over the reversed text meets
+        all pieces that begin at a place together, longest first."""
+        if not len(self.automaton):
+            return {}
+        return dict(list(self.automaton.iter(word[start : start + WINDOW + self.most][::-1]))[::-1])
 
     def split(self, word: str) -> list[str]:
         """The pieces of a word, characters without a piece among them."""
         out: list[str] = []
-        at, size, longest, shorter, fits, known = 0, len(word), self.longest, self.shorter.get, self.compatible, self.pairs.get
+        at, size, shorter, known = 0, len(word), self.shorter.get, self.fits.get
         failed = bytearray((size >> 3) + 1)
-        piece = None
-        if size:
-            piece = longest(word, 0) or word[0]
+        window, found = 0, self.longest(word, 0)
+        last = min(size, WINDOW + self.most) - 1
+        piece = found.get(last) or word[:1]
         while at < size:
             before = out[-1] if out else None
             while piece is not None:
-                good = known((before, piece)) if before is not None else True
-                if good is None:
-                    good = fits(before, piece)
-                if good:
-                    end = at + len(piece)
-                    if not failed[end >> 3] >> (end & 7) & 1:
+                if before is not None:
+                    fit = known((before, piece), "")
+                    piece = self.first_fit(before, piece) if fit == "" else fit
+                    if piece is None:
                         break
+                end = at + len(piece)
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    break
                 piece = shorter(piece)
             if piece is not None:
                 out.append(piece)
                 at = end
                 if at < size:
-                    piece = longest(word, at) or word[at]
+                    if not window <= at < window + WINDOW:
+                        window, found = at, self.longest(word, at)
+                        last = min(size, at + WINDOW + self.most) - 1
+                    piece = found.get(last - at) or word[at]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
@@ -243,17 +268,16 @@ class Model:
                 piece = shorter(piece)
         return out
 
-    def encode_word(self, word: str) -> list[int]:
-        ids: list[int] = []
-        for piece in self.split(word):
-            i = self.ids.get(piece)
-            if i is not None:
-                ids.append(i)
-            elif self.bytes:
-                ids += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-            else:
-                ids.append(self.unknown)
-        return ids
+    def packed(self, piece: str) -> bytes:
+        """The ids of a piece, or of a character without one."""
+        i = self.ids.get(piece)
+        if i is not None:
+            ids = [i]
+        elif self.bytes:
+            ids = [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+        else:
+            ids = [self.unknown]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Cache(dict):
@@ -276,25 +300,33 @@ class Cache(dict):
         return ids
 
 
+class SpacedWords(Cache):
+    """Words that follow a single space. A sign after a word is looked up by itself, if no
+    piece joins letters and others."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__(lambda word: encoder.packed(SPACE + word) if word.isalpha() else encoder.joined(SPACE + word))
+        self.signs, self.parted = encoder.cuts, encoder.model.letters_part
+
+    def __missing__(self, word: str) -> bytes:
+        if self.parted and (stem := word[:-1]).isalpha() and not word[-1].isalpha():
+            return self[stem] + self.signs[word[-1]]
+        return super().__missing__(word)
+
+
 class Encoder:
-    """Text to packed little-endian 32-bit ids, and back. Words between single spaces are
-    looked up whole, new ones by their cuts."""
+    """Text to packed little-endian 32-bit ids."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.cuts = Cache(self._packed)
-        self.spaced = Cache(lambda word: self._joined(SPACE + word))
-        plain = lambda piece: piece.replace(SPACE, " ").encode()
-        by_kind = {BYTE: lambda p: bytes([int(p[1:-1], 16)]), CONTROL: lambda p: b"", UNKNOWN: lambda p: UNKNOWN_TEXT.encode()}
-        self.texts = [by_kind.get(kind, plain)(piece) for piece, _, kind in model.pieces]
-        self.controls = {i for i, p in enumerate(model.pieces) if p[2] == CONTROL}
-        self.texts = [by_kind.get(kind, plain)(piece) for piece, _, kind in model.pieces]
+        self.pieces = Cache(model.packed)
+        self.cuts = Cache(self.packed)
+        self.spaced = SpacedWords(self)
 
-    def _packed(self, word: str) -> bytes:
-        ids = self.model.encode_word(word)
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def packed(self, word: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.model.split(word)))
 
-    def _joined(self, escaped: str) -> bytes:
+    def joined(self, escaped: str) -> bytes:
         return b"".join(map(self.cuts.__getitem__, self.model.cut(escaped)))
 
     def encode(self, text: str) -> bytes:
@@ -303,20 +335,57 @@ class Encoder:
         escaped = text.replace(" ", SPACE)
         if self.model.spaces_part and self.model.dummy_prefix and escaped[0] != SPACE and escaped[-1] != SPACE and SPACE * 2 not in escaped:
             return b"".join(map(self.spaced.__getitem__, escaped.split(SPACE)))
-        return self._joined(SPACE + escaped if self.model.dummy_prefix else escaped)
+        return self.joined(SPACE + escaped if self.model.dummy_prefix else escaped)
+
+
+class Decoder:
+    """Ids to text. Controls are nothing; of spaces at the front, the one that encoding
+    puts there goes; bytes that are no UTF-8 become U+FFFD each."""
+
+    def __init__(self, pieces: list[tuple[str, float, int]], dummy_prefix: bool = True):
+        plain = lambda piece: piece.replace(SPACE, " ").encode()
+        by_kind = {BYTE: lambda p: bytes([int(p[1:-1], 16)]), CONTROL: lambda p: b"", UNKNOWN: lambda p: UNKNOWN_TEXT.encode()}
+        self.texts = [by_kind.get(kind, plain)(piece) for piece, _, kind in pieces]
+        self.kinds = np.array([kind for _, _, kind in pieces])
+        self.controls = {i for i, p in enumerate(pieces) if p[2] == CONTROL}
+        self.dummy_prefix = dummy_prefix
+        self.column = pa.array(self.texts, pa.large_binary())
 
     def decode(self, ids: list[int]) -> str:
-        """The text of the ids. Controls are nothing; of spaces at the front, the one that
-        encoding puts there goes; bytes that are no UTF-8 become U+FFFD each."""
         if ids and not 0 <= min(ids) <= max(ids) < len(self.texts):
             raise ValueError("an id beyond the model's pieces")
         text = "".join(b"".join(map(self.texts.__getitem__, run)).decode("utf-8", "each-byte") for run in self._runs(ids))
-        if self.model.dummy_prefix and text.startswith(" "):
-            first = next((p for p in map(self.model.pieces.__getitem__, ids) if p[2] != CONTROL), None)
-            if first and first[2] == NORMAL:
-                return text[1:]
-        return text
-
+        first = next((x for x in ids if x not in self.controls), None)
+        drop = self.dummy_prefix and text.startswith(" ") and self.kinds[first] == NORMAL
+        return text[1:] if drop else text
+
+    def decode_all(self, ids: pa.ListArray) -> list[str]:
+        """decode() of each row, null as empty. The texts of all ids are laid side by side,
+        so that a row's text is cut from them; rows with controls, or whose bytes are no
+        UTF-8, are decoded by themselves."""
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
+        flat = ids.flatten()
+        numbers = flat.to_numpy()
+        if len(numbers) and not 0 <= numbers.min() <= numbers.max() < len(self.texts):
+            raise ValueError("an id beyond the model's pieces")
+        laid = self.column.take(flat)
+        offsets = np.frombuffer(laid.buffers()[1], np.int64)[laid.offset :] if len(numbers) else np.zeros(1, np.int64)
+        data = memoryview(laid.buffers()[2] or b"") if len(numbers) else memoryview(b"")
+        kinds = self.kinds[numbers]
+        odd = np.concatenate([[0], np.cumsum(kinds == CONTROL)])
+        out = []
+        for a, b in zip(ends.tolist(), ends[1:].tolist()):
+            if odd[a] == odd[b]:
+                raw = bytes(data[offsets[a] : offsets[b]])
+                if self.dummy_prefix and raw[:1] == b" " and kinds[a] == NORMAL:
+                    raw = raw[1:]
+                try:
+                    out.append(raw.decode())
+                    continue
+                except UnicodeDecodeError:
+                    pass
+            out.append(self.decode(numbers[a:b].tolist()))
+        return out
 
     def _runs(self, ids: list[int]) -> list[list[int]]:
         """Cut at controls, which end a run of bytes."""
@@ -326,14 +395,23 @@ class Encoder:
         return [ids[a + 1 : b] for a, b in zip(cuts, cuts[1:])]
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str | None = None) -> Encoder:
-    """One for each process; by default the model of public_tokenizers."""
+def _path(path: str | None) -> str:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(MODEL_FILE)
-    return Encoder(Model.load(path))
+    return path
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str | None = None) -> Encoder:
+    """One for each process; by default of the model of public_tokenizers."""
+    return Encoder(Model.load(_path(path)))
+
+
+@lru_cache(maxsize=4)
+def decoder(path: str | None = None) -> Decoder:
+    return Decoder(*read_model(_path(path)))
 
 
 def pieces_of(batches, column: int = 0):
@@ -381,7 +459,10 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """tokens with a column `decoded`: the text of `ids` (null or empty: empty). An id that
     the model lacks is an error. Other columns stay, and one named `decoded` is replaced."""
     common.ship(tokens.sparkSession)
-    texts = lambda ids: pa.array([encoder(path).decode(x.values.to_pylist()) if x.is_valid else "" for x in ids], pa.string())
+    def texts(ids: pa.ListArray) -> pa.Array:
+        step = max(1, len(ids) * SENT_CHARS // max(1, len(ids.values)))
+        return pa.array([t for at in range(0, len(ids), step) for t in decoder(path).decode_all(ids.slice(at, step))], pa.string())
+
     return _with(tokens, "ids", "decoded", StringType(), texts)
 
 

@@ -31,7 +31,7 @@ MODEL_FILE = "piece_bpe_32k.model"
 #: Stands for a space in pieces.
 SPACE = "▁"
 #: Bounds of the encoder's memory (of words, twice as many are held); they change no result.
-CACHED_WORDS, CACHED_PAIRS, LONGEST_CACHED = 1 << 19, 1 << 18, 64
+CACHED_WORDS, CACHED_PAIRS, LONGEST_CACHED = 1 << 17, 1 << 17, 64
 #: Characters of the texts whose ids go back to Spark together.
 SENT_CHARS = 1 << 21
 #: Places of a long word that are looked at together.
@@ -423,8 +423,8 @@ def pieces_of(batches, column: int = 0):
             yield batch.slice(a, b - a)
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs with a column `ids`, array<int>: the text's piece ids, without begin or end.
+def encode(docs: DataFrame, path: str | None = None, with_text: bool = True) -> DataFrame:
+    """docs (with_text=False: without their text) with a column `ids`, array<int>: the text's piece ids, without begin or end.
     Null and empty texts have none (an empty array). Rows are encoded one by one and whole,
     so repeated rows have the same ids and no rows give none. Other columns stay, and one
     named `ids` is replaced. path: a model file that all executors have."""
@@ -435,16 +435,17 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
 
-    return _with(docs, "text", "ids", ArrayType(IntegerType()), added, pieces_of)
+    return _with(docs, "text", "ids", ArrayType(IntegerType()), added, pieces_of, with_text)
 
 
-def _with(df: DataFrame, given: str, name: str, kind: DataType, make: Callable[[pa.Array], pa.Array], cut: Callable = lambda batches, _: batches) -> DataFrame:
+def _with(df: DataFrame, given: str, name: str, kind: DataType, make: Callable[[pa.Array], pa.Array], cut: Callable = lambda batches, _: batches, with_given: bool = True) -> DataFrame:
     """df with the column `name` made of `given`, in place of one of that name. Columns go
     to Python by their numbers, so they may have any names."""
-    rest = [c for c in df.columns if c.lower() != name]
+    dropped = {name} if with_given else {name, given}
+    rest = [c for c in df.columns if c.lower() not in dropped]
     source = next(i for i, c in enumerate(df.columns) if c.lower() == given)
     numbered = df.toDF(*map(str, range(len(df.columns))))
-    keep = [i for i, c in enumerate(df.columns) if c.lower() != name]
+    keep = [i for i, c in enumerate(df.columns) if c.lower() not in dropped]
     schema = StructType([*(numbered.schema[i] for i in keep), StructField("made", kind)])
 
     def run(batches):
@@ -469,7 +470,7 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    both = decode(encode(docs.select("doc_id", text), path).drop("text"), path)
+    both = decode(encode(docs.select("doc_id", text), path, with_text=False), path)
     return both.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

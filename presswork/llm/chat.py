@@ -64,7 +64,8 @@ def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     those of the highest sum of scores; of equal ones the longer, then the one whose
     leaf has the smaller id. nodes: tree, node (unique in its tree), parent (null, or
     unknown, for a root), score (null: 0), all but score long. Place 0 is the root. Rows with
-    a null tree or node are left out. Replies that go round in a circle are an error."""
+    a null tree or node are left out. A tree in which replies go round in a circle has one row
+    with nulls beside its name; the others have their paths all the same."""
     scratch = Scratch(nodes.sparkSession)
     nodes = nodes.filter("tree is not null and node is not null")
     known = nodes.select("tree", F.col("node").alias("parent"))
@@ -75,10 +76,12 @@ def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     # up: the 2**k-th ancestor; total and length are of the 2**k nodes from here up. Rows that
     # have come to the root are done and aren't joined again.
     done, active, reach = [first.filter("up is null")], first.filter("up is not null"), []
-    longest = first.count().bit_length()
+    longest = (nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0).bit_length()
+    broken = None
     while not active.isEmpty():
-        if len(reach) > longest:  # a path of more nodes than there are: the replies go round in a circle
-            raise ValueError("a reply tree has a cycle")
+        if len(reach) > longest:  # a path of more nodes than the tree has: the replies go round in a circle
+            broken = scratch.save(active.select("tree").distinct())
+            break
         reach.append(active)
         state = reduce(DataFrame.unionByName, [*done, active])
         over = state.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("length").alias("further"))
@@ -88,6 +91,8 @@ def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
         active = step.filter("up is not null")
     # written before the anti-join, which the optimizer would else push into each part of the union
     whole = scratch.save(reduce(DataFrame.unionByName, done))
+    if broken is not None:
+        whole = scratch.save(whole.join(broken, "tree", "left_anti"))
     leaves = whole.join(links.select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("length"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= paths)
@@ -95,6 +100,8 @@ def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     for k in range(len(reach) - 1, -1, -1):
         back = reach[k].select("tree", "node", "up")
         found = scratch.save(found.union(found.join(back, ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("place") - 2**k).alias("place"))))
+    if broken is not None:
+        found = found.unionByName(broken, allowMissingColumns=True)
     return found
 
 
@@ -103,12 +110,14 @@ def format_trees(nodes: DataFrame, paths: int = 1, unique: bool = False) -> Data
     with role and text (null: empty). Of several rows of one node the smallest is taken
     (by parent, score, role, text); unique=True says that there are none. One
     conversation, however long, is gathered in one row, as it is one text; other columns
-    play no part, and no nodes give no rows."""
+    play no part, and no nodes give no rows. A tree whose replies go round in a circle is one
+    row without a conversation."""
     common.ship(nodes.sparkSession)
     if not unique:
         row = F.min(F.struct("parent", F.col("score").cast("double").alias("score"), "role", "text")).alias("row")
         nodes = nodes.filter("tree is not null and node is not null").groupBy("tree", "node").agg(row).select("tree", "node", "row.*")
-    turns = best_paths(nodes, paths).join(nodes.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), ["tree", "node"])
+    chosen = best_paths(nodes, paths)
+    turns = chosen.join(nodes.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), ["tree", "node"])
     gathered = turns.groupBy("tree", "rank", "leaf").agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
 
     def run(batches):
@@ -119,7 +128,8 @@ def format_trees(nodes: DataFrame, paths: int = 1, unique: bool = False) -> Data
             columns = [batch.column("tree"), batch.column("rank"), batch.column("leaf"), pa.array(text, pa.string()), spans]
             yield pa.RecordBatch.from_arrays(columns, ["tree", "rank", "leaf", "conversation", "mask"])
 
-    return gathered.mapInArrow(run, "tree long, rank int, leaf long, conversation string, mask array<struct<start:int,stop:int>>")
+    made = gathered.mapInArrow(run, "tree long, rank int, leaf long, conversation string, mask array<struct<start:int,stop:int>>")
+    return made.unionByName(chosen.filter("rank is null").select("tree"), allowMissingColumns=True)
 
 
 def chains(conversations: DataFrame) -> DataFrame:
@@ -135,8 +145,9 @@ def chains(conversations: DataFrame) -> DataFrame:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What is read back from conversations and masks: conv_id, n_turns, turns_sha256,
-    loss_chars, loss_sha256, formatted_chars."""
+    loss_chars, loss_sha256, formatted_chars. Rows without a conversation are left out."""
     common.ship(formatted.sparkSession)
+    formatted = formatted.filter("conversation is not null")
 
     def run(batches):
         sha = lambda text: hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()

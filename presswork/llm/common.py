@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import shared_folder
 from ..shipping import ship
 
 #: A word of a text, as the contracts define it (everything but ASCII white space).
@@ -32,20 +32,6 @@ def parts_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     return max(4 * shuffle_partitions(df.sparkSession), min(size // bytes_each, 1 << 20))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir of the cluster. Where it is
-    unset, as in tests, a temporary folder serves on one machine, and only there."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
 #: Tables of at most so many bytes, as estimated from their counted rows, are broadcast.
 MOST_BROADCAST = 32 << 20
 
@@ -78,10 +64,10 @@ class Scratch:
         return saved
 
     def drop(self, saved: DataFrame) -> None:
-        _delete(self.spark, saved._scratch_path)
+        delete(self.spark, saved._scratch_path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -90,7 +76,7 @@ def clear_scratch(spark: SparkSession) -> None:
     """Deletes the tables that this session's operators have written on the way. To be
     called when no result that reads them is needed any more."""
     for path in vars(spark.sparkContext).pop("_presswork_scratch", []):
-        _delete(spark, path)
+        delete(spark, path)
 
 
 def _keys() -> list:

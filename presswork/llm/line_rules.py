@@ -9,26 +9,29 @@ from pyspark.sql import functions as F
 #: ASCII white space, symbols, and lines that are no content of their own.
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Phrases of boilerplate lines, in lower case, found where a word begins.
+#: Phrases of boilerplate lines, in lower case, as words set apart by single spaces.
 BOILERPLATE = {
     "en": [
-        "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie",
-        "licensed under", "released under", "subscribe to", "sign up", "log in",
-        "enable javascript", "lorem ipsum", "click here", "read more",
+        "all rights reserved", "privacy policy", "terms of use", "terms of service", "terms and conditions", "cookie policy",
+        "accept all cookies", "cookie settings", "we use cookies", "licensed under", "released under",
+        "subscribe to our newsletter", "subscribe", "sign up", "sign in", "log in", "enable javascript", "lorem ipsum", "click here", "read more", "share this",
     ],
     "fr": [
-        "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "sous licence",
-        "s'abonner", "se connecter", "activer javascript", "cliquez ici", "lire la suite",
+        "tous droits réservés", "politique de confidentialité", "conditions d utilisation", "mentions légales", "sous licence",
+        "accepter les cookies", "s abonner", "abonnez vous", "se connecter", "activer javascript", "cliquez ici", "lire la suite",
     ],
     "de": [
-        "alle rechte vorbehalten", "datenschutz", "nutzungsbedingungen", "impressum", "lizenziert unter",
-        "jetzt abonnieren", "hier anmelden", "javascript aktivieren", "hier klicken", "weiterlesen",
+        "alle rechte vorbehalten", "datenschutz", "datenschutzerklärung", "nutzungsbedingungen", "impressum", "lizenziert unter",
+        "cookies akzeptieren", "jetzt abonnieren", "hier anmelden", "javascript aktivieren", "hier klicken", "weiterlesen",
     ],
     "es": [
         "todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "bajo la licencia",
-        "suscríbete", "iniciar sesión", "activar javascript", "haga clic aquí", "leer más",
+        "aceptar cookies", "suscríbete", "iniciar sesión", "activar javascript", "haga clic aquí", "leer más",
     ],
 }
+#: A line is boilerplate if phrases make up this share of its letters and digits. Longer
+#: lines than these many characters are text, whatever they say.
+PHRASE_SHARE, LONGEST_BOILERPLATE = 0.5, 200
 #: Signs between the entries of menus and trails of links.
 NAVIGATION = "|>»›·•"
 
@@ -50,6 +53,12 @@ def _escaped(text: str) -> str:
     return "".join(f"\\u{ord(c):04X}" for c in text)
 
 
+def phrase_pattern() -> str:
+    """The phrases, longest first, in a text whose words have two spaces between them."""
+    phrases = sorted((p for listed in BOILERPLATE.values() for p in listed), key=lambda p: (-len(p), p))
+    return f" (?:{'|'.join(p.replace(' ', '  ') for p in phrases)}) "
+
+
 def metrics(docs: DataFrame) -> DataFrame:
     """Every row of docs with n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words (long), base_failed, n_lines, n_bad_lines, chars_lost (long), kept and
@@ -81,12 +90,16 @@ def metrics(docs: DataFrame) -> DataFrame:
     signs = f"(char_length(x.l) - char_length(translate(x.l, '{SYMBOLS}!', '')))"
     bars = f"(char_length(x.l) - char_length(translate(x.l, '{NAVIGATION}', '')))"
     gaps = "(1 + char_length(x.l) - char_length(translate(x.l, ' ', '')))"  # about the number of words
-    phrases = " or ".join(f"contains(x.low, '{_escaped(' ' + p)}')" for listed in BOILERPLATE.values() for p in listed)
+    said = f"regexp_extract_all(x.words, '{phrase_pattern()}', 0)"
+    letters = lambda e: f"char_length(replace({e}, ' ', ''))"
+    phrases = f"coalesce({letters(f'array_join({said}, {chr(39) * 2})')} >= {PHRASE_SHARE} * {letters('x.words')} and {letters('x.words')} > 0, false)"
     bad = f"""({phrases}
         or ({bars} >= {SEPARATORS} and {bars} >= {SEPARATOR_SHARE} * {gaps})
         or ({signs} >= {SIGNS_PER_WORD} * {gaps})
         or ({gaps} >= {LONG_WITHOUT_END} and not x.l rlike '[.!?,;:…。！？]'))"""
-    df = df.withColumn("lowered", F.expr("transform(lines, l -> named_struct('l', l, 'low', concat(' ', lower(l))))"))
+    # each word of a short line between two spaces, so that a phrase is one of whole words
+    words = f"if(char_length(l) > {LONGEST_BOILERPLATE}, '', concat(' ', regexp_replace(lower(l), '[^\\\\p{{L}}\\\\p{{N}}]+', '  '), ' '))"
+    df = df.withColumn("lowered", F.expr(f"transform(lines, l -> named_struct('l', l, 'words', {words}))"))
     df = df.withColumn("marks", F.expr(f"transform(lowered, x -> named_struct('l', x.l, 'n', {_chars('x.l')}, 'bad', {bad}))")).drop("lowered")
     long = lambda e: f"cast({e} as bigint)"
     df = df.select(
@@ -101,6 +114,9 @@ def metrics(docs: DataFrame) -> DataFrame:
         F.expr(long("aggregate(marks, 0, (acc, x) -> acc + if(x.bad, x.n, 0))")).alias("chars_lost"),
         F.expr("array_join(transform(filter(marks, x -> not x.bad), x -> x.l), '\\n')").alias("cleaned"),
     )
+    # a filter on a figure would otherwise be pushed down and work the formulas out again
+    figures = F.explode(F.array(F.struct(*[c for c in df.columns if c != "rest"]))).alias("m")
+    df = df.select("rest", figures).select("rest", "m.*")
     failed = F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > 50 * n_words")
     df = df.withColumn("base_failed", failed).withColumn("kept", F.expr(f"not base_failed and chars_lost <= {MOST_LOST} * word_chars"))
     return df.select("rest.*", *made) if rest else df.select(*made)

@@ -34,8 +34,10 @@ from documents d left join n on n.doc_id = d.doc_id
 _bars = "(length(l) - length(regexp_replace(l, '[|>»›·•]', '', 'g')))"
 _signs = "(length(l) - length(regexp_replace(l, '[#*$%&|<>!]', '', 'g')))"
 _gaps = "(1 + length(l) - length(replace(l, ' ', '')))"
-_phrases = ", ".join("'" + p.replace("'", "''") + "'" for listed in line_rules.BOILERPLATE.values() for p in listed)
-_bad = f"""(len(list_filter([{_phrases}], lambda p: contains(' ' || lower(l), ' ' || p))) > 0 or ({_bars} >= 3 and {_bars} >= 0.25 * {_gaps})
+_words = f"case when length(l) > {line_rules.LONGEST_BOILERPLATE} then '' else ' ' || regexp_replace(lower(l), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || ' ' end"
+_letters = "length(replace({}, ' ', ''))".format
+_said = f"array_to_string(regexp_extract_all({_words}, '{line_rules.phrase_pattern()}'), '')"
+_bad = f"""(({_letters(_said)} >= 0.5 * {_letters(_words)} and {_letters(_words)} > 0) or ({_bars} >= 3 and {_bars} >= 0.25 * {_gaps})
   or {_signs} >= 1.5 * {_gaps} or ({_gaps} >= 60 and not regexp_matches(l, '[.!?,;:…。！？]')))"""
 
 LINE_RULES = rf"""

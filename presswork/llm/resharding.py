@@ -16,8 +16,10 @@ from heapq import heappop, heappush
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small, with_keys
+from .common import Scratch, delete, small, with_keys
 
+#: Stands for a null old shard.
+NO_SHARD = 2**31 - 1
 #: Rows of one shard that are ranked in one task.
 ROWS_PER_BUCKET = 20_000
 
@@ -166,7 +168,7 @@ def assign(docs: DataFrame, old_shard: Column, shards: int = 16, rows_per_bucket
     in these are alike, so either may have either place. No rows give none; columns of
     other names play no part."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    given = F.coalesce(old_shard.cast("int"), F.lit(2**31 - 1))
+    given = F.coalesce(old_shard.cast("int"), F.lit(NO_SHARD))
     rows = with_keys(docs.select("doc_id", "text", given.alias("old_shard"))).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
@@ -193,8 +195,10 @@ def assign(docs: DataFrame, old_shard: Column, shards: int = 16, rows_per_bucket
 
 def rewrite(docs: DataFrame, old_shard: Column, path: str, shards: int = 16, placed: DataFrame | None = None) -> list[int]:
     """Writes the shards that gain or lose rows to path/shard=N (Parquet, with the slot as
-    a column; a task writes one file for each shard, by slot), leaving other folders there
-    alone. Returns their numbers. placed: assign()'s rows, if made before. Texts are
+    a column; a task writes one file for each shard, by slot), leaving the folders of other
+    shards there alone. When the new files stand, the folders of shards that have given up
+    all rows go; if that is broken off, it is made good by calling again with the same
+    `placed`. Returns the numbers of the shards written. placed: assign()'s rows, if made before. Texts are
     exchanged once, or twice if some rows are equal. Every row of docs is written once,
     whatever its doc_id; columns of docs named shard or slot are replaced."""
     placed = Scratch(docs.sparkSession).save(assign(docs, old_shard, shards)) if placed is None else placed
@@ -211,6 +215,9 @@ def rewrite(docs: DataFrame, old_shard: Column, path: str, shards: int = 16, pla
     rows = rows.select("_row.*", "shard", "slot")
     writer = rows.sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.option("compression", "zstd").partitionBy("shard").parquet(path)
+    written = {r.shard for r in goes.select("shard").distinct().collect()}
+    for shard in {r[0] for r in changed.collect()} - written:  # bounded: the number of shards
+        delete(docs.sparkSession, f"{path}/shard={'__HIVE_DEFAULT_PARTITION__' if shard == NO_SHARD else shard}")
     return affected
 
 

@@ -190,8 +190,14 @@ def test_paths_equal_brute_force(spark):
     got = {(r.tree, r.rank, r.leaf, tuple(int(t[1:]) for _, t in chat.read(r.conversation))) for r in chat.format_trees(clash, paths=3).collect()}
     assert got == want
     assert chat.format_trees(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        chat.best_paths(spark.createDataFrame([(1, 1, 2, 0.0), (1, 2, 1, 0.0)], "tree bigint, node bigint, parent bigint, score double"))
+
+
+def test_a_cycle_is_a_row_and_other_trees_are_formatted(spark):
+    nodes = [(1, 1, 2), (1, 2, 1), (1, 3, None), (2, 1, None), (2, 2, 1), (3, 5, 5), (4, 1, None), *[(5, i, i - 1 if i else None) for i in range(9)], (6, 1, 4), (6, 2, 1), (6, 3, 2), (6, 4, 3)]
+    df = spark.createDataFrame([(*n, 0.0, "user", f"t{n[1]}") for n in nodes], "tree bigint, node bigint, parent bigint, score double, role string, text string")
+    got = {r.tree: r.conversation and [t for _, t in chat.read(r.conversation)] for r in chat.format_trees(df).collect()}
+    assert got == {1: None, 3: None, 6: None, 2: ["t1", "t2"], 4: ["t1"], 5: [f"t{i}" for i in range(9)]}
+    assert {r.conv_id for r in chat.digests(chat.format_trees(df)).collect()} == {2, 4, 5}
 
 
 def test_query_of_tokens_equals_tiktoken(spark, tmp_path):
@@ -318,3 +324,17 @@ def test_resharded_rows(spark, tmp_path):
     unique = df.filter("doc_id < 600")
     resharding.rewrite(unique, F.lit(0), path + "2", 4)
     assert count(spark.read.parquet(path + "2").collect()) == count(unique.collect())
+
+
+@pytest.mark.parametrize("first, then", [(6, 4), (4, 6), (3, 1)])
+def test_shards_that_are_given_up_go_from_the_disk(spark, tmp_path, first, then):
+    docs = [(i if i % 9 else None, f"text {i % 7}" * (i % 5) if i % 4 else None) for i in range(60)]
+    df, path = spark.createDataFrame(docs, "doc_id bigint, text string"), str(tmp_path / "table")
+    resharding.rewrite(df, F.lit(None).cast("int"), path, first)
+    back = spark.read.parquet(path)
+    resharding.rewrite(back, F.col("shard"), path, then)
+    back = spark.read.parquet(path)
+    assert collections.Counter((r.doc_id, r.text) for r in back.collect()) == collections.Counter(docs)
+    sizes = {r.shard: r["count"] for r in back.groupBy("shard").count().collect()}
+    assert set(sizes) == set(range(then)) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert sorted(x.name for x in tmp_path.glob("table/shard=*")) == [f"shard={i}" for i in range(then)]

@@ -91,7 +91,14 @@ def kept_by_the_rules(t):
             continue
         gaps = line.count(" ") + 1
         bars, signs = sum(c in "|>»›·•" for c in line), sum(c in "#*$%&|<>!" for c in line)
-        phrase = any(" " + p in " " + line.lower() for listed in line_rules.BOILERPLATE.values() for p in listed)
+        words = re.findall(r"[^\W_]+", line.lower())
+        listed = sorted((p.split() for ps in line_rules.BOILERPLATE.values() for p in ps), key=lambda p: -len(" ".join(p)))
+        said = i = 0
+        while i < len(words):
+            found = next((p for p in listed if words[i : i + len(p)] == p), None)
+            said += sum(map(len, found or ()))
+            i += len(found or "1")
+        phrase = len(line) <= 200 and words and 2 * said >= sum(map(len, words))
         if phrase or (bars >= 3 and bars >= gaps / 4) or signs >= 1.5 * gaps or (gaps >= 60 and not re.search("[.!?,;:…。！？]", line)):
             lost += len(re.sub(r"[\x20\x09-\x0D]", "", line))
     return not expected_rules(t)[5] and lost <= chars / 2
@@ -108,6 +115,43 @@ def test_verdicts_equal_brute_force(spark):
     assert {r.doc_id: r.kept for r in rows} == {i: kept_by_the_rules(t) for i, t in docs} and {r.kept for r in rows} == {True, False}
 
 
+PLANTED = {
+    "en": ["All rights reserved.", "(sign up)", "Log in", "Click here to read more", "© 2024 All rights reserved", "Privacy Policy | Terms of Use", "Subscribe to our newsletter!", "Accept all cookies"],
+    "fr": ["Tous droits réservés.", "Mentions légales", "S'abonner", "Conditions d'utilisation", "Lire la suite »", "Se connecter", "Politique de confidentialité"],
+    "de": ["Alle Rechte vorbehalten.", "Impressum / Datenschutz", "Jetzt abonnieren!", "Weiterlesen ...", "Hier klicken", "Datenschutzerklärung"],
+    "es": ["Todos los derechos reservados.", "Aviso legal", "Política de privacidad", "Haga clic aquí", "Leer más", "Iniciar sesión", "Suscríbete"],
+}
+PROSE = [
+    "She wrapped the parcel and said that she had baked cookies for the class.",
+    "The hospital explained its privacy policy to every patient before the trial began.",
+    "Nach dem Umzug sprach der Verein lange über Datenschutz und neue Räume.",
+    "El museo cambió su aviso legal después de la visita del inspector del ministerio.",
+    "Il faut lire la suite du roman pour comprendre le geste du vieux capitaine.",
+    "Patients could sign up for the second arm of the study until the end of May.",
+]
+
+
+def test_boilerplate_is_found_and_prose_is_not_lost_to_a_phrase(spark):
+    lines = [(lang, line, True) for lang, ls in PLANTED.items() for line in ls] + [("", line, False) for line in PROSE + [" ".join(PROSE * 6)]]
+    df = spark.createDataFrame([(i, line, bad) for i, (_, line, bad) in enumerate(lines)], "doc_id bigint, text string, bad boolean")
+    rows = line_rules.metrics(df).collect()
+    missed = [r.doc_id for r in rows if r.bad and not r.n_bad_lines]
+    lost = [r.doc_id for r in rows if not r.bad and r.n_bad_lines]
+    assert not missed and not lost, (missed, lost)
+
+
+def test_any_figure_can_be_filtered(spark):
+    prose = " ".join(f"word{i} tells a story{i}, and ends here." for i in range(30))
+    df = spark.createDataFrame([(i, prose if i % 2 else "short") for i in range(40)], "doc_id bigint, text string")
+    figures = line_rules.metrics(df)
+    for column, kind in figures.dtypes:
+        good = {"bigint": f"{column} >= 0", "boolean": column, "string": f"{column} is not null"}[kind]
+        found = figures.filter(good)
+        assert found.count() == (20 if kind == "boolean" and column == "kept" else 20 if column == "base_failed" else 40)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1, column
+
+
 def test_short_items_and_clashing_columns(spark):
     items = spark.createDataFrame([(1, "two words"), (2, "Three little words!"), (3, " - "), (None, "five words make one shingle"), (4, "two words"), (4, "and more words of the same item")], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, "say two  words"), (1, "say two  words"), (2, "three, LITTLE words; five words make one shingle too"), (3, "twowords two-word s"), (None, "two words")], "doc_id bigint, text string").withColumns({"h": F.lit(1), "s": F.lit("x"), "item_id": F.lit(9)})

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.storage import shared_folder
+from ..operators.storage import shared_folder, small  # noqa: F401
 from ..shipping import ship
 
 #: A word of a text, as the contracts define it (everything but ASCII white space).
@@ -32,18 +32,6 @@ def parts_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     return max(4 * shuffle_partitions(df.sparkSession), min(size // bytes_each, 1 << 20))
 
 
-#: Tables of at most so many bytes, as estimated from their counted rows, are broadcast.
-MOST_BROADCAST = 32 << 20
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it is small; else a shuffle join is left to choose.
-    Rows are counted, and arrays and strings are measured, so df must be cheap to read."""
-    wide = [F.coalesce(F.size(c) if t.startswith("array") else F.length(c), F.lit(0)) for c, t in df.dtypes if t.startswith(("array", "string", "binary"))]
-    size = F.sum(sum(wide, F.lit(len(df.columns))).cast("long") * 8)
-    return F.broadcast(df) if (df.agg(size).first()[0] or 0) <= MOST_BROADCAST else df
-
-
 class Scratch:
     """Tables written to the shared folder; reading one again cuts the lineage, and
     a lost executor costs no more than the tasks it was running. Results are read from

@@ -13,7 +13,7 @@ from .functions import scores as S
 from .functions import text as T
 from .functions.dates import freshness_days
 from .operators import anomaly, dedup, embed, evaluate, explain, feed, ingest, kg, knn, listing, ranking, users
-from .operators.storage import new_folder, stored
+from .operators.storage import new_folder, small, stored
 from .operators.vector_index import VectorIndex, recall
 from .sources import adapters as A
 from .streaming.user_state import current_vectors, refresh_users
@@ -291,7 +291,24 @@ def kg_relation_strength(spark, sf_dir):
 
 @query
 def kg_entity_search(spark, sf_dir):
-    return kg.find(kg.gazetteer_table(spark, GAZETTEER), "drug", "TION").select("name", "entity_type", "external_id")
+    """Of the entities that documents name, the drugs with a part of a name."""
+    known = _entities(spark, sf_dir, ("entity_id", "name", "entity_type")).distinct()
+    ids = kg.gazetteer_table(spark, GAZETTEER).select("entity_id", "external_id")
+    return kg.find(known.join(F.broadcast(ids), "entity_id"), "drug", "TION").select("name", "entity_type", "external_id")
+
+
+@query
+def kg_entity_registry(spark, sf_dir):
+    """The entity that each mention resolves to, in the order of articles, where only every
+    second article gives external ids."""
+    ids = kg.gazetteer_table(spark, GAZETTEER).select("entity_id", "external_source", "external_id")
+    asked = _entities(spark, sf_dir, ("article_id", "pos", "entity_id", "name", "entity_type")).join(F.broadcast(ids), "entity_id").drop("entity_id")
+    given = F.when(F.col("article_id") % 2 == 0, F.col("external_id"))
+    asked = asked.withColumns({"arrival": F.col("article_id") * 1000 + F.col("pos"), "external_id": given})
+    registry = spark.createDataFrame([], "entity_id bigint, name string, entity_type string, external_source string, external_id string")
+    resolved, made = kg.resolve(asked, registry)
+    known = made.select("entity_id", F.col("external_id").alias("known_as"))
+    return resolved.join(small(known), "entity_id").select("article_id", "name", "known_as")
 
 
 @query

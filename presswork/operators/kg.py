@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import small
+from ..shipping import ship
+from . import dedup
+from .dictionary import matcher, packed
+from .storage import small, stored
 
 #: Fixed values: (unordered types) -> the predicate from the first to the second, and back.
 PREDICATES = [
@@ -34,46 +38,35 @@ def aliases(gazetteer: list[dict]) -> list[tuple[str, int]]:
     return sorted(listed, key=lambda pair: -len(pair[0]))
 
 
-def _word(alias: str) -> str:
-    escaped = re.sub(r"([^\w\s])", r"\\\1", alias)
-    return f"(?iU)\\b{escaped}\\b"
-
+def mentions(articles: DataFrame, gazetteer: list[dict], text: str = "text", key: str = "id") -> DataFrame:
+    """(article_id, pos, entity, mention_text): entity is the place in the gazetteer.
 
-def alias_table(spark, gazetteer: list[dict]) -> DataFrame:
-    """(word, ord, entity, alias, pattern): word is the alias's first word in lower case,
-    ord its place among the aliases, longest first."""
-    rows = []
-    for ord_, (alias, entity) in enumerate(aliases(gazetteer)):
-        word = re.search(r"\w+", alias)
-        if word is None:
+    Aliases claim their first occurrence as whole words in any case, longest alias first:
+    one that overlaps a claimed span, or names an entity that has claimed already, is
+    passed over, and later occurrences aren't tried. pos is the order of claims.
+    gazetteer: dicts of name, type, external_source, external_id, aliases. Null and empty
+    texts have no mentions.
+    """
+    entries = aliases(gazetteer)
+    for alias, _ in entries:
+        if not re.search(r"[^\W_]", alias):
             raise ValueError(f"an alias needs a letter or digit: {alias!r}")
-        rows.append((word[0].upper().lower(), ord_, entity, _word(alias)))
-    return spark.createDataFrame(rows, "word string, ord int, entity int, pattern string")
+    spark = articles.sparkSession
+    ship(spark)
+    name, data = packed(entries)
+    sent = spark.sparkContext.broadcast(data)  # as large as the list that the caller holds
 
+    def run(batches):
+        found = matcher(name, sent.value)
+        for batch in batches:
+            rows = [(i, n, e, m) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for n, (e, m) in enumerate(found.claims(t))]
+            yield pa.RecordBatch.from_pylist([dict(zip(MENTION.names, r)) for r in rows], MENTION)
 
-def mentions(articles: DataFrame, gazetteer: list[dict], text: str = "text", key: str = "id") -> DataFrame:
-    """(article_id, pos, entity, mention_text): entity is the place in the gazetteer.
+    asked = articles.select(F.col(key).cast("bigint").alias("article_id"), F.col(text).cast("string").alias("text"))
+    return asked.mapInArrow(run, "article_id bigint, pos int, entity int, mention_text string")
 
-    Aliases claim their first occurrence, longest alias first: one that overlaps a claimed
-    span, or names an entity that has claimed already, is passed over, and later
-    occurrences aren't tried. pos is the order of claims. gazetteer: dicts of name, type,
-    external_source, external_id, aliases.
 
-    The words of a text are joined with the first words of the aliases, and only aliases
-    found so are looked for, so the work for a text doesn't grow with the gazetteer.
-    """
-    table = small(alias_table(articles.sparkSession, gazetteer))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.upper(F.col(text))), F.lit(r"(?U)\w+"), F.lit(0)))
-    # explode_outer: for explode the optimizer would work out the words twice
-    asked = articles.select(F.col(key).alias("article_id"), F.explode_outer(words).alias("word")).join(table, "word")
-    asked = asked.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("ord", "entity", "pattern"))).alias("asked"))
-    rows = articles.select(F.col(key).alias("article_id"), F.col(text).alias("text")).join(asked, "article_id")
-    firsts = F.transform("asked", lambda a: F.struct(a["entity"].alias("e"), F.regexp_substr("text", a["pattern"]).alias("m"), F.regexp_instr("text", a["pattern"]).alias("p")))
-    kind = "array<struct<e:int,m:string,p:int>>"
-    overlaps = lambda acc, x: F.exists(acc, lambda y: (y["e"] == x["e"]) | ((x["p"] < y["p"] + F.char_length(y["m"])) & (y["p"] < x["p"] + F.char_length(x["m"]))))
-    claimed = F.aggregate(F.filter("firsts", lambda x: x["p"] > 0), F.array().cast(kind), lambda acc, x: F.when(overlaps(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
-    out = rows.select("article_id", firsts.cast(kind).alias("firsts")).select("article_id", F.posexplode_outer(claimed).alias("pos", "x")).filter("x is not null")
-    return out.select("article_id", "pos", F.col("x.e").alias("entity"), F.col("x.m").alias("mention_text"))
+MENTION = pa.schema([("article_id", pa.int64()), ("pos", pa.int32()), ("entity", pa.int32()), ("mention_text", pa.string())])
 
 
 def gazetteer_table(spark, gazetteer: list[dict]) -> DataFrame:
@@ -161,6 +154,37 @@ def unprocessed(articles: DataFrame, done: DataFrame, limit: int | None = None)
     return todo if limit is None else todo.orderBy("id").limit(limit)
 
 
+def resolve(requests: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests with entity_id, new rows of the registry), as if each request in turn had
+    asked for the entity with its external id, else for the one with its name and type, and
+    made a new one where there is neither.
+
+    requests: arrival (unique), name, entity_type, external_source, external_id, and what
+    else they have; registry: entity_id, name, entity_type, external_source, external_id.
+    An empty external id is none. A request that makes an entity is one that shares neither
+    key with an entity made before, so the makers are those that deduplication by the two
+    keys keeps; all others find an entity that is stored or made before their arrival.
+    """
+    keyed = lambda df: df.withColumns({"_ext": F.when(F.col("external_id") != "", F.col("external_id")), "_named": F.to_json(F.struct("name", "entity_type"))})
+    known = keyed(registry)
+    asked = stored(keyed(requests))
+    # of equal requests only the first can make an entity
+    distinct = asked.groupBy("_ext", "_named").agg(F.min("arrival").alias("arrival"))
+    makers = dedup.three_tier(distinct, keys=("_ext", "_named"), order="arrival", history=known).select("arrival")
+    made = asked.join(makers, "arrival", "left_semi")
+    made = stored(made.withColumn("entity_id", entity_id(F.col("_ext"), F.col("name"), F.col("entity_type"))))
+    columns = ["entity_id", "name", "entity_type", "external_source", "external_id"]
+    found = known.select(*columns, "_ext", "_named", F.lit(None).cast("bigint").alias("since")).unionByName(made.select(*columns, "_ext", "_named", F.col("arrival").cast("bigint").alias("since")))
+    out = asked
+    for key in ("_ext", "_named"):
+        side = found.filter(F.col(key).isNotNull()).select(key, F.col("entity_id").alias(f"{key}_id"), F.col("since").alias(f"{key}_since"))
+        out = out.join(small(side), key, "left")
+        early = F.col(f"{key}_since").isNull() | (F.col(f"{key}_since") <= F.col("arrival"))
+        out = out.withColumn(f"{key}_id", F.when(early, F.col(f"{key}_id"))).drop(f"{key}_since")
+    resolved = out.select(*requests.columns, F.coalesce("_ext_id", "_named_id").alias("entity_id"))
+    return resolved, made.select(*columns)
+
+
 def append_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of new that old doesn't have by these keys, each once."""
     return new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,13 +46,13 @@ def clear(spark: SparkSession) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Tables of at most so many rows are broadcast.
-MOST_BROADCAST = 200_000
+#: Tables of at most so many bytes, as measured from their rows, are broadcast.
+MOST_BROADCAST = 32 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df of a few numbers a row, marked for broadcast if its counted rows are few; else
-    the join is by shuffle. df must be cheap to count."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+    """df, marked for broadcast if its rows are counted and measured to be few bytes; else
+    the join is by shuffle. df must be cheap to read."""
+    wide = [F.coalesce(F.size(c) if t.startswith("array") else F.length(c), F.lit(0)) for c, t in df.dtypes if t.startswith(("array", "string", "binary"))]
+    size = F.sum(sum(wide, F.lit(len(df.columns))).cast("long") * 8)
+    return F.broadcast(df) if (df.agg(size).first()[0] or 0) <= MOST_BROADCAST else df

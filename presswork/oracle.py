@@ -147,7 +147,8 @@ from bur b join art a on a.id = b.article_id join ln on anchor = b.article_id"""
     "kg_mentions": f"with {ART}, {ENT} select article_id, name, mention_text from ent",
     "kg_relations": f"with {ART}, {ENT}, {REL} select distinct subject, predicate, object, evidence_article_id from rel",
     "kg_relation_strength": f"with {ART}, {ENT}, {REL} select subject, predicate, object, count(*)::bigint strength from (select distinct * from rel) group by 1, 2, 3",
-    "kg_entity_search": f"with {GAZ} select name, entity_type, external_id from gaz where entity_type = 'drug' and name ilike '%TION%'",
+    "kg_entity_search": f"with {ART}, {ENT} select distinct name, gaz.entity_type, external_id from ent join gaz using (name) where gaz.entity_type = 'drug' and name ilike '%TION%'",
+    "kg_entity_registry": f"with {ART}, {ENT} select article_id, name, first_value(case when article_id % 2 = 0 then external_id end) over (partition by name order by article_id) known_as from ent join gaz using (name)",
     "kg_entity_neighbourhood": f"""with {ART}, {ENT}, {REL}, ed as (select distinct subject, predicate, object, evidence_article_id from rel),
 al as (select subject e, object o from ed union all select object, subject from ed)
 select e entity, o neighbour, count(*)::bigint n from al group by 1, 2""",

@@ -1,58 +1,72 @@
-"""Articles and interactions made up by rule, to train and try models on."""
+"""Articles and interactions made up by rule, to train and try models on.
+
+Words are syllables drawn by hash, so a topic's vocabulary is a number, not a list; every
+article is made in its own row, however many there are.
+"""
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-STAGES = ["preclinical study", "phase 1 trial", "phase 2 trial", "phase 3 trial", "FDA review"]
-#: topic -> its subjects, conditions and sources.
-TOPICS = {
-    "gene_therapy": (["a viral vector", "a base editor"], ["sickle cell disease", "hemophilia"], ["Nature", "GEN"]),
-    "vaccines": (["an mRNA vaccine", "a nasal vaccine"], ["influenza", "RSV"], ["STAT News", "Science"]),
-    "oncology": (["a bispecific antibody", "a kinase inhibitor"], ["melanoma", "lung cancer"], ["FiercePharma", "Cell"]),
-    "neurology": (["an amyloid antibody", "a small molecule"], ["dementia", "migraine"], ["BioPharma Dive", "Lancet"]),
-    "metabolism": (["a weekly injection", "an oral peptide"], ["obesity", "diabetes"], ["Endpoints News", "NEJM"]),
-    "cell_therapy": (["a donor cell product", "a T cell therapy"], ["lymphoma", "lupus"], ["PubMed", "Nature Medicine"]),
+#: What a made-up user does with the articles of a topic: how far the topic is from the user's
+#: own, how many articles at most, the share of each kind, and read times from and to.
+INTERESTS = {
+    "near": (0, 12, {"read": 0.5, "like": 0.3, "bookmark": 0.2}, (45, 400)),
+    "now and then": (1, 5, {"read": 1.0}, (10, 90)),
+    "unwanted": (2, 3, {"hide": 1.0}, (0, 0)),
 }
+SYLLABLES = ["ba", "do", "ke", "lim", "mur", "no", "pra", "qui", "ros", "sta", "tel", "vu", "wen", "xo", "yal", "zi"]
+
+
+def _draw(n: int, *keys) -> Column:
+    """A number under n by hash of the keys."""
+    return F.pmod(F.xxhash64(*[k if isinstance(k, Column) else F.lit(k) for k in keys]), F.lit(n)).cast("int")
+
+
+def _word(*keys) -> Column:
+    syllables = F.array(*map(F.lit, SYLLABLES))
+    return F.concat(*[F.get(syllables, _draw(len(SYLLABLES), i, *keys)) for i in range(3)])
+
+
+def articles(spark: SparkSession, count: int = 200, topics: int = 10, vocabulary: int = 40, words: int = 30, sources: list[str] = ("source a", "source b", "source c"), seed: int = 1) -> DataFrame:
+    """(id, topic, title, summary, source): articles 0..count-1, topics in turn. Two words in three
+    are from the topic's `vocabulary` words, the others from one that all topics share."""
+
+    def word(salt: str, i: Column) -> Column:
+        owner = F.when(_draw(3, salt, seed, F.col("id"), i) < 2, F.col("n")).otherwise(-1)
+        return _word(owner, _draw(vocabulary, "word", salt, seed, F.col("id"), i))
+
+    said = lambda salt, n: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: word(salt, i)), " ")
+    made = spark.range(count).withColumn("n", (F.col("id") % topics).cast("int"))
+    listed = F.array(*map(F.lit, sources))
+    return made.select("id", F.concat(F.lit("topic "), "n").alias("topic"), F.initcap(said("title", 6)).alias("title"), said("summary", words).alias("summary"), F.get(listed, _draw(len(sources), "source", seed, F.col("id"))).alias("source"))
 
 
-def articles(spark: SparkSession, topics: dict[str, tuple[list[str], list[str], list[str]]] | None = None) -> DataFrame:
-    """(id, topic, title, summary, source): one for each subject and condition of a topic; stage and
-    source go round with the running number."""
-    rows = [(i, name, *lists) for i, (name, lists) in enumerate((topics or TOPICS).items())]
-    told = spark.createDataFrame(rows, "t int, topic string, subjects array<string>, conditions array<string>, sources array<string>")
-    told = told.select("t", "topic", "sources", F.posexplode("subjects").alias("s", "subject"), "conditions").select("*", F.posexplode("conditions").alias("c", "condition"))
-    number = F.row_number().over(Window.orderBy("t", "s", "c")) - 1  # as many rows as the lists name
-    stages = F.array(*map(F.lit, STAGES))
-    told = told.withColumn("id", number.cast("bigint")).withColumn("stage", F.get(stages, (F.col("id") % len(STAGES)).cast("int")))
-    capital = F.concat(F.upper(F.substring("subject", 1, 1)), F.expr("substring(subject, 2)"))
-    title = F.concat(capital, F.lit(" advances to "), F.col("stage"), F.lit(" for "), F.col("condition"))
-    more = F.concat(F.lit("New data on "), F.col("subject"), F.lit(" in "), F.col("condition"), F.lit(" were reported from a "), F.col("stage"), F.lit(" of "), F.replace("topic", F.lit("_"), F.lit(" ")), F.lit("."))
-    source = F.get("sources", (F.col("id") % F.size("sources")).cast("int"))
-    return told.select("id", "topic", title.alias("title"), more.alias("summary"), source.alias("source"))
-
-
-def interactions(made: DataFrame, users: int, as_of: datetime, seed: int = 42, primary: int = 10, secondary: int = 4, hides: int = 2) -> DataFrame:
-    """Interactions of users 0..users-1 with articles(): each user has a topic of most interest,
-    one read now and then, and one that is hidden; articles, kinds (60 % reads, 25 % bookmarks,
-    15 % likes) and read times are drawn by hash. Every user is one row of work."""
-    topics = [r.topic for r in made.groupBy("topic").agg(F.min("id").alias("i")).orderBy("i").collect()]
+def interactions(made: DataFrame, users: int, as_of: datetime, interests: dict | None = None, seed: int = 1) -> DataFrame:
+    """Interactions of users 0..users-1 with articles(): user u's own topic is the u-th in
+    the order of first ids, and interests (as INTERESTS) say what happens to it and those
+    after it. Articles, kinds and read times are drawn by hash; the last drawn is the oldest."""
+    interests = INTERESTS if interests is None else interests
+    topics = [r.topic for r in made.groupBy("topic").agg(F.min("id").alias("i")).orderBy("i").collect()]  # one a topic
     names, user = F.array(*map(F.lit, topics)), F.col("user_id")
-    interest = lambda role, step, n: F.struct(F.lit(role).alias("role"), F.get(names, ((user + step) % len(topics)).cast("int")).alias("topic"), F.lit(n).alias("most"))
-    wanted = made.sparkSession.range(users).withColumnRenamed("id", "user_id")
-    wanted = wanted.select("user_id", F.explode(F.array(interest("primary", 0, primary), interest("secondary", 3, secondary), interest("hide", 5, hides))).alias("w")).select("user_id", "w.*")
-    drawn = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "user_id", "article_id"), F.lit(10_000)) / 10_000
+    roles = F.array(*[F.struct(F.lit(i).alias("role"), F.get(names, ((user + step) % len(topics)).cast("int")).alias("topic"), F.lit(most).alias("most")) for i, (step, most, _, _) in enumerate(interests.values())])
+    wanted = made.sparkSession.range(users).withColumnRenamed("id", "user_id").select("user_id", F.explode(roles).alias("w")).select("user_id", "w.*")
     pairs = wanted.join(made.select(F.col("id").alias("article_id"), "topic"), "topic")
-    order = Window.partitionBy("user_id", "role").orderBy(drawn("choice"), "article_id")
+    order = Window.partitionBy("user_id", "role").orderBy(F.xxhash64(F.lit(seed), "user_id", "article_id"), "article_id")
     chosen = pairs.withColumn("n", F.row_number().over(order)).filter("n <= most")
-    kind = F.when(F.col("role") == "hide", "hide").when((F.col("role") == "secondary") | (drawn("kind") < 0.6), "read").when(drawn("kind") < 0.85, "bookmark").otherwise("like")
-    low, high = F.when(F.col("role") == "secondary", 30).otherwise(60), F.when(F.col("role") == "secondary", 120).otherwise(300)
-    read = F.when(F.col("kind") == "read", (low + F.floor(drawn("time") * (high - low + 1))).cast("int"))
-    place = F.when(F.col("role") == "primary", 0).when(F.col("role") == "secondary", primary).otherwise(primary + secondary) + F.col("n")
+    kind, seconds, before = F.lit(None).cast("string"), F.lit(None).cast("int"), [0]
+    for i, (_, most, shares, (low, high)) in enumerate(interests.values()):
+        drawn, kinds = _draw(10_000, "kind", seed, user, F.col("article_id")), list(shares)
+        named = F.lit(kinds[-1])
+        for k in range(len(kinds) - 2, -1, -1):
+            named = F.when(drawn < round(sum(shares[x] for x in kinds[: k + 1]) * 10_000), kinds[k]).otherwise(named)
+        kind = F.when(F.col("role") == i, named).otherwise(kind)
+        seconds = F.when(F.col("role") == i, low + _draw(high - low + 1, "time", seed, user, F.col("article_id"))).otherwise(seconds)
+        before.append(before[-1] + most)
+    place = F.get(F.array(*map(F.lit, before)), F.col("role")) + F.col("n")
     at = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), place.cast("int"), F.lit(0))
-    rows = chosen.withColumn("kind", kind).withColumn("read_time_seconds", read).withColumn("created_at", at)
-    number = (F.col("user_id") * (primary + secondary + hides) + place).cast("bigint")
-    return rows.select(number.alias("id"), "user_id", "article_id", F.col("kind").alias("interaction_type"), "read_time_seconds", "created_at")
+    rows = chosen.select((user * before[-1] + place).cast("bigint").alias("id"), "user_id", "article_id", kind.alias("interaction_type"), seconds.alias("seconds"), at.alias("created_at"))
+    return rows.select("id", "user_id", "article_id", "interaction_type", F.when(F.col("interaction_type") == "read", F.col("seconds")).alias("read_time_seconds"), "created_at")

@@ -71,13 +71,19 @@ def test_trials_dictionary_and_labelled_searches(spark, tmp_path):
 
 
 def test_made_up_articles_and_users(spark):
-    made = synthetic.articles(spark)
-    rows_ = made.orderBy("id").collect()
-    assert [r.id for r in rows_] == list(range(24)) and rows_[0].title == "A viral vector advances to preclinical study for sickle cell disease"
+    made = synthetic.articles(spark, count=60)
+    found = made.orderBy("id").collect()
+    assert [r.id for r in found] == list(range(60)) and {r.topic for r in found} == {f"topic {i}" for i in range(10)}
+    words = {}
+    for r in found:
+        words.setdefault(r.topic, set()).update(r.summary.split())
+        assert len(r.summary.split()) == 30 and len(r.title.split()) == 6
+    assert len(words["topic 0"] & words["topic 1"]) < 0.6 * len(words["topic 0"])
     inter = synthetic.interactions(made, 25, datetime(2024, 1, 31)).collect()
     assert {r.user_id for r in inter} == set(range(25)) and len({r.id for r in inter}) == len(inter)
     mine = [r for r in inter if r.user_id == 7]
-    assert sum(r.interaction_type == "hide" for r in mine) == 2 and len(mine) == 4 + 4 + 2  # a topic has four articles
+    assert sum(r.interaction_type == "hide" for r in mine) == 3 and len(mine) == 6 + 5 + 3  # a topic has six articles
+    assert {r.article_id % 10 for r in mine if r.interaction_type in ("like", "bookmark")} == {7}
     assert all((r.read_time_seconds is not None) == (r.interaction_type == "read") for r in inter)
     assert sorted(map(tuple, inter)) == sorted(map(tuple, synthetic.interactions(made, 25, datetime(2024, 1, 31)).collect()))
 

@@ -45,9 +45,13 @@ def query(f):
 
 def _embedded(spark, sf_dir, only=None):
     """Vectors of all articles, or of those in `only` (id)."""
-    arts = A.articles(spark, sf_dir)
-    arts = arts if only is None else arts.join(only, "id", "left_semi")
-    return embed.hash_vectors(arts.select("id", T.embedding_text(F.col("title"), F.col("summary")).alias("text")))
+    arts = embed.spread(A.articles(spark, sf_dir).select("id", T.embedding_text(F.col("title"), F.col("summary")).alias("text")))
+    return embed.hash_vectors(arts if only is None else arts.join(only, "id", "left_semi"))
+
+
+def _with_vector(spark, sf_dir):
+    """(id) of the articles that have a vector, made once for all its uses."""
+    return stored(_embedded(spark, sf_dir).select("id"))
 
 
 def _entities(spark, sf_dir, columns=("article_id", "pos", "entity_id", "name", "entity_type", "mention_text")):
@@ -57,6 +61,7 @@ def _entities(spark, sf_dir, columns=("article_id", "pos", "entity_id", "name",
 
 def _vectors(spark, sf_dir):
     inter = A.interactions(spark, sf_dir)
+    inter = stored(listing.ranked_log(inter))
     liked = _embedded(spark, sf_dir, users.positive_articles(inter).select(F.col("article_id").alias("id")).distinct())
     return users.vectors(inter, liked)
 
@@ -68,12 +73,12 @@ def hash_embed_sparse(spark, sf_dir):
 
 @query
 def semantic_search_topk(spark, sf_dir):
-    return knn.search(QUERY, A.articles(spark, sf_dir), _embedded(spark, sf_dir), 10)
+    return knn.search(QUERY, A.articles(spark, sf_dir), stored(_embedded(spark, sf_dir)), 10)
 
 
 @query
 def related_articles_topk(spark, sf_dir):
-    return knn.related(1, A.articles(spark, sf_dir), _embedded(spark, sf_dir), 10)
+    return knn.related(1, A.articles(spark, sf_dir), stored(_embedded(spark, sf_dir)), 10)
 
 
 @query
@@ -106,7 +111,7 @@ def article_by_content_hash(spark, sf_dir):
 
 @query
 def title_normalize_hash(spark, sf_dir):
-    return A.articles(spark, sf_dir).select("id", T.normalize_title(F.col("title")).alias("normalized"), "content_hash")
+    return A.articles(spark, sf_dir).select("id", T.normalize_title(F.col("headline")).alias("normalized"), "content_hash")
 
 
 @query
@@ -185,12 +190,12 @@ def user_embedding(spark, sf_dir):
 @query
 def feed_cold_start(spark, sf_dir):
     inter = A.interactions(spark, sf_dir)
-    return feed.cold(A.articles(spark, sf_dir), inter, _embedded(spark, sf_dir).select("id").distinct(), inter.select("user_id"), AS_OF, limit=10)
+    return feed.cold(A.articles(spark, sf_dir), inter, _with_vector(spark, sf_dir), inter.select("user_id"), AS_OF, limit=10)
 
 
 @query
 def feed_warm(spark, sf_dir):
-    inter, emb = A.interactions(spark, sf_dir), stored(_embedded(spark, sf_dir))
+    inter, emb = stored(listing.ranked_log(A.interactions(spark, sf_dir))), stored(_embedded(spark, sf_dir))
     rows = feed.warm(users.vectors(inter, emb), inter, emb, limit=10)
     out = feed.with_reasons(rows, A.articles(spark, sf_dir), inter, emb)
     return out.select("user_id", "id", F.round("sim", ROUND).alias("similarity"), "rn", "reason")
@@ -364,34 +369,38 @@ def freshness_quality(spark, sf_dir):
     return arts.select("id", freshness_days(F.col("published_at"), AS_OF).alias("freshness"), S.source_quality(F.col("source")).alias("quality"), "source")
 
 
-def _pairs(spark, sf_dir, inter, emb):
+def _pairs(spark, sf_dir, inter, emb, vectors):
     """Every user's retrieved candidates, as for the enhanced feed, and every distinct
     (user, article) that has met."""
-    retrieved = feed.warm(users.vectors(inter, emb), inter, emb, limit=100).select("user_id", "id")
+    retrieved = feed.warm(vectors, inter, emb, limit=100).select("user_id", "id")
     met = inter.select("user_id", F.col("article_id").alias("id")).join(A.articles(spark, sf_dir).select("id"), "id", "left_semi")
     return stored(retrieved.unionByName(met).distinct())
 
 
 def _pair_inputs(spark, sf_dir):
-    inter, emb = A.interactions(spark, sf_dir), stored(_embedded(spark, sf_dir))
-    return _pairs(spark, sf_dir, inter, emb), A.articles(spark, sf_dir), inter, emb, stored(_entities(spark, sf_dir, ("article_id", "entity_id", "name"))), AS_OF
+    """The arguments of ranking.features() and explain.signals(), and the users' vectors."""
+    inter, emb = stored(listing.ranked_log(A.interactions(spark, sf_dir))), stored(_embedded(spark, sf_dir))
+    vectors = stored(users.vectors(inter, emb))
+    pairs = _pairs(spark, sf_dir, inter, emb, vectors)
+    return (pairs, A.articles(spark, sf_dir), inter, emb, stored(_entities(spark, sf_dir, ("article_id", "entity_id", "name"))), AS_OF), vectors
 
 
 @query
 def ranker_features(spark, sf_dir):
-    rows = ranking.features(*_pair_inputs(spark, sf_dir))
+    inputs, vectors = _pair_inputs(spark, sf_dir)
+    rows = ranking.features(*inputs, vectors)
     return rows.select("user_id", "id", *[F.round(c, ROUND).alias(c) for c in ranking.FEATURES])
 
 
 @query
 def explain_signals(spark, sf_dir):
-    found = explain.signals(*_pair_inputs(spark, sf_dir))
+    found = explain.signals(*_pair_inputs(spark, sf_dir)[0])
     return found.select("user_id", "id", "label", "detail", F.round("weight", 3).alias("weight"))
 
 
 @query
 def explain_summaries(spark, sf_dir):
-    inputs = _pair_inputs(spark, sf_dir)
+    inputs, _ = _pair_inputs(spark, sf_dir)
     rows = explain.explanations(inputs[0], explain.signals(*inputs))
     return rows.select("user_id", "id", "summary", F.size("signals").cast("bigint").alias("n_signals"))
 
@@ -411,30 +420,31 @@ def html_clean_parser(spark, sf_dir):
 
 @query
 def training_pairs(spark, sf_dir):
-    return ranking.two_tower_pairs(A.interactions(spark, sf_dir), _embedded(spark, sf_dir).select("id").distinct())
+    return ranking.two_tower_pairs(A.interactions(spark, sf_dir), _with_vector(spark, sf_dir))
 
 
 @query
 def reranker_training_set(spark, sf_dir):
-    rows = ranking.reranker_pairs(A.interactions(spark, sf_dir), A.articles(spark, sf_dir), _embedded(spark, sf_dir).select("id").distinct())
+    rows = ranking.reranker_pairs(A.interactions(spark, sf_dir), A.articles(spark, sf_dir), _with_vector(spark, sf_dir))
     return ranking.split(rows, ["user_id", "id"]).withColumn("label", F.col("label").cast("bigint"))
 
 
 @query
 def training_label_counts(spark, sf_dir):
-    rows = ranking.reranker_pairs(A.interactions(spark, sf_dir), A.articles(spark, sf_dir), _embedded(spark, sf_dir).select("id").distinct())
+    rows = ranking.reranker_pairs(A.interactions(spark, sf_dir), A.articles(spark, sf_dir), _with_vector(spark, sf_dir))
     return ranking.label_counts(rows).select(F.col("label").cast("bigint").alias("label"), "n")
 
 
 @query
 def feed_enhanced(spark, sf_dir):
-    arts, inter, emb = A.articles(spark, sf_dir), A.interactions(spark, sf_dir), stored(_embedded(spark, sf_dir))
+    arts, inter, emb = A.articles(spark, sf_dir), stored(listing.ranked_log(A.interactions(spark, sf_dir))), stored(_embedded(spark, sf_dir))
+    vectors = stored(users.vectors(inter, emb))
     ents = stored(_entities(spark, sf_dir, ("article_id", "entity_id", "name")))
     labelled = ranking.split(ranking.reranker_pairs(inter, arts, emb), ["user_id", "id"])
-    train = stored(ranking.features(labelled, arts, inter, emb, ents, AS_OF))
+    train = stored(ranking.features(labelled, arts, inter, emb, ents, AS_OF, vectors))
     model = ranking.train_gbt(train, **ranking.PRODUCTION)
-    retrieved = stored(feed.warm(users.vectors(inter, emb), inter, emb, limit=100).select("user_id", "id", "sim"))
-    rows = ranking.features(retrieved.select("user_id", "id"), arts, inter, emb, ents, AS_OF)
+    retrieved = stored(feed.warm(vectors, inter, emb, limit=100).select("user_id", "id", "sim"))
+    rows = ranking.features(retrieved.select("user_id", "id"), arts, inter, emb, ents, AS_OF, vectors)
     return ranking.enhanced(retrieved, rows, model, limit=10)
 
 

@@ -42,6 +42,13 @@ def hash_vectors(df: DataFrame, text: str = "text", key: str = "id") -> DataFram
     return rows.filter("_v is not null").select(key, "_v.dims", "_v.ws")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan, dealt round-robin where it has fewer splits than there are cores, as a
+    file of one row group has. It changes partitions only; a large table is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def hash_embedding(df: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
     """(id, dim, w): hash_vectors() by entries."""
     return sparse(hash_vectors(df, text, key), key)

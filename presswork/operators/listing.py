@@ -38,8 +38,21 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return rows.withColumn("next_cursor", F.when(full, F.lit(offset + limit)))
 
 
+def ranked_log(interactions: DataFrame) -> DataFrame:
+    """interactions with each row's rank among its user's newest: `_any` of all kinds,
+    `_positive` of the positive ones (null for others). latest_per_user() filters by them, so
+    that a stored log is sorted once for all limits."""
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("created_at"), F.desc("id")))
+    good = F.coalesce(F.col("interaction_type").isin(POSITIVE), F.lit(False))
+    df = interactions.withColumn("_good", good).withColumns({"_any": rank("user_id"), "_positive": rank("user_id", "_good")})
+    return df.withColumn("_positive", F.when(F.col("_good"), F.col("_positive"))).drop("_good")
+
+
 def latest_per_user(interactions: DataFrame, limit: int, kinds: list[str] | None = POSITIVE) -> DataFrame:
     """Each user's newest interactions of these kinds, with their rank `rn`."""
+    known = {None: "_any", tuple(POSITIVE): "_positive"}.get(kinds and tuple(kinds))
+    if known in interactions.columns:
+        return interactions.filter(F.col(known) <= limit).withColumn("rn", F.col(known))
     df = interactions if kinds is None else interactions.filter(F.col("interaction_type").isin(kinds))
     order = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))
     return df.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= limit)

@@ -38,12 +38,14 @@ FEATURES = [
 PRODUCTION = {"rounds": 500, "depth": 6, "rate": 0.05}
 
 
-def features(pairs: DataFrame, articles: DataFrame, interactions: DataFrame, embedded: DataFrame, entities: DataFrame, as_of: datetime) -> DataFrame:
+def features(pairs: DataFrame, articles: DataFrame, interactions: DataFrame, embedded: DataFrame, entities: DataFrame, as_of: datetime, vectors: DataFrame | None = None) -> DataFrame:
     """pairs (user_id, id, ...) with the thirteen features. Cosine and dot are of the
-    user's and the article's vectors, 0 where one is missing."""
+    user's and the article's vectors, 0 where one is missing. vectors: the users', if they
+    have been made before."""
     keys = pairs.select("user_id", "id").distinct()
     people = keys.select("user_id").distinct()
-    vectors = dense(U.vectors(interactions.join(people, "user_id", "left_semi"), embedded).select("user_id", "dim", "w"), "user_id")
+    vectors = U.vectors(interactions.join(people, "user_id", "left_semi"), embedded) if vectors is None else vectors
+    vectors = dense(vectors.select("user_id", "dim", "w"), "user_id")
     known = vectors.select("user_id", full(F.col("dims"), F.col("ws")).alias("uw"))
     items = keys.join(dense(embedded), "id").join(known, "user_id")
     products = F.zip_with("dims", "ws", lambda d, w: w * F.get("uw", d))

@@ -94,7 +94,7 @@ SQL: dict[str, str] = {
     "articles_page_offset": f"with {ART}, p as (select id, title from art order by published_at desc nulls last, id limit 20 offset 40) select id, title, case when (select count(*) from p) = 20 then 60 end::bigint next_cursor from p",
     "article_lookup": f"with {ART} select id, title, url, source from art where id = 42",
     "article_by_content_hash": f"with {ART}, h as (select id, sha256({KEY}) content_hash from art) select id, content_hash from h where content_hash = (select content_hash from h where id = 7)",
-    "title_normalize_hash": f"with {ART} select id, {NORM} normalized, sha256({KEY}) content_hash from art",
+    "title_normalize_hash": f"with {ART} select id, {KEY} normalized, sha256({KEY}) content_hash from art",
     "dedup_title_hash": f"with {ART} select min(id) id from art group by {KEY}",
     "dedup_three_tier": f"with recursive {ART}, {THREE} select id from kept_rows",
     "ingest_counts_by_source": f"with recursive {ART}, {THREE} select source, count(*) filter (f.id is not null)::bigint added, count(*) filter (f.id is null)::bigint duplicates from art left join kept_rows f using (id) group by 1",

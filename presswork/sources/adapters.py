@@ -28,7 +28,8 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     published = "timestampadd(HOUR, cast((doc_id * 37) % 720 as int), timestamp_ntz'2024-01-01 00:00:00')"
     return docs.select(
         F.col("doc_id").alias("id"),
-        F.substring(head, 1, 120).alias("title"),
+        F.substring(head, 1, 120).alias("title"),  # for display; keys are of the whole line
+        head.alias("headline"),
         F.concat(F.lit("https://docs.local/"), F.col("doc_id")).alias("url"),
         "source",
         F.col("text").alias("summary"),

@@ -16,6 +16,7 @@ from .operators import anomaly, dedup, embed, evaluate, explain, feed, ingest, k
 from .operators.storage import new_folder, small, stored
 from .operators.vector_index import VectorIndex, recall
 from .sources import adapters as A
+from .streaming import bursts
 from .streaming.user_state import current_vectors, refresh_users
 
 AS_OF = datetime(2024, 1, 31)
@@ -476,6 +477,17 @@ def stream_user_vectors(spark, sf_dir):
     return rows.select("user_id", F.col("dim").cast("bigint").alias("dim"), (F.round("w", ROUND) + 0.0).alias("w"), "interaction_count")
 
 
+@query
+def stream_burst_pairs(spark, sf_dir):
+    """Pairs of documents from different sources that say much the same within two days,
+    found by a stream."""
+    flow, store = A.articles_of(A.table_stream(spark, sf_dir, "documents")), new_folder(spark)
+    found = bursts.burst_pairs(flow, flow).writeStream.option("checkpointLocation", new_folder(spark))
+    found.trigger(availableNow=True).start(store).awaitTermination()
+    rows = spark.read.schema("anchor bigint, id bigint, sim double, source string").parquet(store)
+    return rows.select("anchor", "id", F.round("sim", ROUND).alias("similarity"), "source")
+
+
 @query
 def stream_ingest_counts(spark, sf_dir):
     """Documents as a stream, taken in one go and counted by day and source."""

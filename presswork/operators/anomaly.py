@@ -40,6 +40,11 @@ def bursts(
     pairs = near.join(a, "anchor").join(facts, "id")
     apart = F.abs(F.unix_micros(F.col("published_at").cast("timestamp")) - F.unix_micros(F.col("a_time").cast("timestamp")))
     kept = pairs.filter((F.col("sim") >= threshold) & (F.col("source") != F.col("a_source")) & (apart <= hours * 3_600_000_000))
+    return events(kept, threshold, hours, least_sources)
+
+
+def events(kept: DataFrame, threshold: float, hours: int, least_sources: int = 2) -> DataFrame:
+    """bursts() of the pairs that count: (anchor, id, sim, rn, source)."""
     found = kept.groupBy("anchor").agg(
         F.array_sort(F.collect_set("source")).alias("related_sources"),
         F.transform(F.array_sort(F.collect_list(F.struct("rn", "id"))), lambda x: x["id"]).alias("related_article_ids"),

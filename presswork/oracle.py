@@ -137,6 +137,10 @@ select count(*)::bigint n_queries, round(avg(h5), 4) hit_rate_at_5, round(avg(h1
     "load_summary": """with s as (select event_type <> 'error' ok, value / 100 t, value / 1000 f, floor(value)::bigint n from events)
 select count(*)::bigint n, count(*) filter (ok)::bigint n_ok, count(*) filter (not ok)::bigint n_failed, round(count(*) filter (ok) / 100.0::double, 3) requests_per_second, round(coalesce(sum(n) filter (ok), 0)::double / 100, 3) tokens_per_second,
  round(quantile_cont(t * 1000, 0.5) filter (ok), 1) total_p50, round(quantile_cont(t * 1000, 0.95) filter (ok), 1) total_p95, round(quantile_cont(t * 1000, 0.99) filter (ok), 1) total_p99, round(quantile_cont(f * 1000, 0.5) filter (ok), 1) ttft_p50, round(quantile_cont(f * 1000, 0.95) filter (ok), 1) ttft_p95 from s""",
+    "stream_burst_pairs": f"""with {ART}, {EMB},
+near as (select a.id anchor, b.id id, round(sum(a.w * b.w), 9) sim from emb a join emb b on a.dim = b.dim and a.id <> b.id group by 1, 2)
+select anchor, near.id, round(sim, 4) similarity, y.source from near join art x on x.id = anchor join art y on y.id = near.id
+where sim >= 0.82 and x.source <> y.source and y.published_at between x.published_at - interval 48 hours and x.published_at + interval 48 hours""",
     "burst_detect": f"with {ART}, {EMB}, {BURST} select article_id, kind, score, related_sources, related_ids, mean_similarity from bur",
     "burst_prompt": f"""with {ART}, {EMB}, {BURST},
 ln as (select k.anchor, string_agg('- [' || b.source || '] ' || b.title, chr(10) order by rn) l from kept k join art b on b.id = k.id group by 1)

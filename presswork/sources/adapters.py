@@ -23,7 +23,11 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    return articles_of(table(spark, sf_dir, "documents"))
+
+
+def articles_of(docs: DataFrame) -> DataFrame:
+    """The table `documents`, or a stream of it, as articles."""
     head = F.split_part("text", F.lit("\n"), F.lit(1))
     published = "timestampadd(HOUR, cast((doc_id * 37) % 720 as int), timestamp_ntz'2024-01-01 00:00:00')"
     return docs.select(

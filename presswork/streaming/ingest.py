@@ -38,16 +38,6 @@ def ingest_stream(stream: DataFrame, store: str, checkpoint: str, after: dict[st
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def burst_pairs(left: DataFrame, right: DataFrame, hours: int = 48) -> DataFrame:
-    """Stream-stream join of articles with the same title hash from different sources at
-    most `hours` apart: bursts of (nearly) equal titles, with the time bound as watermark."""
-    late = f"{hours} hours"
-    a = left.select(F.col("id").alias("a_id"), F.col("source").alias("a_source"), F.col("content_hash").alias("a_hash"), F.col("published_at").cast("timestamp").alias("a_time")).withWatermark("a_time", late)
-    b = right.select(F.col("id").alias("b_id"), F.col("source").alias("b_source"), F.col("content_hash").alias("b_hash"), F.col("published_at").cast("timestamp").alias("b_time")).withWatermark("b_time", late)
-    near = F.expr(f"a_hash = b_hash and a_source <> b_source and b_time between a_time - interval {hours} hours and a_time + interval {hours} hours")
-    return a.join(b, near)
-
-
 def counts_by_source(stream: DataFrame, time: str = "published_at", window: str = "1 day", late: str = "48 hours") -> DataFrame:
     """(window, source, n): tumbling counts with a watermark."""
     timed = stream.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late)

@@ -5,7 +5,7 @@ import pytest
 
 from presswork.operators import evaluate, ingest, kg
 from presswork.sources import feeds, synthetic
-from presswork.streaming.ingest import burst_pairs, ingest_stream
+from presswork.streaming.ingest import ingest_stream
 
 FEED = """<?xml version="1.0"?><rss version="2.0"><channel><title>f</title>
 <item><title>First &amp;lt;b&amp;gt;bold&amp;lt;/b&amp;gt; story</title><link>https://a/1</link><description>&lt;p&gt;Some &amp;amp; text&lt;/p&gt;</description><pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate></item>
@@ -110,16 +110,6 @@ def test_stream_stores_each_article_once(spark, tmp_path):
     assert sorted(r.id for r in stored) == [0, 1, 5] and seen == [2, 1] and failed == ["bad", "bad"]
 
 
-def test_stream_join_within_the_window(spark, tmp_path):
-    data = [(1, "A", "h", datetime(2024, 1, 1)), (2, "B", "h", datetime(2024, 1, 2)), (3, "C", "h", datetime(2024, 1, 9)), (4, "A", "h", datetime(2024, 1, 1))]
-    df = spark.createDataFrame(data, "id bigint, source string, content_hash string, published_at timestamp_ntz")
-    df.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = burst_pairs(stream, stream).writeStream.format("memory").queryName("burst_pairs").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {(r.a_id, r.b_id) for r in spark.table("burst_pairs").collect()} == {(1, 2), (2, 1), (4, 2), (2, 4)}
-
-
 def test_run_record(spark):
     counts = ingest.counts(ingest.created(rows(spark, 0, 1, 3)))
     row = ingest.run_record(spark, counts, {"x": "down"}, datetime(2024, 1, 1), datetime(2024, 1, 1)).first()

@@ -23,10 +23,26 @@ def read_sources(sources: dict[str, Callable[[SparkSession], DataFrame]], spark:
             df.limit(1).count()  # sources fail when they are first read
             frames.append(df)
         except Exception as error:  # noqa: BLE001
-            errors[name] = str(error).splitlines()[0]
+            errors[name] = message(error)
     return (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None), errors
 
 
+def message(error: Exception) -> str:
+    """What an error says, in a line. Of one raised in a worker that is the last line of its
+    Python traceback; the JVM's stack after it says nothing."""
+    lines = [line.strip() for line in str(error).splitlines()]
+    python = [i for i, line in enumerate(lines) if line.startswith("Traceback (most recent call last)")]
+    said = []
+    for line in lines[python[-1] + 1 :] if python else lines:
+        if python and said and (not line or line.startswith(("at ", "Driver stacktrace", "JVM stacktrace", "org.apache"))):
+            break
+        if line:
+            said.append(line)
+            if not python:
+                break
+    return said[-1] if said else type(error).__name__
+
+
 def created(incoming: DataFrame, stored: DataFrame | None = None, order: str = "id") -> DataFrame:
     """incoming with `created`: whether the row is stored (SNK: insert if absent)."""
     kept = three_tier(incoming, order=order, history=stored).select(order).withColumn("_kept", F.lit(True))

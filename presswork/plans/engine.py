@@ -71,10 +71,12 @@ class Engine:
     def table(self, name: str) -> DataFrame:
         schema, path = TABLES[name], f"{self.root}/{name}"
         if not self._exists(path):
-            if not self._exists(f"{path}.new"):
+            for end in (".new", ".old"):  # _replace() was broken off; without _SUCCESS while it wrote
+                if self._exists(f"{path}{end}/_SUCCESS"):
+                    self._rename(f"{path}{end}", path)
+                    break
+            else:
                 return self.spark.createDataFrame([], schema)
-            files, new = self._files(f"{path}.new")  # _replace() was broken off between its renames
-            files.rename(new, self._files(path)[1])
         return self.spark.read.schema(schema).parquet(path)
 
     def _as_table(self, name: str, rows: DataFrame) -> DataFrame:
@@ -93,10 +95,15 @@ class Engine:
         files, where = self._files(here)
         if files.exists(where):
             files.delete(self._files(old)[1], True)
-            files.rename(where, self._files(old)[1])
-        files.rename(self._files(new)[1], where)
+            self._rename(here, old)
+        self._rename(new, here)
         files.delete(self._files(old)[1], True)
 
+    def _rename(self, before: str, after: str) -> None:
+        files, where = self._files(before)
+        if not files.rename(where, self._files(after)[1]):
+            raise OSError(f"{before} could not be renamed to {after}")
+
     def _now(self):
         return F.lit(self.as_of).cast("timestamp_ntz")
 

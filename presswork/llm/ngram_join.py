@@ -28,6 +28,8 @@ from .repeats import U64, Words, as_bytes, chunks, mix
 N_WORDS, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.99999, 128
 #: A block of sets has at most about so many sets and grams; a task compares two blocks.
 BLOCK, BLOCK_GRAMS = 2048, 1 << 20
+#: Rows of a block's matrices that are worked on together.
+ROWS = 256
 #: A bucket is wide if its blocks make more than so many pairs for each of its sets.
 WIDE = 16
 #: Grams that a sending task holds before it hands them on.
@@ -128,15 +130,24 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
         at = slice(*np.searchsorted(gram, [low, low + 4096]))
         has = np.zeros((m, 4096), np.float32)
         has[owner[at], gram[at] - low] = 1
-        total += has @ has.T
+        for rows in steps(m):
+            total[rows] += has[rows] @ has.T
     return total
 
 
+def steps(m: int) -> list[slice]:
+    """Rows of a matrix that are worked on together, so that what is made on the way stays
+    small beside the matrix."""
+    return [slice(at, at + ROWS) for at in range(0, m, ROWS)]
+
+
 def links_of(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """Boolean matrix of the pairs with Jaccard similarity of at least `similarity`."""
     both = overlaps(sets)
     size = np.array([len(s) for s in sets], np.float64)
-    linked = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
+    linked = np.empty(both.shape, bool)
+    for rows in steps(len(sets)):
+        linked[rows] = both[rows] >= similarity * (size[rows, None] + size[None, :] - both[rows]) - 1e-9
     np.fill_diagonal(linked, False)
     return linked
 
@@ -230,13 +241,14 @@ def verifier(similarity: float):
             linked, doc, copies = linked[np.ix_(order, order)], doc[order], copies[order]
             hub = np.arange(len(doc))
             while True:
-                lower = np.minimum(hub, np.where(linked, hub[None, :], len(doc)).min(axis=1))
+                least = [np.where(linked[rows], hub[None, :], len(doc)).min(axis=1) for rows in steps(len(doc))]
+                lower = np.minimum(hub, np.concatenate(least))
                 lower = lower[lower]
                 if (lower == hub).all():
                     break
                 hub = lower
             out_doc.append(doc)
-            out_links.append(linked @ copies)
+            out_links.append(np.concatenate([linked[rows] @ copies for rows in steps(len(doc))]))
             out_hub.append(doc[hub])
         joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_doc, out_links, out_hub)]
         return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in joined], names=["doc", "links", "hub"])

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .piece_bpe import pieces_of
 from .repeats import as_bytes
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -190,6 +191,7 @@ class Encoder(dict):
         self.vocabulary, self.older = vocabulary, {}
         self.split = regex.compile(pattern).findall
         self.tokens = [vocabulary.token.get(i, b"") for i in range(max(vocabulary.token) + 1)]
+        self.column = pa.array(self.tokens, pa.large_binary())
 
     def _make_room(self, more: int) -> None:
         if len(self) + more > CACHED_WORDS:
@@ -247,6 +249,19 @@ class Encoder(dict):
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def decode_all(self, ids: pa.Array) -> pa.Array:
+        """decode() of each row, null as empty. The bytes of all tokens are laid side by
+        side, and a row's are what lies between two ends."""
+        rows = [x or b"" for x in as_bytes(ids)]
+        if any(len(x) % 4 for x in rows):
+            raise ValueError("ids are 32 bits each")
+        ends = np.cumsum([0, *map(len, rows)]) // 4
+        if not ends[-1]:
+            return pa.array(rows, pa.binary())
+        laid = self.column.take(pa.array(np.frombuffer(b"".join(rows), "<u4")))
+        cuts = np.frombuffer(laid.buffers()[1], np.int64)[laid.offset :][ends]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(cuts), laid.buffers()[2]]).cast(pa.binary())
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str | None = None, pattern: str | None = None) -> Encoder:
@@ -258,23 +273,30 @@ def encoder(path: str | None = None, pattern: str | None = None) -> Encoder:
     return Encoder(Vocabulary.load(path), pattern)
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """docs with a column `ids`: the text's token ids as little-endian unsigned 32-bit
-    integers. Null and empty texts have none (an empty binary). Each match of the
-    pattern is encoded by itself; there are no special tokens. Other columns stay,
-    and one named `ids` is replaced. Rows are encoded one by one and whole, so repeated
-    rows have the same ids and no rows give none."""
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_text: bool = True, with_bytes: bool = False) -> DataFrame:
+    """docs (with_text=False: without their text) with a column `ids`: the text's token
+    ids as little-endian unsigned 32-bit integers. Null and empty texts have none (an
+    empty binary). Each match of the pattern is encoded by itself; there are no special
+    tokens. with_bytes: also a column `decoded`, as decode() makes it of the ids, without
+    sending them to a second set of workers. Other columns stay, and those named like a
+    new one are replaced. Rows are encoded one by one and whole, so repeated rows have the
+    same ids and no rows give none."""
     common.ship(docs.sparkSession)
-    rest = [c for c in docs.columns if c != "ids"]
-    schema = docs.select(*rest).withColumn("ids", F.lit(b"")).schema
+    made = ["ids", "decoded"] if with_bytes else ["ids"]
+    rest = [c for c in docs.columns if c not in made]
+    kept = [c for c in rest if with_text or c != "text"]
+    schema = docs.select(*kept).withColumns({c: F.lit(b"") for c in made}).schema
+    return docs.select(*rest).mapInArrow(lambda batches: coded(batches, encoder(path, pattern), kept, with_bytes), schema)
 
-    def run(batches):
-        coder = encoder(path, pattern)
-        for batch in batches:
-            ids = coder.encode_all(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*batch.schema.names, "ids"])
 
-    return docs.select(*rest).mapInArrow(run, schema)
+def coded(batches, coder: Encoder, kept: list[str], with_bytes: bool = False):
+    """The kept columns with ids and, if asked for, decoded. Batches are cut by their texts'
+    size, so that a worker holds no more than a small one besides what it was sent."""
+    for whole in batches:
+        for batch in pieces_of([whole], whole.schema.get_field_index("text")):
+            ids = pa.array(coder.encode_all(batch.column("text").to_pylist()), pa.binary())
+            made = {"ids": ids} | ({"decoded": coder.decode_all(ids)} if with_bytes else {})
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *made.values()], [*kept, *made])
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
@@ -286,18 +308,18 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         coder = encoder(path)
-        for batch in batches:
-            data = [coder.decode(x) if x else b"" for x in as_bytes(batch.column("ids"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], [*batch.schema.names, "decoded"])
+        for whole in batches:
+            step = max(1, len(whole) * LEARN_CHARS // max(1, whole.column("ids").nbytes))
+            for batch in (whole.slice(at, step) for at in range(0, len(whole), step)):
+                yield pa.RecordBatch.from_arrays([*batch.columns, coder.decode_all(batch.column("ids"))], [*batch.schema.names, "decoded"])
 
     return tokens.select(*rest).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    ids = encode(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), path, pattern).drop("text")
-    both = decode(ids, path)
-    return both.select(
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    return encode(docs.select("doc_id", text), path, pattern, with_text=False, with_bytes=True).select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

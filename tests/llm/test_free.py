@@ -49,6 +49,31 @@ def test_round_trip_rows(spark):
     assert bpe.round_trip(df.limit(0)).count() == 0
 
 
+def test_round_trip_is_one_step_of_small_batches(spark, tmp_path):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("the andsÉß1 \n日") for _ in range(30_000)) for _ in range(300)] + [None, "", "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    coder = bpe.encoder()
+    got = list(bpe.coded([batch, batch.slice(0, 0)], coder, ["doc_id"], with_bytes=True))
+    assert len(got) > 4 and max(b.nbytes for b in got) < 1 << 25
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == list(range(len(texts)))
+    assert all(r["ids"] == coder.encode(t or "") and r["decoded"] == (t or "").encode() for r, t in zip(rows, texts))
+    odd = pa.array([None, b"", rows[0]["ids"][:12], rows[1]["ids"]], pa.binary())
+    assert coder.decode_all(odd[2:]).to_pylist() == [coder.decode(x.as_py()) for x in odd[2:]]
+    assert coder.decode_all(odd).to_pylist()[:2] == coder.decode_all(odd[:2]).to_pylist() == [b"", b""]
+    with pytest.raises(ValueError):
+        coder.decode_all(pa.array([b"ab", b"cd"], pa.binary()))
+    with pytest.raises(IndexError):
+        coder.decode_all(pa.array([b"\xff" * 4], pa.binary()))
+    df = spark.createDataFrame([(1, None), (2, "Hello, wörld")], "doc_id bigint, text string")
+    assert bpe.round_trip(df)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    apart = bpe.decode(bpe.encode(df)).collect()
+    assert apart == bpe.encode(df, with_bytes=True).collect() and [r.text for r in apart] == [None, "Hello, wörld"]
+
+
 def brute_links(docs, n=5, similarity=0.8):
     sets = []
     for _, t in docs:

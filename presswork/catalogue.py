@@ -197,7 +197,7 @@ def feed_cold_start(spark, sf_dir):
 @query
 def feed_warm(spark, sf_dir):
     inter, emb = stored(listing.ranked_log(A.interactions(spark, sf_dir))), stored(_embedded(spark, sf_dir))
-    rows = feed.warm(users.vectors(inter, emb), inter, emb, limit=10)
+    rows = stored(feed.warm(users.dense_vectors(inter, emb), inter, emb, limit=10))
     out = feed.with_reasons(rows, A.articles(spark, sf_dir), inter, emb)
     return out.select("user_id", "id", F.round("sim", ROUND).alias("similarity"), "rn", "reason")
 

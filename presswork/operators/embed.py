@@ -1,15 +1,23 @@
-"""Text embedders. The hashing embedder runs on built-in functions."""
+"""Text embedders."""
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from ..schemas import EMBEDDING_DIM
+from ..shipping import ship
+
+#: Tokens whose codes a task remembers, about 20 MB.
+REMEMBERED = 1 << 17
 
 
 def hash_vectors(df: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
@@ -17,29 +25,43 @@ def hash_vectors(df: DataFrame, text: str = "text", key: str = "id") -> DataFram
     texts without tokens have none.
 
     A token ([a-z0-9]+ in lower case) adds +1 or -1 to one of 768 dimensions, as its
-    SHA-256 says. All tokens of a text are in its row, so nothing is exchanged: their codes
-    (dimension, sign) are sorted and runs of equal codes counted.
+    SHA-256 says. All tokens of a text are in its row, so nothing is exchanged; a worker
+    hashes a token that it remembers once.
     """
-    tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))
-    # the first ten hex digits: eight of the dimension, two of the sign
-    codes = f"""array_sort(transform(transform(_tokens, t -> cast(conv(substring(sha2(t, 256), 1, 10), 16, 10) as bigint)),
-        n -> cast(shiftright(n, 8) % {EMBEDDING_DIM} * 2 + (n & 1) as int)))"""
-    ends = """filter(transform(_codes, (c, i) -> named_struct('code', c, 'i', i)),
-        x -> x.i = size(_codes) - 1 or _codes[x.i + 1] <> x.code)"""
-    runs = "transform(_ends, (x, j) -> named_struct('code', x.code, 'n', x.i - if(j = 0, -1, _ends[j - 1].i)))"
-    # the run of the negative sign follows that of the positive one
-    sums = """filter(transform(_runs, (x, j) -> named_struct('dim', x.code div 2, 'v', case
-            when x.code % 2 = 0 then x.n - if(j + 1 < size(_runs) and _runs[j + 1].code = x.code + 1, _runs[j + 1].n, 0)
-            when j > 0 and _runs[j - 1].code = x.code - 1 then 0
-            else -x.n end)), x -> x.v <> 0)"""
-    made = df.select(key, tokens.alias("_tokens"))
-    for name, formula in (("_codes", codes), ("_ends", ends), ("_runs", runs), ("_sums", sums)):
-        made = made.withColumn(name, F.expr(formula))
-    made = made.withColumn("_norm", F.expr("sqrt(aggregate(_sums, 0D, (s, x) -> s + x.v * x.v))"))
-    vector = F.expr("array(named_struct('dims', transform(_sums, x -> cast(x.dim as int)), 'ws', transform(_sums, x -> x.v / _norm)))")
-    # a filter on the arrays would be pushed down and work them out twice; one on the exploded column isn't
-    rows = made.select(key, F.explode_outer(F.when(F.size("_sums") > 0, vector)).alias("_v"))
-    return rows.filter("_v is not null").select(key, "_v.dims", "_v.ws")
+    ship(df.sparkSession)
+    rows = df.select(key, F.lower(F.col(text)).alias("_text"))
+    schema = StructType([rows.schema.fields[0]]).add("dims", ArrayType(IntegerType())).add("ws", ArrayType(DoubleType()))
+    return rows.mapInArrow(_hashed, schema)
+
+
+def _hashed(batches):
+    codes: dict[str, int] = {}
+    find, step, longest = re.compile("[a-z0-9]+").findall, 512, 64
+    for batch in batches:
+        for at in range(0, len(batch), step):
+            part = batch.slice(at, step)
+            counts, found = np.zeros(len(part), np.int64), []
+            for i, said in enumerate(part.column(1).to_pylist()):
+                tokens = find(said) if said else ()
+                counts[i] = len(tokens)
+                for t in tokens:
+                    code = codes.get(t)
+                    if code is None:
+                        digest = hashlib.sha256(t.encode()).digest()
+                        code = int.from_bytes(digest[:4], "big") % EMBEDDING_DIM * 2 + (digest[4] & 1)
+                        if len(t) <= longest and len(codes) < REMEMBERED:
+                            codes[t] = code
+                    found.append(code)
+            code = np.array(found, np.int64)
+            place = np.repeat(np.arange(len(part)), counts) * EMBEDDING_DIM + code // 2
+            sums = np.bincount(place, weights=1.0 - 2 * (code % 2), minlength=len(part) * EMBEDDING_DIM).reshape(len(part), -1)
+            row, dim = np.nonzero(sums)
+            norm = np.sqrt((sums * sums).sum(axis=1))
+            kept = np.flatnonzero(norm > 0)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(part))[kept])]), pa.int32())
+            values = [pa.array(dim, pa.int32()), pa.array(sums[row, dim] / norm[row])]
+            key = part.column(0).take(pa.array(kept))
+            yield pa.RecordBatch.from_arrays([key, *[pa.ListArray.from_arrays(offsets, v) for v in values]], [batch.schema.names[0], "dims", "ws"])
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -5,20 +5,17 @@ from __future__ import annotations
 from datetime import datetime
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import EMBEDDING_DIM
-from ..shipping import ship
 from . import knn
+from .blocks import Vectors, gathered, lists, with_vectors
 from .embed import dense, sparse
 from .listing import hidden, latest_per_user
 from .storage import small, stored
 
 COLD_REASON, NO_HISTORY_REASON, NO_MATCH_REASON = "Recent biotech news", "Recommended for you", "Recommended based on your reading interests"
-#: Candidates of one user that one task compares at a time, about.
-PAIR_BLOCK = 1024
 
 
 def cold(articles: DataFrame, interactions: DataFrame, embedded: DataFrame, users: DataFrame, as_of: datetime, limit: int = 20, offset: int = 0, days: int = 30) -> DataFrame:
@@ -51,7 +48,7 @@ def warm(user_vectors: DataFrame, interactions: DataFrame, embedded: DataFrame,
     """
     gone = hidden(interactions).withColumnRenamed("article_id", "id")
     hides = gone.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    mine = dense(user_vectors.select("user_id", "dim", "w"), "user_id").join(hides, "user_id", "left")
+    mine = dense(user_vectors, "user_id").join(hides, "user_id", "left")
     mine = mine.select(F.col("user_id").alias("id"), "dims", "ws", (F.coalesce("n", F.lit(0)) + limit + offset).alias("k"))
     near = knn.batch(mine, dense(embedded), limit + offset, but_self=False)
     kept = near.select(F.col("anchor").alias("user_id"), "id", "sim").join(gone, ["user_id", "id"], "left_anti")
@@ -62,47 +59,46 @@ def warm(user_vectors: DataFrame, interactions: DataFrame, embedded: DataFrame,
 def by_tower(user_vectors: DataFrame, interactions: DataFrame, embedded: DataFrame, tower, limit: int = 100) -> DataFrame:
     """(user_id, id, sim) as warm(), by the vectors of a two-tower model."""
     numbered = lambda df, key: df.select(key, F.sequence(F.lit(0), F.size("embedding") - 1).alias("dims"), F.col("embedding").alias("ws"))
-    people = numbered(tower.embed(dense(user_vectors.select("user_id", "dim", "w"), "user_id"), "user", "user_id"), "user_id")
+    people = numbered(tower.embed(dense(user_vectors, "user_id"), "user", "user_id"), "user_id")
     return warm(sparse(people, "user_id"), interactions, numbered(tower.embed(dense(embedded)), "id"), limit).select("user_id", "id", "sim")
 
 
 def nearest_liked(pairs: DataFrame, interactions: DataFrame, embedded: DataFrame, limit: int = 100) -> DataFrame:
     """(user_id, id, liked_id, best, kind): of each user's latest positive articles the
     one most similar to the candidate (best > 0; of equals the smaller id), and the kind
-    of the latest interaction with it. pairs: (user_id, id).
+    of the latest interaction with it. pairs: (user_id, id)."""
+    return with_nearest_liked(pairs.select("user_id", "id").distinct(), interactions, embedded, limit).filter("best is not null")
 
-    A user's candidates, PAIR_BLOCK or so at a time, meet the user's at most `limit` liked
-    articles in one matrix product.
+
+def with_nearest_liked(pairs: DataFrame, interactions: DataFrame, embedded: DataFrame, limit: int = 100) -> DataFrame:
+    """The distinct pairs (user_id, id) with nearest_liked(): null where there is none.
+
+    A user's candidates meet the user's at most `limit` liked articles in one matrix
+    product; a block of users gets each vector once.
     """
-    ship(pairs.sparkSession)
     recent = latest_per_user(interactions, limit)
     last = recent.groupBy("user_id", F.col("article_id").alias("liked_id")).agg(F.max_by("interaction_type", F.struct("created_at", "id")).alias("kind"))
-    asked = pairs.select("user_id", "id").distinct()
-    parts = asked.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("parts"))
-    slot = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("slot")
-    mine = asked.join(parts, "user_id").select("user_id", slot, "id").join(dense(embedded), "id")
-    liked = last.join(parts, "user_id").select("user_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slot"), "liked_id", "kind")
-    liked = liked.join(dense(embedded).toDF("liked_id", "liked_dims", "liked_ws"), "liked_id").select(F.col("user_id").alias("fan"), F.col("slot").alias("part"), "liked_id", "kind", "liked_dims", "liked_ws")
-
-    def run(candidates, known):
-        if not len(candidates) or not len(known):
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("user_id", "int64"), ("id", "int64"), ("liked_id", "int64"), ("best", "float64"), ("kind", "object"))})
-        known = known.sort_values("liked_id")  # of equal similarities the first, so the smaller id
-        sims = np.round(_matrix(candidates["dims"], candidates["ws"]) @ _matrix(known["liked_dims"], known["liked_ws"]).T, 9)
-        best = sims.argmax(axis=1)
-        top = sims[np.arange(len(best)), best]
-        taken = known.iloc[best]
-        rows = pd.DataFrame({"user_id": candidates["user_id"].to_numpy(), "id": candidates["id"].to_numpy(), "liked_id": taken["liked_id"].to_numpy(), "best": top, "kind": taken["kind"].to_numpy()})
-        return rows[top > 0]
-
-    return mine.groupBy("user_id", "slot").cogroup(liked.groupBy("fan", "part")).applyInPandas(run, "user_id bigint, id bigint, liked_id bigint, best double, kind string")
-
-
-def _matrix(dims: pd.Series, ws: pd.Series) -> np.ndarray:
-    out = np.zeros((len(dims), EMBEDDING_DIM))
-    for i, (d, w) in enumerate(zip(dims, ws)):
-        out[i, d] = w
-    return out
+    liked = last.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("liked_id", "kind"))).alias("liked"))  # of equal similarities the first, so the smaller id
+    rows = gathered(pairs, "p").select("user_id", F.col("p.id").alias("ids")).join(liked, "user_id", "left")
+    needs = F.when(F.col("liked").isNotNull(), F.concat("ids", "liked.liked_id"))
+    return with_vectors(rows, needs, embedded, _most_alike, "user_id bigint, id bigint, liked_id bigint, best double, kind string")
+
+
+def _most_alike(rows: pa.Table, articles: pa.Table) -> pa.Table:
+    known, (ids, ends), (liked, liked_ends) = Vectors(articles), lists(rows.column("ids")), lists(rows.column("liked"))
+    liked_ids, kinds = liked.field("liked_id"), liked.field("kind")
+    theirs, mine = known.places(ids.to_numpy()), known.places(liked_ids.to_numpy())
+    best, at = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+    for i in range(len(rows)):
+        asked, have = (np.arange(e[i], e[i + 1]) for e in (ends, liked_ends))
+        asked, have = asked[theirs[asked] >= 0], have[mine[have] >= 0]
+        if len(asked) and len(have):
+            sims = np.round(known.matrix(theirs[asked]) @ known.matrix(mine[have]).T, 9)
+            first = sims.argmax(axis=1)
+            best[asked], at[asked] = sims[np.arange(len(asked)), first], have[first]
+    found = pa.array(at, mask=best <= 0)
+    out = [pa.array(np.repeat(rows.column("user_id").to_numpy(), np.diff(ends)), pa.int64()), ids, liked_ids.take(found), pa.array(best, mask=best <= 0), kinds.take(found)]
+    return pa.table(out, names=["user_id", "id", "liked_id", "best", "kind"])
 
 
 def with_reasons(feed: DataFrame, articles: DataFrame, interactions: DataFrame, embedded: DataFrame) -> DataFrame:

@@ -1,11 +1,15 @@
 """Blocks of anchors and of articles: exact, and no vector is copied for each block."""
 
+import hashlib
 import random
+from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from presswork.operators import knn
+from presswork.operators import blocks, embed, explain, feed, knn, listing, ranking, storage, users
 
 
 def vectors(spark, rows):
@@ -58,3 +62,38 @@ def test_factors_give_the_matrix():
     assert left.shape == (300, 4) and np.abs(left @ right - flat).max() < 1e-11
     full = rng.normal(size=(300, 200))
     assert knn._factors(full)[0] is full
+
+
+LOG = "id bigint, user_id bigint, article_id bigint, interaction_type string, read_time_seconds int, created_at timestamp_ntz"
+
+
+@pytest.fixture(scope="module")
+def world(spark):
+    """30 articles, 6 users with five likes each, and a user of 40 pairs."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(25)]
+    arts = [(i, f"T{i}", " ".join(rng.choices(words, k=9)), f"src{i % 3}", None, datetime(2024, 1, 1) + timedelta(days=i)) for i in range(30)]
+    arts = storage.stored(spark.createDataFrame(arts, "id bigint, title string, summary string, source string, doi string, published_at timestamp_ntz"))
+    emb = storage.stored(embed.hash_vectors(arts.select("id", F.col("summary").alias("text"))))
+    log = [(u * 100 + k, u, (u * 7 + k * 3) % 30, "like", None, datetime(2024, 2, 1) + timedelta(hours=k)) for u in range(6) for k in range(5)]
+    inter = storage.stored(listing.ranked_log(spark.createDataFrame(log, LOG)))
+    pairs = storage.stored(spark.createDataFrame([(u, i) for u in range(7) for i in range(0, 30, 1 + u % 3)] + [(2, 77)], "user_id bigint, id bigint"))
+    ents = storage.stored(spark.createDataFrame([(i, i % 4, f"e{i % 4}") for i in range(30)] + [(3, 9, "e9")], "article_id bigint, entity_id bigint, name string"))
+    return pairs, arts, inter, emb, ents
+
+
+def test_a_block_gets_each_vector_once_and_large_users_are_cut(spark, world, monkeypatch):
+    pairs, _, _, emb, _ = world
+    monkeypatch.setattr(blocks, "PAIR_BLOCK", 8)
+    rows = blocks.gathered(pairs, "p")
+    assert max(r.n for r in rows.select(F.size("p").alias("n")).collect()) < 30 and rows.select(F.explode("p")).count() == pairs.count()
+
+    def run(left, right):
+        return pa.table({"n": pa.array([len(left)], pa.int64()), "ids": pa.array([right.column("id").to_pylist()], pa.list_(pa.int64()))})
+
+    for needed, least in ((1 << 16, 1 << 12), (20, 5)):
+        monkeypatch.setattr(blocks, "NEEDED", needed)
+        monkeypatch.setattr(blocks, "LEAST_NEEDED", least)
+        found = blocks.with_vectors(rows, F.col("p.id"), emb, run, "n bigint, ids array<bigint>").collect()
+        assert sum(r.n for r in found) == rows.count() and (len(found) > 1) == (least == 5)
+        assert all(len(set(r.ids)) == len(r.ids) <= 30 for r in found)

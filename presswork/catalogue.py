@@ -381,7 +381,7 @@ def _pairs(spark, sf_dir, inter, emb, vectors):
 def _pair_inputs(spark, sf_dir):
     """The arguments of ranking.features() and explain.signals(), and the users' vectors."""
     inter, emb = stored(listing.ranked_log(A.interactions(spark, sf_dir))), stored(_embedded(spark, sf_dir))
-    vectors = stored(users.vectors(inter, emb))
+    vectors = stored(users.dense_vectors(inter, emb))
     pairs = _pairs(spark, sf_dir, inter, emb, vectors)
     return (pairs, A.articles(spark, sf_dir), inter, emb, stored(_entities(spark, sf_dir, ("article_id", "entity_id", "name"))), AS_OF), vectors
 

@@ -97,3 +97,10 @@ def test_a_block_gets_each_vector_once_and_large_users_are_cut(spark, world, mon
         found = blocks.with_vectors(rows, F.col("p.id"), emb, run, "n bigint, ids array<bigint>").collect()
         assert sum(r.n for r in found) == rows.count() and (len(found) > 1) == (least == 5)
         assert all(len(set(r.ids)) == len(r.ids) <= 30 for r in found)
+
+
+def test_signals_keep_a_pair_in_one_row(spark, world):
+    pairs, *rest = world
+    found = explain.signals(pairs, *rest, datetime(2024, 2, 1))
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.label for r in found.collect()} >= {"similar_to_interaction", "source_affinity", "topic_affinity", "freshness", "popularity", "shared_entities"}

@@ -402,7 +402,7 @@ def explain_signals(spark, sf_dir):
 @query
 def explain_summaries(spark, sf_dir):
     inputs, _ = _pair_inputs(spark, sf_dir)
-    rows = explain.explanations(inputs[0], explain.signals(*inputs))
+    rows = explain.explained(explain.signal_lists(*inputs))
     return rows.select("user_id", "id", "summary", F.size("signals").cast("bigint").alias("n_signals"))
 
 

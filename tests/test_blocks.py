@@ -104,3 +104,12 @@ def test_signals_keep_a_pair_in_one_row(spark, world):
     found = explain.signals(pairs, *rest, datetime(2024, 2, 1))
     assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {r.label for r in found.collect()} >= {"similar_to_interaction", "source_affinity", "topic_affinity", "freshness", "popularity", "shared_entities"}
+
+
+def test_summaries_are_told_without_gathering_signals(spark, world):
+    pairs, *rest = world
+    as_of = datetime(2024, 2, 1)
+    told = explain.explained(explain.signal_lists(pairs, *rest, as_of))
+    want = explain.explanations(pairs, explain.signals(pairs, *rest, as_of))
+    key = lambda df: sorted((r.user_id, r.id, r.summary, [tuple(s) for s in r.signals]) for r in df.collect())
+    assert key(told) == key(want) and told.filter(F.size("signals") == 0).select("summary").distinct().collect()[0].summary == explain.NO_SIGNALS

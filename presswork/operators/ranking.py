@@ -6,14 +6,17 @@ from datetime import datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.dates import freshness_days
 from ..functions.scores import source_quality
 from ..shipping import ship
 from . import users as U
-from .embed import dense, full
+from .blocks import Vectors, gathered, lists, with_vectors
+from .embed import dense
 from .explain import topic_scores
 from .listing import latest_per_user
 from .storage import small, stored
@@ -42,18 +45,11 @@ def features(pairs: DataFrame, articles: DataFrame, interactions: DataFrame, emb
     """pairs (user_id, id, ...) with the thirteen features. Cosine and dot are of the
     user's and the article's vectors, 0 where one is missing. vectors: the users', if they
     have been made before."""
-    keys = pairs.select("user_id", "id").distinct()
-    people = keys.select("user_id").distinct()
-    vectors = U.vectors(interactions.join(people, "user_id", "left_semi"), embedded) if vectors is None else vectors
-    vectors = dense(vectors.select("user_id", "dim", "w"), "user_id")
-    known = vectors.select("user_id", full(F.col("dims"), F.col("ws")).alias("uw"))
-    items = keys.join(dense(embedded), "id").join(known, "user_id")
-    products = F.zip_with("dims", "ws", lambda d, w: w * F.get("uw", d))
-    sims = items.select("user_id", "id", F.aggregate(products, F.lit(0.0), lambda s, x: s + x).alias("s"))
-    facts = articles.select("id", "source", "doi", "published_at")
-    out = pairs.join(facts, "id").join(sims, ["user_id", "id"], "left").join(U.stats(interactions), "user_id", "left")
-    out = out.join(U.popularity(interactions).withColumnRenamed("article_id", "id"), "id", "left")
-    out = out.join(embedded.select("id").distinct().withColumn("_e", F.lit(1.0)), "id", "left")
+    people = pairs.select("user_id").distinct()
+    vectors = U.dense_vectors(interactions.join(people, "user_id", "left_semi"), embedded) if vectors is None else vectors
+    facts = articles.select("id", "source", "doi", "published_at").join(U.popularity(interactions).withColumnRenamed("article_id", "id"), "id", "left")
+    facts = stored(facts.join(embedded.select("id").distinct().withColumn("_e", F.lit(1.0)), "id", "left"))
+    out = with_products(pairs, vectors, embedded).join(small(facts), "id").join(small(stored(U.stats(interactions))), "user_id", "left")
     out = out.join(topic_scores(pairs, entities, U.topic_affinity(interactions, entities, articles)), ["user_id", "id"], "left")
     out = out.join(U.source_affinity(interactions, articles), ["user_id", "source"], "left")
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
@@ -75,6 +71,30 @@ def features(pairs: DataFrame, articles: DataFrame, interactions: DataFrame, emb
     )
 
 
+def with_products(pairs: DataFrame, vectors: DataFrame, embedded: DataFrame) -> DataFrame:
+    """pairs (user_id, id, ...) with `s`, the product of the user's and the article's vectors,
+    null where one is missing; a block of users gets each article's vector once."""
+    rows = gathered(pairs, "p").select("user_id", "p").join(dense(vectors, "user_id"), "user_id", "left")
+    schema = StructType([*pairs.schema.fields]).add("s", "double")
+    return with_vectors(rows, F.when(F.col("dims").isNotNull(), F.col("p.id")), embedded, _products, schema)
+
+
+def _products(rows: pa.Table, articles: pa.Table) -> pa.Table:
+    known, (pairs, ends) = Vectors(articles), lists(rows.column("p"))
+    (dims, at), (ws, _) = lists(rows.column("dims")), lists(rows.column("ws"))
+    places, dims, ws = known.places(pairs.field("id").to_numpy()), dims.to_numpy(), ws.to_numpy()
+    out, missing = np.zeros(len(pairs)), np.ones(len(pairs), bool)
+    for i in range(len(rows)):
+        asked = np.arange(ends[i], ends[i + 1])
+        asked = asked[places[asked] >= 0]
+        if len(asked) and at[i + 1] > at[i]:
+            mine = np.zeros(max(known.width, int(dims[at[i] : at[i + 1]].max()) + 1))
+            mine[dims[at[i] : at[i + 1]]] = ws[at[i] : at[i + 1]]
+            row, d, w = known.entries(places[asked])
+            out[asked], missing[asked] = np.bincount(row, weights=w * mine[d], minlength=len(asked)), False
+    return pa.table([*pairs.flatten(), pa.array(out, mask=missing)], names=[*[f.name for f in pairs.type], "s"])
+
+
 def two_tower_pairs(interactions: DataFrame, embedded: DataFrame, least: int = 5, limit: int = 100, count_limit: int = 200) -> DataFrame:
     """(user_id, id): up to `limit` latest positive, embedded articles of users with
     enough interactions."""

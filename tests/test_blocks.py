@@ -99,6 +99,24 @@ def test_a_block_gets_each_vector_once_and_large_users_are_cut(spark, world, mon
         assert all(len(set(r.ids)) == len(r.ids) <= 30 for r in found)
 
 
+def test_nearest_liked_and_products_are_those_of_single_pairs(spark, world):
+    pairs, _, inter, emb, _ = world
+    vec = {r.id: dict(zip(r.dims, r.ws)) for r in emb.collect()}
+    dot = lambda x, y: sum(w * y.get(d, 0.0) for d, w in x.items())
+    liked = {}
+    for r in inter.collect():
+        liked.setdefault(r.user_id, []).append(r.article_id)
+    mine = {r.user_id: dict(zip(r.dims, r.ws)) for r in users.dense_vectors(inter, emb).collect()}
+    told = feed.with_nearest_liked(pairs, inter, emb).collect()
+    assert sorted((r.user_id, r.id) for r in told) == sorted((r.user_id, r.id) for r in pairs.collect())
+    for r in told:
+        best = min(((-round(dot(vec[r.id], vec[j]), 9), j) for j in liked.get(r.user_id, []) if r.id in vec), default=(0, None))
+        assert (r.best, r.liked_id) == ((pytest.approx(-best[0], abs=2e-9), best[1]) if best[0] < 0 else (None, None))
+    for r in ranking.with_products(pairs.withColumn("label", F.lit(1)), users.vectors(inter, emb), emb).collect():
+        want = dot(mine[r.user_id], vec[r.id]) if r.user_id in mine and r.id in vec else None
+        assert r.label == 1 and (r.s is None if want is None else abs(r.s - want) < 1e-12)
+
+
 def test_signals_keep_a_pair_in_one_row(spark, world):
     pairs, *rest = world
     found = explain.signals(pairs, *rest, datetime(2024, 2, 1))

@@ -439,9 +439,9 @@ def training_label_counts(spark, sf_dir):
 @query
 def feed_enhanced(spark, sf_dir):
     arts, inter, emb = A.articles(spark, sf_dir), stored(listing.ranked_log(A.interactions(spark, sf_dir))), stored(_embedded(spark, sf_dir))
-    vectors = stored(users.vectors(inter, emb))
+    vectors = stored(users.dense_vectors(inter, emb))
     ents = stored(_entities(spark, sf_dir, ("article_id", "entity_id", "name")))
-    labelled = ranking.split(ranking.reranker_pairs(inter, arts, emb), ["user_id", "id"])
+    labelled = stored(ranking.split(ranking.reranker_pairs(inter, arts, emb), ["user_id", "id"]))
     train = stored(ranking.features(labelled, arts, inter, emb, ents, AS_OF, vectors))
     model = ranking.train_gbt(train, **ranking.PRODUCTION)
     retrieved = stored(feed.warm(vectors, inter, emb, limit=100).select("user_id", "id", "sim"))

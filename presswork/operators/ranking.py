@@ -108,17 +108,16 @@ def reranker_pairs(interactions: DataFrame, articles: DataFrame, embedded: DataF
     from the `pool` newest embedded articles that aren't among them."""
     has = embedded.select("id").distinct()
     enough = latest_per_user(interactions, limit).groupBy("user_id").count().filter(F.col("count") >= least).select("user_id")
-    positive = latest_per_user(interactions, limit).select("user_id", F.col("article_id").alias("id")).distinct().join(enough, "user_id", "left_semi").join(has, "id", "left_semi")
-    most = limit + pool  # a user's positives can hide at most `limit` of the newest
+    positive = stored(latest_per_user(interactions, limit).select("user_id", F.col("article_id").alias("id")).distinct().join(enough, "user_id", "left_semi").join(has, "id", "left_semi"))
+    most = limit + pool  # a user's positives can hide at most `limit` of the newest, and no more than there are
     newest = stored(articles.join(has, "id", "left_semi").orderBy(F.desc_nulls_last("published_at"), "id").limit(most).select("id", "published_at"))
-    slots = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("place")
     placed = newest.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("published_at"), "id")) - 1)  # `most` rows
-    offered = positive.select("user_id").distinct().select("user_id", slots).join(small(placed), "place").drop("place")
+    counts = positive.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    offered = counts.select("user_id", "n", F.explode(F.sequence(F.lit(0), (F.col("n") + (pool - 1)).cast("int"))).alias("place")).join(small(placed), "place").drop("place")
     free = offered.join(positive, ["user_id", "id"], "left_anti")
     by_time = Window.partitionBy("user_id").orderBy(F.desc_nulls_last("published_at"), "id")
     drawn = Window.partitionBy("user_id").orderBy(F.sha2(F.concat_ws(":", F.lit(seed), "user_id", "id"), 256), "id")
-    counts = positive.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    negative = free.withColumn("t", F.row_number().over(by_time)).filter(F.col("t") <= pool).withColumn("d", F.row_number().over(drawn)).join(counts, "user_id").filter("d <= n")
+    negative = free.withColumn("t", F.row_number().over(by_time)).filter(F.col("t") <= pool).withColumn("d", F.row_number().over(drawn)).filter("d <= n")
     return positive.withColumn("label", F.lit(1)).unionByName(negative.select("user_id", "id", F.lit(0).alias("label")))
 
 

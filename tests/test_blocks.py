@@ -131,3 +131,14 @@ def test_summaries_are_told_without_gathering_signals(spark, world):
     want = explain.explanations(pairs, explain.signals(pairs, *rest, as_of))
     key = lambda df: sorted((r.user_id, r.id, r.summary, [tuple(s) for s in r.signals]) for r in df.collect())
     assert key(told) == key(want) and told.filter(F.size("signals") == 0).select("summary").distinct().collect()[0].summary == explain.NO_SIGNALS
+
+
+def test_negatives_are_offered_as_many_places_as_can_be_taken(spark, world):
+    _, arts, inter, emb, _ = world
+    rows = ranking.reranker_pairs(inter, arts, emb, least=1, limit=5, pool=8).collect()
+    newest = [r.id for r in arts.join(emb, "id", "left_semi").orderBy(F.desc("published_at"), "id").collect()]
+    for u in range(6):
+        good, bad = ({r.id for r in rows if r.user_id == u and r.label == x} for x in (1, 0))
+        pool = [i for i in newest if i not in good][:8]
+        order = sorted(pool, key=lambda i: (hashlib.sha256(f"42:{u}:{i}".encode()).hexdigest(), i))
+        assert len(good) == 5 and bad == set(order[:5])

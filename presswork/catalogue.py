@@ -482,9 +482,8 @@ def stream_burst_pairs(spark, sf_dir):
     """Pairs of documents from different sources that say much the same within two days,
     found by a stream."""
     flow, store = A.articles_of(A.table_stream(spark, sf_dir, "documents")), new_folder(spark)
-    found = bursts.burst_pairs(flow, flow, stored(_embedded(spark, sf_dir))).writeStream.option("checkpointLocation", new_folder(spark))
-    found.trigger(availableNow=True).start(store).awaitTermination()
-    rows = spark.read.schema("anchor bigint, id bigint, sim double, source string").parquet(store)
+    bursts.refresh_pairs(flow, stored(_embedded(spark, sf_dir)), store, new_folder(spark), new_folder(spark)).awaitTermination()
+    rows = spark.read.schema(bursts.PAIRS).parquet(store)
     return rows.select("anchor", "id", F.round("sim", ROUND).alias("similarity"), "source")
 
 

@@ -29,6 +29,7 @@ class Vectors:
         dims, ws = (table.column(c).combine_chunks() for c in ("dims", "ws"))
         counts = dims.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         order = np.argsort(ids, kind="stable")
+        self.order = order  # the table's rows by id, as all places are
         self.ids, self.starts, self.counts = ids[order], (np.cumsum(counts) - counts)[order], counts[order]
         self.dims, self.ws = dims.flatten().to_numpy(), ws.flatten().to_numpy()
         self.width = int(self.dims.max()) + 1 if len(self.dims) else 1

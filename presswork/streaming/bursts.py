@@ -5,7 +5,8 @@ Each vector is cut by random planes; the sides that it lies on make the codes of
 Two streams of articles are joined where a band's codes agree within the time window; the
 state has codes, not vectors. The similarity of a pair found so is worked out from the
 stored vectors, so what is reported is exact, and what is missed is bounded by chance
-alone (recall()).
+alone (recall()). refresh_pairs() keeps the vectors of what has come in a table instead, and
+misses none.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import embedding_text
 from ..operators import anomaly, knn
-from ..operators.embed import hash_vectors
+from ..operators.blocks import Vectors
+from ..operators.embed import dense, hash_vectors
 from ..schemas import EMBEDDING_DIM
 from ..shipping import ship
 
@@ -80,6 +83,93 @@ def burst_pairs(left: DataFrame, right: DataFrame, embedded: DataFrame, hours: i
     return scored.filter(F.col("sim") >= threshold)
 
 
+def refresh_pairs(stream: DataFrame, embedded: DataFrame, store: str, seen: str, checkpoint: str, hours: int = 48, threshold: float = 0.82) -> StreamingQuery:
+    """Starts a query that writes the pairs of burst_pairs() to store/batch=N as a stream's
+    articles arrive, without any loss: an article meets all that are in `seen`, however late
+    it comes, by matrix products. `seen` has the vectors of the articles so far by batch; of
+    them those near in time to a batch's are read. An id that has come before is passed over.
+    A batch that runs again after a failure replaces its own files."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark, span = batch.sparkSession, hours * 3_600_000_000
+        rows = batch.select("id", "source", F.unix_micros(F.col("published_at").cast("timestamp")).alias("at")).dropna().dropDuplicates(["id"])
+        known = spark.createDataFrame([], SEEN) if number == 0 else spark.read.schema(f"{SEEN}, batch bigint").option("basePath", seen).parquet(seen).filter(F.col("batch") < number).drop("batch")
+        new = rows.join(known.select("id"), "id", "left_anti").join(dense(embedded), "id").select("id", "source", "at", "dims", "ws")
+        new.write.mode("overwrite").parquet(f"{seen}/batch={number}")
+        new = spark.read.schema(SEEN).parquet(f"{seen}/batch={number}")
+        first, last = new.agg(F.min("at"), F.max("at")).first()
+        near = known.filter(F.col("at").between((first or 0) - span, (last or 0) + span))
+        near_pairs(new, near, span, threshold).write.mode("overwrite").parquet(f"{store}/batch={number}")
+
+    ship(stream.sparkSession)
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+SEEN = "id bigint, source string, at bigint, dims array<int>, ws array<double>"
+PAIRS = "anchor bigint, id bigint, sim double, source string"
+#: Rows of a block, of the new ones and of those that they meet.
+NEW_BLOCK, MET_BLOCK = 8192, 32768
+#: More than a product of unit vectors in 32 bits is off by: 768 terms, each by 2**-23 at most.
+SLACK = 1e-4
+
+
+def near_pairs(new: DataFrame, known: DataFrame, span: int, threshold: float) -> DataFrame:
+    """PAIRS of new rows (SEEN) with new ones and, in both directions, with known ones, from
+    different sources, at most `span` microseconds apart and of at least this similarity.
+    Times are cut into buckets of the span; blocks of a bucket's new rows meet blocks of the
+    rows of that bucket and of the two beside it."""
+    spark = new.sparkSession
+    bucket = F.floor(F.col("at") / span)
+    left = new.withColumn("bucket", bucket)
+    right = new.select(*[F.col(c).alias(c) for c in new.columns], F.lit(True).alias("fresh")).unionByName(known.withColumn("fresh", F.lit(False)))
+    right = right.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1))).join(F.broadcast(left.select("bucket").distinct()), "bucket", "left_semi")
+    sizes = lambda df: df.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.max("n")).first()
+    (buckets, most), (_, met) = sizes(left), sizes(right)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = max(1, -(-(most or 0) // NEW_BLOCK))
+    slots = max(1, -(-(met or 0) // MET_BLOCK), min(-(-tasks // max(1, buckets * parts)), -(-(met or 0) // 1024)))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = left.select("*", block(parts).alias("part")).select("*", every(slots).alias("slot"))
+    right = right.select("*", block(slots).alias("slot")).select("*", every(parts).alias("part"))
+    key = ["bucket", "part", "slot"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_alike(span, threshold), PAIRS)
+
+
+def _alike(span: int, threshold: float):
+    def rows(vectors: Vectors, places: np.ndarray, width: int, kind: type) -> np.ndarray:
+        row, d, w = vectors.entries(places)
+        out = np.zeros((len(places), width), kind)
+        out[row, d] = w
+        return out
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = Vectors(left), Vectors(right)
+        width = max(a.width, b.width)
+        names = pa.concat_arrays([t.column("source").combine_chunks().cast(pa.string()).take(pa.array(v.order)) for t, v in ((left, a), (right, b))]).dictionary_encode()
+        code = names.indices.to_numpy()
+        times, others = left.column("at").to_numpy()[a.order], right.column("at").to_numpy()[b.order]
+        fresh = right.column("fresh").to_numpy(zero_copy_only=False).astype(bool)[b.order]
+        whole, found = rows(a, np.arange(len(a.ids)), width, np.float32), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for at in range(0, len(b.ids) if len(a.ids) else 0, knn.CORPUS_STEP):
+            places = np.arange(at, min(len(b.ids), at + knn.CORPUS_STEP))
+            i, j = np.divmod(np.flatnonzero(whole @ rows(b, places, width, np.float32).T >= threshold - SLACK), len(places))
+            j = j + at
+            good = (code[i] != code[len(a.ids) + j]) & (np.abs(times[i] - others[j]) <= span) & (a.ids[i] != b.ids[j])
+            i, j = i[good], j[good]
+            for k in range(0, len(i), knn.CORPUS_STEP):
+                x, y = i[k : k + knn.CORPUS_STEP], j[k : k + knn.CORPUS_STEP]
+                sims = np.round(np.einsum("ij,ij->i", rows(a, x, width, float), rows(b, y, width, float)), 9)
+                found.append((x[sims >= threshold], y[sims >= threshold], sims[sims >= threshold]))
+        i, j, sims = (np.concatenate(x) for x in zip(*found))
+        back = ~fresh[j]
+        anchor, other = np.concatenate([a.ids[i], b.ids[j][back]]), np.concatenate([b.ids[j], a.ids[i][back]])
+        source = names.dictionary.take(pa.array(np.concatenate([code[len(a.ids) + j], code[i][back]])))
+        return pa.table([pa.array(anchor, pa.int64()), pa.array(other, pa.int64()), pa.array(np.concatenate([sims, sims[back]])), source], names=["anchor", "id", "sim", "source"])
+
+    return run
+
+
 def bursts(pairs: DataFrame, hours: int = 48, threshold: float = 0.82, least_sources: int = 2) -> DataFrame:
     """The events of anomaly.bursts() from stored pairs, without its cut at the nearest 20."""
     order = Window.partitionBy("anchor").orderBy(F.desc("sim"), "id")
